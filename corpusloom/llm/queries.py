@@ -21,4 +21,4 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-from . import q01_packing, q06_exact_dedup, q08_simhash  # noqa: E402, F401
+from . import q01_packing, q03_langid, q04_mixing, q05_sharding, q06_exact_dedup, q07_license_scan, q08_simhash  # noqa: E402, F401
