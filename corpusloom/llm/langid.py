@@ -150,9 +150,16 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAM
     return Model(langs, code, table, scale, weight / weight.sum() * min(bits, 8))
 
 
+def _free(name: str, taken: set) -> str:
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def identify(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text", keep: bool = False) -> DataFrame:
     """Language of every whole text: doc_id, lang_pred, score, ambiguous, bits; with
-    ``keep`` all columns of ``docs`` and these (named lang_pred, lang_score, ...) beside.
+    ``keep`` all columns of ``docs`` and these last (with underscores before a name that
+    ``docs`` has itself).
 
     A text that is null or has no letter gets ``und`` and score 0. Repeated rows get the
     same answer each; no rows give no rows. The text is the prediction's only input.
@@ -161,7 +168,8 @@ def identify(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text", kee
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("bits", T.StringType())])
     src = docs if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     at = src.columns.index(text if keep else "text")
-    new = [T.StructField("_" + f.name, f.dataType) for f in schema] if keep else schema.fields
+    taken = {c.lower() for c in src.columns} if keep else set()
+    new = [T.StructField(_free(f.name, taken), f.dataType) for f in schema]
     out = T.StructType((src.schema.fields if keep else [src.schema["doc_id"]]) + new)
     arrow = to_arrow_schema(out)
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 #: Documents that a key range holds on average.
 RANGE = 8192
+#: Sources up to this many are broadcast, more are joined by shuffle.
+SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,8 +63,34 @@ def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weigh
     rows are separate documents; equal keys are ordered by doc_id and size, so reruns agree;
     other columns are ignored; no rows give no rows.
     """
+    return _placed(docs, doc_id, text, source, weight_cycle, most, seed).select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "place")
+
+
+def hash_key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def mixed_rows(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weight_cycle=(5, 2, 1), most=3, seed="mix-1") -> DataFrame:
+    """The mix itself: rows of ``docs`` with their columns, repeated by whole epochs, the last
+    pass ending at the document whose middle meets the target.
+
+    The cut of a source is one key, so documents are chosen where they are read: only a row
+    per source is joined to them, and no text is shuffled.
+    """
+    placed = _placed(docs, doc_id, text, source, weight_cycle, most, seed)
+    rest = F.floor("target") - F.col("epochs") * F.col("source_size")
+    inside = F.col("place") + F.col("size") / 2 <= rest
+    cuts = materialize(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(inside & (rest > 0), F.col("key"))).alias("cut")), "cuts")
+    named = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
+    joined = docs.join(small(named, cuts.count(), SOURCES), F.col(source).cast("string").eqNullSafe(F.col("__source")))
+    last = F.coalesce((hash_key(F.col(doc_id), seed) <= F.col("__cut")).cast("long"), F.lit(0))
+    copies = joined.withColumn("__copy", F.col("__epochs") + last).filter("__copy > 0")
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copy")))).select(*(docs[c] for c in docs.columns))
+
+
+def _placed(docs, doc_id, text, source, weight_cycle, most, seed) -> DataFrame:
     d = F.col(doc_id)
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(d.cast("string"), F.lit(""))))
+    key = hash_key(d, seed)
     sized = materialize(docs.select(d.alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), key.alias("key")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = materialize(targets(per_source, weight_cycle, most), "targets")
@@ -80,4 +108,4 @@ def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weigh
     rest = budget - F.col("epochs") * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))
     out = placed.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "place")
+    return out
