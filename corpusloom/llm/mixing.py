@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 
 #: Documents that a key range holds on average.
-RANGE = 8192
+RANGE = 1024
 #: Sources up to this many are broadcast, more are joined by shuffle.
 SOURCES = 10_000
 
@@ -94,10 +94,10 @@ def _placed(docs, doc_id, text, source, weight_cycle, most, seed) -> DataFrame:
     sized = materialize(docs.select(d.alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), key.alias("key")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = materialize(targets(per_source, weight_cycle, most), "targets")
-    bits = min(24, max(0, (sized.count() // RANGE).bit_length()))
-    part = F.conv(F.substring("key", 1, 6), 16, 10).cast("long")
+    bits = min(20, max(0, (sized.count() // RANGE).bit_length()))
+    part = F.conv(F.substring("key", 1, 5), 16, 10).cast("long")
     goal = goals.withColumnRenamed("source", "named")
-    keyed = sized.join(goal, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.shiftright(part, 24 - bits))
+    keyed = sized.join(goal, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.shiftright(part, 20 - bits))
     base = keyed.groupBy("n", "part").agg(F.sum("size").alias("words"))
     base = base.withColumn("base", F.sum("words").over(Window.partitionBy("n").orderBy("part")) - F.col("words")).drop("words")
     run = Window.partitionBy("n", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
