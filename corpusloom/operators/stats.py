@@ -1,0 +1,135 @@
+"""Paired statistics: ratios of sums, intervals, bootstraps, n-gram diagnostics."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import joined_ngrams
+
+#: The normal and Student (4 degrees of freedom) quantiles in use.
+Z95, T95_DF4 = 1.96, 2.7764451051977987
+
+
+def bits_per_byte(nats: Column, size: Column) -> Column:
+    """Ratio of sums, never a mean of ratios."""
+    return F.sum(nats) / F.ln(F.lit(2.0)) / F.sum(size)
+
+
+def wilson(wins: Column, n: Column, z: float = Z95) -> Column:
+    """Struct of the Wilson interval's ends; null when ``n`` is 0."""
+    p = wins / n
+    d = 1 + z * z / n
+    mid = (p + z * z / (2 * n)) / d
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
+    return F.when(n > 0, F.struct((mid - half).alias("low"), (mid + half).alias("high")))
+
+
+def paired_t(df: DataFrame, by: list[str], diff: str, pairs: int = 5, t: float = T95_DF4, margin: float = 0.01) -> DataFrame:
+    """Mean difference with its t interval, direction and equivalence; null bounds unless there
+    are exactly ``pairs`` pairs."""
+    d = df.groupBy(*by).agg(F.count(diff).alias("pairs"), F.avg(diff).alias("mean"), F.stddev_samp(diff).alias("sd"))
+    half = F.when(F.col("pairs") == pairs, t * F.col("sd") / F.sqrt(F.lit(float(pairs))))
+    d = d.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+    way = F.when(F.col("high") < 0, "lower").when(F.col("low") > 0, "higher").when(F.col("low").isNotNull(), "unclear").otherwise("incomplete")
+    return d.withColumn("direction", way).withColumn("equivalent", (F.col("low") > -margin) & (F.col("high") < margin)).drop("sd")
+
+
+def hash_poisson(key: Column, draw: Column, terms: int = 8) -> Column:
+    """Poisson(1) weight of a row in a draw, from a hash: the same everywhere, no generator state.
+
+    The uniform is 13 hex digits of an MD5 of key and draw; the weight counts the steps of the
+    Poisson distribution function that it passes.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), draw.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    total, p, out = 0.0, float(np.exp(-1)), F.lit(0)
+    for k in range(terms):
+        total += p
+        p /= k + 1
+        out = out + (u >= total).cast("int")
+    return out
+
+
+def poisson_bootstrap(df: DataFrame, key: str, numerator: str, denominator: str, draws: int) -> DataFrame:
+    """(draw, ratio): ratio of weighted sums in each draw. One shuffle of ``draws`` rows per
+    task, whatever the rows: weights are applied map-side."""
+    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    w = hash_poisson(F.col(key), F.col("draw"))
+    return d.groupBy("draw").agg((F.sum(w * F.col(numerator)) / F.sum(w * F.col(denominator))).alias("ratio"))
+
+
+def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """Percentile interval with linear interpolation."""
+    a = (1 - level) / 2
+    return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"), F.count(F.lit(1)).alias("draws"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, draws: int) -> DataFrame:
+    """Bootstrap over whole clusters: sums per cluster first, then draws over clusters."""
+    sums = df.groupBy(cluster).agg(F.sum(numerator).alias("__n"), F.sum(denominator).alias("__d"))
+    return poisson_bootstrap(sums, cluster, "__n", "__d", draws)
+
+
+def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701, chunk: int = 500) -> DataFrame:
+    """Paired bootstrap of (sum a - sum b) / ln 2 / sum size with numpy's generator, per group.
+
+    Meant for groups of window results (a few thousand rows); use :func:`poisson_bootstrap`
+    where a group may be large.
+    """
+    schema = df.select(*by).schema.add("delta", "double").add("low", "double").add("high", "double").add("wins", "long").add("windows", "long")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        diff, n = (pdf[a] - pdf[b]).to_numpy(float), pdf[size].to_numpy(float)
+        rng, out = np.random.default_rng(seed), []
+        for lo in range(0, draws, chunk):
+            i = rng.integers(0, len(diff), (min(chunk, draws - lo), len(diff)))
+            out.append(diff[i].sum(1) / np.log(2) / n[i].sum(1))
+        low, high = np.quantile(np.concatenate(out), [0.025, 0.975])
+        row = {c: [pdf[c].iloc[0]] for c in by} | {"delta": [diff.sum() / np.log(2) / n.sum()], "low": [low], "high": [high], "wins": [int((diff < 0).sum())], "windows": [len(diff)]}
+        return pd.DataFrame(row)
+
+    return df.groupBy(*by).applyInPandas(run, schema)
+
+
+def repeat_excess(arr: Column, n: int) -> Column:
+    """Share of n-grams that repeat an earlier one: (count - distinct) / count, 0 when none."""
+    g = joined_ngrams(arr, n)
+    return F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(F.lit(0.0))
+
+
+def ngram_repetition(df: DataFrame, key: str, arr: Column, n: int) -> DataFrame:
+    """Per document: positions, max_count, max_ngram (first to reach it), max_frequency and
+    excess_rate."""
+    d = df.select(key, F.posexplode(joined_ngrams(arr, n)).alias("pos", "gram"))
+    c = d.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    top = F.max_by("gram", F.struct("n", -F.col("first")))
+    g = c.groupBy(key).agg(F.sum("n").alias("positions"), F.max("n").alias("max_count"), top.alias("max_ngram"), F.sum(F.col("n") - 1).alias("__over"))
+    return g.select(key, "positions", "max_count", "max_ngram", (F.col("max_count") / F.col("positions")).alias("max_frequency"), (F.col("__over") / F.col("positions")).alias("excess_rate"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    u = F.size(F.array_union(a, b))
+    return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
+
+
+def factorial_effects(arms: DataFrame, value: str) -> DataFrame:
+    """Main effects and interaction of two factors from four arms (columns f1, f2 of 0 and 1)."""
+    cell = lambda i, j: F.avg(F.when((F.col("f1") == i) & (F.col("f2") == j), F.col(value)))
+    one = arms.agg(cell(0, 0).alias("a"), cell(0, 1).alias("b"), cell(1, 0).alias("c"), cell(1, 1).alias("d"))
+    return one.select(((F.col("c") + F.col("d") - F.col("a") - F.col("b")) / 2).alias("f1_effect"), ((F.col("b") + F.col("d") - F.col("a") - F.col("c")) / 2).alias("f2_effect"), (F.col("d") - F.col("c") - F.col("b") + F.col("a")).alias("interaction"))
+
+
+def log_softmax(df: DataFrame, group: list[str], score: str) -> DataFrame:
+    """Adds log_p: the score less the log of the group's sum of exponentials."""
+    w = Window.partitionBy(*group)
+    top = F.max(score).over(w)
+    return df.withColumn("log_p", F.col(score) - (top + F.ln(F.sum(F.exp(F.col(score) - top)).over(w))))
+
+
+def learning_rate(step: Column, steps: int, peak: float, warmup: int, floor: float = 0.1) -> Column:
+    """Linear warm-up, then a cosine down to ``floor`` of the peak."""
+    part = (step - warmup) / F.lit(float(max(1, steps - warmup)))
+    return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(peak * (floor + (1 - floor) * 0.5 * (1 + F.cos(np.pi * part))))
