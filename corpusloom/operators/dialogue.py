@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # Fixed values of the channel format: control values, limits and texts.
 CHANNEL, MESSAGE, REPLY, END_MESSAGE, END_RECORD, TARGET, SUMMARY = 1, 2, 3, 4, 5, 6, 7
 CONTEXT_MESSAGES, MEMORY_MESSAGES = 3, 2
-SUMMARY_CHARS, CONTEXT_CHARS, TARGET_CHARS = 80, 120, 160
+SUMMARY_CHARS, CONTEXT_CHARS, TARGET_CHARS = 80, 65, 180
 STYLE_SUMMARY = {"S": "Shakespearean dramatic scene", "C": "Crowleyan dramatic scene", "B": "Blakean visionary verse", "D": "mixed literary conversation"}
 OTHER_SUMMARY, THREAD_SUMMARY = "human channel conversation", "literary conversation"
 

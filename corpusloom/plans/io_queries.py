@@ -1,0 +1,236 @@
+"""Queries that go through sources, sinks and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..session import scratch_path
+from ..sources import binary as B
+from ..sources import text_files as S
+from .agg_queries import EFFECTIVE_SQL, votes
+from .registry import register, table
+
+
+@register("sc01_jsonl_round_trip", "SELECT event_id, user_id, event_type, value FROM events")
+def sc01(spark, sf):
+    """JSON lines written and read with a declared schema (SC1, SK1)."""
+    path = scratch_path(spark, "jsonl")
+    S.write_jsonl(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), path)
+    return S.read_jsonl(spark, path, "event_id long, user_id long, event_type string, value double")
+
+
+@register("sc02_event_files", """
+SELECT 'e' || event_id AS event_id, 'r' || user_id AS reviewer_id, (event_id % 200)::INT AS case_id, event_type AS choice FROM events""")
+def sc02(spark, sf):
+    """Event files in three shapes: exports, single events, JSON lines (SC2, D12)."""
+    path = scratch_path(spark, "events")
+    e = table(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("event_id"), F.lit("p").alias("packet_id"), F.concat(F.lit("r"), "user_id").alias("reviewer_id"), (F.col("event_id") % 200).cast("int").alias("case_id"), F.col("event_type").alias("choice"), (F.col("event_id") % 3).alias("k"))
+    one = F.to_json(F.struct("event_id", "packet_id", "reviewer_id", "case_id", "choice"))
+    e.filter("k > 0").select(one.alias("value")).write.text(path + "/lines")
+    e.filter("k = 0").groupBy(F.xxhash64("event_id") % 8).agg(F.concat(F.lit('{"events":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path + "/export")
+    both = S.read_events(spark, path + "/lines").unionByName(S.read_events(spark, path + "/export"))
+    return both.select("event_id", "reviewer_id", "case_id", "choice")
+
+
+@register("sc03_whole_documents", "SELECT doc_id, text, length(text) AS chars FROM documents")
+def sc03(spark, sf):
+    """Line ends normalised, a byte order mark dropped."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("raw"))
+    t = X.line_ends(F.col("raw"))
+    return d.select("doc_id", t.alias("text"), F.length(t).alias("chars"))
+
+
+@register("sc04_token_files", """
+SELECT lang, sum(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::BIGINT AS tokens FROM documents GROUP BY lang""".replace("\\\\", "\\"))
+def sc04(spark, sf):
+    """16-bit token files written by the token sink and read in chunks (SC4, SC5, SC9, SC10, SK4, SK5, D4)."""
+    path = scratch_path(spark, "tokens")
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    ids = F.transform(F.filter(F.split(ascii_only, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    d = table(spark, sf, "documents").select("lang", ids.alias("tokens"))
+    parts = []
+    for lang in ("de", "en", "es", "fr"):
+        B.write_tokens(d.filter(F.col("lang") == lang), f"{path}/{lang}")
+        parts.append(B.read_tokens(spark, f"{path}/{lang}", limit=128).select(F.lit(lang).alias("lang"), F.size("tokens").alias("n")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("lang").agg(F.sum("n").alias("tokens"))
+
+
+@register("sc06_chat_rows", r"""
+SELECT 'c' || conv_id AS c, turn::INT AS pos, trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[\x00-\x1F]+', ' ', 'g'), ' ') AS text FROM conversations""")
+def sc06(spark, sf):
+    """Chat tables parsed line by line, threads by run length."""
+    row = F.concat_ws("\t", F.concat(F.lit("c"), "conv_id"), F.concat(F.lit("m"), "turn"), F.lit(""), "role", F.regexp_replace("text", r"[\x00-\x1F]+", " "))
+    d = table(spark, sf, "conversations").withColumn("row", row).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "row"))), lambda x: x["row"]), "\n").alias("text"))
+    r = S.chat_rows(d, "conv_id", "text")
+    return r.select(F.element_at(F.split("channel", "#"), -1).alias("c"), "pos", "text")
+
+
+def _play(spark, sf):
+    head = F.concat(F.lit("SCENE "), "conv_id")
+    speech = F.concat(F.upper("role"), F.lit(".\nEnter a ghost\n"), F.regexp_replace("text", r"\s+", " "))
+    return table(spark, sf, "conversations").withColumn("s", speech).groupBy("conv_id").agg(F.concat(F.first(head), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]), "\n\n")).alias("text"))
+
+
+@register("sc07_play_rows", r"""
+SELECT conv_id::VARCHAR AS scene, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS pos, upper(role) AS speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE trim(text) <> ''""")
+def sc07(spark, sf):
+    """Plays: scenes, speakers, speeches; stage directions dropped."""
+    r = S.play_rows(_play(spark, sf), "conv_id", "text")
+    return r.select(F.get(F.split("channel", "#"), F.lit(0)).alias("scene"), "pos", "speaker", "text")
+
+
+@register("sc08_verse_rows", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+t AS (SELECT doc_id, n, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line FROM l)
+SELECT doc_id::VARCHAR AS doc, count(*) AS lines FROM t WHERE line <> '' AND length(line) <= 240 AND NOT regexp_matches(line, '^(\[|Enter |Exit |Exeunt|Re-enter )') GROUP BY 1""")
+def sc08(spark, sf):
+    """Verse lines by stanza, two voices in turn."""
+    r = S.verse_rows(table(spark, sf, "documents"), "doc_id", "text")
+    return r.groupBy(F.get(F.split("channel", "#"), F.lit(0)).alias("doc")).agg(F.count("*").alias("lines"))
+
+
+@register("sc11_packed_tokens")
+def sc11(spark, sf):
+    """Packed-token containers, written per document and read back (SC11, X29)."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    pack = F.arrow_udf(lambda x: pa.array([B.pack_bytes(list((t or "").encode())[:512]) for t in x.to_pylist()], pa.binary()), T.BinaryType())
+    size = F.arrow_udf(lambda x: pa.array([len(B.unpack_bytes(b)[0]) for b in x.to_pylist()], pa.int32()), T.IntegerType())
+    return table(spark, sf, "documents").select("doc_id", size(pack("text")).alias("tokens"))
+
+
+@register("sc14_logic_records")
+def sc14(spark, sf):
+    """Proof records parsed from text and verified (SC14, K11)."""
+    from ..operators.logic import generate_proofs
+
+    d = generate_proofs(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    block = F.concat_ws("\n", F.lit("@logic hf1"), F.concat(F.lit("@task "), "task"), F.concat(F.lit("@theorem "), "theorem"), F.concat(F.lit("@proof "), "proof"), F.concat(F.lit("@result "), "result"), F.lit("@end"))
+    files = d.select((F.col("doc_id") % 50).alias("file"), block.alias("b")).groupBy("file").agg(F.array_join(F.collect_list("b"), "\n").alias("text"))
+    return S.logic_records(files, "file", "text").groupBy("file").agg(F.count("*").alias("records"), F.count("fault").alias("faults"))
+
+
+@register("sc20_verified_inventory", "SELECT 'changed' AS fault, 1 AS files UNION ALL SELECT 'missing', 1")
+def sc20(spark, sf):
+    """Files against a lock of digests: planted changes are found (SC20, SK12, J21, X32)."""
+    path = scratch_path(spark, "files")
+    table(spark, sf, "nation").repartition(4).write.option("maxRecordsPerFile", 4).json(path)
+    from pyspark.sql import Window
+
+    found = S.inventory(spark, path).filter("not path like '%SUCCESS%'").withColumn("n", F.row_number().over(Window.orderBy("path")))
+    lock = found.select("path", F.when(F.col("n") == 1, "0").otherwise(F.col("sha256")).alias("sha256")).union(spark.createDataFrame([("gone", "1")], "path string, sha256 string"))
+    return S.verify_inventory(found, lock).groupBy("fault").agg(F.count("*").alias("files"))
+
+
+@register("sk02_text_corpus", "SELECT lang, count(*) AS chunks, sum(length(text) + 2)::BIGINT AS chars FROM (SELECT lang, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents) GROUP BY lang".replace("\\\\", "\\"))
+def sk02(spark, sf):
+    """Text corpora per split, ordered chunks apart by a blank line."""
+    path = scratch_path(spark, "corpus")
+    t = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
+    d = table(spark, sf, "documents").select("doc_id", "lang", t.alias("t"))
+    S.write_corpus(d, path, "lang", ["doc_id"], "t")
+    back = spark.read.text(path, wholetext=True).select("lang", F.length("value").alias("n"))
+    n = d.groupBy("lang").agg(F.count("*").alias("chunks"))
+    return back.groupBy("lang").agg(F.sum("n").alias("chars")).join(n, "lang").select("lang", "chunks", "chars")
+
+
+@register("sk03_text_offsets", """
+WITH d AS (SELECT doc_id, strlen(source || text) AS n, strlen(source) AS p FROM documents)
+SELECT doc_id, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS text_start, (sum(n) OVER (ORDER BY doc_id) - n + p)::BIGINT AS output_start, n AS text_bytes FROM d""")
+def sk03(spark, sf):
+    """Byte offsets of prefix and output in the concatenated file (SK3, X1)."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return S.with_text_offsets(d, "doc_id", "source", "text").select("doc_id", "text_start", "output_start", "text_bytes")
+
+
+@register("sk11_pending_work", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def sk11(spark, sf):
+    """Resumable work: finished keys are skipped, another identity is an error (SK11, ST6)."""
+    w = table(spark, sf, "documents").select("doc_id", F.lit("run-1").alias("identity"))
+    return S.pending(w, w.filter("doc_id % 3 = 0"), ["doc_id"], "identity").select("doc_id")
+
+
+def _stream(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path), scratch_path(spark, name + "-out")
+
+
+@register("st01_vote_store", f"""
+WITH v AS (SELECT event_id, packet_id, reviewer_id, case_id, choice, arrival FROM (SELECT 'p' || (user_id % 2) AS packet_id, 'r' || (user_id % 17) AS reviewer_id, 'e' || (event_id - event_id % 3) AS event_id,
+ (event_id * 7) % 200 AS case_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' WHEN 'purchase' THEN 'withdraw' ELSE 'skip' END AS choice, event_id AS arrival FROM events)),
+f AS (SELECT *, first_value((packet_id, reviewer_id, case_id, choice)) OVER (PARTITION BY event_id ORDER BY arrival) AS kept, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS n FROM v)
+SELECT CASE WHEN n = 1 THEN 'stored' ELSE 'conflict' END AS status, count(*) AS n FROM f WHERE n = 1 OR (packet_id, reviewer_id, case_id, choice) <> kept GROUP BY 1""")
+def st01(spark, sf):
+    """Idempotent vote store as a stream, conflicts reported (ST1, SK10)."""
+    from ..streaming.state import run_once, vote_store
+
+    s, out = _stream(spark, votes(spark, sf).repartitionByRange(3, "arrival").withColumn("case_id", F.col("case_id").cast("long")), "votes")
+    return run_once(vote_store(s), "vote_store", out).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("st02_effective_stream", f"SELECT packet_id, reviewer_id, case_id, choice FROM {EFFECTIVE_SQL}")
+def st02(spark, sf):
+    """Effective votes as a stream of updates; equals the batch view (ST2)."""
+    from ..operators.sequence import first_per_key
+    from ..streaming.state import effective_stream, run_once
+
+    once = first_per_key(votes(spark, sf), ["event_id"], ["arrival"]).withColumn("case_id", F.col("case_id").cast("long"))
+    s, out = _stream(spark, once.repartitionByRange(3, "arrival"), "stored")
+    u = run_once(effective_stream(s), "effective", out, mode="update")
+    last = u.groupBy("packet_id", "reviewer_id", "case_id").agg(F.max_by("choice", "arrival").alias("choice"))
+    return last.filter("choice <> 'withdraw'")
+
+
+@register("st03_episodic_memory")
+def st03(spark, sf):
+    """Ring memory of 32 vectors per stream: recall, then remember (ST3, K2, D19)."""
+    from ..streaming.state import episodic_memory, run_once
+
+    d = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("stream"), F.col("vec_id").alias("arrival"), F.col("embedding").alias("vector"))
+    s, out = _stream(spark, d.repartitionByRange(2, "arrival"), "memory")
+    return run_once(episodic_memory(s), "memory", out).withColumn("score", F.round("score", 5))
+
+
+@register("st04_vector_exchange")
+def st04(spark, sf):
+    """Signed vector exchange: bad signatures are rejected (ST4, K4-K6)."""
+    from ..functions.kernels import sign_vector
+    from ..streaming.state import run_once, vector_exchange
+
+    e = F.col("embedding").cast("array<float>")
+    d = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("stream"), F.col("vec_id").alias("arrival"), e.alias("vector"), (sign_vector(e) + F.when(F.col("vec_id") % 10 == 3, 1).otherwise(0)).alias("signature"))
+    s, out = _stream(spark, d.repartitionByRange(2, "arrival"), "packets")
+    return run_once(vector_exchange(s), "exchange", out).withColumn("score", F.round("score", 5))
+
+
+@register("st05_rolling_memory")
+def st05(spark, sf):
+    """Rolling summaries per conversation (ST5)."""
+    from ..streaming.state import rolling_memory, run_once
+
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("arrival"), "text")
+    s, out = _stream(spark, d.repartitionByRange(2, "arrival"), "chat")
+    return run_once(rolling_memory(s), "rolling", out)
+
+
+@register("ext_windowed_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def ext_windows(spark, sf):
+    """Extension: event-time windows with a watermark, in batch form."""
+    from ..streaming.state import windowed_counts
+
+    w = windowed_counts(table(spark, sf, "events"))
+    return w.select(F.col("w.start").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@register("ext_pricing_summary", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1999-09-02' GROUP BY 1, 2""")
+def ext_pricing(spark, sf):
+    """Extension: a pricing summary over the star schema."""
+    d = table(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1999-09-02").cast("timestamp"))
+    return d.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))

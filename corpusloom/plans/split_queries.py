@@ -66,11 +66,11 @@ def g06(spark, sf):
 
 
 @register("g08_blind_sides", """
-SELECT item_id, row_number() OVER (ORDER BY sha256('canada-v1:' || item_id)) AS rank,
-  row_number() OVER (ORDER BY sha256('canada-v1:' || item_id)) > count(*) OVER () // 2 AS swapped FROM benchmark""")
+SELECT item_id, row_number() OVER (ORDER BY sha256('blind-v1:' || item_id)) AS rank,
+  row_number() OVER (ORDER BY sha256('blind-v1:' || item_id)) > count(*) OVER () // 2 AS swapped FROM benchmark""")
 def g08(spark, sf):
     """Balanced blind A/B sides (G8, T-2, X3) over the fixed benchmark table."""
-    return S.blind_sides(table(spark, sf, "benchmark").select("item_id"), F.col("item_id"), "canada-v1:")
+    return S.blind_sides(table(spark, sf, "benchmark").select("item_id"), F.col("item_id"), "blind-v1:")
 
 
 @register("g10_packet_ids", "SELECT doc_id, 'review-' || substr(sha256(source || chr(31) || lang || chr(31) || doc_id), 1, 16) AS packet FROM documents")
