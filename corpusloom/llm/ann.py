@@ -82,7 +82,7 @@ class MultiIndex:
                 break
             if r < 0:
                 continue
-            for v in q[j] ^ near_values(r):
+            for v in (q[j] ^ near_values(r)).tolist():
                 hit[self.order[self.start[j, v] : self.start[j, v + 1], j]] = True
         rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.code[rows] ^ q).sum(1) <= radius]
