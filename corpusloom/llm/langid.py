@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import math
 import random
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +22,33 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Labelled rows that fit the model, per language, in expectation (the fit's documented bound).
 SAMPLE_ROWS = 400
-#: Words of a sampled text that the fit reads, spread over the whole text.
-SAMPLE_WORDS = 500
+#: Characters of a sampled text that the fit reads at most. Predictions read whole texts.
+SAMPLE_CHARS = 100_000
 DIMS = 1 << 15
-WORD = regex.compile(r"[^\W\d_]+")
-#: Word scores that a Python worker keeps; beyond it they start anew.
-CACHE_WORDS = 200_000
-LONG_WORD = 64
+SPREAD = np.uint32(2654435761)
+#: Places that are looked up at once; longer texts are summed block by block.
+BLOCK = 1 << 15
+LETTER = regex.compile(r"[^\W\d_]")
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def normal(text: str) -> bytes:
+    """Lower-cased words of a whole text in UTF-8, with a space around each."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+    return b" " + b" ".join(words) + b" "
 
 
-def features(word: str) -> list[int]:
-    """Hashed n-grams (1 to 4 characters, with the word's bounds) of one word."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % DIMS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
+def features(norm: bytes):
+    """Hashed n-grams of 1 to 4 bytes, as arrays of places below DIMS, one array per block."""
+    raw = np.frombuffer(norm, np.uint8)
+    for lo in range(0, len(raw), BLOCK):
+        a = raw[lo : lo + BLOCK + 3].astype(np.uint32)
+        m = min(BLOCK, len(raw) - lo)
+        value, out = np.zeros(len(a), np.uint32), []
+        for n in range(1, 5):
+            value = (value[: len(a) - n + 1] << np.uint32(8)) | a[n - 1 :]
+            out.append(((value[:m] + np.uint32(n)) * SPREAD) >> np.uint32(17))
+        yield np.concatenate(out)
 
 
 def codebook(k: int, seed: int = 7) -> np.ndarray:
@@ -66,36 +74,23 @@ class Model:
 
     def __init__(self, langs, code, table, scale, bit_weight):
         self.langs, self.code, self.table, self.scale, self.bit_weight = langs, code, table, scale, bit_weight
-        self.cache: dict = {}
-
-    def __reduce__(self):
-        return Model, (self.langs, self.code, self.table, self.scale, self.bit_weight)
-
-    def word_score(self, word: str):
-        got = self.cache.get(word)
-        if got is None:
-            f = features(word)
-            got = (self.table[f].sum(0), len(f))
-            if len(word) <= LONG_WORD:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = got
-        return got
-
-    def margins(self, counts: Counter) -> np.ndarray:
+
+    def margins(self, norm: bytes) -> np.ndarray:
+        """Mean log-odds of the text's n-grams, per bit."""
         total, n = np.zeros(self.table.shape[1]), 0
-        for word, c in counts.items():
-            s, m = self.word_score(word)
-            total += c * s
-            n += c * m
+        for f in features(norm):
+            if len(f) < 512:
+                total += self.table[f].sum(0, dtype=np.float64)
+            else:
+                total += np.bincount(f, minlength=DIMS).astype(np.float32) @ self.table
+            n += len(f)
         return total / max(1, n)
 
     def predict(self, text: str | None):
         """(language, score, ambiguous, margins' signs as a bit string)."""
-        counts = Counter(words_of(text)) if text else None
-        if not counts or not self.langs:
+        if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, True, ""
-        m = self.margins(counts) * self.scale
+        m = self.margins(normal(text)) * self.scale
         loss = (self.bit_weight * np.logaddexp(0, -self.code * m)).sum(1)
         p = np.exp(-(loss - loss.min()))
         p /= p.sum()
@@ -111,31 +106,25 @@ def in_fold(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample: about ``rows`` texts per language, chosen by a hash of the
     key, at most twice that many. Rows without text, letters or language teach nothing."""
-    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h")).filter("lang is not null and text is not null")
+    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.left(F.col(text).cast("string"), F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h")).filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], codebook(0), np.zeros((DIMS, 1)), np.ones(1), np.ones(1))
+        return Model([], codebook(0), np.zeros((DIMS, 1), np.float32), np.ones(1), np.ones(1))
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, rows / counts[k]))))
     picked = d.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     sample = picked.orderBy("h", "lang", "text").limit(2 * rows * len(langs)).select("lang", "text").collect()
     n = np.zeros((len(langs), DIMS))
-    texts, known = [], {}
+    texts = []
     for r in sample:
-        w = words_of(r.text)
-        w = w[:: 1 + len(w) // SAMPLE_WORDS]
-        if w:
-            f = np.zeros(DIMS)
-            for x, c in Counter(w).items():
-                if x not in known:
-                    known[x] = np.array(features(x))
-                np.add.at(f, known[x], c)
+        if LETTER.search(r.text):
+            f = sum(np.bincount(x, minlength=DIMS) for x in features(normal(r.text))).astype(float)
             texts.append((langs.index(r.lang), f))
             n[langs.index(r.lang)] += f / f.sum()
     code = codebook(len(langs))
     p = (n + 0.02 * n.mean() + 1e-9) / (n.sum(1, keepdims=True) + (0.02 * n.mean() + 1e-9) * DIMS)
     bits = code.shape[1]
-    table = np.zeros((DIMS, bits))
+    table = np.zeros((DIMS, bits), np.float32)
     for b in range(bits):
         on, off = code[:, b] > 0, code[:, b] < 0
         if on.any() and off.any():
@@ -164,7 +153,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text", kee
     A text that is null or has no letter gets ``und`` and score 0. Repeated rows get the
     same answer each; no rows give no rows. The text is the prediction's only input.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x bits doubles, whatever the data
+    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x bits floats, whatever the data
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("bits", T.StringType())])
     src = docs if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     at = src.columns.index(text if keep else "text")
