@@ -165,14 +165,14 @@ def f11_votes(spark, sf):
 
 
 @register("a16_paired_t", """
-WITH d AS (SELECT o_custkey % 50 AS arm, o_totalprice / 1e7 - 0.015 AS diff FROM orders WHERE o_orderkey % 97 = 1),
+WITH d AS (SELECT o_orderkey // 5 AS arm, o_totalprice / 1e7 - 0.015 AS diff FROM orders),
 s AS (SELECT arm, count(diff) AS pairs, avg(diff) AS mean, stddev_samp(diff) AS sd FROM d GROUP BY arm),
 i AS (SELECT arm, pairs, mean, CASE WHEN pairs = 5 THEN mean - 2.7764451051977987 * sd / sqrt(5) END AS low, CASE WHEN pairs = 5 THEN mean + 2.7764451051977987 * sd / sqrt(5) END AS high FROM s)
 SELECT arm, pairs, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high,
  CASE WHEN high < 0 THEN 'lower' WHEN low > 0 THEN 'higher' WHEN low IS NOT NULL THEN 'unclear' ELSE 'incomplete' END AS direction, low > -0.01 AND high < 0.01 AS equivalent FROM i""")
 def a16(spark, sf):
     """Paired t interval over exactly five pairs, direction and equivalence."""
-    d = table(spark, sf, "orders").filter("o_orderkey % 97 = 1").select((F.col("o_custkey") % 50).alias("arm"), (F.col("o_totalprice") / 1e7 - 0.015).alias("diff"))
+    d = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 5).alias("arm"), (F.col("o_totalprice") / 1e7 - 0.015).alias("diff"))
     t = ST.paired_t(d, ["arm"], "diff")
     return t.select("arm", "pairs", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")), "direction", "equivalent")
 
@@ -208,8 +208,9 @@ def a18(spark, sf):
 
 @register("a17_numpy_bootstrap")
 def a17n(spark, sf):
-    """The numpy draws of the paired bootstrap, per author."""
-    return ST.numpy_bootstrap(windows(spark, sf).filter("book % 40 = 1").withColumn("id", F.col("book") * 10 + F.col("w")), ["author"], "id", "nats_b", "nats_a", "bytes", draws=1000)
+    """The numpy draws of the paired bootstrap, per set of books."""
+    w = windows(spark, sf).withColumn("set", F.col("book") % 97)
+    return ST.numpy_bootstrap(w, ["set"], "nats_a", "nats_b", "nats_a", "bytes", draws=1000)
 
 
 @register("a20_pass_counts", "SELECT l_linestatus AS act, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS passed FROM lineitem GROUP BY ROLLUP (l_linestatus)")

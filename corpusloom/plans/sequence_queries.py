@@ -100,11 +100,11 @@ def w10(spark, sf):
 
 
 @register("w13_bounded_history", """
-SELECT conv_id, turn, array_to_string(list(CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END || ':' || left(text, 10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' / ') AS history FROM conversations""")
+SELECT conv_id, turn, array_to_string(list(CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' / ') AS history FROM conversations""")
 def w13(spark, sf):
     """Last four turns with speakers."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    item = F.concat(F.when(F.col("turn") % 2 == 0, "a").otherwise("b"), F.lit(":"), F.left("text", F.lit(10)))
+    item = F.concat(F.when(F.col("turn") % 2 == 0, "a").otherwise("b"), F.lit(":"), "text")
     h = F.collect_list(item).over(w)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.size(h) > 0, F.array_join(h, " / ")).alias("history"))
 
@@ -161,21 +161,22 @@ def w21f(spark, sf):
 
 
 @register("w23_cyclic_windows", """
-WITH c AS (SELECT conv_id, turn, list_transform(string_split(left(text, 20), ''), lambda x: ascii(x)) AS s FROM conversations WHERE length(text) > 0)
+WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: ascii(x)) AS s FROM conversations WHERE length(text) > 0)
 SELECT conv_id, turn, list_transform(range(0, 8), lambda i: CASE WHEN i < 6 THEN s[1 + (turn + i) % len(s)] ELSE -100 END) AS win FROM c""")
 def w23(spark, sf):
     """Windows that wrap round a stream, with a masked tail."""
-    d = table(spark, sf, "conversations").filter("length(text) > 0").select("conv_id", "turn", F.transform(F.filter(F.split(F.left("text", F.lit(20)), ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("s"))
+    d = table(spark, sf, "conversations").filter("length(text) > 0").select("conv_id", "turn", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("s"))
     return d.select("conv_id", "turn", Q.cyclic_window(F.col("s"), F.col("turn"), 8, total=F.lit(6)).alias("win"))
 
 
 @register("w24_roster", """
 WITH t AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS base, sum(n_chars) OVER () AS total FROM documents),
-v AS (SELECT doc_id, e AS epoch, (e * total + base)::BIGINT AS start, n_chars FROM t, range(0, 3) r(e))
+u AS (SELECT *, unnest(range(0, (2500000 // total + 1)::BIGINT)) AS epoch FROM t),
+v AS (SELECT doc_id, epoch, (epoch * total + base)::BIGINT AS start, n_chars FROM u)
 SELECT doc_id, epoch, start, least(n_chars, 2500000 - start)::BIGINT AS take FROM v WHERE least(n_chars, 2500000 - start) > 0""")
 def w24(spark, sf):
     """Records visited again and again until a budget of targets is met."""
-    return Q.roster(records(spark, sf), "doc_id", "n_chars", 2_500_000).filter("epoch < 3").select("doc_id", "epoch", "start", "take")
+    return Q.roster(records(spark, sf), "doc_id", "n_chars", 2_500_000).select("doc_id", "epoch", "start", "take")
 
 
 @register("w25_record_packing", f"""
@@ -200,13 +201,13 @@ def w26(spark, sf):
 
 
 @register("w27_loss_mask", """
-WITH c AS (SELECT conv_id, turn, string_split(left(text, 40), '') AS s FROM conversations WHERE length(text) > 0),
+WITH c AS (SELECT conv_id, turn, string_split(text, '') AS s FROM conversations WHERE length(text) > 0),
 e AS (SELECT conv_id, turn, unnest(s) AS ch, generate_subscripts(s, 1) AS i FROM c),
 k AS (SELECT conv_id, turn, i, max(CASE WHEN ch = 'e' THEN i END) OVER w AS lon, max(CASE WHEN ch = ' ' THEN i END) OVER w AS loff FROM e WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, turn, count(*) FILTER (WHERE lon IS NOT NULL AND (loff IS NULL OR lon > loff)) AS live FROM k GROUP BY 1, 2""")
 def w27(spark, sf):
     """Loss mask from a marker up to the next end marker."""
-    ids = F.transform(F.filter(F.split(F.left("text", F.lit(40)), ""), lambda c: c != ""), lambda c: F.ascii(c))
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
     d = table(spark, sf, "conversations").filter("length(text) > 0").select("conv_id", "turn", Q.mask_between(ids, ord("e"), ord(" ")).alias("m"))
     return d.select("conv_id", "turn", F.size(F.filter("m", lambda x: x)).cast("long").alias("live"))
 
@@ -219,11 +220,11 @@ def w31(spark, sf):
 
 
 @register("w33_shared_boundaries", r"""
-WITH o AS (SELECT doc_id, list_filter(range(1, length(left(text, 300)) + 1), lambda i: substr(text, i, 1) = ' ') AS a, list_filter(range(1, length(left(text, 300)) + 1), lambda i: substr(text, i, 1) IN ('.', ' ') AND i % 2 = 0) AS b FROM documents)
+WITH o AS (SELECT doc_id, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = ' ') AS a, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) IN ('.', ' ') AND i % 2 = 0) AS b FROM documents)
 SELECT doc_id, len(list_intersect(a, b))::INT AS shared, list_min(list_filter(list_intersect(a, b), lambda x: x >= 50)) AS first FROM o""")
 def w33(spark, sf):
     """Boundaries that two tokenisers share, and the first inside the target."""
-    chars = F.filter(F.split(F.left("text", F.lit(300)), ""), lambda c: c != "")
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
     at = F.transform(chars, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
     a = F.transform(F.filter(at, lambda x: x["c"] == " "), lambda x: x["i"])
     b = F.transform(F.filter(at, lambda x: x["c"].isin(".", " ") & (x["i"] % 2 == 0)), lambda x: x["i"])

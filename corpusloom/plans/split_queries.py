@@ -112,14 +112,14 @@ def j06(spark, sf):
 
 
 @register("j07_blocked_accounts", """
-WITH k AS (SELECT doc_id, source, regexp_replace(lower(left(text, 40)), '[0-9]+', 'N', 'g') AS k FROM documents)
+WITH k AS (SELECT doc_id, source, regexp_replace(lower(text), '[0-9]+', 'N', 'g') AS k FROM documents)
 SELECT doc_id FROM k WHERE source <> 'src0' AND k NOT IN (SELECT k FROM k WHERE source = 'src0')
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1""")
 def j07(spark, sf):
     """Accounts whose normalised key is not in a blocked set, each key once."""
     from ..operators.sequence import first_per_key
 
-    d = table(spark, sf, "documents").select("doc_id", "source", X.account_key(F.left("text", F.lit(40))).alias("k"))
+    d = table(spark, sf, "documents").select("doc_id", "source", X.account_key(F.col("text")).alias("k"))
     kept = S.blocked(d.filter("source <> 'src0'"), d.filter("source = 'src0'"), F.col("k"), F.col("k"))
     return first_per_key(kept, ["k"], ["doc_id"]).select("doc_id")
 
@@ -144,10 +144,10 @@ def j10(spark, sf):
 
 
 @register("j11_overlap", """
-SELECT lower(left(text, 12)) AS target, lang FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lower(left(text, 12)), lang FROM documents WHERE doc_id % 2 = 1""")
+SELECT lower(text) AS target, lang FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lower(text), lang FROM documents WHERE doc_id % 2 = 1""")
 def j11(spark, sf):
     """Targets that two halves share (J11, J12, SO4)."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.lower(F.left("text", F.lit(12))).alias("target"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("target"))
     return S.overlap(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), ["target", "lang"])
 
 
@@ -174,12 +174,13 @@ def so01(spark, sf):
     return d.union(d).unionByName(table(spark, sf, "benchmark").select("item_id"), allowMissingColumns=True)
 
 
-@register("so02_ordered_distinct", r"""
-SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') AS once
-FROM (SELECT doc_id, regexp_extract_all(lower(left(text, 200)), '[a-z]+(?:''[a-z]+)?') AS w FROM documents)""")
+@register("so02_ordered_distinct", f"""
+WITH e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {W} AS w FROM documents) WHERE len(w) > 0),
+f AS (SELECT doc_id, w, min(i) AS i FROM e GROUP BY doc_id, w), g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS once FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(once, '') AS once FROM documents LEFT JOIN g USING (doc_id)""")
 def so02(spark, sf):
     """Distinct words in order of appearance."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(X.lower_words(F.left("text", F.lit(200)))), " ").alias("once"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(X.lower_words(F.col("text"))), " ").alias("once"))
 
 
 @register("so03_sorted_distinct", "SELECT DISTINCT lang, source FROM documents ORDER BY lang, source")

@@ -137,22 +137,22 @@ def p24(spark, sf):
 
 @register("p27_normalise_directions", r"""
 SELECT doc_id, regexp_replace(regexp_replace(text, '\bto the north(ern)? of\b', 'north of', 'g'), '\bto the south(ern)? of\b', 'south of', 'g') AS out
-FROM (SELECT doc_id, 'It lies to the northern of here and to the south of there. ' || left(text, 50) AS text FROM documents)""")
+FROM (SELECT doc_id, 'It lies to the northern of here and to the south of there. ' || text AS text FROM documents)""")
 def p27(spark, sf):
     """Direction phrases rewritten to one form."""
-    t = F.concat(F.lit("It lies to the northern of here and to the south of there. "), F.left("text", F.lit(50)))
+    t = F.concat(F.lit("It lies to the northern of here and to the south of there. "), F.col("text"))
     for way in ("north", "south"):
         t = F.regexp_replace(t, rf"\bto the {way}(ern)? of\b", f"{way} of")
     return docs(spark, sf).select("doc_id", t.alias("out"))
 
 
 @register("p29_cue_prefix", """
-SELECT doc_id, (CASE WHEN n_chars % 100 < 40 THEN '? ' ELSE '' END) || (CASE WHEN n_chars % 7 >= 4 THEN '~ ' ELSE '' END) || left(text, 40) AS cue,
- CASE WHEN n_chars % 100 < 40 THEN rtrim(left(text, 40), '.') || ', or so I heard.' WHEN n_chars % 2 = 0 THEN rtrim(left(text, 40), '.') || ', they say.' ELSE rtrim(left(text, 40), '.') || '.' END AS answer
+SELECT doc_id, (CASE WHEN n_chars % 100 < 40 THEN '? ' ELSE '' END) || (CASE WHEN n_chars % 7 >= 4 THEN '~ ' ELSE '' END) || text AS cue,
+ CASE WHEN n_chars % 100 < 40 THEN rtrim(text, '.') || ', or so I heard.' WHEN n_chars % 2 = 0 THEN rtrim(text, '.') || ', they say.' ELSE rtrim(text, '.') || '.' END AS answer
 FROM documents""")
 def p29(spark, sf):
     """Confidence cues (P29) and answer suffixes."""
-    d, head = docs(spark, sf, "text", "n_chars"), F.left("text", F.lit(40))
+    d, head = docs(spark, sf, "text", "n_chars"), F.col("text")
     conf = F.col("n_chars") % 100
     return d.select("doc_id", X.cue_prefix(head, conf, F.col("n_chars") % 7).alias("cue"), X.answer_suffix(head, conf, F.col("n_chars") % 2 == 0).alias("answer"))
 
