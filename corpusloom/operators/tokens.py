@@ -13,10 +13,13 @@ def char_vocabulary(docs: DataFrame, text: str) -> DataFrame:
 
 
 def encode_characters(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ids): ids of every character. The alphabet, one row, travels to the documents."""
-    table = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("of"))
+    """(key, ids): ids of every character. The alphabet travels to the documents as one array
+    of ids by code point (1.1 million places at most), so a lookup is one step."""
+    by_code = F.map_from_entries(F.collect_list(F.struct(F.ascii("ch"), "id")))
+    one = vocabulary.agg(by_code.alias("m"), F.max(F.ascii("ch")).alias("top")).filter("top is not null")
+    table = one.select(F.transform(F.sequence(F.lit(0), "top"), lambda i: F.try_element_at("m", i)).alias("of"))
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return docs.crossJoin(F.broadcast(table)).select(key, F.transform(chars, lambda c: F.element_at("of", c)).alias("ids"))
+    return docs.crossJoin(F.broadcast(table)).select(key, F.transform(chars, lambda c: F.get("of", F.ascii(c))).alias("ids"))
 
 
 def masked_labels(ids: Column, prefix: Column, ignore: int = -100) -> Column:

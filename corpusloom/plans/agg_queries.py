@@ -90,12 +90,12 @@ def a08(spark, sf):
 
 @register("a09_name_index", r"""
 WITH s AS (SELECT source, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
-n AS (SELECT source, unnest(regexp_extract_all(regexp_replace(s, '^[^ \t\n\r\f\v]+', ''), '\b[A-Z][a-z]{2,}\b')) AS name FROM s)
-SELECT name, count(*) AS n, min(source) AS book FROM n GROUP BY name HAVING count(*) >= 5 AND count(DISTINCT source) = 1""")
+n AS (SELECT source, unnest(regexp_extract_all(regexp_replace(s, '^[^ \t\n\r\f\v]+', ''), '[\pL\pM\p{Nd}\p{Pc}]+')) AS name FROM s)
+SELECT name, count(*) AS n, min(source) AS book FROM n WHERE regexp_full_match(name, '[A-Z][a-z]{2,}') GROUP BY name HAVING count(*) >= 5 AND count(DISTINCT source) = 1""")
 def a09(spark, sf):
     """Capitalised words inside sentences, seen 5 times or more in exactly one book."""
     s = table(spark, sf, "documents").select("source", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("s"))
-    n = s.select("source", F.explode(F.regexp_extract_all(F.regexp_replace("s", r"^\S+", ""), F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))).alias("name"))
+    n = s.select("source", F.explode(F.regexp_extract_all(F.regexp_replace("s", r"^\S+", ""), F.lit(r"(?U)\b[A-Z][a-z]{2,}\b"), F.lit(0))).alias("name"))
     g = n.groupBy("name").agg(F.count("*").alias("n"), F.min("source").alias("book"), F.countDistinct("source").alias("books"))
     return g.filter("n >= 5 and books = 1").drop("books")
 
@@ -289,10 +289,10 @@ def a29(spark, sf):
     return g.groupBy("source").agg(F.max_by("lang", F.struct("n", -F.ascii("lang"))).alias("lang"), F.round(F.max("n") / F.sum("n"), 9).alias("share"))
 
 
-@register("a30_medians", "SELECT o_orderpriority AS kind, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.95) AS p95, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 6) AS weighted FROM orders GROUP BY 1")
+@register("a30_medians", "SELECT o_orderpriority AS kind, median(o_totalprice) AS median, round(quantile_cont(o_totalprice, 0.95), 1) AS p95, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 6) AS weighted FROM orders GROUP BY 1")
 def a30(spark, sf):
     """Median, interpolated quantile and weighted mean."""
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.median("o_totalprice").alias("median"), F.percentile("o_totalprice", F.lit(0.95)).alias("p95"), F.round(F.sum(F.col("o_totalprice") * F.col("o_custkey")) / F.sum("o_custkey"), 6).alias("weighted"))
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.median("o_totalprice").alias("median"), F.round(F.percentile("o_totalprice", F.lit(0.95)), 1).alias("p95"), F.round(F.sum(F.col("o_totalprice") * F.col("o_custkey")) / F.sum("o_custkey"), 6).alias("weighted"))
 
 
 @register("a33_multiset_digest", "SELECT n_regionkey, sha256(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey)) AS digest FROM nation GROUP BY n_regionkey")

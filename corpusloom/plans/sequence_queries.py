@@ -220,15 +220,16 @@ def w31(spark, sf):
 
 
 @register("w33_shared_boundaries", r"""
-WITH o AS (SELECT doc_id, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = ' ') AS a, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) IN ('.', ' ') AND i % 2 = 0) AS b FROM documents)
+WITH c AS (SELECT doc_id, string_split(text, '') AS s, length(text) AS n FROM documents),
+o AS (SELECT doc_id, list_filter(range(1, n + 1), lambda i: s[i] = ' ') AS a, list_filter(range(1, n + 1), lambda i: s[i] IN ('.', ' ') AND i % 2 = 0) AS b FROM c)
 SELECT doc_id, len(list_intersect(a, b))::INT AS shared, list_min(list_filter(list_intersect(a, b), lambda x: x >= 50)) AS first FROM o""")
 def w33(spark, sf):
     """Boundaries that two tokenisers share, and the first inside the target."""
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    at = F.transform(chars, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-    a = F.transform(F.filter(at, lambda x: x["c"] == " "), lambda x: x["i"])
-    b = F.transform(F.filter(at, lambda x: x["c"].isin(".", " ") & (x["i"] % 2 == 0)), lambda x: x["i"])
-    d = table(spark, sf, "documents").select("doc_id", F.array_intersect(a, b).alias("s"))
+    at = F.filter(F.transform(chars, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i"))), lambda x: x["c"].isin(".", " "))
+    places = lambda keep: lambda x: F.transform(F.filter(x, keep), lambda y: y["i"])
+    first, second = places(lambda y: y["c"] == " "), places(lambda y: y["i"] % 2 == 0)
+    d = table(spark, sf, "documents").select("doc_id", X.bind(at, lambda x: F.array_intersect(first(x), second(x))).alias("s"))
     return d.select("doc_id", F.size("s").alias("shared"), F.array_min(F.filter("s", lambda x: x >= 50)).alias("first"))
 
 
