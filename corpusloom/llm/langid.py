@@ -119,7 +119,8 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAM
     for r in sample:
         if LETTER.search(r.text):
             f = sum(np.bincount(x, minlength=DIMS) for x in features(normal(r.text))).astype(float)
-            texts.append((langs.index(r.lang), f))
+            at = np.flatnonzero(f)
+            texts.append((langs.index(r.lang), at, f[at]))  # a dense row for each text would fill the driver
             n[langs.index(r.lang)] += f / f.sum()
     code = codebook(len(langs))
     p = (n + 0.02 * n.mean() + 1e-9) / (n.sum(1, keepdims=True) + (0.02 * n.mean() + 1e-9) * DIMS)
@@ -131,8 +132,8 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAM
             table[:, b] = np.log(p[on].mean(0)) - np.log(p[off].mean(0))
     scale, weight = np.ones(bits), np.ones(bits)
     if texts:
-        y = np.array([t for t, _ in texts])
-        m = np.array([(f @ table) / f.sum() for _, f in texts])
+        y = np.array([t for t, *_ in texts])
+        m = np.array([(f @ table[at]) / f.sum() for _, at, f in texts])
         signed = m * code[y]
         scale = 4 / np.maximum(np.median(np.abs(m), axis=0), 1e-6)
         weight = np.maximum(0.05, 2 * (signed > 0).mean(0) - 1)  # a bit counts as it is reliable
