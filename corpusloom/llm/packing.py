@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small
 
 #: Cached words of one Python worker; beyond it the cache starts anew (results never depend on it).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Sums per (task, source) up to this many (about 20 MB) are broadcast; more are joined by shuffle.
+SUM_ROWS = 500_000
 
 
 class _Cache(dict):
@@ -219,7 +221,7 @@ class Schedule:
         return doc[at], s[at], np.add.reduceat(n, at) if len(at) else n, a[at]
 
 
-def _emit(schedule: Schedule, dtype: str, schema: pa.Schema, with_ids: bool):
+def _emit(schedule: Schedule, schema: pa.Schema, with_ids: bool):
     def run(batches):
         window = schedule.window
         for batch in batches:
@@ -227,7 +229,8 @@ def _emit(schedule: Schedule, dtype: str, schema: pa.Schema, with_ids: bool):
                 b = batch.slice(lo, 1024)
                 queue, start, count = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
                 doc, s, n, place = schedule.pieces(queue, start, count)
-                ids = [np.frombuffer(x.as_py(), dtype).astype("<u4") for x in b.column(4)]
+                raw = [x.as_py() for x in b.column(4)]
+                ids = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4") for x, n in zip(raw, count.tolist())]
                 cut = [ids[d][x : x + y].tobytes() for d, x, y in zip(doc.tolist(), s.tolist(), n.tolist())]
                 out = [b.column(0).take(pa.array(doc)), pa.array(s), pa.array(n), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(count[doc]), pa.array(place // window), pa.array(place % window), pa.array(queue[doc].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(cut, pa.binary())] * with_ids, schema=schema)
@@ -267,7 +270,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id="doc_id", text="text",
         return spark.createDataFrame([], out)
     schedule = Schedule(totals, totals if weights is None else [max(1, int(weights.get(n, 1))) for n in names], window, packet)
     ranks = spark.createDataFrame(list(zip(names, range(len(names)))), "source string, rank int")
-    base = base.join(ranks, base["source"].eqNullSafe(ranks["source"])).select(base["source"], "part", "base", "rank")
-    placed = tokens.join(base, tokens["source"].eqNullSafe(base["source"]) & (tokens["part"] == base["part"])).select("doc_id", "rank", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
-    dtype = TextEncoder.of(tokenizer_path).dtype.str
-    return placed.mapInArrow(_emit(schedule, dtype, to_arrow_schema(out), with_ids), out)
+    n_base = base.count()
+    base = base.join(small(ranks, len(names), SUM_ROWS), base["source"].eqNullSafe(ranks["source"])).select(base["source"], "part", "base", "rank")
+    placed = tokens.join(small(base, n_base, SUM_ROWS), tokens["source"].eqNullSafe(base["source"]) & (tokens["part"] == base["part"])).select("doc_id", "rank", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
+    return placed.mapInArrow(_emit(schedule, to_arrow_schema(out), with_ids), out)
