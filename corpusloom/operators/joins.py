@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_ranges(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, partition: list[str] = ()) -> DataFrame:
+def asof_ranges(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, partition: list[str] = (), block: int = 1 << 20) -> DataFrame:
     """Each point with the range that contains it (``start <= at < end``, ranges apart), or nulls.
 
     Points and range starts are merged in one order and the last start is carried forward, so
-    the join is a sort within partitions, not a nested loop. With ``partition`` columns the
-    work spreads over them; without, positions are cut into blocks and each block also gets the
-    last start before it.
+    the join is a sort within partitions, not a nested loop. The work spreads over the
+    ``partition`` columns and over blocks of positions: a range takes part in every block that
+    it reaches into.
     """
+    given = points.columns
+    partition = [*partition, "__block"]
+    points = points.withColumn("__block", F.floor(F.col(at) / block))
+    first, last = F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block)
+    ranges = ranges.filter(F.col(end) > F.col(start)).withColumn("__block", F.explode(F.sequence(first, last)))
     extra = [c for c in ranges.columns if c not in (start, end, *partition)]
     keep = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), *extra)
     r = ranges.select(*partition, F.col(start).alias("__at"), F.lit(0).alias("__k"), keep.alias("__r"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("__p"))
@@ -22,7 +27,7 @@ def asof_ranges(points: DataFrame, ranges: DataFrame, at: str, start: str, end:
     w = Window.partitionBy(*partition).orderBy("__at", "__k")
     out = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).filter("__k = 1")
     inside = F.col("__at") < F.col("__r.end")
-    return out.select("__p.*", *(F.when(inside, F.col(f"__r.{c}")).alias(n) for c, n in [("start", start), ("end", end), *((c, c) for c in extra)]))
+    return out.select(*(F.col(f"__p.{c}").alias(c) for c in given), *(F.when(inside, F.col(f"__r.{c}")).alias(n) for c, n in [("start", start), ("end", end), *((c, c) for c in extra)]))
 
 
 def first_reply(messages: DataFrame, thread: str, pos: str, ident: str, reply: str) -> DataFrame:

@@ -100,6 +100,7 @@ def test_asof(spark):
     p = spark.createDataFrame([(x,) for x in (0, 4, 5, 9, 15, 20, 21)], "at long")
     got = {x.at: x.n for x in joins.asof_ranges(p, r, "at", "s", "e").collect()}
     assert got == {0: "a", 4: "a", 5: "b", 9: None, 15: None, 20: "c", 21: None}
+    assert got == {x.at: x.n for x in joins.asof_ranges(p, r, "at", "s", "e", block=3).collect()}
 
 
 def test_strict_lookup_raises(spark):
