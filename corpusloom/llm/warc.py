@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import discard, materialize, new_path
+from .common import discard, materialize, new_path, small
 
 MAGIC = b"WARC/1.0\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
-#: Bytes of records that an archive holds on average.
+#: Bytes of records that an archive holds at most, on average.
 ARCHIVE_BYTES = 8 << 20
+#: Repeated payloads up to this many (some 40 MB) are broadcast to the pages; more are joined by shuffle.
+REPEATED = 400_000
 
 
 def plan(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> DataFrame:
@@ -34,8 +36,8 @@ def plan(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> Data
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = p.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("digest", "first")
-    return p.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    first = materialize(first.filter("n > 1").select("digest", "first"), "repeated-payloads")
+    return p.join(small(first, first.count(), REPEATED), "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
 
 def record(rows: DataFrame) -> Column:
@@ -62,13 +64,13 @@ def record(rows: DataFrame) -> Column:
 
 
 def write(pages: DataFrame, path: str, **names) -> None:
-    """Write archives below ``path``, one record per row. Spark's own writer commits them, so
-    any store will do and a lost task leaves nothing behind."""
+    """Write archives below ``path``, one record per row, where the rows are read: no page is
+    shuffled. Spark's own writer commits them, so any store will do and a lost task leaves
+    nothing behind."""
     rows = plan(pages, **names)
     text = rows.select(record(rows).alias("value"))
-    total = pages.select(F.sum(F.octet_length(F.col(names.get("html", "html")).cast("string")) + 600)).first()[0] or 0
-    n = max(1, -(-int(total) // ARCHIVE_BYTES))
-    text.repartition(n).write.option("lineSep", "\r\n").text(path)
+    mean = pages.select(F.avg(F.coalesce(F.octet_length(F.col(names.get("html", "html")).cast("string")), F.lit(0)) + 600)).first()[0] or 600
+    text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / mean))).text(path)
 
 
 _CAND = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("next", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("digest", T.StringType())])
