@@ -61,17 +61,34 @@ def near_values(reach: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(reach + 1) for c in combinations(range(SUBSTRING), k)], np.uint8)
 
 
+VALUES = 1 << SUBSTRING
+#: Probed values beyond which a table is read bucket by bucket as flags, not list by list.
+FEW = 16
+
+
 class MultiIndex:
     """Tables of one block of codes: for each substring, rows ordered by value."""
 
     def __init__(self, code: np.ndarray):
         self.code = code
-        self.order = np.argsort(code, axis=0, kind="stable")
-        self.start = np.vstack([np.searchsorted(code[self.order[:, j], j], np.arange(257)) for j in range(code.shape[1])])
+        self.column = np.ascontiguousarray(code.T)
+        self.pad = -code.shape[1] % 8
+        self.words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, self.pad)))).view(np.uint64).T.copy()
+        self.order = np.argsort(self.column, axis=1, kind="stable")
+        self.start = np.stack([np.searchsorted(c[o], np.arange(VALUES + 1)) for c, o in zip(self.column, self.order)])
+        self.place = self.column.astype(np.intp)
+        self.probes: dict[int, np.ndarray] = {}
+        #: Rows near a value, by substring and value: at most 256 flags a row and substring.
+        self.flags: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def _probe(self, reach: int) -> np.ndarray:
+        if reach not in self.probes:
+            self.probes[reach] = near_values(reach)
+        return self.probes[reach]
 
     def within(self, q: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs from ``q`` in at most ``radius`` bits: all of them."""
-        m = self.code.shape[1]
+        m = len(self.column)
         reach, extra = radius // m, radius % m
         hit = np.zeros(len(self.code), bool)
         for j in range(m):
@@ -82,10 +99,21 @@ class MultiIndex:
                 break
             if r < 0:
                 continue
-            for v in (q[j] ^ near_values(r)).tolist():
-                hit[self.order[self.start[j, v] : self.start[j, v + 1], j]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.code[rows] ^ q).sum(1) <= radius]
+            if len(self._probe(r)) <= FEW:
+                for v in (q[j] ^ self._probe(r)).tolist():
+                    hit[self.order[j, self.start[j, v] : self.start[j, v + 1]]] = True
+            else:  # queries that share a substring's value share its probe
+                near = self.flags.get(key := (j, int(q[j]), r))
+                if near is None:
+                    probed = np.zeros(VALUES, bool)
+                    probed[q[j] ^ self._probe(r)] = True
+                    near = self.flags[key] = probed.take(self.place[j])
+                hit |= near
+        word = np.pad(q, (0, self.pad)).view(np.uint64)
+        apart = np.zeros(len(hit), np.uint16)
+        for column, w in zip(self.words, word):
+            apart += np.bitwise_count(column ^ w)
+        return np.flatnonzero(hit & (apart <= radius))
 
 
 def learn(sample: np.ndarray, top: float, k: int, bits: int = BITS, cover: float = COVER):
