@@ -25,8 +25,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 OPEN, BODY, CLOSE = "<turn>", "<text>", "</turn>\n"
 #: Messages in a block.
 BLOCK = 256
-#: Events of one message that are folded in one step.
-FOLD = 512
 
 _TURN = re.compile(r"<turn>((?:[^\\<]|\\.)*)<text>((?:[^\\<]|\\.)*)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -96,12 +94,24 @@ def fold_events(log: DataFrame) -> DataFrame:
     first, then over the stretches. ``place`` is the first event's sequence number; the role
     is the last one named; a message whose last event is a deletion is gone.
     """
-    item = F.struct("seq", "kind", F.col("text"), "role")
+    whole = _fold_stretches(_stretches(log)).groupBy("conv_id", "message").agg(F.min("place").alias("place"), _fold(F.sort_array(F.collect_list(F.struct("step", "state"))), _join).alias("state"))
+    return _alive(whole, "message")
+
+
+def _stretches(log: DataFrame) -> DataFrame:
+    """Events with their stretch of the sequence, ``step``, of as many numbers as a block has."""
     seq = F.coalesce(F.col("seq"), F.lit(-1)).cast("long")
     log = log.select("conv_id", "message", seq.alias("seq"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    steps = log.groupBy("conv_id", "message", F.floor(F.col("seq") / FOLD).alias("step")).agg(F.min("seq").alias("place"), _fold(F.sort_array(F.collect_list(item)), _event).alias("state"))
-    whole = steps.groupBy("conv_id", "message").agg(F.min("place").alias("place"), _fold(F.sort_array(F.collect_list(F.struct("step", "state"))), _join).alias("state"))
-    return whole.filter("state.alive").select("conv_id", "message", "place", F.coalesce("state.role", F.lit("")).alias("role"), "state.text")
+    return log.withColumn("step", F.floor(F.col("seq") / BLOCK))
+
+
+def _fold_stretches(log: DataFrame) -> DataFrame:
+    item = F.struct("seq", "kind", "text", "role")
+    return log.groupBy("conv_id", "message", "step").agg(F.min("seq").alias("place"), _fold(F.sort_array(F.collect_list(item)), _event).alias("state"))
+
+
+def _alive(folded: DataFrame, *more: str) -> DataFrame:
+    return folded.filter("state.alive").select("conv_id", *more, "place", F.coalesce("state.role", F.lit("")).alias("role"), "state.text")
 
 
 def to_events(conversations: DataFrame, *, conv_id="conv_id", turn="turn", role="role", text="text") -> DataFrame:
@@ -185,8 +195,14 @@ def format_chats(log: DataFrame) -> DataFrame:
     null conversation is one of its own; events without a sequence number come first; other
     columns are ignored; no events give no rows.
     """
-    final = fold_events(log).withColumn("block", F.floor(F.col("place") / BLOCK))
-    rows = final.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place", "role", "text").select("conv_id", "block", "role", "text")
+    events = _stretches(log)
+    ends = events.groupBy("conv_id", "message").agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    if ends.filter("first <> last").limit(1).count():
+        final = fold_events(log).withColumn("block", F.floor(F.col("place") / BLOCK)).repartition("conv_id", "block")
+    else:  # every message lies in one stretch, which is its block: one shuffle serves the fold and the rendering
+        folded = _fold_stretches(events.repartition("conv_id", "step"))
+        final = _alive(folded, "step").withColumnRenamed("step", "block")
+    rows = final.sortWithinPartitions("conv_id", "block", "place", "role", "text").select("conv_id", "block", "role", "text")
     return rows.mapInArrow(_render_sorted, _BLOCKS)
 
 
