@@ -24,6 +24,8 @@ from .exact_dedup import normalised
 from .graph import components
 
 SEED = 42
+#: Distinct fingerprints per task that emit variants (some 140 MB of them).
+SPREAD = 131_072
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -74,13 +76,15 @@ def _masks(half: int) -> list[int]:
     return out
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
     """(a, b) links that connect all distinct ``fp`` within ``radius`` (even) bits.
 
-    A variant's group holds at most as many fingerprints as a ball of half the radius (65 at
+    ``rows`` (counted if None) sets how many tasks emit variants. A variant's group holds at most as many fingerprints as a ball of half the radius (65 at
     radius 2), whatever the data. The smallest of a group comes from an aggregation with a
     small state, and only groups with two members or more meet their members again.
     """
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, (fps.count() if rows is None else rows) // SPREAD)
+    fps = fps.repartition(tasks, "fp")
     masks = F.array(*(F.lit(m).cast("long") for m in _masks(radius // 2)))
     variants = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
@@ -101,7 +105,7 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
     fields = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
     prints = materialize(src.mapInArrow(_fingerprints(shingle, to_arrow_schema(fields)), fields), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = materialize(components(links(nodes.select("fp"), radius)), "simhash-roots")
+    roots = materialize(components(links(nodes.select("fp"), radius, nodes.count())), "simhash-roots")
     # components of fingerprints, then the smallest document of each
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
