@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,63 @@ def poisson_bootstrap(df: DataFrame, key: str, numerator: str, denominator: str,
     return d.groupBy("draw").agg((F.sum(w * F.col(numerator)) / F.sum(w * F.col(denominator))).alias("ratio"))
 
 
+def poisson_thresholds() -> np.ndarray:
+    """Steps of the Poisson(1) distribution function on a grid of 2**52."""
+    total, p, out = 0.0, float(np.exp(-1)), []
+    for k in range(20):
+        total += p
+        p /= k + 1
+        out.append(round(total * (1 << 52)))
+    return np.array(out, np.uint64)
+
+
+def key_state(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit state per key."""
+    return _mix(np.asarray(keys, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def poisson_bootstrap_blocks(df: DataFrame, key: str, numerator: str, denominator: str, draws: int = 20_000, rows: int = 2048, block: int = 32) -> DataFrame:
+    """(draw, ratio) as :func:`poisson_bootstrap`, for many draws: weights come from a 64-bit mix
+    of key and draw, in blocks of rows by draws, and each task passes on ``draws`` sums.
+
+    A weight is the inverse of the distribution function at 52 bits: a table over the first 16
+    decides all but the cells that hold a step, and those are searched.
+    """
+    steps = poisson_thresholds()
+    cells = np.searchsorted(steps, np.arange(1 << 16, dtype=np.uint64) << np.uint64(36), "right")
+    last = np.searchsorted(steps, (np.arange(1, (1 << 16) + 1, dtype=np.uint64) << np.uint64(36)) - np.uint64(1), "right")
+    cells = np.where(cells == last, cells, 255).astype(np.uint8)
+
+    def run(batches):
+        sums, seen = np.zeros((draws, 2)), False
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            values = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]).astype(float)
+            seen |= len(keys) > 0
+            for lo in range(0, len(keys), rows):
+                state, v = key_state(keys[lo : lo + rows]), values[lo : lo + rows]
+                for at in range(0, draws, block):
+                    jump = np.arange(at + 1, min(at + block, draws) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+                    z = _mix(state[None, :] + jump[:, None])
+                    w = cells[(z >> np.uint64(48)).view(np.int64)]
+                    i = np.nonzero(w == 255)
+                    w[i] = np.searchsorted(steps, z[i] >> np.uint64(12), "right")
+                    sums[at : at + block] += w.astype(float) @ v
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["draw", "n", "d"])
+
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    d = df.select(F.col(key).cast("long"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (numerator, denominator))).repartition(tasks, key)
+    return d.mapInArrow(run, "draw int, n double, d double").groupBy("draw").agg(F.try_divide(F.sum("n"), F.sum("d")).alias("ratio"))
+
+
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     """Percentile interval with linear interpolation."""
     a = (1 - level) / 2

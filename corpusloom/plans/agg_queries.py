@@ -208,9 +208,23 @@ def a18(spark, sf):
 
 @register("a17_numpy_bootstrap")
 def a17n(spark, sf):
-    """The numpy draws of the paired bootstrap, per set of books."""
+    """The numpy draws of the paired bootstrap, 20,000 per set of books."""
     w = windows(spark, sf).withColumn("set", F.col("book") % 97)
-    return ST.numpy_bootstrap(w, ["set"], "nats_a", "nats_b", "nats_a", "bytes", draws=1000)
+    return ST.numpy_bootstrap(w, ["set"], "nats_a", "nats_b", "nats_a", "bytes")
+
+
+@register("a17_window_bootstrap_20k")
+def a17k(spark, sf):
+    """The paired window bootstrap at the reference's 20,000 draws."""
+    w = windows(spark, sf).select((F.col("book") * 10 + F.col("w")).alias("id"), (F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
+    return ST.interval(ST.poisson_bootstrap_blocks(w, "id", "num", "den"), "ratio")
+
+
+@register("a18_cluster_bootstrap_20k")
+def a18k(spark, sf):
+    """The bootstrap over whole books at the reference's 20,000 draws."""
+    w = windows(spark, sf).groupBy("book").agg(F.sum(F.col("nats_b") - F.col("nats_a")).alias("num"), F.sum("bytes").alias("den"))
+    return ST.interval(ST.poisson_bootstrap_blocks(w, "book", "num", "den"), "ratio")
 
 
 @register("a20_pass_counts", "SELECT l_linestatus AS act, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS passed FROM lineitem GROUP BY ROLLUP (l_linestatus)")

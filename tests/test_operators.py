@@ -125,6 +125,65 @@ def test_wilson_and_bootstrap(spark):
     assert abs(w[0] - 1) < 0.03 and abs(w[1] - 1) < 0.05
 
 
+@pytest.fixture()
+def few_windows(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(k, w, float(rng.randint(1, 50)), rng.uniform(900, 90000), rng.choice([0.0, 0.03, 0.08])) for k in (1, 2, 98, 195) for w in range(1, rng.randint(3, 5))]
+    spark.createDataFrame([(*r, "N", "O") for r in rows], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path), [(k, w, int(q), p / 1000, p / 1000 * (1 + d - 0.05)) for k, w, q, p, d in rows]
+
+
+def test_numpy_bootstrap_takes_20000_draws(spark, few_windows):
+    from corpusloom.plans.registry import QUERIES
+
+    path, rows = few_windows
+    got = {r.set: r for r in QUERIES["a17_numpy_bootstrap"](spark, path).collect()}
+    assert sorted(got) == [1, 2]
+    for s, r in got.items():
+        mine = sorted((x for x in rows if x[0] % 97 == s), key=lambda x: x[3])
+        rng, found = np.random.default_rng(1701), []
+        for _ in range(40):
+            for pick in rng.integers(len(mine), size=(500, len(mine))):
+                found.append(sum(mine[i][4] - mine[i][3] for i in pick) / np.log(2) / sum(mine[i][2] for i in pick))
+        assert np.allclose([r.low, r.high], np.quantile(found, [0.025, 0.975]), rtol=1e-12) and r.windows == len(mine)
+
+
+@pytest.mark.parametrize("name, books", [("a17_window_bootstrap_20k", False), ("a18_cluster_bootstrap_20k", True)])
+def test_bootstraps_take_20000_draws(spark, few_windows, name, books):
+    import math
+
+    from corpusloom.plans.registry import QUERIES
+
+    def mix(z):
+        m = (1 << 64) - 1
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+        return z ^ z >> 31
+
+    def weight(key, draw):
+        m = (1 << 64) - 1
+        u = mix(mix(key * 0x9E3779B97F4A7C15 & m) + (draw + 1) * 0xD1342543DE82EF95 & m) >> 12
+        total, k = math.exp(-1), 0
+        while u >= round(total * 2**52):
+            k += 1
+            total += math.exp(-1) / math.factorial(k)
+        return k
+
+    path, rows = few_windows
+    units = {}
+    for b, w, size, x, y in rows:
+        u = units.setdefault(b if books else b * 10 + w, [0.0, 0])
+        u[0] += y - x
+        u[1] += size
+    found = []
+    for draw in range(20_000):
+        ws = [(weight(k, draw), *v) for k, v in units.items()]
+        if any(w for w, _, _ in ws):  # a draw of no unit at all has no ratio
+            found.append(sum(w * n for w, n, _ in ws) / sum(w * d for w, _, d in ws))
+    r = QUERIES[name](spark, path).first()
+    assert r.draws == 20_000 and np.allclose([r.low, r.high], np.quantile(found, [0.025, 0.975]), rtol=1e-9)
+
+
 def test_kernels(spark):
     assert K.fnv(b"") == 14695981039346656037 and K.fnv(b"a") == 0xAF63DC4C8601EC8C
     v = K.holo_vector("The cat sat with the CAT")
