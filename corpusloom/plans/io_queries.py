@@ -95,13 +95,18 @@ def sc08(spark, sf):
 
 @register("sc11_packed_tokens")
 def sc11(spark, sf):
-    """Packed-token containers, written per document and read back (SC11, X29)."""
+    """Packed-token containers of whole texts, one per document, written and read back (SC11, X29)."""
+    import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    pack = F.arrow_udf(lambda x: pa.array([B.pack_bytes(list((t or "").encode())[:512]) for t in x.to_pylist()], pa.binary()), T.BinaryType())
-    size = F.arrow_udf(lambda x: pa.array([len(B.unpack_bytes(b)[0]) for b in x.to_pylist()], pa.int32()), T.IntegerType())
-    return table(spark, sf, "documents").select("doc_id", size(pack("text")).alias("tokens"))
+    def packs(keys, texts):
+        return pa.array([B.pack_bytes(np.frombuffer((t or "").encode(), np.uint8), document=k) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
+
+    path, d = scratch_path(spark, "packs"), table(spark, sf, "documents")
+    B.write_packs(d.select(F.arrow_udf(packs, T.BinaryType())(F.col("doc_id").cast("string"), "text").alias("pack")), path)
+    key = F.get_json_object("metadata", "$.document").cast(d.schema["doc_id"].dataType)
+    return B.read_packs(spark, path).select(key.alias("doc_id"), F.size("tokens").alias("tokens"))
 
 
 @register("sc14_logic_records")

@@ -243,6 +243,15 @@ def x02(spark, sf):
     return d.crossJoin(F.broadcast(d.agg(F.max(F.size("s")).alias("n")))).select("conv_id", "turn", TK.pad_to(F.col("s"), F.col("n"), F.lit(0)).alias("row"))
 
 
+@register("x02_padded_rectangle_whole")
+def x02w(spark, sf):
+    """The ids of every whole text, padded to the longest; a null text is all padding."""
+    ids = F.coalesce(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)), F.array().cast("array<int>"))
+    c = table(spark, sf, "conversations")
+    widest = c.agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    return c.select("conv_id", "turn", ids.alias("s")).crossJoin(F.broadcast(widest)).select("conv_id", "turn", TK.pad_to(F.col("s"), F.col("n"), F.lit(0)).alias("row"))
+
+
 @register("x39_budgeted_messages")
 def x39(spark, sf):
     """Recent messages, newest first, within a budget of characters."""

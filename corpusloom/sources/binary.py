@@ -22,6 +22,10 @@ PACK_MAGIC, VOCABULARY_MAGIC = b"BRAIDPK1", b"LITBPE1\0"
 PACK_HEADER, PACK_FIELDS = 64, 16
 CHUNK = 32_768
 BASE_TOKENS = 128
+#: A file of containers is closed at this many bytes, so that a reader holds little at a time.
+PACK_FILE = 8 << 20
+#: Ids that a batch of read containers holds before it is passed on.
+READ_IDS = 1 << 20
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -51,31 +55,68 @@ def read_tokens(spark: SparkSession, path: str, width: int = 2, limit: int | Non
     return _files(spark, path).mapInArrow(run, schema)
 
 
-def pack_bytes(ids: list[int], width: int = 2, **metadata) -> bytes:
+def _ids_bytes(ids, width: int) -> bytes:
+    if width not in (1, 2, 4, 8):
+        return b"".join(int(i).to_bytes(width, "little") for i in ids)
+    if len(a := np.asarray(ids, np.int64)) and (a.min() < 0 or a.max() >> 8 * width):
+        raise OverflowError(f"an id does not fit {width} bytes")
+    return a.astype(f"<u{width}").tobytes()
+
+
+def _ids_array(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    if len(raw) < at + n * width:
+        raise ValueError("a packed-token container ends early")
+    if width not in (1, 2, 4, 8):
+        return np.array([int.from_bytes(raw[at + i * width : at + (i + 1) * width], "little") for i in range(n)], np.int64)
+    return np.frombuffer(raw, f"<u{width}", n, at)
+
+
+def pack_bytes(ids, width: int = 2, **metadata) -> bytes:
     """A packed-token container."""
     meta = json.dumps({**metadata, "activeTokens": len(ids)}).encode()
     head = PACK_MAGIC.ljust(PACK_FIELDS, b"\0") + struct.pack("<III", len(meta), len(ids), width)
-    return head.ljust(PACK_HEADER, b"\0") + meta + b"".join(i.to_bytes(width, "little") for i in ids)
+    return head.ljust(PACK_HEADER, b"\0") + meta + _ids_bytes(ids, width)
+
+
+def _unpack_at(raw: bytes, at: int) -> tuple[np.ndarray, dict, int]:
+    """Active ids and metadata of the container that starts at ``at``, and where it ends."""
+    if raw[at : at + len(PACK_MAGIC)] != PACK_MAGIC:
+        raise ValueError("not a packed-token container")
+    size, count, width = struct.unpack_from("<III", raw, at + PACK_FIELDS)
+    meta, start = json.loads(raw[at + PACK_HEADER : at + PACK_HEADER + size]), at + PACK_HEADER + size
+    return _ids_array(raw, start, meta["activeTokens"], width), meta, start + max(count, meta["activeTokens"]) * width
 
 
 def unpack_bytes(raw: bytes) -> tuple[list[int], dict]:
     """Active ids and metadata of a packed-token container."""
-    if not raw.startswith(PACK_MAGIC):
-        raise ValueError("not a packed-token container")
-    size, _, width = struct.unpack_from("<III", raw, PACK_FIELDS)
-    meta, at = json.loads(raw[PACK_HEADER : PACK_HEADER + size]), PACK_HEADER + size
-    n = meta["activeTokens"]
-    return [int.from_bytes(raw[at + i * width : at + (i + 1) * width], "little") for i in range(n)], meta
+    ids, meta, _ = _unpack_at(raw, 0)
+    return ids.tolist(), meta
 
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, tokens, metadata as JSON) of packed-token containers."""
+    """(path, tokens, metadata as JSON) of packed-token containers; a file may hold several, one
+    after the other."""
+    schema = pa.schema([("path", pa.string()), ("tokens", pa.list_(pa.int32())), ("metadata", pa.string())])
+
+    def batch(path, rows):
+        ids = np.concatenate([r[0].astype(np.int32) for r in rows])
+        ends = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), tokens, pa.array([json.dumps(r[1], sort_keys=True) for r in rows])], schema=schema)
 
     def run(batches):
         for b in batches:
-            rows = [(p, *unpack_bytes(c.as_py())) for p, c in zip(b.column(0).to_pylist(), b.column(1))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([json.dumps(r[2], sort_keys=True) for r in rows])], ["path", "tokens", "metadata"])
+            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
+                raw, at, rows, held = c.as_py(), 0, [], 0
+                while at < len(raw) or not raw:
+                    ids, meta, at = _unpack_at(raw, at)
+                    rows.append((ids, meta))
+                    held += len(ids)
+                    if held >= READ_IDS:
+                        yield batch(p, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(p, rows)
 
     return _files(spark, path).mapInArrow(run, "path string, tokens array<int>, metadata string")
 
@@ -144,6 +185,68 @@ class _TokenWriter(DataSourceArrowWriter):
                 os.remove(m.temp)
 
 
+class PackFiles(DataSource):
+    """``df.write.format("braidpacks").save(path)``: containers (column ``pack``, binary), one
+    after the other in files of about 8 MB. Files appear under their final name only when the
+    job commits."""
+
+    @classmethod
+    def name(cls):
+        return "braidpacks"
+
+    def schema(self):
+        return "pack binary"
+
+    def writer(self, schema, overwrite):
+        return _PackWriter(self.options["path"].removeprefix("file://"), int(self.options.get("filebytes", PACK_FILE)))
+
+
+class _PackWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, limit: int):
+        self.path, self.limit = path, limit
+
+    def write(self, batches):
+        from pyspark import TaskContext
+
+        c, files, f = TaskContext.get(), [], None
+        os.makedirs(self.path, exist_ok=True)
+        try:
+            for b in batches:
+                for x in b.column(0):
+                    if f is None:
+                        name = f"part-{c.partitionId():05d}-{len(files):05d}.braidpk"
+                        files.append(_Written(f"{self.path}/_{name}.{c.taskAttemptId()}", f"{self.path}/{name}"))
+                        f = open(files[-1].temp, "wb")
+                    f.write(x.as_buffer())
+                    if f.tell() >= self.limit:
+                        f = _close(f)
+        finally:
+            f = f and _close(f)
+        return _WrittenFiles(files)
+
+    def commit(self, messages):
+        for m in messages:
+            for w in m.files if m else []:
+                os.replace(w.temp, w.final)
+
+    def abort(self, messages):
+        for m in messages:
+            for w in m.files if m else []:
+                if os.path.exists(w.temp):
+                    os.remove(w.temp)
+
+
+def _close(f) -> None:
+    f.flush()
+    os.fsync(f.fileno())
+    f.close()
+
+
+class _WrittenFiles(WriterCommitMessage):
+    def __init__(self, files: list[_Written]):
+        self.files = files
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, temp: str, final: str):
         self.temp, self.final = temp, final
@@ -155,6 +258,12 @@ def write_tokens(df: DataFrame, path: str) -> None:
     df.select(F.col("tokens").cast(T.ArrayType(T.IntegerType()))).write.format("tokens16").mode("append").save(path)
 
 
+def write_packs(df: DataFrame, path: str, file_bytes: int = PACK_FILE) -> None:
+    """Containers (column ``pack``) as files of containers, each closed at ``file_bytes``."""
+    df.sparkSession.dataSource.register(PackFiles)
+    df.select("pack").write.format("braidpacks").option("filebytes", file_bytes).mode("append").save(path)
+
+
 def token_bytes(pieces: DataFrame, ident: str, piece: str) -> DataFrame:
     """Byte length of each token, the side table of a stream."""
     return pieces.select(ident, F.octet_length(piece).alias("bytes"))

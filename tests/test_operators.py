@@ -240,6 +240,35 @@ def test_packs():
         binary.unpack_bytes(b"nothing")
 
 
+def test_packs_hold_whole_texts(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    texts = ["a" * 513, "é" * 700, "short", "", None, "word " * 30_000]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in QUERIES["sc11_packed_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {i: len((t or "").encode()) for i, t in rows}
+
+    packs = [(binary.pack_bytes(list((t or "").encode()), document=i),) for i, t in rows]
+    binary.write_packs(spark.createDataFrame(packs, "pack binary").coalesce(1), f"{tmp_path}/packs", 2000)  # several files, several containers in one
+    assert 1 < len(list((tmp_path / "packs").glob("part-*"))) < len(rows)
+    back = {r.metadata: bytes(r.tokens) for r in binary.read_packs(spark, f"{tmp_path}/packs").collect()}
+    assert len(back) == len(rows) and sorted(back.values()) == sorted((t or "").encode() for t in texts)
+    with pytest.raises(ValueError):
+        binary.unpack_bytes(packs[0][0][:-1])
+    with pytest.raises(OverflowError):
+        binary.pack_bytes([70_000])
+
+
+def test_rectangle_holds_whole_texts(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    texts = ["abcdefghij é", "abc", "", None, "中文 😀"]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.row for r in QUERIES["x02_padded_rectangle_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: [*map(ord, t or "")] + [0] * (12 - len(t or "")) for i, t in enumerate(texts)}
+
+
 def test_chat_rows(spark):
     t = "# head\nc1\tm1\t\tAnn\tHi\tcalm\nc1\tm2\tm1\tBob\tYo\nc2\tx\t\tAnn\té?\nc1\tm3\t\tAnn\tBack\t\tsum\there"
     r = text_files.chat_rows(spark.createDataFrame([(0, t)], "k int, t string"), "k", "t").orderBy("pos").collect()
