@@ -44,19 +44,15 @@ def sc03(spark, sf):
 @register("sc04_token_files", """
 SELECT lang, sum(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::BIGINT AS tokens FROM documents GROUP BY lang""".replace("\\\\", "\\"))
 def sc04(spark, sf):
-    """16-bit token files written by the token sink and read in chunks (SC4, SC5, SC9, SC10, SK4, SK5, D4)."""
+    """16-bit token files by language, whatever languages there are, written by the token sink and read in chunks (SC4, SC5, SC9, SC10, SK4, SK5, D4)."""
     path = scratch_path(spark, "tokens")
     ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
     ids = F.transform(F.filter(F.split(ascii_only, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    d = table(spark, sf, "documents").select("lang", ids.alias("tokens"))
-    parts = []
-    for lang in ("de", "en", "es", "fr"):
-        B.write_tokens(d.filter(F.col("lang") == lang), f"{path}/{lang}")
-        parts.append(B.read_tokens(spark, f"{path}/{lang}", limit=128).select(F.lit(lang).alias("lang"), F.size("tokens").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("lang").agg(F.sum("n").alias("tokens"))
+    d = table(spark, sf, "documents")
+    B.write_labelled_tokens(d.select(F.col("lang").alias("label"), ids.alias("tokens")), path)
+    read = B.read_tokens(spark, path, limit=128).groupBy(B.folder_label(F.col("path")).alias("label")).agg(F.sum(F.size("tokens")).alias("n"))
+    seen = d.groupBy("lang").agg(F.count("text").alias("texts"))  # a language may have no token, and then no chunk
+    return seen.join(read, seen["lang"].eqNullSafe(read["label"]), "left").select("lang", F.when(F.col("texts") > 0, F.coalesce("n", F.lit(0).cast("long"))).alias("tokens"))
 
 
 @register("sc06_chat_rows", r"""

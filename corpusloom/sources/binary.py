@@ -12,7 +12,8 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -29,7 +30,7 @@ READ_IDS = 1 << 20
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
 def read_tokens(spark: SparkSession, path: str, width: int = 2, limit: int | None = None) -> DataFrame:
@@ -258,6 +259,65 @@ def write_tokens(df: DataFrame, path: str) -> None:
     df.select(F.col("tokens").cast(T.ArrayType(T.IntegerType()))).write.format("tokens16").mode("append").save(path)
 
 
+class LabelledTokenFiles(DataSource):
+    """``df.write.format("tokens16by").save(path)``: 16-bit ids (column ``tokens``) in a folder for
+    each value of a string column ``label``, a file per task and value; see :func:`label_folder`."""
+
+    @classmethod
+    def name(cls):
+        return "tokens16by"
+
+    def schema(self):
+        return "label string, tokens array<int>"
+
+    def writer(self, schema, overwrite):
+        return _LabelledTokenWriter(self.options["path"].removeprefix("file://"))
+
+
+def label_folder(label: str | None) -> str:
+    """Folder of a label: its UTF-8 in hex, so that any value is a name; null has its own."""
+    return "null" if label is None else "label-" + label.encode().hex().upper()
+
+
+def folder_label(path: Column) -> Column:
+    """Label of a file by its path, the inverse of :func:`label_folder`."""
+    code = F.regexp_extract(path, r"/label-([0-9A-F]*)/[^/]*$", 1)
+    return F.when(path.rlike("/null/[^/]*$"), F.lit(None).cast("string")).otherwise(F.decode(F.unhex(code), "UTF-8"))
+
+
+class _LabelledTokenWriter(_PackWriter):
+    def __init__(self, path: str):
+        super().__init__(path, 0)
+
+    def write(self, batches):
+        from pyspark import TaskContext
+
+        c, files = TaskContext.get(), {}
+        for b in batches:
+            labels = b.column(0).dictionary_encode()
+            codes = pa.compute.fill_null(labels.indices, -1).to_numpy(zero_copy_only=False)
+            for k in np.unique(codes):
+                label = None if k < 0 else labels.dictionary[int(k)].as_py()
+                ids = b.column(1).take(pa.array(np.flatnonzero(codes == k))).flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
+                    raise ValueError("an id does not fit 16 bits")
+                if label not in files:
+                    folder, name = f"{self.path}/{label_folder(label)}", f"part-{c.partitionId():05d}.u16"
+                    os.makedirs(folder, exist_ok=True)
+                    files[label] = _Written(f"{folder}/_{name}.{c.taskAttemptId()}", f"{folder}/{name}")
+                with open(files[label].temp, "ab") as f:  # closed each time: labels may be many
+                    f.write(ids.astype("<u2").tobytes())
+                    f.flush()
+                    os.fsync(f.fileno())
+        return _WrittenFiles(list(files.values()))
+
+
+def write_labelled_tokens(df: DataFrame, path: str) -> None:
+    """Token arrays (column ``tokens``) as 16-bit files by ``label``."""
+    df.sparkSession.dataSource.register(LabelledTokenFiles)
+    df.select(F.col("label").cast("string"), F.col("tokens").cast(T.ArrayType(T.IntegerType()))).write.format("tokens16by").mode("append").save(path)
+
+
 def write_packs(df: DataFrame, path: str, file_bytes: int = PACK_FILE) -> None:
     """Containers (column ``pack``) as files of containers, each closed at ``file_bytes``."""
     df.sparkSession.dataSource.register(PackFiles)

@@ -269,6 +269,20 @@ def test_rectangle_holds_whole_texts(spark, tmp_path):
     assert got == {i: [*map(ord, t or "")] + [0] * (12 - len(t or "")) for i, t in enumerate(texts)}
 
 
+def test_token_files_hold_every_language(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans.registry import ORACLE, QUERIES
+
+    rows = [(0, "abc", "de"), (1, "dé f", None), (2, "ghi" * 20_000, "it"), (3, "x", "a/b=%é"), (4, "", "empty"), (5, None, "none"), (6, "jk", ""), (7, "lm", "null"), (8, "n", None), (9, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.sql(ORACLE["sc04_token_files"]).fetchall())
+    got = QUERIES["sc04_token_files"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 8 and {r.lang: r.tokens for r in got} == want
+
+
 def test_chat_rows(spark):
     t = "# head\nc1\tm1\t\tAnn\tHi\tcalm\nc1\tm2\tm1\tBob\tYo\nc2\tx\t\tAnn\té?\nc1\tm3\t\tAnn\tBack\t\tsum\there"
     r = text_files.chat_rows(spark.createDataFrame([(0, t)], "k int, t string"), "k", "t").orderBy("pos").collect()
