@@ -421,7 +421,7 @@ def k10(spark, sf):
 
 @register("p13_bpe_merges")
 def p13(spark, sf):
-    """Merge learning by pair scores over files, 8 merges."""
+    """Merge learning by pair scores over files, 8 merges, all documents reduced to ASCII."""
     from ..operators.bpe import learn_merges, merges_frame
 
     d = table(spark, sf, "documents").select("source", X.ascii_strict(F.col("text")).alias("text"))
@@ -430,7 +430,7 @@ def p13(spark, sf):
 
 @register("p15_bpe_encode")
 def p15(spark, sf):
-    """Texts encoded with learnt merges and decoded again."""
+    """Texts reduced to ASCII, encoded with learnt merges and decoded again."""
     from ..operators.bpe import decode, encode, learn_merges
 
     d = table(spark, sf, "documents").select("doc_id", "source", X.ascii_strict(F.col("text")).alias("text"))
