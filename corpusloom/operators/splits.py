@@ -66,6 +66,19 @@ def shingle_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, pas
     return left.join(right, "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def passage_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, passage_text: Column, n: int) -> DataFrame:
+    """(key, hits): as :func:`shingle_hits`, and passages of fewer than ``n`` words are looked up by
+    their whole word sequence: documents give grams of every such length that occurs."""
+    from ..functions.text import joined_ngrams, words
+
+    p = passages.select(words(passage_text).alias("w")).filter(F.size("w") > 0)
+    short = sorted(r[0] for r in p.filter(F.size("w") < n).select(F.size("w")).distinct().collect())  # below n rows
+    grams = lambda w: F.concat(*(joined_ngrams(w, k) for k in (*short, n)))
+    right = p.select(F.explode(F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(joined_ngrams(F.col("w"), n))).alias("g")).distinct()
+    left = df.select(key, words(text).alias("w")).select(key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    return left.join(right, "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+
+
 def blind_sides(df: DataFrame, key: Column, salt: str) -> DataFrame:
     """Balanced blind assignment: rows ranked by hash, the first half is A first."""
     h = F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)

@@ -322,6 +322,25 @@ def test_split_helpers(spark):
         splits.require(spark.createDataFrame([(0,)], "x int"), ["x"], {"positive": F.col("x") > 0}).collect()
 
 
+def test_short_passages_are_found(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    rng = random.Random(9)
+    long = " ".join(rng.choice("abcdefgh") for _ in range(20))
+    passages = ["one two  three", "alone", long, "", None, " ", "q " * 15, "one two three"]
+    texts = ["x one\ntwo three y", f"k {long} k", "not one two, three", "alone at last one two three", "", None, "q " * 40, "alonely"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    wanted = set()
+    for p in passages:
+        if w := (p or "").split():
+            wanted |= {tuple(w)} if len(w) < 16 else grams(w, 16)
+    want = {i: n for i, t in enumerate(texts) if (n := sum(g in grams((t or "").split(), len(g)) for g in wanted))}
+    got = {r.doc_id: r.hits for r in QUERIES["j09_benchmark_passages"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got) == {0, 1, 3, 6}
+
+
 def test_stream_restart_keeps_state(spark, tmp_path):
     from corpusloom.streaming.state import run_once, vote_store
 
