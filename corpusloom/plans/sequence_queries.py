@@ -175,10 +175,18 @@ u AS (SELECT *, unnest(range(0, (2500000 // total + 1)::BIGINT)) AS epoch FROM t
 v AS (SELECT doc_id, epoch, (epoch * total + base)::BIGINT AS start, n_chars FROM u)
 SELECT doc_id, epoch, start, least(n_chars, 2500000 - start)::BIGINT AS take FROM v WHERE least(n_chars, 2500000 - start) > 0""")
 def w24(spark, sf):
-    """Records visited again and again until a budget of targets is met."""
+    """Records visited again and again until a fixed budget of targets is met."""
     return Q.roster(records(spark, sf), "doc_id", "n_chars", 2_500_000).select("doc_id", "epoch", "start", "take")
 
 
+@register("w24_roster_cycles")
+def w24c(spark, sf):
+    """Records visited again and again until 2.5 times the table's size is met, at any size."""
+    r = records(spark, sf)
+    total = r.agg(F.sum("n_chars")).first()[0] or 0
+    return Q.roster(r, "doc_id", "n_chars", total * 5 // 2).select("doc_id", "epoch", "start", "take")
+
+
 @register("w25_record_packing", f"""
 WITH r AS (SELECT doc_id, n_chars, start::BIGINT AS start FROM {REC_SQL} WHERE n_chars > 0),
 p AS (SELECT doc_id, start, n_chars, unnest(range(start // 1024, (start + n_chars - 1) // 1024 + 1)) AS pack FROM r)

@@ -95,6 +95,22 @@ def test_roster_meets_its_budget(spark):
     assert sequence.roster(d.limit(0), "i", "n", 5).count() == 0
 
 
+def test_roster_cycles_through_every_record(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    sizes = [3_000_000, 1, 0, 900_000, 40]  # more than 2,500,000 in all
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    budget, want, at, epoch = sum(sizes) * 5 // 2, [], 0, 0
+    while at < budget:
+        for i, n in enumerate(sizes):
+            if (take := min(n, budget - at)) > 0:
+                want.append((i, epoch, at, take))
+                at += take
+        epoch += 1
+    got = QUERIES["w24_roster_cycles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.epoch for r in got} == {0, 1, 2}
+
+
 def test_asof(spark):
     r = spark.createDataFrame([(0, 5, "a"), (5, 9, "b"), (20, 21, "c")], "s long, e long, n string")
     p = spark.createDataFrame([(x,) for x in (0, 4, 5, 9, 15, 20, 21)], "at long")
