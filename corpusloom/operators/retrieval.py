@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,45 @@ def hybrid(queries: DataFrame, memory: DataFrame, k: int = 3, lexical: float = 0
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "slot"))).filter(F.col("rank") <= k)
 
 
+def hybrid_blocks(queries: DataFrame, memory: DataFrame, k: int = 3, lexical: float = 0.2, rows: int = 1024) -> DataFrame:
+    """As :func:`hybrid` where both sides may be large: blocks of queries meet blocks of memory, a
+    pair of blocks passes on ``k`` slots a query, and those are ranked. Lists of a block hold about
+    ``rows`` rows; ids are long. Rows with a null vector are left out."""
+
+    def blocks(d, key, v, w):
+        d = d.filter(F.col(v).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(v).cast("array<double>").alias("v"), F.coalesce(F.array_distinct(w), F.array().cast("array<string>")).alias("w"), F.size(w).alias("n"))
+        count = max(1, -(-d.count() // rows))
+        by = F.pmod(F.xxhash64("k"), F.lit(count))
+        return d.groupBy(by.alias("b")).agg(F.collect_list(F.struct("k", "v", "w", "n")).alias(key)).drop("b")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                q, m = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                m.sort(key=lambda r: r["k"])  # equal scores go to the smaller slot
+                slots = np.array([r["k"] for r in m], np.int64)
+                unit = [np.array([r["v"] for r in x], float) for x in (q, m)]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    unit = [x / np.sqrt((x * x).sum(1))[:, None] for x in unit]
+                score = unit[0] @ unit[1].T
+                place = {}
+                for j, r in enumerate(m):
+                    for w in r["w"]:
+                        place.setdefault(w, []).append(j)
+                for j, r in enumerate(q):
+                    for w in r["w"]:
+                        if w in place:
+                            score[j, place[w]] += lexical / r["n"]
+                best = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
+                keys = np.repeat(np.array([r["k"] for r in q], np.int64), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(slots[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query", "slot", "score"])
+
+    pairs = blocks(queries, "query", "q", F.col("qw")).crossJoin(blocks(memory, "slot", "v", F.col("vw"))).select("query", "slot")
+    near = pairs.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "query long, slot long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "slot")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def nearest_strings(df: DataFrame, group: str, key: str, text: str, k: int) -> DataFrame:
     """``k`` most similar other strings of the same group by sequence-matcher ratio: key, rank,
     other, ratio. Groups are the small pools that replacement values are taken from."""

@@ -328,6 +328,15 @@ def j19(spark, sf):
     return R.hybrid(q, m).select("query", "rank", "slot", F.round("score", 9).alias("score"))
 
 
+@register("j19_hybrid_all")
+def j19a(spark, sf):
+    """Cosine plus a fifth of the word overlap, over all rows (the query's own too), for the ids divisible by 20."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")).alias("w"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("w").alias("qw"))
+    m = e.select(F.col("vec_id").alias("slot"), F.col("embedding").alias("v"), F.col("w").alias("vw"))
+    return R.hybrid_blocks(q, m).select("query", "rank", "slot", F.round("score", 9).alias("score"))
+
+
 @register("sf31_quantise", """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings)
 SELECT vec_id, round(top / 127, 12) AS scale, list_sum(list_transform(v, lambda x: round_even(x / (top / 127), 0)))::BIGINT AS total FROM e""")

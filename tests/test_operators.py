@@ -299,6 +299,31 @@ def test_token_files_hold_every_language(spark, tmp_path):
     assert len(got) == len(want) == 8 and {r.lang: r.tokens for r in got} == want
 
 
+def test_hybrid_searches_all_rows(spark, tmp_path):
+    from corpusloom.operators import retrieval
+    from corpusloom.plans.registry import QUERIES
+
+    rng = np.random.default_rng(19)
+    v = rng.normal(size=(130, 8))
+    v[120] = v[100]  # equal vectors
+    rows = [(i, v[i].tolist(), int(i % 5)) for i in range(len(v))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    words = lambda i: [str(i % 5), str(i % 3)]
+    want = set()
+    for q in range(0, 130, 20):
+        score = {i: v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i]) + 0.2 * len(set(words(q)) & set(words(i))) / 2 for i in range(130)}
+        want |= {(q, r + 1, i, round(score[i], 9)) for r, i in enumerate(sorted(score, key=lambda i: (-round(score[i], 12), i))[:3])}
+    got = QUERIES["j19_hybrid_all"](spark, str(tmp_path)).collect()
+    near = lambda x: {t[:3] for t in x}
+    assert near(map(tuple, got)) == near(want) and max(t[2] for t in want) >= 50
+    assert all(abs(r.score - s) < 2e-9 for r in got for q, k, _, s in want if (q, k) == (r.query, r["rank"]))
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet").withColumn("w", F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("w").alias("qw"))
+    m = e.select(F.col("vec_id").alias("slot"), F.col("embedding").alias("v"), F.col("w").alias("vw"))
+    small = retrieval.hybrid_blocks(q, m, rows=7)  # many blocks
+    assert {(r.query, r["rank"], r.slot) for r in small.collect()} == near(want)
+
+
 def test_chat_rows(spark):
     t = "# head\nc1\tm1\t\tAnn\tHi\tcalm\nc1\tm2\tm1\tBob\tYo\nc2\tx\t\tAnn\té?\nc1\tm3\t\tAnn\tBack\t\tsum\there"
     r = text_files.chat_rows(spark.createDataFrame([(0, t)], "k int, t string"), "k", "t").orderBy("pos").collect()
