@@ -15,8 +15,10 @@ partitions without a sequential pass, and the only shuffle is the per-(task, sou
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from array import array
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +145,25 @@ def _tokenise(path: str, eos: int, schema: pa.Schema):
     return run
 
 
+def _muldiv(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a * b / c), exact though a * b may not fit 64 bits: a float quotient, right to one for
+    quotients below 2**50, and its remainder modulo 2**64, which fits while c is below 2**60."""
+    if b.dtype == object or c.dtype == object:
+        return (a.astype(object) * b // c).astype(np.int64)
+    q = np.floor(a.astype(float) * b / c).astype(np.int64)
+    return q + (a * b - q * c) // c
+
+
+def exact_weights(weights: list) -> list[int]:
+    """Whole numbers in the proportions of ``weights``; a float counts as the decimal it prints."""
+    parts = [Fraction(str(w)) for w in weights]
+    if any(p <= 0 for p in parts):
+        raise ValueError("weights must be above 0")
+    unit = math.lcm(*(p.denominator for p in parts))
+    whole = [int(p * unit) for p in parts]
+    return [w // math.gcd(*whole) for w in whole]
+
+
 class Schedule:
     """Deficit round-robin over queues of known totals, as closed forms.
 
@@ -152,9 +173,6 @@ class Schedule:
     """
 
     def __init__(self, totals: list[int], weights: list[int], window: int, packet: int):
-        if window * sum(totals) * max([1, *weights]) >= 2**62:  # keep products within 64 bits
-            top = sum(weights)
-            weights = [max(1, round(w * 2**16 / top)) for w in weights]
         self.window, self.packet, self.totals = window, packet, np.array(totals, np.int64)
         served, carried, first = [0] * len(totals), [0] * len(totals), 0
         rows = []
@@ -170,7 +188,8 @@ class Schedule:
                     served[s] += credit // packet * packet
                     carried[s] = credit - credit // packet * packet
             first += n
-        at = lambda k: np.array([r[k] for r in rows], np.int64)
+        kind = object if window * max(sum(weights), 1) >= 2**60 or sum(totals) >= 2**49 else np.int64
+        at = lambda k: np.array([r[k] for r in rows], kind if k > 2 else np.int64)
         self.first, self.served, self.carried, self.weights, self.whole, self.rounds = at(0), at(1), at(2), at(3), at(4), first
 
     def after(self, rounds: np.ndarray) -> np.ndarray:
@@ -179,7 +198,7 @@ class Schedule:
         p = np.maximum(p, 0)
         t = (rounds - self.first[p])[:, None]
         served = self.served[p]
-        credit = self.carried[p] + t * self.window * self.weights[p] // self.whole[p][:, None]
+        credit = self.carried[p] + _muldiv(t, self.window * self.weights[p], self.whole[p][:, None])
         left = self.totals - served
         return np.where(t == 0, served, served + np.where(credit >= left, left, credit // self.packet * self.packet))
 
@@ -190,7 +209,7 @@ class Schedule:
             p[self.served[k][queue] < end] = k
         need = end - self.served[p, queue] - self.carried[p, queue]
         w = np.maximum(self.weights[p, queue], 1)
-        return self.first[p] + np.maximum(1, -(-need * self.whole[p] // (self.window * w)))
+        return self.first[p] + np.maximum(1, -_muldiv(-need, self.whole[p], self.window * w))
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Cut stretches of queues into pieces that lie in one window each.
@@ -268,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id="doc_id", text="text",
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("source_rank", T.IntegerType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
     if not names:
         return spark.createDataFrame([], out)
-    schedule = Schedule(totals, totals if weights is None else [max(1, int(weights.get(n, 1))) for n in names], window, packet)
+    schedule = Schedule(totals, totals if weights is None else exact_weights([weights.get(n, 1) for n in names]), window, packet)
     ranks = spark.createDataFrame(list(zip(names, range(len(names)))), "source string, rank int")
     n_base = base.count()
     base = base.join(small(ranks, len(names), SUM_ROWS), base["source"].eqNullSafe(ranks["source"])).select(base["source"], "part", "base", "rank")

@@ -91,6 +91,25 @@ def test_schedule_is_deficit_round_robin():
         assert (seen == 1).all()
 
 
+def test_schedule_keeps_proportions_at_every_size():
+    for totals, weights in (([10**10, 3 * 10**9, 1000], None), ([10**9, 10**9], [10**17 + 1, 3 * 10**17])):
+        weights = weights or totals
+        s = packing.Schedule(totals, weights, 1024, 64)
+        whole, rounds = sum(weights), np.array([1, 7, 1000, 500_000])
+        for r, row in zip(rounds.tolist(), s.after(rounds).tolist()):
+            assert row == [r * 1024 * w // whole // 64 * 64 for w in weights]
+        for q, t in enumerate(totals):
+            if r_ends := [e for e in (64, 6400) if e <= t]:
+                got = s.round_of(np.full(len(r_ends), q), np.array(r_ends))
+                assert got.tolist() == [-(-e * whole // (1024 * weights[q])) for e in r_ends]
+
+
+def test_fractional_weights():
+    assert packing.exact_weights([0.7, 0.3]) == [7, 3] and packing.exact_weights([1, 3]) == [1, 3] and packing.exact_weights([0.5, 2]) == [1, 4]
+    with pytest.raises(ValueError):
+        packing.exact_weights([1, 0])
+
+
 def check_pieces(rows, pieces, window=1024):
     enc = packing.TextEncoder.of(tokenizer())
     want = Counter()
