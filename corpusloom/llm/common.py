@@ -54,5 +54,38 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Copies of one row that a task writes at most when counted rows are expanded again.
+COPIES = 65_536
+
+
+def expanded(counted: DataFrame, count: str, ordinal: str) -> DataFrame:
+    """Every row of ``counted`` as often as ``count`` says, numbered from 0 in ``ordinal``.
+
+    ``counted`` must be cheap to read twice (a written table). Rows with more than ``COPIES``
+    copies are cut into chunks that are spread over all tasks.
+    """
+    last = F.col(count) - 1
+    cold = counted.filter(F.col(count) <= COPIES).withColumn(ordinal, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    hot = counted.filter(F.col(count) > COPIES)
+    if not hot.limit(1).count():
+        return cold
+    tasks = max(counted.sparkSession.sparkContext.defaultParallelism, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = hot.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES)))).repartition(tasks, "__chunk")
+    inside = F.sequence(F.col("__chunk") * COPIES, F.least(last, (F.col("__chunk") + 1) * COPIES - 1))
+    return cold.union(chunks.withColumn(ordinal, F.explode(inside)).drop("__chunk"))
+
+
+def identified(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with a column that tells its rows apart, repeated rows too: struct (file, at), the
+    Parquet file and the place in it, so it stays the same however often and on however many
+    cores the rows are read. Rows that do not come straight from Parquet files are written first."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    if "parquet" not in plan.simpleString(25).lower() or plan.nodeName() != "LogicalRelation":
+        df = materialize(df, "identified")
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

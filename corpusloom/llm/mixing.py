@@ -5,6 +5,10 @@ size spreads over many; the sizes in a range are summed, a prefix sum over the r
 source gives each range its base, and a running sum inside a range (sorted by key) gives
 each document its place in the source's shuffled stream. Every source is then read up to
 its exact budget: whole epochs first, then the stream up to the cut.
+
+Rows alike in source, doc_id and size are counted first, on the map side too, and stand for
+one stretch of the stream, so a doc_id that a third of all rows share (or a null one) costs
+a range no more than a row per size that occurs with it.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import expanded, identified, materialize, small
 
 #: Documents that a key range holds on average.
 RANGE = 1024
@@ -63,7 +67,11 @@ def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weigh
     rows are separate documents; equal keys are ordered by doc_id and size, so reruns agree;
     other columns are ignored; no rows give no rows.
     """
-    return _placed(docs, doc_id, text, source, weight_cycle, most, seed).select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "place")
+    stretches = _placed(docs, doc_id, text, source, weight_cycle, most, seed)
+    rows = expanded(stretches, "copies", "copy").withColumn("place", F.col("place") + F.col("copy") * F.col("size"))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("place")))
+    taken = (F.col("epochs") * F.col("size") + last).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "place")
 
 
 def hash_key(doc_id: Column, seed: str) -> Column:
@@ -74,21 +82,51 @@ def mixed_rows(docs: DataFrame, *, doc_id="doc_id", text="text", source="source"
     """The mix itself: rows of ``docs`` with their columns, repeated by whole epochs, the last
     pass ending at the document whose middle meets the target.
 
-    The cut of a source is one key, so documents are chosen where they are read: only a row
-    per source is joined to them, and no text is shuffled.
+    The cut of a source is a stretch (key, doc_id, size) and, where rows alike in all three lie
+    across it, the row's place in the files; so documents are chosen where they are read, only a
+    row per source is joined to them, and no text is shuffled. Null and repeated doc_ids are rows
+    like any other.
     """
+    docs = identified(docs)
     placed = _placed(docs, doc_id, text, source, weight_cycle, most, seed)
-    rest = F.floor("target") - F.col("epochs") * F.col("source_size")
-    inside = F.col("place") + F.col("size") / 2 <= rest
-    cuts = materialize(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(inside & (rest > 0), F.col("key"))).alias("cut")), "cuts")
-    named = cuts.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
+    # copies of a stretch whose middle lies before the end of the last pass
+    room = F.col("rest") - F.col("place") - F.col("size") / 2
+    some = F.when(F.col("rest") <= 0, 0).when(F.col("size") == 0, F.when(room >= 0, F.col("copies")).otherwise(0))
+    some = some.otherwise(F.greatest(F.lit(0), F.least(F.col("copies"), F.floor(room / F.col("size")) + 1))).cast("long")
+    stretch = F.struct("key", "doc_id", "size")
+    last = F.when(some > 0, F.struct(stretch.alias("stretch"), some.alias("some"), F.col("copies")))
+    cuts = materialize(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(last).alias("last")), "cuts")
+    cuts = materialize(cuts.join(_last_row(docs, cuts, doc_id, text, source, seed), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "cuts")
+    named = cuts.select(*(F.col(c).alias(f"__{c}") for c in cuts.columns))
     joined = docs.join(small(named, cuts.count(), SOURCES), F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    last = F.coalesce((hash_key(F.col(doc_id), seed) <= F.col("__cut")).cast("long"), F.lit(0))
-    copies = joined.withColumn("__copy", F.col("__epochs") + last).filter("__copy > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copy")))).select(*(docs[c] for c in docs.columns))
+    key, cut = hash_key(F.col(doc_id), seed), F.col("__last.stretch")
+    mine = F.struct(key, F.col(doc_id), word_count(F.col(text).cast("string")))
+    whole = (F.col("__last.some") == F.col("__last.copies")) | (F.col("__row") <= F.col("__until"))
+    # texts are only counted where the key is the cut's own
+    inside = F.when(F.col("__last").isNull() | (key > cut["key"]), 0).when(key < cut["key"], 1)
+    inside = inside.otherwise(F.when(mine < cut, 1).when((mine == cut) & whole, 1).otherwise(0))
+    copies = joined.withColumn("__copy", F.col("__epochs") + inside).filter("__copy > 0")
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copy")))).select(*(docs[c] for c in docs.columns if c != "__row"))
+
+
+def _last_row(docs, cuts, doc_id, text, source, seed) -> DataFrame:
+    """(of, until): for sources whose cut goes through rows alike, the last row that is taken, by
+    a prefix sum of such rows over the files."""
+    split = cuts.filter("last.some < last.copies").select(F.col("source").alias("of"), F.col("last.some").alias("some"), F.col("last.stretch").alias("cut"))
+    mine = F.struct(hash_key(F.col(doc_id), seed), F.col(doc_id), word_count(F.col(text).cast("string")))
+    match = F.col(source).cast("string").eqNullSafe(F.col("of")) & (hash_key(F.col(doc_id), seed) == F.col("cut.key"))
+    alike = docs.join(small(split, split.count(), SOURCES), match).filter(mine == F.col("cut")).select("of", "some", "__row.file", "__row.at", F.col("__row"))
+    per_file = alike.groupBy("of", "file").agg(F.count(F.lit(1)).alias("n"), F.first("some").alias("some"))
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("file")) - F.col("n")
+    ends = per_file.withColumn("need", F.col("some") - before).filter("need between 1 and n").select(F.col("of").alias("o"), F.col("file").alias("f"), "need")
+    rows = alike.join(F.broadcast(ends), F.col("of").eqNullSafe(F.col("o")) & (F.col("file") == F.col("f")))  # one file a source
+    nth = F.row_number().over(Window.partitionBy("of", "file").orderBy("at"))
+    return rows.withColumn("nth", nth).filter("nth = need").select("of", F.col("__row").alias("until"))
 
 
 def _placed(docs, doc_id, text, source, weight_cycle, most, seed) -> DataFrame:
+    """Stretches of rows alike: source, key, doc_id, size, copies, place (of the first copy),
+    source_size, target, epochs and rest (words of the last pass)."""
     d = F.col(doc_id)
     key = hash_key(d, seed)
     sized = materialize(docs.select(d.alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), key.alias("key")), "sizes")
@@ -96,16 +134,17 @@ def _placed(docs, doc_id, text, source, weight_cycle, most, seed) -> DataFrame:
     goals = materialize(targets(per_source, weight_cycle, most), "targets")
     bits = min(20, max(0, (sized.count() // RANGE).bit_length()))
     part = F.conv(F.substring("key", 1, 5), 16, 10).cast("long")
-    goal = goals.withColumnRenamed("source", "named")
-    keyed = sized.join(goal, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.shiftright(part, 20 - bits))
-    base = keyed.groupBy("n", "part").agg(F.sum("size").alias("words"))
-    base = base.withColumn("base", F.sum("words").over(Window.partitionBy("n").orderBy("part")) - F.col("words")).drop("words")
-    run = Window.partitionBy("n", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("inside", F.sum("size").over(run) - F.col("size")).join(base, ["n", "part"])
-    placed = placed.withColumn("place", F.col("base") + F.col("inside"))
+    goal = small(goals.withColumnRenamed("source", "named"), goals.count(), SOURCES)
+    alike = sized.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
+    keyed = alike.join(goal, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.shiftright(part, 20 - bits))
+    keyed = keyed.withColumn("words", F.col("size") * F.col("copies"))
+    ranges = Window.partitionBy("n", "part")
+    run = ranges.orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = materialize(keyed.withColumn("inside", F.sum("words").over(run) - F.col("words")), "placed")
+    base = placed.groupBy("n", "part").agg(F.sum("words").alias("in_range"))
+    base = base.withColumn("base", F.sum("in_range").over(Window.partitionBy("n").orderBy("part")) - F.col("in_range")).select("n", "part", "base")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - F.col("epochs") * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))
-    out = placed.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long"))
-    return out
+    out = placed.join(base, ["n", "part"]).withColumn("place", F.col("base") + F.col("inside")).withColumn("epochs", epochs)
+    out = out.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    return out.select("source", "key", "doc_id", "size", "copies", "place", "source_size", "target", "epochs", "rest")

@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import expanded, materialize, new_path
 
 SLOTS = 4096
+#: Equal rows that share a slot; the next as many go to another.
+PIECE = 64
 
 
-def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot: the first 12 bits or so of an MD5, evened over ``slots``."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % slots).cast("int")
+def slot_of(*record: Column, slots: int = SLOTS) -> Column:
+    """Virtual slot of a record: the first 12 bits or so of an MD5, evened over ``slots``."""
+    name = F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("")) for c in record))
+    return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
 def assign(slot_bytes: DataFrame, shards: int) -> DataFrame:
@@ -64,20 +67,28 @@ def shard(docs: DataFrame, *, doc_id="doc_id", text="text", shards=40, slots=SLO
     Returns doc_id, size (UTF-8 bytes of the text and 16), text_crc32, law ("bytes"), shard,
     slot (place in the shard, gapless from 0), grown_shard (null under this law), vslot (the
     virtual slot). The map is stored, versioned, at ``map_path`` (by default in the shared
-    folder). Null texts have no bytes and CRC 0; null doc_ids share a slot; repeated rows
-    are separate records; other columns are ignored; no rows give no rows.
-
-    Documents are shuffled once, as (doc_id, size, checksum), by virtual slot; places in a
-    shard are a running count inside a slot on top of a prefix sum over the map.
+    folder). Null texts have no bytes and CRC 0; null doc_ids and repeated rows are separate
+    records; other columns are ignored; no rows give no rows.
+
+    A record's slot comes from its doc_id, checksum and size, so null and repeated doc_ids
+    spread; rows equal in all three are counted (on the map side too) and each ``PIECE`` of them
+    has a slot of its own, so no slot is hot. Records are shuffled as (doc_id, size, checksum),
+    never with their texts; places in a shard are a running count inside a slot on top of a
+    prefix sum over the map.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), slot_of(F.col(doc_id), slots).alias("vslot"))
-    d = materialize(d, "records")
+    d = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    alike = materialize(d.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")), "records")
+    pieces = expanded(alike.withColumn("pieces", F.ceil(F.col("copies") / PIECE)), "pieces", "piece")
+    n = F.least(F.lit(PIECE), F.col("copies") - F.col("piece") * PIECE)
+    pieces = pieces.select("doc_id", "size", "text_crc32", "piece", n.alias("n"), slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("piece"), slots=slots).alias("vslot"))
     path = map_path or new_path(docs.sparkSession, "slot-map")
-    store(assign(d.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), shards), path)
+    store(assign(pieces.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")), shards), path)
     now = docs.sparkSession.read.schema("version int, vslot int, shard int, bytes long, rows long").parquet(path).filter("version = 1")
     base = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
-    bases = now.select("vslot", "shard", base.alias("base"))
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")) - 1
-    out = d.withColumn("inside", inside).join(bases, "vslot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    bases = F.broadcast(now.select("vslot", "shard", base.alias("base")))  # a row per slot, whatever the data
+    order = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "piece")
+    inside = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    out = pieces.withColumn("inside", inside).join(bases, "vslot").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    slot = (F.col("base") + F.col("inside") + F.col("copy")).cast("long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")

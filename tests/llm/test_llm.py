@@ -237,14 +237,50 @@ def test_mix(spark):
 
 
 def test_mixed_rows(spark):
-    d = documents(spark, odd_rows())
+    rows = odd_rows() + [(None, f"no id {i}", "en", "a") for i in range(300)] + [(9, "one row many times over", "en", "b")] * 400
+    d = documents(spark, rows).repartition(4)
     out = mixing.mixed_rows(d)
     assert out.columns == d.columns
-    got, taken = Counter(r.doc_id for r in out.collect()), defaultdict(int)
-    for r in mixing.mix(d).collect():
-        if r.size:
-            taken[r.doc_id] = max(taken[r.doc_id], abs(r.taken / r.size - got[r.doc_id] / (2 if r.doc_id == 700 else 1)))
-    assert sum(v > 0 for v in taken.values()) <= 4  # whole documents: only the cut of a source differs
+    got, words, middle = Counter(), defaultdict(int), {}
+    for r in out.collect():
+        size = len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text or "") if w])
+        got[r.source, r.doc_id, size] += 1
+        words[r.source] += size
+    want, target = Counter(), {}
+    for r in mixing.mix(d).collect():  # whole documents: a pass ends at the one whose middle meets the target
+        rest = int(r.target) - r.epochs * r.source_size
+        want[r.source, r.doc_id, r["size"]] += r.epochs + (rest > 0 and r.place + r["size"] / 2 <= rest)
+        target[r.source] = r.target
+        middle[r.source] = max(middle.get(r.source, 0), r["size"])
+    assert +want == got
+    assert all(abs(words[s] - target[s]) <= middle[s] for s in target)
+
+
+def test_mixed_rows_cut_inside_equal_rows(spark, tmp_path):
+    """A cut through 500 rows of one doc_id takes as many as the target asks for, over files."""
+    rows = [(7, "ten words " * 5, "en", "a")] * 500 + [(i, "other words " * 5, "en", "b") for i in range(100)]
+    documents(spark, rows).repartition(5).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    for cycle in ((1, 1), (1, 7)):
+        n = Counter(r.source for r in mixing.mixed_rows(d, weight_cycle=cycle).collect())
+        goal = {r.source: r.target for r in mixing.mix(d, weight_cycle=cycle).collect()}
+        assert all(abs(10 * n[s] - goal[s]) <= 10 for s in goal), (n, goal)
+
+
+def test_hot_keys_of_mixing_and_sharding_spread(spark, monkeypatch):
+    """A third of all rows on one doc_id: stretches are counted, copies come in chunks."""
+    monkeypatch.setattr("corpusloom.llm.common.COPIES", 50)
+    rows = [(i, f"word {i}", "en", "a") for i in range(400)] + [(5, "the same again", "en", "a")] * 130 + [(None, f"n {i % 3}", "en", "b") for i in range(170)]
+    d = documents(spark, rows).repartition(6)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows) and Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+    for s in "ab":
+        placed = sorted((r.place, r["size"]) for r in got if r.source == s and r["size"])
+        assert [p for p, _ in placed] == np.cumsum([0] + [n for _, n in placed[:-1]]).tolist()
+    shards = sharding.shard(d, shards=4).collect()
+    assert len(shards) == len(rows)
+    same = Counter(r.vslot for r in shards if r.doc_id == 5)
+    assert max(same.values()) <= sharding.PIECE + 1 and len({r.vslot for r in shards if r.doc_id is None}) >= 3
 
 
 # -- sharding
@@ -264,6 +300,19 @@ def test_shard(spark):
     rest = sorted(sum(r["size"] for r in rs) for rs in by.values())[:-1]
     assert max(rest) - min(rest) < 600  # all but the shard that holds the one long text
     assert sharding.shard(documents(spark, [])).count() == 0
+    # an independent assignment: heaviest slot first, each to the lightest shard
+    load, rows_of = Counter(), Counter()
+    for r in got:
+        load[r.vslot] += r["size"]
+        rows_of[r.vslot] += 1
+    fill, home = [0] * 6, {}
+    for v in sorted(load, key=lambda v: (-load[v], v)):
+        home[v] = fill.index(min(fill))
+        fill[home[v]] += load[v]
+    assert all(r.shard == home[r.vslot] for r in got)
+    first = {v: sum(rows_of[u] for u in rows_of if home[u] == home[v] and u < v) for v in rows_of}
+    for v in rows_of:
+        assert sorted(r.slot - first[v] for r in got if r.vslot == v) == list(range(rows_of[v]))
 
 
 def test_slot_map_versions(spark):
