@@ -24,20 +24,29 @@ MAGIC = b"WARC/1.0\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
-#: Bytes of records that an archive holds at most, on average.
+#: Bytes of records that an archive holds, on average.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes that no archive passes, but for a single record above it: the reader takes files of up to 2 GB.
+MOST_BYTES = 1 << 30
+#: Pages above this many bytes go to archives of their own kind, so that they do not cut the others short.
+LARGE_PAGE = 1 << 20
 #: Repeated payloads up to this many (some 40 MB) are broadcast to the pages; more are joined by shuffle.
 REPEATED = 400_000
+#: Keys that the revisits of one page are spread over.
+SALTS = 8
 
 
-def plan(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> DataFrame:
-    """Records to write: page_id, url, html, payload_bytes, digest, refers_to (null: a response)."""
+def plan(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> tuple[DataFrame, int, int]:
+    """Records to write: page_id, url, html, payload_bytes, digest, refers_to (null: a response);
+    and the mean and the most bytes of a payload. Texts are read once for this and once to be written."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = p.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = materialize(first.filter("n > 1").select("digest", "first"), "repeated-payloads")
-    return p.join(small(first, first.count(), REPEATED), "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    kinds = materialize(p.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
+    mean, most = kinds.select(F.sum(F.col("n") * F.col("payload_bytes")) / F.sum("n"), F.max("payload_bytes")).first()
+    first = kinds.filter((F.col("n") > 1) & (F.col("payload_bytes") >= LEAST_REVISIT)).select("digest", "first")
+    rows = p.join(small(first, first.count(), REPEATED), "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    return rows, int(mean or 0), int(most or 0)
 
 
 def record(rows: DataFrame) -> Column:
@@ -67,13 +76,20 @@ def write(pages: DataFrame, path: str, **names) -> None:
     """Write archives below ``path``, one record per row, where the rows are read: no page is
     shuffled. Spark's own writer commits them, so any store will do and a lost task leaves
     nothing behind."""
-    rows = plan(pages, **names)
-    text = rows.select(record(rows).alias("value"))
-    mean = pages.select(F.avg(F.coalesce(F.octet_length(F.col(names.get("html", "html")).cast("string")), F.lit(0)) + 600)).first()[0] or 600
-    text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / mean))).text(path)
+    rows, mean, most = plan(pages, **names)
+    head = 2048  # headers of a record, generously; a longer url only shortens the archive's slack
 
+    def save(part: DataFrame, mean: int, most: int, mode: str) -> None:
+        n = max(1, min(ARCHIVE_BYTES // (mean + head), MOST_BYTES // (most + head)))
+        part.select(record(part).alias("value")).write.mode(mode).option("lineSep", "\r\n").option("maxRecordsPerFile", n).text(path)
 
-_CAND = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("next", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("digest", T.StringType())])
+    large = F.col("payload_bytes") > LARGE_PAGE
+    save(rows if most <= LARGE_PAGE else rows.filter(~large), mean, min(most, LARGE_PAGE), "error")
+    if most > LARGE_PAGE:
+        save(rows.filter(large), most, most, "append")
+
+
+_CAND = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("next", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("said", T.StringType())])
 
 
 def _page(urn: str | None) -> int | None:
@@ -83,11 +99,18 @@ def _page(urn: str | None) -> int | None:
 
 def candidates(content: bytes):
     """Every magic at a line's start with a parsable header: (offset, next, page_id, type,
-    refers_to, url, payload bytes, SHA-256). ``next`` is -1 where the record would pass the
-    end of the archive."""
+    refers_to, url, payload bytes, SHA-256 of the payload, digest that the header states).
+    ``next`` is -1 where the record would pass the end of the archive.
+
+    A header ends at a blank line and has no line that is a magic (it lacks the colon of a
+    field), so of several magics before a blank line the last alone can be a record, and each
+    byte is searched once.
+    """
     at = content.find(MAGIC)
     while at >= 0:
-        end = content.find(b"\r\n\r\n", at)
+        after = content.find(b"\n" + MAGIC, at + 1)
+        follow = after + 1 if after >= 0 else -1
+        end = content.find(b"\r\n\r\n", at, follow if follow >= 0 else len(content))
         if end >= 0 and (at == 0 or content[at - 1 : at] == b"\n"):
             fields = {}
             for line in content[at + len(MAGIC) : end].split(b"\r\n"):
@@ -97,11 +120,11 @@ def candidates(content: bytes):
             if length.isascii() and length.isdigit():
                 a, b = end + 4, end + 4 + int(length)
                 whole = content[b : b + 4] == b"\r\n\r\n"
-                block = content[a:b] if whole else b""
-                cut = block.find(b"\r\n\r\n")
-                body = block[cut + 4 :] if block.startswith(b"HTTP/") and cut >= 0 else block
-                yield at, b + 4 if whole else -1, _page(fields.get(b"warc-record-id")), fields.get(b"warc-type"), _page(fields.get(b"warc-refers-to")), fields.get(b"warc-target-uri"), len(body), hashlib.sha256(body).hexdigest()
-        at = content.find(MAGIC, at + 1)
+                cut = content.find(b"\r\n\r\n", a, b) if whole and content.startswith(b"HTTP/", a) else -1
+                body = memoryview(content)[cut + 4 if cut >= 0 else a : b] if whole else b""
+                said = fields.get(b"warc-payload-digest", "")
+                yield at, b + 4 if whole else -1, _page(fields.get(b"warc-record-id")), fields.get(b"warc-type"), _page(fields.get(b"warc-refers-to")), fields.get(b"warc-target-uri"), len(body), hashlib.sha256(body).hexdigest(), said.removeprefix("sha256:") if said.startswith("sha256:") else None
+        at = follow
 
 
 def _scan(batches):
@@ -144,21 +167,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     cands = materialize(with_batches, "candidates")
     nodes = cands.select("file", "offset", "next").filter("next > 0")
     rows = cands.join(reachable(nodes), ["file", "offset"], "left_semi")
-    held = rows.filter("type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.first("payload_bytes").alias("b"), F.first("digest").alias("d"))
-    revisits = rows.filter("type = 'revisit'").drop("payload_bytes", "digest").join(held, F.col("refers_to") == F.col("of"), "left").select("page_id", "url", "type", "refers_to", F.col("b").alias("payload_bytes"), F.col("d").alias("digest"))
-    plain = rows.filter("type <> 'revisit'").select("page_id", "url", "type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "digest")
-    both = plain.union(revisits)
+    revisits = rows.filter("type = 'revisit'").drop("payload_bytes", "digest")
+    held = materialize(_referred(rows, revisits), "referred")
+    # every revisit of one page has the same key: it is spread over SALTS keys where the pages meet by a shuffle
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    held = small(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), held.count() * SALTS, REPEATED)
+    met = F.col("refers_to").eqNullSafe(F.col("of")) & F.col("said").eqNullSafe(F.col("stated")) & (salt == F.col("salt"))
+    again = revisits.join(held, met, "left").select("page_id", "url", "type", "refers_to", F.col("b").alias("payload_bytes"), F.col("d").alias("digest"))
+    plain = rows.filter("type <> 'revisit' or type is null").select("page_id", "url", "type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "digest")
+    both = plain.union(again)
     return both.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url")
 
 
+def _referred(rows: DataFrame, revisits: DataFrame) -> DataFrame:
+    """(of, stated, b, d): bytes and digest of the payload that revisits of page ``of`` with the
+    header digest ``stated`` stand for. A page stored more than once with unlike payloads is
+    told apart by the digest; where a revisit states none, the page's smallest digest counts."""
+    asked = revisits.select(F.col("refers_to").alias("of"), F.col("said").alias("stated")).distinct()
+    responses = rows.filter("type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_bytes").alias("b"), F.col("digest").alias("d")).distinct()
+    found = asked.join(responses, "of").filter("stated is null or stated = d")
+    return found.groupBy("of", "stated").agg(F.min(F.struct("d", "b")).alias("x")).select("of", "stated", "x.b", "x.d")
+
+
 def round_trip(pages: DataFrame, *, path: str | None = None, **names) -> DataFrame:
     """Write every page, read the archives back: page_id, payload_bytes, payload_digest,
     record_type, refers_to, url.
 
     A null html is an empty payload. Of equal payloads of at least 100 bytes the smallest
     page_id is the response and the others revisit it; rows that repeat that page_id are all
-    responses; a null page_id stays null and is a response. A null url has no header; other
-    columns are ignored; no rows give no rows.
+    responses; a page_id that is stored with unlike payloads keeps each row's own payload; a
+    null page_id stays null and is a response. A null url has no header; other columns are
+    ignored; no rows give no rows.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")

@@ -475,6 +475,29 @@ def test_warc(spark):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_repeated_page_ids(spark, monkeypatch):
+    """A page stored with two payloads: a revisit returns the payload it was written for. Large
+    pages have archives of their own, null ids are responses."""
+    monkeypatch.setattr(warc, "LARGE_PAGE", 1000)
+    a, b = "A" * 150, "B" * 150
+    rows = [(5, "u", b), (5, "u", a), (9, "u", a), (None, "u", a), (10, "u", b), (11, "u", "c" * 5000), (12, "u", "c" * 5000)]
+    for part in (rows, rows[::-1]):
+        d = spark.createDataFrame(part, "page_id long, url string, html string").repartition(2)
+        got = Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(d).collect())
+        sha = lambda h: hashlib.sha256(h.encode()).hexdigest()
+        assert got == Counter([(5, sha(b), "response", None), (5, sha(a), "response", None), (9, sha(a), "revisit", 5), (None, sha(a), "response", None), (10, sha(b), "revisit", 5), (11, sha("c" * 5000), "response", None), (12, sha("c" * 5000), "revisit", 11)])
+
+
+def test_many_magics_are_read_once():
+    """Magics without a blank line: linear, and the last before a blank line is the candidate."""
+    import time
+
+    content = warc.MAGIC * 200_000 + b"Content-Length: 2\r\n\r\nok\r\n\r\n"
+    start = time.monotonic()
+    found = list(warc.candidates(content))
+    assert time.monotonic() - start < 5 and [c[0] for c in found] == [199_999 * len(warc.MAGIC)] and found[0][1] == len(content)
+
+
 # -- nearest neighbours
 
 
