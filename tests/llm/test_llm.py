@@ -354,8 +354,35 @@ def test_filters_merge_losslessly(spark):
     rng = np.random.default_rng(0)
     fp = np.r_[rng.integers(-(2**63), 2**63, 30000), np.full(9000, 77), np.repeat(rng.integers(-(2**63), 2**63, 500), 2)]
     d = spark.createDataFrame([(int(x),) for x in fp], "fp long").repartition(6)
-    got = {r.fp: r.n for r in exact_dedup.repeated_fingerprints(d, 2_000_000).collect()}
-    assert got == {k: n for k, n in Counter(fp.tolist()).items() if n > 1}
+    for rows in (len(fp), 2_000_000):  # one block, and several
+        got = {r.fp: r.n for r in exact_dedup.repeated_fingerprints(d, rows).collect()}
+        short = (fp.view(np.uint64) >> np.uint64(64 - exact_dedup.fingerprint_bits(rows))).tolist()
+        assert got == {k: n for k, n in Counter(short).items() if n > 1}
+
+
+def test_filter_reads_back_and_is_small():
+    rng = np.random.default_rng(1)
+    for n, width in ((1, 20), (5, 3), (1000, 30), (100_000, 34), (3, 63)):
+        values = np.unique(rng.integers(0, 2**width, n).astype(np.uint64))
+        counts = np.where(rng.random(len(values)) < 0.1, rng.integers(2, 10**6, len(values)), 1)
+        f = exact_dedup.encode_filter(values, counts, width)
+        v, c = exact_dedup.decode_filter(f, width)
+        assert v.tolist() == values.tolist() and c.tolist() == counts.tolist()
+    values = np.unique(rng.integers(0, 2**34, 100_000).astype(np.uint64))
+    f = exact_dedup.encode_filter(values, np.ones(len(values), np.int64), 34)
+    assert sum(len(f[c]) for c in exact_dedup._BLOB) < 3.2 * len(values)  # bytes; the fingerprints have 8 each
+
+
+def test_exact_repeated_rows_are_counted(spark, monkeypatch):
+    """A third of all rows one document stored again and again: one of them stays."""
+    monkeypatch.setattr("corpusloom.llm.common.COPIES", 20)
+    rows = [(i, f"text {i % 150}", "en", "a") for i in range(300)] + [(999, "Text 7", "en", "a")] * 170 + [(None, "null id", "en", "a")] * 30
+    got = exact_dedup.exact_groups(documents(spark, rows).repartition(4)).collect()
+    kept, seen = Counter(), Counter()
+    for r in got:
+        kept[r.text_sha256] += r.kept
+        seen[r.doc_id] += 1
+    assert len(got) == len(rows) and set(kept.values()) == {1} and seen[999] == 170 and seen[None] == 30
 
 
 # -- license scan
