@@ -22,8 +22,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Labelled rows that fit the model, per language, in expectation (the fit's documented bound).
 SAMPLE_ROWS = 400
-#: Characters of a sampled text that the fit reads at most. Predictions read whole texts.
-SAMPLE_CHARS = 100_000
 DIMS = 1 << 15
 SPREAD = np.uint32(2654435761)
 #: Places that are looked up at once; longer texts are summed block by block.
@@ -103,25 +101,43 @@ def in_fold(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+
+def _count(batches):
+    """Sparse n-gram counts of whole texts: at most DIMS places each, whatever the text."""
+    schema = to_arrow_schema(_COUNTS)
+    for batch in batches:
+        for lang, text, h in zip(*(batch.column(i) for i in range(3))):
+            text = text.as_py()
+            if not LETTER.search(text):
+                continue
+            total = np.zeros(DIMS, np.int64)
+            for f in features(normal(text)):
+                total += np.bincount(f, minlength=DIMS)
+            at = np.flatnonzero(total)
+            row = (lang.as_py(), h.as_py(), at.astype("<u2").tobytes(), total[at].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
+
+
 def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample: about ``rows`` texts per language, chosen by a hash of the
-    key, at most twice that many. Rows without text, letters or language teach nothing."""
-    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.left(F.col(text).cast("string"), F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h")).filter("lang is not null and text is not null")
+    key, at most twice that many. Sampled texts are read whole, where they lie; their n-gram
+    counts come to the driver. Rows without text, letters or language teach nothing."""
+    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h")).filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], codebook(0), np.zeros((DIMS, 1), np.float32), np.ones(1), np.ones(1))
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, rows / counts[k]))))
     picked = d.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    sample = picked.orderBy("h", "lang", "text").limit(2 * rows * len(langs)).select("lang", "text").collect()
+    sample = picked.mapInArrow(_count, _COUNTS).orderBy("h", "lang", "places", "counts").limit(2 * rows * len(langs)).collect()
     n = np.zeros((len(langs), DIMS))
     texts = []
     for r in sample:
-        if LETTER.search(r.text):
-            f = sum(np.bincount(x, minlength=DIMS) for x in features(normal(r.text))).astype(float)
-            at = np.flatnonzero(f)
-            texts.append((langs.index(r.lang), at, f[at]))  # a dense row for each text would fill the driver
-            n[langs.index(r.lang)] += f / f.sum()
+        at, f = np.frombuffer(r.places, "<u2").astype(np.intp), np.frombuffer(r.counts, "<i8").astype(float)
+        texts.append((langs.index(r.lang), at, f))
+        n[langs.index(r.lang), at] += f / f.sum()
     code = codebook(len(langs))
     p = (n + 0.02 * n.mean() + 1e-9) / (n.sum(1, keepdims=True) + (0.02 * n.mean() + 1e-9) * DIMS)
     bits = code.shape[1]

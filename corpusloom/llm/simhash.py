@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize
+from .common import materialize, small
 from .exact_dedup import normalised
 from .graph import components
 
 SEED = 42
 #: Distinct fingerprints per task that emit variants (some 140 MB of them).
 SPREAD = 131_072
+#: Documents of one fingerprint beyond which they take a second key in the last join, and so on up to MOST_SALTS.
+HOT, MOST_SALTS = 200_000, 999
+#: Hot fingerprints up to this many are broadcast.
+HOT_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -77,12 +81,15 @@ def _masks(half: int) -> list[int]:
 
 
 def links(fps: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
-    """(a, b) links that connect all distinct ``fp`` within ``radius`` (even) bits.
+    """(a, b) links that connect all distinct ``fp`` within ``radius`` bits; an odd radius has no
+    half for all that share a variant to lie within it, so it raises.
 
     ``rows`` (counted if None) sets how many tasks emit variants. A variant's group holds at most as many fingerprints as a ball of half the radius (65 at
     radius 2), whatever the data. The smallest of a group comes from an aggregation with a
     small state, and only groups with two members or more meet their members again.
     """
+    if radius < 0 or radius % 2:
+        raise ValueError(f"radius must be even, not {radius}")
     tasks = max(fps.sparkSession.sparkContext.defaultParallelism, (fps.count() if rows is None else rows) // SPREAD)
     fps = fps.repartition(tasks, "fp")
     masks = F.array(*(F.lit(m).cast("long") for m in _masks(radius // 2)))
@@ -104,11 +111,19 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
     prints = materialize(src.mapInArrow(_fingerprints(shingle, to_arrow_schema(fields)), fields), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = materialize(components(links(nodes.select("fp"), radius, nodes.count())), "simhash-roots")
     # components of fingerprints, then the smallest document of each
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    named = member.join(lowest, "root").select("fp", "component_id", "n")
+    # a fingerprint of very many documents (empty texts, say) is spread over keys of its own
+    some = F.sequence(F.lit(0).cast("long"), F.least(F.lit(MOST_SALTS), F.floor(F.col("n") / HOT)).cast("long"))
+    named = materialize(named.withColumn("salt", F.explode(some)).withColumn("salts", F.size(some)), "simhash-named")
+    hot = materialize(named.filter("salts > 1").select("fp", "salts").distinct(), "simhash-hot")  # a row per HOT documents at most
+    if n_hot := hot.count():
+        prints = prints.join(small(hot, n_hot, HOT_ROWS), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        out = prints.join(named.select("fp", "salt", "component_id"), ["fp", "salt"])
+    else:
+        out = prints.join(named.select("fp", "component_id"), "fp")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

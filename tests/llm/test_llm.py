@@ -199,6 +199,30 @@ def test_langid(spark):
     assert langid.identify(d.limit(3), langid.fit(d.limit(0))).first().lang_pred == "und"
 
 
+def test_langid_decodes_by_definition(spark):
+    """Margins and decoding against plain loops; the fit reads a sampled text to its end."""
+    import math
+
+    d = spark.read.parquet(f"{ROOT}/sf0.001/documents.parquet")
+    model = langid.fit(d)
+    for r in d.orderBy("doc_id").limit(40).collect():
+        if not r.text or not langid.LETTER.search(r.text):
+            continue
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in r.text.lower().encode())
+        norm = b" " + b" ".join(raw.split()) + b" "
+        places = [((int.from_bytes(norm[i : i + n], "big") + n) * 2654435761 % 2**32) >> 17 for n in range(1, 5) for i in range(len(norm) - n + 1)]
+        m = [sum(float(model.table[p, b]) for p in places) / len(places) * model.scale[b] for b in range(model.table.shape[1])]
+        loss = [sum(w * math.log1p(math.exp(-c * x)) for w, c, x in zip(model.bit_weight, row, m)) for row in model.code]
+        p = [math.exp(min(loss) - x) for x in loss]
+        lang, score, close, bits = model.predict(r.text)
+        best = min(range(len(loss)), key=loss.__getitem__)
+        assert lang == model.langs[best] and abs(score - p[best] / sum(p)) < 1e-3 and bits == "".join("1" if x > 0 else "0" for x in m)
+    tail = "word " * 60_000
+    rows = [(i, tail + x * 2000, lang) for i, (x, lang) in enumerate([("qqqq ", "q"), ("zzzz ", "z")] * 5)]
+    late = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [late.predict("qqqq qqqq")[0], late.predict("zzzz zz")[0]] == ["q", "z"]
+
+
 def test_codebook():
     for k in (2, 3, 4, 5, 9, 20):
         c = langid.codebook(k)
@@ -471,6 +495,18 @@ def test_links_find_every_near_pair(spark):
     assert {x: root.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
 
+def test_odd_radius_raises(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash.links(spark.createDataFrame([(0,), (7,)], "fp long"), radius=3)
+
+
+def test_hot_fingerprints_spread(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rows = [(i, None if i % 3 else "some other words here", "en", "a") for i in range(300)]
+    got = simhash.near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == 300 and {r.doc_id: r.component_id for r in got} == {i: 1 if i % 3 else 0 for i in range(300)}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
