@@ -1,15 +1,20 @@
 """License scan: exact places of known phrases, and fuzzy search for short notices.
 
 A notice of n characters with at most k errors, split into k + 1 parts, keeps at least one
-part whole (pigeonhole). The parts are the seeds: they are looked up exactly, each hit opens
-a window around the place where the notice would lie, and the regex library's bounded-error
-matching verifies the window and counts the edits. Everything is local to a document.
+part whole (pigeonhole). The parts are the seeds: they are looked up exactly, each hit names
+the ranges of words around it that the notice may lie in, and the regex library's
+bounded-error matching verifies a range and counts its edits. Spans are taken from the left:
+of the ranges that overlap the first that matches, the one with the fewest errors (then the
+first, then the shortest), and the search goes on behind it. Everything is local to a
+document.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
+from collections import deque
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,6 +58,80 @@ def seeds(notice: bytes, errors: int) -> list[tuple[int, bytes]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+class _Errors(dict):
+    """Errors of a notice in a stretch of text, or None beyond the bound; texts that repeat are verified once."""
+
+    def __init__(self, raw, pattern):
+        super().__init__({raw: 0})
+        self.raw, self.pattern = raw, pattern
+
+    def __missing__(self, text):
+        if len(self) >= 50_000:
+            self.clear()
+        m = self.pattern.fullmatch(text)
+        found = self[text] = sum(m.fuzzy_counts) if m else None
+        return found
+
+
+def _starts(norm: bytes, off: int, seed: bytes):
+    """Places of a notice by the places of its seed."""
+    at = norm.find(seed)
+    while at >= 0:
+        yield at - off
+        at = norm.find(seed, at + 1)
+
+
+def _ranges(norm: bytes, start: int, n: int, k: int):
+    """Ranges of whole words (start, end) that a notice of ``n`` characters with up to ``k``
+    errors fills, if its place by a seed is ``start``."""
+    lo = max(0, start - k - 1)
+    window = norm[lo : start + n + k + 1]
+    spaces = [lo + i for i, c in enumerate(window) if c == 32]
+    first = [x + 1 for x in spaces if x < start + k]
+    last = [x for x in spaces if x >= start + n - k]
+    for a in first:
+        for e in last:
+            if abs(e - a - n) <= k:
+                yield a, e
+
+
+def _in_order(norm: bytes, parts, n: int, k: int):
+    """All ranges by the hits of all seeds, sorted and distinct. A hit's ranges start at most
+    ``k`` before it, so those before that are final and little is held at a time."""
+    held, last = [], None
+    hits = heapq.merge(*(_starts(norm, off, seed) for off, seed in parts))
+    for hit in hits:
+        while held and held[0][0] < hit - k:
+            if (r := heapq.heappop(held)) != last:
+                yield (last := r)
+        for r in _ranges(norm, hit, n, k):
+            heapq.heappush(held, r)
+    while held:
+        if (r := heapq.heappop(held)) != last:
+            yield (last := r)
+
+
+def _leftmost(norm: bytes, ranges, errors):
+    """(start, end, errors) of non-overlapping spans, from the left; ``ranges`` are in order."""
+    ahead, behind = deque(), 0
+    while ahead or (r := next(ranges, None)):
+        a, e = ahead.popleft() if ahead else r
+        if a < behind or (d := errors[norm[a:e]]) is None:
+            continue
+        while not ahead or ahead[-1][0] < e:
+            if (r := next(ranges, None)) is None:
+                break
+            ahead.append(r)
+        best = (d, a, e)
+        for b, f in ahead:
+            if not best[0] or b >= e:
+                break
+            if (other := errors[norm[b:f]]) is not None:
+                best = min(best, (other, b, f))
+        yield best[1], best[2], best[0]
+        behind = best[2]
+
+
 class Scanner:
     """Scans one text at a time. ``share`` is the errors allowed per character of a notice."""
 
@@ -62,52 +141,32 @@ class Scanner:
         for n, label in notices.items():
             raw = n.encode()
             k = max(1, int(len(raw) * share))
-            pattern = regex.compile(b"(?b)(?:" + regex.escape(raw) + b"){e<=" + str(k).encode() + b"}")
-            self.notices.append((raw, label, k, seeds(raw, k), pattern))
+            pattern = regex.compile(b"(?b)(?:" + regex.escape(raw) + b"){e<=" + str(k).encode() + b"}", regex.DOTALL)
+            self.notices.append((raw, label, k, seeds(raw, k), _Errors(raw, pattern)))
 
     def base(self, norm: bytes):
-        """(start word, label) of every exact place; ``norm`` has a space around each word."""
+        """(start byte of the phrase, label) of every exact place; ``norm`` has a space around each word."""
         for p, label in self.phrases:
             at = norm.find(p)
             while at >= 0:
-                yield norm.count(b" ", 0, at), label
+                yield at + 1, label
                 at = norm.find(p, at + 1)
 
     def fuzzy(self, norm: bytes):
-        """(label, start word, end word, errors) of the best match of each candidate window."""
-        for raw, label, k, parts, pattern in self.notices:
-            spans: list[list[int]] = []
-            for off, seed in parts:
-                at = norm.find(seed)
-                while at >= 0:
-                    a, b = max(0, at - off - k), min(len(norm), at - off + len(raw) + k)
-                    spans.append([a, b])
-                    at = norm.find(seed, at + 1)
-            spans.sort()
-            joined: list[list[int]] = []
-            for a, b in spans:
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
-                else:
-                    joined.append([a, b])
-            for a, b in joined:
-                # candidates of one stretch are verified place by place, so a long stretch of seeds stays linear
-                lo = a
-                while lo < b and (m := pattern.search(norm, lo, b)):
-                    s, e = m.span()
-                    while s < e and norm[s : s + 1] == b" ":
-                        s += 1
-                    while e > s and norm[e - 1 : e] == b" ":
-                        e -= 1
-                    if e > s:
-                        yield label, norm.count(b" ", 0, s) - 1, norm.count(b" ", 0, e) - 1, sum(m.fuzzy_counts)
-                    lo = max(m.end(), lo + 1)
+        """(label, start byte, end byte, errors) of the spans of each notice, from the left."""
+        for raw, label, k, parts, errors in self.notices:
+            yield from ((label, *span) for span in _leftmost(norm, _in_order(norm, parts, len(raw), k), errors))
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
         norm = b" " + b" ".join(words) + b" "
         base = list(self.base(norm)) if words else []
         near = list(self.fuzzy(norm)) if words else []
+        if base or near:  # word numbers from one pass over the spaces
+            spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+            number = lambda at: int(np.searchsorted(spaces, at)) - 1
+            base = [(number(at), label) for at, label in base]
+            near = [(label, number(s), number(e), errors) for label, s, e, errors in near]
         length = {label: len(raw) for raw, label, *_ in self.notices}
         score = 1.0 if base else max((1 - errors / length[label] for label, _, _, errors in near), default=0.0)
         own = {label for _, label in base}
@@ -153,14 +212,3 @@ def scan_licenses(docs: DataFrame, *, doc_id="doc_id", text="text", phrases: dic
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:])], schema=arrow)
 
     return src.mapInArrow(run, schema)
-
-
-def brute_force(text: str | None, phrases: dict | None = None) -> tuple[int, list[tuple[int, str]]]:
-    """Words and exact places by definition, for tests."""
-    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
-    found = []
-    for p, label in (phrases or PHRASES).items():
-        want = p.split()
-        found += [(i, label) for i in range(len(words)) if words[i : i + len(want)] == want]
-    return len(words), sorted(found)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -239,7 +240,7 @@ def test_mix(spark):
     assert len(got) == len(rows)
     sizes = defaultdict(int)
     for _, t, _, s in rows:
-        sizes[s] += len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w])
+        sizes[s] += len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])
     names = sorted((s for s in sizes if s is not None)) + [None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, capped = {}, set()
@@ -267,7 +268,7 @@ def test_mixed_rows(spark):
     assert out.columns == d.columns
     got, words, middle = Counter(), defaultdict(int), {}
     for r in out.collect():
-        size = len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text or "") if w])
+        size = len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w])
         got[r.source, r.doc_id, size] += 1
         words[r.source] += size
     want, target = Counter(), {}
@@ -412,11 +413,88 @@ def test_exact_repeated_rows_are_counted(spark, monkeypatch):
 # -- license scan
 
 
+def license_words(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def license_places(text):
+    """Words and exact places by definition."""
+    words, found = license_words(text), []
+    for p, label in license_scan.PHRASES.items():
+        want = p.split()
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(want)] == want]
+    return len(words), sorted(found)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def license_spans(text, raw, k):
+    """Spans of one notice by definition: of the word ranges that overlap the first with up to
+    ``k`` edits, the one with the fewest; then on behind it."""
+    words = [w.encode() for w in license_words(text)]
+    at = [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    near = []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            n = at[j + 1] - 1 - at[i]
+            if n > len(raw) + k:
+                break
+            if abs(n - len(raw)) <= k and (d := edits(b" ".join(words[i : j + 1]), raw)) <= k:
+                near.append((i, j, d))
+    out, behind = [], -1
+    for i, j, _ in near:
+        if i > behind:
+            d, a, e = min((d, a, e) for a, e, d in near if a > behind and i <= a <= j)
+            out.append((a, e, d))
+            behind = e
+    return out
+
+
+def test_license_spans_by_definition():
+    scanner, rng = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES), random.Random(9)
+    fixed = ["undr the mit license under the mit license", "all rihts reserved all rights reserved all rights rserved", "a under the mit license", "under the mit license " * 30]
+    for turn in range(160):
+        text = fixed[turn] if turn < len(fixed) else ""
+        while len(text) < 120 and turn >= len(fixed):
+            t = list(rng.choice([*license_scan.NOTICES]))
+            for _ in range(rng.randint(0, 3)):
+                p = rng.randrange(len(t))
+                t[p : p + 1] = rng.choice([[], ["q"], [t[p], " "], [t[p], "z"], [" "]])
+            text += "".join(t) + rng.choice([" ", " a ", " foo the ", " reserved "])
+        got = defaultdict(list)
+        for s in scanner.scan(text)["spans"]:
+            got[s["label"]].append((s["first"], s["last"], s["errors"]))
+        for raw, label, k, *_ in scanner.notices:
+            assert got[label] == license_spans(text, raw, k), (text, label)
+
+
+def test_license_long_texts_of_one_phrase():
+    import time
+
+    scanner, took = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES), []
+    for n in (20_000, 80_000):
+        start = time.monotonic()
+        r = scanner.scan("under the mit license " * n)
+        took.append(time.monotonic() - start)
+        assert r["n_base"] == len(r["spans"]) == n and r["last_word"] == 4 * (n - 1)
+    assert took[1] < 10 * took[0]
+
+
 def test_license(spark):
     rows = odd_rows(20) + [(9000, "Under the MIT license. under the mit, LICENSE under the mit licenses", "en", "a"), (9001, "licensed under the GNU Genera1 Public Licence!", "en", "a"), (9002, "Apache License, Version 2.0; CC-BY-NC", "en", "a"), (9003, "cc by ncé", "en", "a"), (9004, "x " * 5000 + "All Rights Reservd" + " y" * 5000, "en", "a")]
     got = {(r.doc_id): r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
     for i, t, *_ in rows:
-        n, found = license_scan.brute_force(t)
+        n, found = license_places(t)
         r = got[i]
         assert (r.n_words, r.n_base) == (n, len(found)) and r.first_word == (found[0][0] if found else None) and r.last_word == (found[-1][0] if found else None)
         assert r.base_labels == ",".join(sorted({x for _, x in found})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
