@@ -643,12 +643,59 @@ def test_many_magics_are_read_once():
 
 
 def test_index_retrieves_the_whole_ball():
+    """Probing by ``reach`` holds every code within tables * (reach + 1) - 1 bits, and reads what
+    near substrings hold and nothing else."""
     rng = np.random.default_rng(1)
-    code = rng.integers(0, 256, (3000, 16), np.uint8)
-    index = ann.MultiIndex(code)
-    for radius in (0, 3, 15, 16, 31, 47, 60, 128):
-        for q in code[:5] ^ (rng.random((5, 16)) < 0.2).astype(np.uint8):
-            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(code ^ q).sum(1) <= radius).tolist()
+    x, turn = rng.standard_normal((3000, 40)), ann.rotations(rng.standard_normal((500, 40)), 8 * 11)
+    near = x[:20] + 0.05 * rng.standard_normal((20, 40))
+    code, asked = ann.Codes(x, turn, 11), ann.Codes(near, turn, 11)
+    for reach in (0, 1, 2):
+        index = ann.MultiIndex(code, 11, reach)
+        radius = 8 * (reach + 1) - 1
+        for i in range(20):
+            apart = np.bitwise_count(code.sub ^ asked.sub[i])
+            assert index.within(asked, i, radius).tolist() == np.flatnonzero(apart.sum(1) <= radius).tolist()
+            before = index.touched
+            assert index.hits(asked.sub[i]).tolist() == np.flatnonzero((apart <= reach).any(1)).tolist()
+            assert index.touched - before == (apart <= reach).sum() < len(x)
+
+
+def test_index_decides():
+    """A wrong table changes the answer, and few rows are touched where vectors have neighbours."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((1000, 32)), 8, axis=0) + 0.2 * rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    plan = ann.learn(x[rng.permutation(8000)[:2000]], 1.0, 5, 8000, 8000)
+    code, asked = ann.Codes(ann.lift(x, 1.0), plan.turn, plan.width), ann.Codes(np.hstack([x[:200], np.zeros((200, 1))]), plan.turn, plan.width)
+    index, found = ann.MultiIndex(code, plan.width, plan.reach), 0
+    for i in range(200):
+        best = set(np.argsort(-(x @ x[i]))[:6].tolist())
+        found += len(best & set(index.within(asked, i, plan.radius).tolist())) / 6
+    assert found / 200 > 0.9 and index.touched / 200 < 0.1 * 8000
+    wrong = ann.MultiIndex(code, plan.width, plan.reach)
+    wrong.start[:] = wrong.start[:, :1]  # tables whose lists are empty
+    assert all(len(wrong.within(asked, i, plan.radius)) == 0 for i in range(200))
+
+
+def test_nearest_repeated_queries_and_short_answers(spark):
+    """A query row stored twice asks once; rows stored often are candidates each; a query that
+    probing leaves short is answered from all rows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())] * 3 + [(7, x[7].tolist())] * 30
+    rows += [(100, (-x[0]).tolist())]  # a query opposite to most
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r.rank))
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert sorted(got) == [0, 20, 40, 100]
+    for q, found in got.items():
+        assert [f[2] for f in found] == list(range(1, 21))
+        s = m @ m[np.flatnonzero(ids == q)[0]]
+        best = sorted((-s[ids != q]).tolist())[:20]
+        times = Counter(f[0] for f in found)
+        assert all(times[v] <= (ids == v).sum() for v in times) and q not in times
+        assert sum(abs(-b - f[1]) < 1e-9 for b, f in zip(best, found)) >= 10
 
 
 def test_nearest(spark):
