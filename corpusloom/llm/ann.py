@@ -28,14 +28,14 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Vectors that the rotations, the tables and the radius are learned on, at most.
-SAMPLE_ROWS = 4096
+#: Vectors that the rotations are learned on, and queries whose true neighbours teach tables and radius, at most.
+SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 256
 #: Substrings (tables) of a code, at most, and bits that probing may change in one.
 TABLES, REACH = 96, 4
 #: Rows of the index in a block, at least (but for small tables) and at most, and queries in a group.
 LEAST_BLOCK, INDEX_BLOCK, QUERY_BLOCK = 16_384, 131_072, 32_768
-#: Share of a sample's true neighbours that probing must find, and that the radius must keep.
-FIND, COVER = 0.97, 0.99
+#: Share of the sample's true neighbours that probing must find, and that the radius must keep.
+FIND, COVER = 0.96, 0.99
 #: Vectors that are reranked at once.
 AT_ONCE = 32_768
 
@@ -115,30 +115,24 @@ class Plan:
         self.turn, self.width, self.reach, self.radius = turn, width, reach, radius
 
 
-def learn(sample: np.ndarray, top: float, k: int, n: int, block: int) -> Plan:
-    """The cheapest tables and reach that find ``FIND`` of a sample's true neighbours. Of ``n``
-    rows' ``k`` nearest, a sample holds its own share, so as many of its neighbours count."""
+def learn(sample: np.ndarray, top: float, asked: np.ndarray, near: np.ndarray, block: int) -> Plan:
+    """The cheapest tables and reach that find ``FIND`` of true neighbours. ``sample`` teaches the
+    rotations; ``near`` are true neighbours, row by row, of ``asked``."""
     width = int(np.clip(round(np.log2(max(2, block))), 8, 17))
     full = rotations(lift(sample, top), TABLES * width)
-    c = Codes(lift(sample, top), full, width).sub
-    some = np.linspace(0, len(sample) - 1, min(len(sample), 400)).astype(int)
-    q = Codes(np.hstack([sample[some], np.zeros((len(some), 1))]), full, width).sub
-    score = sample[some] @ sample.T
-    score[np.arange(len(some)), some] = -np.inf
-    near = max(1, min(len(sample) - 1, round(k * len(sample) / max(1, n))))
-    best = np.argsort(-score, axis=1)[:, :near]
-    apart = np.bitwise_count(c[best] ^ q[:, None, :]) if len(sample) > 1 else np.zeros((1, 1, TABLES), np.uint8)
-    least = np.minimum.accumulate(apart.reshape(-1, TABLES), axis=1)  # nearest substring of the first so many tables
+    c = Codes(lift(near, top), full, width).sub
+    q = Codes(np.hstack([asked, np.zeros((len(asked), 1))]), full, width).sub
+    apart = np.bitwise_count(c ^ q) if len(c) else np.zeros((1, TABLES), np.uint8)
+    least = np.minimum.accumulate(apart, axis=1)  # nearest substring of the first so many tables
     choices = []
     for reach in range(REACH + 1):
         found = (least <= reach).mean(0)
         values = sum(comb(width, i) for i in range(reach + 1))
-        for tables in range(4, TABLES + 1, 4):
+        for tables in range(1, TABLES + 1):
             ok = found[tables - 1] >= FIND
             choices.append((not ok, tables * values * (1 + block / 2**width) if ok else -found[tables - 1], tables, reach))
     _, _, tables, reach = min(choices)
-    whole = apart.reshape(-1, TABLES)[:, :tables].sum(1)
-    return Plan(full[:, : tables * width], width, reach, int(np.ceil(np.quantile(whole, COVER))))
+    return Plan(full[:, : tables * width], width, reach, int(np.ceil(np.quantile(apart[:, :tables].sum(1), COVER))))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec_id", embedding="embedding", k=20, every=20) -> DataFrame:
@@ -164,14 +158,19 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec
         return spark.createDataFrame([], schema)
     d, n, top = stats
     h = F.xxhash64("vec_id", F.lit("ann"))
-    sample = rows.filter(F.size("v") == d).filter(F.pmod(h, F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * SAMPLE_ROWS / n)).orderBy(h, "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    sample = np.array(sample.tolist(), float).reshape(-1, d)
+    sample = rows.filter(F.size("v") == d).filter(F.pmod(h, F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * SAMPLE_ROWS / n)).orderBy(h, "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").collect()
     # repeated rows are one row with a count; an id asks once
     rows = rows.filter(F.size("v") == d).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
     asked = materialize(asked.filter(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     size = int(np.clip(n // max(1, spark.sparkContext.defaultParallelism), LEAST_BLOCK, INDEX_BLOCK))
     blocks = max(1, -(-n // size))
-    plan = learn(sample, top, k, n, -(-n // blocks))
+    some = asked.orderBy(F.xxhash64("vec_id", F.lit("ask")), "vec_id").limit(SAMPLE_QUERIES)
+    true = _search(rows, some, d, k, top, blocks, None)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = true.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query_id", "vec_id")
+    true = true.join(rows.select("vec_id", "v"), "vec_id").join(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("q", "v").collect()
+    array = lambda a: np.array(a, float).reshape(-1, d)
+    plan = learn(array([r.v for r in sample]), top, array([r.q for r in true]), array([r.v for r in true]), -(-n // blocks))
     held = spark.sparkContext.broadcast(plan)  # dims x bits floats, whatever the data
     found = materialize(_search(rows, asked, d, k, top, blocks, held), "ann")
     others = F.lit(n) - F.coalesce("own", F.lit(0))
