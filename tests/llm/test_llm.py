@@ -757,6 +757,26 @@ def test_pipeline_run(spark):
     assert out[1] + 1 == out[2] and 1024 * (out[2] - 1) < out[0] <= 1024 * out[2]
 
 
+def test_stages_drop_the_same_rows_however_they_are_read(spark, tmp_path):
+    """Repeated and null doc_ids; the files are read in other splits the second time."""
+    import corpus_pipeline as P
+
+    rows = odd_rows() + [(9, "Stored thrice in this table", "en", "a")] * 3 + [(9, "stored thrice in this table", "en", "b")] + [(None, f"null id number {i}", "en", "a") for i in range(20)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    documents(spark, rows).select(*names).repartition(24).write.parquet(str(tmp_path / "d"))
+    seen = []
+    for size in ("128MB", "1KB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        plan = [stage(spark, docs, "") for stage in (P.exact_dedup, P.near_dedup)]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1KB" if size == "128MB" else "128MB")
+        seen.append([sorted(map(str, d.collect())) for d in plan])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1]
+    kept = [r for r in seen[0][0] if "tored thrice" in r]
+    assert len(kept) == 1 and len(seen[0][0]) == len({(t or "").encode().lower() for _, t, *_ in rows})
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 
