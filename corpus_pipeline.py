@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small, table
+from corpusloom.llm.common import identified, materialize, small, table
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.langid import fit, identify
 from corpusloom.llm.mixing import mixed_rows
@@ -17,8 +17,8 @@ from corpusloom.llm.packing import pack
 from corpusloom.llm.queries import tokenizer
 from corpusloom.llm.simhash import near_duplicates
 
-#: Dropped rows up to this many (24 MB) are broadcast to the texts; more are joined by shuffle.
-DROPPED = 1_000_000
+#: Dropped rows up to this many (some 40 MB) are broadcast to the texts; more are joined by shuffle.
+DROPPED = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,26 +27,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.filter(F.col(said.columns[len(docs.columns)]) != "und").select(*said.columns[: len(docs.columns)])
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """Rows with an identity: (doc_id, place in the table), for tables that repeat a doc_id."""
-    return docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("at")))
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``: doc_id and, for tables that repeat it, the row's file and place."""
+    return identified(docs).withColumn("__id", F.struct(F.col("doc_id").alias("id"), F.col("__row.file").alias("file"), F.col("__row.at").alias("at")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose place is in ``dropped``."""
-    dropped = materialize(dropped.select(F.col("doc_id.at").alias("__at")), "dropped")
-    rows = _with_row(docs).withColumn("__at", F.col("__row.at"))
-    return rows.join(small(dropped, dropped.count(), DROPPED), "__at", "left_anti").select(*docs.columns)
+def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` without those whose file and place are in ``dropped`` (its column doc_id)."""
+    dropped = materialize(dropped.select(F.col("doc_id.file").alias("__file"), F.col("doc_id.at").alias("__at")), "dropped")
+    met = (F.col("__row.file") == F.col("__file")) & (F.col("__row.at") == F.col("__at"))
+    return rows.join(small(dropped, dropped.count(), DROPPED), met, "left_anti").select(*columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return _without(docs, exact_groups(_with_row(docs), doc_id="__row").filter("not kept"))
+    rows = _rows(docs)
+    return _without(rows, exact_groups(rows, doc_id="__id").filter("not kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the row with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(_with_row(docs), doc_id="__row").filter("doc_id <> component_id"))
+    rows = _rows(docs)
+    return _without(rows, near_duplicates(rows, doc_id="__id").filter("doc_id <> component_id"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer())
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: Language models and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
