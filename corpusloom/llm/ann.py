@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec
     h = F.xxhash64("vec_id", F.lit("ann"))
     sample = rows.filter(F.size("v") == d).filter(F.pmod(h, F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * SAMPLE_ROWS / n)).orderBy(h, "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").collect()
     # repeated rows are one row with a count; an id asks once
-    rows = rows.filter(F.size("v") == d).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+    rows = materialize(rows.filter(F.size("v") == d).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")), "ann-rows")
     asked = materialize(asked.filter(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     size = int(np.clip(n // max(1, spark.sparkContext.defaultParallelism), LEAST_BLOCK, INDEX_BLOCK))
     blocks = max(1, -(-n // size))
@@ -168,13 +168,14 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec
     true = _search(rows, some, d, k, top, blocks, None)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = true.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query_id", "vec_id")
-    true = true.join(rows.select("vec_id", "v"), "vec_id").join(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("q", "v").collect()
+    true = materialize(true, "ann-true")  # SAMPLE_QUERIES * k rows at most, so both sides below are small
+    true = rows.select("vec_id", "v").join(F.broadcast(true), "vec_id").join(F.broadcast(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))), "query_id").select("q", "v").collect()
     array = lambda a: np.array(a, float).reshape(-1, d)
     plan = learn(array([r.v for r in sample]), top, array([r.q for r in true]), array([r.v for r in true]), -(-n // blocks))
     held = spark.sparkContext.broadcast(plan)  # dims x bits floats, whatever the data
     found = materialize(_search(rows, asked, d, k, top, blocks, held), "ann")
     others = F.lit(n) - F.coalesce("own", F.lit(0))
-    own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.sum("times").alias("own"))
+    own = rows.select("vec_id", "times").join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.sum("times").alias("own"))
     got = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.sum("times").alias("got"))
     short = asked.join(got, "vec_id", "left").join(own, "vec_id", "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), others)).select("vec_id", "v")
     short = materialize(short, "ann-short")
