@@ -142,17 +142,20 @@ def reachable(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``nodes`` is (file, offset, next). In round k every pointer spans 2^k records; the
     reached set takes in what its members point at, and pointers double.
     """
+    key = ["file", "offset"]
+    # sides grow with the archives: merge joins at every size, no broadcast
     jump = materialize(nodes, "jump")
-    reached = materialize(jump.filter("offset = 0").select("file", "offset"), "reached")
+    reached = materialize(jump.filter("offset = 0").select(*key), "reached")
     n = reached.count()
     for _ in range(max_rounds):
-        grown = materialize(reached.union(jump.join(reached, ["file", "offset"]).select("file", F.col("next").alias("offset")).join(nodes.select("file", "offset"), ["file", "offset"], "left_semi")).distinct(), "reached")
+        ahead = jump.join(reached.hint("merge"), key).select("file", F.col("next").alias("offset"))
+        grown = materialize(reached.union(ahead.join(nodes.select(*key).hint("merge"), key, "left_semi")).distinct(), "reached")
         discard(reached)
         reached, before, n = grown, n, grown.count()
         if n == before:
             return reached
-        far = jump.select("file", F.col("offset").alias("at"), F.col("next").alias("offset")).join(jump, ["file", "offset"]).select("file", F.col("at").alias("offset"), "next")
-        far = materialize(far, "jump")
+        far = jump.select("file", F.col("offset").alias("at"), F.col("next").alias("offset")).join(jump.hint("merge"), key)
+        far = materialize(far.select("file", F.col("at").alias("offset"), "next"), "jump")
         discard(jump)
         jump = far
     raise RuntimeError(f"chains did not end in {max_rounds} rounds")
