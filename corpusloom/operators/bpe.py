@@ -1,64 +1,146 @@
-"""Byte-pair merges: learning on distinct words' counts, encoding, decoding."""
+"""Byte-pair merges over token streams: learning, encoding, decoding, and the byte alphabet.
+
+A file is the stream of its texts, each closed by a line feed. Every adjacent pair of the stream
+counts; pairs with a line feed are never merged, so a stream may be cut at its line feeds and
+texts are encoded where they lie. Merges are applied to a batch of texts at once, as arrays.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BASE = 128
+from ..session import scratch_path
 
+BASE, FEED = 128, 10
+#: Merges after which the encoded texts are written, so that a round applies at most as many.
+SAVE_EVERY = 8
 
-def apply_merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
-    """Greedy from the left."""
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and ids[i] == left and ids[i + 1] == right:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
 
+def merged(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with the pair replaced, greedily from the left, and which of the old places stay."""
+    hit = np.zeros(len(ids), bool)
+    hit[:-1] = (ids[:-1] == left) & (ids[1:] == right)
+    if left == right and hit.any():  # in a run of hits every other one counts
+        at = np.flatnonzero(hit)
+        first = np.r_[True, np.diff(at) > 1]
+        start = at[first][np.cumsum(first) - 1]
+        hit[at[(at - start) % 2 == 1]] = False
+    stay = np.ones(len(ids), bool)
+    stay[1:] = ~hit[:-1]
+    out = ids.copy()
+    out[hit] = new
+    return out[stay], stay
 
-def learn_merges(docs: DataFrame, file: str, text: str, merges: int, least: int = 2) -> list[tuple[int, int]]:
-    """Merges in order. A pair scores the sum over files of its count by the file's pairs; ties
-    go to the higher total, then the smaller pair. Pairs with a line feed are left alone.
 
-    Pairs are counted over distinct lines' words with their multiplicities, and each round is one
-    aggregation whose result, a row per pair of the alphabet so far, decides at the driver.
-    """
-    words = docs.select(F.col(file).alias("file"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r" ?[^ \n]+| +"), F.lit(0))).alias("w"))
-    counts = words.groupBy("file", "w").agg(F.count(F.lit(1)).alias("n")).persist()
-    learnt: list[tuple[int, int]] = []
-    try:
-        for _ in range(merges):
-            state = list(learnt)
-            ids = F.arrow_udf(lambda x: pa.array([_encode(t, state) for t in x.to_pylist()], pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
-            d = counts.select("file", "n", ids("w").alias("ids")).filter(F.size("ids") > 1)
-            pairs = d.select("file", "n", F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))).alias("p"))
-            per = pairs.groupBy("file", "p.a", "p.b").agg(F.sum("n").alias("n"))
-            total = per.groupBy("file").agg(F.sum("n").alias("all"))
-            best = per.join(total, "file").groupBy("a", "b").agg(F.round(F.sum(F.col("n") / F.col("all")), 12).alias("score"), F.sum("n").alias("n")).filter(F.col("n") >= least)
-            top = best.orderBy(F.desc("score"), F.desc("n"), "a", "b").first()
-            if top is None:
-                break
-            learnt.append((top.a, top.b))
-    finally:
-        counts.unpersist()
-    return learnt
+def _ascii_ids(texts: list[str | None]) -> list[np.ndarray]:
+    """Bytes of each text and a line feed; characters beyond ASCII are question marks."""
+    return [np.frombuffer(((t or "") + "\n").encode("ascii", "replace"), np.uint8).astype(np.int32) for t in texts]
 
 
-def _encode(text: str, merges: list[tuple[int, int]]) -> list[int]:
-    ids = [ord(c) if ord(c) < BASE else ord("?") for c in text]
-    have = set(ids)
+def _apply(rows: list[np.ndarray], merges, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, row of each id) of some streams after merges numbered from ``first``."""
+    ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     for i, (a, b) in enumerate(merges):
-        if a in have and b in have:
-            ids = apply_merge(ids, a, b, BASE + i)
-            have = set(ids)
-    return ids
+        ids, stay = merged(ids, a, b, BASE + first + i)
+        row = row[stay]
+    return ids, row
+
+
+_STATE = "file string, ids array<int>"
+_COUNTS = T.StructType([T.StructField("file", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("length", T.LongType())])
+
+
+def _start(batches):
+    for b in batches:
+        ids = _ascii_ids(b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["file", "ids"])
+
+
+def _streams(batch) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) for x in batch.column(1)]
+
+
+def _encoded(merges, first: int):
+    def run(batches):
+        for b in batches:
+            ids, row = _apply(_streams(b), merges, first)
+            parts = np.split(ids, np.searchsorted(row, np.arange(1, b.num_rows)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in parts], pa.list_(pa.int32()))], ["file", "ids"])
+
+    return run
+
+
+def _counted(merges, first: int):
+    """Pair counts and lengths of a task's streams by file: a row per pair of the alphabet so far."""
+    size = BASE + first + len(merges)
+
+    def run(batches):
+        pairs: dict[str | None, np.ndarray] = {}
+        length: dict[str | None, int] = {}
+        for b in batches:
+            ids, row = _apply(_streams(b), merges, first)
+            files = b.column(0).to_pylist()
+            names = sorted(set(files), key=str)
+            of = np.array([names.index(f) for f in files])[row]
+            ok = (ids[:-1] != FEED) & (ids[1:] != FEED)  # so both are of one text
+            key = (of[:-1].astype(np.int64) * size + ids[:-1]) * size + ids[1:]
+            n = np.bincount(key[ok], minlength=len(names) * size * size).reshape(len(names), -1)
+            for i, f in enumerate(names):
+                pairs[f] = pairs.get(f, 0) + n[i]
+                length[f] = length.get(f, 0) + int((of == i).sum())
+        for f, n in pairs.items():
+            at = np.flatnonzero(n)
+            rows = [[f] * (len(at) + 1), [*(at // size).tolist(), None], [*(at % size).tolist(), None], [*n[at].tolist(), 0], [*([0] * len(at)), length[f]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["file", "a", "b", "n", "length"])
+
+    return run
+
+
+def pair_scores(counts: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, score, total): a pair scores the sum over files of its count by the file's pairs."""
+    per = counts.groupBy("file", "a", "b").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    size = per.filter("a is null").select(F.col("file").alias("__f"), F.col("length").alias("__len"))
+    per = per.filter("a is not null").join(size, F.col("file").eqNullSafe(F.col("__f")))
+    out = per.groupBy("a", "b").agg(F.round(F.sum(F.col("n") / (F.col("__len") - 1)), 12).alias("score"), F.sum("n").alias("total"))
+    return out.filter(F.col("total") >= least)
+
+
+def first_scores(docs: DataFrame, file: str, text: str) -> DataFrame:
+    """Scores of all pairs of bytes, before any merge."""
+    state = docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start, _STATE)
+    return pair_scores(state.mapInArrow(_counted([], 0), _COUNTS))
+
+
+def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tuple[int, int]]:
+    """Merges in order: the best score each time, ties to the higher total, then the smaller pair.
+
+    A round is one pass over the encoded texts and an aggregation of a row per pair; texts are
+    never shuffled and the driver sees the winner alone.
+    """
+    spark = docs.sparkSession
+
+    def save(state):
+        path = scratch_path(spark, "streams")
+        state.write.parquet(path)
+        return spark.read.schema(_STATE).parquet(path)
+
+    state = save(docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start, _STATE))
+    learnt: list[tuple[int, int]] = []
+    saved = 0
+    while len(learnt) < merges:
+        scores = pair_scores(state.mapInArrow(_counted(learnt[saved:], saved), _COUNTS))
+        top = scores.orderBy(F.desc("score"), F.desc("total"), "a", "b").first()
+        if top is None:
+            break
+        learnt.append((top.a, top.b))
+        if len(learnt) % SAVE_EVERY == 0 and len(learnt) < merges:
+            state, saved = save(state.mapInArrow(_encoded(learnt[saved:], saved), _STATE)), len(learnt)
+    return learnt
 
 
 def expand(merges: list[tuple[int, int]]) -> list[str]:
@@ -71,19 +153,14 @@ def expand(merges: list[tuple[int, int]]) -> list[str]:
 
 def encode(text: Column, merges: list[tuple[int, int]]) -> Column:
     """Ids of a text, merges in the order learnt; characters beyond ASCII are ``?``."""
-    return F.arrow_udf(lambda x: pa.array([None if t is None else _encode_text(t, merges) for t in x.to_pylist()], pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))(text)
-
 
-def _encode_text(text: str, merges) -> list[int]:
-    import re
+    def run(x: pa.Array) -> pa.Array:
+        texts = x.to_pylist()
+        ids, row = _apply(_ascii_ids(texts), merges, 0)
+        parts = np.split(ids, np.searchsorted(row, np.arange(1, len(texts)))) if texts else []
+        return pa.array([None if t is None else p[:-1].tolist() for t, p in zip(texts, parts)], pa.list_(pa.int32()))
 
-    cache: dict[str, list[int]] = {}
-    out: list[int] = []
-    for w in re.findall(r" ?[^ \n]+| +|\n", text):
-        if w not in cache:
-            cache[w] = _encode(w, merges)
-        out += cache[w]
-    return out
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
 
 
 def decode(ids: Column, merges: list[tuple[int, int]]) -> Column:
@@ -95,3 +172,30 @@ def decode(ids: Column, merges: list[tuple[int, int]]) -> Column:
 def merges_frame(spark, merges: list[tuple[int, int]]) -> DataFrame:
     text = expand(merges)
     return spark.createDataFrame([(i, a, b, text[BASE + i]) for i, (a, b) in enumerate(merges)], "rank int, left int, right int, piece string")
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: printable Latin characters for themselves, all
+    others from code point 256 up, in order."""
+    shown = [b for b in range(33, 256) if b not in range(127, 161) and b != 173]
+    place = {b: chr(b) for b in shown}
+    for b in range(256):
+        place.setdefault(b, chr(256 + len(place) - len(shown)))
+    return [place[b] for b in range(256)]
+
+
+def to_alphabet(raw: Column) -> Column:
+    """Bytes as characters of the alphabet. Latin-1 reads one character a byte, without Python."""
+    shown = byte_alphabet()
+    moved = [b for b in range(256) if shown[b] != chr(b)]
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, moved)), "".join(shown[b] for b in moved))
+
+
+def from_alphabet(text: Column) -> Column:
+    """Bytes of a text in the alphabet; null if a character is not of it."""
+    shown = byte_alphabet()
+    moved = [b for b in range(256) if shown[b] != chr(b)]
+    # a byte that is written otherwise may not stand for itself
+    legal = text.rlike("^[" + "".join(f"\\x{{{ord(c):x}}}" for c in shown) + "]*$")
+    back = F.translate(text, "".join(shown[b] for b in moved if b), "".join(chr(b) for b in moved if b))
+    return F.when(legal, F.encode(F.replace(back, F.lit(shown[0]), F.lit("\0")), "ISO-8859-1"))  # translate takes NUL as "drop"

@@ -1,8 +1,10 @@
-"""Greedy chunking and near-duplicate chunks."""
+"""Paragraph packing and near-duplicate chunks."""
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,29 +13,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def greedy_chunks(text: str, tag: str, size: int) -> list[str]:
-    """Paragraphs packed up to ``size`` characters; one over twice that is cut at its last line
-    end before ``size``; each record starts with its tag."""
-    out, held = [], ""
-    mark = f"<{tag}>\n"
-    for p in (x.strip("\n") for x in text.split("\n\n")):
-        if not p.strip():
-            continue
-        if held and len(held) + len(p) > size:
-            out.append(f"{mark}{held}\n")
-            held = ""
-        held = p if not held else f"{held}\n\n{p}"
-        while len(held) > 2 * size:
-            at = held.rfind("\n", 0, size) + 1 or size
-            out.append(f"{mark}{held[:at].rstrip()}\n")
-            held = held[at:]
-    return out + ([f"{mark}{held}\n"] if held else [])
+def chunk_spans(ends: list[int], size: int, line_end) -> list[tuple[int, int]]:
+    """Spans of the records of a body whose paragraphs end at ``ends`` and are two characters apart.
+
+    A record that starts at ``s`` reaches to the last paragraph that ends within ``size`` and the
+    separator of it, at least to the end of the paragraph that ``s`` lies in. A record that would
+    still be over twice ``size`` stops behind the last line end that ``line_end(s, s + size)``
+    finds, or at ``size`` where there is none, and the next one starts there.
+    """
+    spans, s = [], 0
+    while ends and s < ends[-1]:
+        own = bisect_right(ends, s)
+        stop = ends[max(own, bisect_right(ends, s + size + 2) - 1)]
+        if stop - s > 2 * size:
+            cut = line_end(s, s + size)
+            stop = cut if cut > s else s + size
+            spans.append((s, stop))
+            s = stop + 2 if stop == ends[own] else stop
+        else:
+            spans.append((s, stop))
+            s = stop + 2
+    return spans
+
+
+def paragraph_records(text: str, size: int) -> list[str]:
+    """Bodies of the records of a text: its non-blank paragraphs (between blank lines), packed."""
+    paragraphs = [p for p in (part.strip("\n") for part in text.split("\n\n")) if p.strip()]
+    body = "\n\n".join(paragraphs)
+    ends = [e - 2 for e in accumulate(len(p) + 2 for p in paragraphs)]
+    spans = chunk_spans(ends, size, lambda lo, hi: body.rfind("\n", lo, hi) + 1)
+    whole = set(ends)
+    return [body[a:b] if b in whole else body[a:b].rstrip() for a, b in spans]
 
 
-def pack_paragraphs(docs: DataFrame, key: str, text: str, tag: str, size: int) -> DataFrame:
-    """(key, chunk, body): records of every document, a map over its text."""
-    chunks = F.arrow_udf(lambda x: pa.array([greedy_chunks(t or "", tag, size) for t in x.to_pylist()], pa.list_(pa.string())), T.ArrayType(T.StringType()))
-    return docs.select(key, F.posexplode(chunks(text)).alias("chunk", "body"))
+def pack_paragraphs(docs: DataFrame, key: str, text: str, tag: str, size: int, least: int = 0) -> DataFrame:
+    """(key, chunk, body): records of every document, each behind its tag, a map over its text.
+    Bodies of fewer than ``least`` characters are left out, and chunks keep their numbers."""
+    packed = lambda t: [f"<{tag}>\n{r}\n" if len(r) >= least else None for r in paragraph_records(t or "", size)]
+    chunks = F.arrow_udf(lambda x: pa.array([packed(t) for t in x.to_pylist()], pa.list_(pa.string())), T.ArrayType(T.StringType()))
+    return docs.select(key, F.posexplode(chunks(text)).alias("chunk", "body")).filter("body is not null")
 
 
 @F.arrow_udf(T.LongType())

@@ -82,5 +82,5 @@ def gumbel_top_k(df: DataFrame, group: list[str], item: str, log_weight: str, k:
     u = uniform(F.concat_ws(":", *(F.col(g).cast("string") for g in group), F.col(item).cast("string")))
     noise = -F.ln(-F.ln(u + F.lit(1e-16)))
     w = Window.partitionBy(*group).orderBy(F.desc("__g"), item)
-    d = df.withColumn("__g", F.col(log_weight) + noise)
+    d = df.withColumn("__g", F.round(F.col(log_weight) + noise, 9))
     return d.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= k).drop("__g")

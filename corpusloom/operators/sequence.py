@@ -28,17 +28,32 @@ def running_offset(length: Column, partition: list, order: list) -> Column:
     return F.sum(length).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - length
 
 
-def distributed_offsets(df: DataFrame, key: str, length: str, buckets: int = 64, name: str = "start") -> DataFrame:
-    """Start of each record in one global stream ordered by the integer ``key``, without a
-    single-partition window: bucket sums are added up first, records within buckets second."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    d = df.withColumn("__b", F.floor((F.col(key) - lo) / width))
-    base = d.groupBy("__b").agg(F.sum(length).alias("__n")).withColumn("__base", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))
-    inside = F.sum(length).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)
-    return d.withColumn("__in", inside).join(F.broadcast(base.select("__b", "__base")), "__b").withColumn(name, F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
+#: Rows that a bucket of a global order holds on average.
+BUCKET_ROWS = 65_536
+
+
+def distributed_offsets(df: DataFrame, key: str, length: str, name: str = "start", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Start of each record in one global stream ordered by ``key`` (null first), without a
+    single-partition window: bucket sums are added up first, records within buckets second.
+
+    Buckets lie between quantiles of the key, about ``rows`` records each. Records with one key
+    share a bucket, and follow one another in no set order but by length; null lengths count
+    as 0.
+    """
+    size = F.coalesce(F.col(length), F.lit(0))
+    n = df.count()
+    parts = max(1, -(-n // rows))
+    bounds = [] if parts == 1 else sorted(set(df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    at = F.lit(0)
+    if bounds:  # number of bounds below the key, by a sorted array
+        limits = F.array(*(F.lit(b) for b in bounds))
+        place = F.array_position(limits, F.col(key))
+        at = F.coalesce(F.when(place > 0, place - 1).otherwise(F.size(F.filter(limits, lambda x: x < F.col(key)))), F.lit(-1))
+    d = df.withColumn("__b", at.cast("long"))
+    base = d.groupBy("__b").agg(F.sum(size).alias("__n")).withColumn("__base", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))
+    order = Window.partitionBy("__b").orderBy(F.col(key).asc_nulls_first(), length).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__in", F.sum(size).over(order) - size)
+    return d.join(F.broadcast(base.select("__b", "__base")), "__b").withColumn(name, F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
 
 
 def contiguity_violations(df: DataFrame, partition: list[str], start: str, length: str, ident: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_bucket(value: Column, buckets: int, salt: str = "") -> Column:
@@ -53,37 +55,71 @@ def blocked(df: DataFrame, against: DataFrame, key: Column, against_key: Column)
     return df.withColumn("__k", key).join(right, "__k", "left_anti").drop("__k")
 
 
-def shingle_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, passage_text: Column, n: int) -> DataFrame:
-    """(key, hits): distinct ``n``-word shingles that a document shares with any passage.
+#: Grams of passages up to this many (some 100 MB) go to every task; more meet the documents' grams by shuffle.
+GRAM_ROWS = 500_000
 
-    Substring leakage without a nested scan: both sides become shingle hashes, meet in an
-    equi-join, and the text of the shingle itself decides.
-    """
-    from ..functions.text import joined_ngrams, words
 
-    left = df.select(key, F.explode(F.array_distinct(joined_ngrams(words(text), n))).alias("g"))
-    right = passages.select(F.explode(F.array_distinct(joined_ngrams(words(passage_text), n))).alias("g")).distinct()
-    return left.join(right, "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+def passage_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, passage_text: Column, n: int, limit: int = GRAM_ROWS) -> DataFrame:
+    """(key, hits): distinct grams of a document that stand in a passage: passages of ``n`` words
+    or more give all their ``n``-word grams, shorter ones their whole word sequence.
 
-
-def passage_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, passage_text: Column, n: int) -> DataFrame:
-    """(key, hits): as :func:`shingle_hits`, and passages of fewer than ``n`` words are looked up by
-    their whole word sequence: documents give grams of every such length that occurs."""
+    Within ``limit`` grams the documents are searched where they lie: a gram is only built where
+    its first two words stand side by side. Beyond, grams of both sides meet in a join.
+    """
     from ..functions.text import joined_ngrams, words
 
     p = passages.select(words(passage_text).alias("w")).filter(F.size("w") > 0)
-    short = sorted(r[0] for r in p.filter(F.size("w") < n).select(F.size("w")).distinct().collect())  # below n rows
-    grams = lambda w: F.concat(*(joined_ngrams(w, k) for k in (*short, n)))
-    right = p.select(F.explode(F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(joined_ngrams(F.col("w"), n))).alias("g")).distinct()
-    left = df.select(key, words(text).alias("w")).select(key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    return left.join(right, "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    parts = F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(joined_ngrams(F.col("w"), n))
+    right = p.select(F.least(F.size("w"), F.lit(n)).alias("k"), F.explode(parts).alias("g")).distinct()
+    if (count := right.count()) > limit:
+        sizes = sorted(r[0] for r in right.select("k").distinct().collect())  # at most n of them
+        grams = F.concat(*(joined_ngrams(F.col("w"), k) for k in sizes))
+        left = df.select(key, words(text).alias("w")).select(key, F.explode(F.array_distinct(grams)).alias("g"))
+        return left.join(right.select("g"), "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    kind = df.select(key).schema[key].dataType
+    found = df.sparkSession.sparkContext.broadcast(_grams_by_head([tuple(r) for r in right.collect()] if count else []))
+    schema = T.StructType([T.StructField(key, kind), T.StructField("hits", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            n_hits = [_hits(t.as_py(), *found.value) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_hits, pa.int64())], [key, "hits"])
+
+    return df.select(F.col(key), text.cast("string")).mapInArrow(run, schema).filter("hits > 0")
+
+
+def _grams_by_head(grams: list[tuple[int, str]]):
+    """(single words, {first word: {second word: lengths}}, all grams)."""
+    ones, heads, whole = set(), {}, set()
+    for k, g in grams:
+        w = g.encode().split(b" ")
+        if k == 1:
+            ones.add(w[0])
+        else:
+            heads.setdefault(w[0], {}).setdefault(w[1], set()).add(k)
+            whole.add(b" ".join(w))
+    return ones, heads, whole
+
+
+def _hits(text: str | None, ones: set, heads: dict, whole: set) -> int:
+    w = (text or "").encode("utf-8", "surrogatepass").split()  # the same white space as the pattern's
+    hit = ones.intersection(w) if ones else set()
+    for i, first in enumerate(w[:-1]):
+        if first in heads and (sizes := heads[first].get(w[i + 1])):
+            hit.update(g for k in sizes if i + k <= len(w) and (g := b" ".join(w[i : i + k])) in whole)
+    return len(hit)
 
 
 def blind_sides(df: DataFrame, key: Column, salt: str) -> DataFrame:
-    """Balanced blind assignment: rows ranked by hash, the first half is A first."""
-    h = F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
-    w = Window.orderBy(h)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("swapped", F.col("rank") > F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 2))
+    """Balanced blind assignment: rows ranked by hash, the first half is A first. Ranks are
+    counts of the hashes below: by ranges of the hash first, inside a range second."""
+    d = df.withColumn("__h", F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)).withColumn("__r", F.substring("__h", 1, 3))
+    ranges = d.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))  # 4,096 at most
+    before = F.sum("__n").over(Window.orderBy(F.col("__r").asc_nulls_first()))
+    ranges = ranges.select(F.col("__r").alias("__s"), (before - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    d = d.withColumn("__i", F.row_number().over(Window.partitionBy("__r").orderBy("__h"))).join(F.broadcast(ranges), F.col("__r").eqNullSafe(F.col("__s")))
+    rank = (F.col("__before") + F.col("__i")).cast("int")
+    return d.withColumn("rank", rank).withColumn("swapped", F.col("rank") > F.floor(F.col("__all") / 2)).drop("__h", "__r", "__s", "__i", "__before", "__all")
 
 
 def packet_id(prefix: str, *cols: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import joined_ngrams
+from ..functions.text import WORD, joined_ngrams
 
 #: The normal and Student (4 degrees of freedom) quantiles in use.
 Z95, T95_DF4 = 1.96, 2.7764451051977987
@@ -53,14 +58,6 @@ def hash_poisson(key: Column, draw: Column, terms: int = 8) -> Column:
     return out
 
 
-def poisson_bootstrap(df: DataFrame, key: str, numerator: str, denominator: str, draws: int) -> DataFrame:
-    """(draw, ratio): ratio of weighted sums in each draw. One shuffle of ``draws`` rows per
-    task, whatever the rows: weights are applied map-side."""
-    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = hash_poisson(F.col(key), F.col("draw"))
-    return d.groupBy("draw").agg((F.sum(w * F.col(numerator)) / F.sum(w * F.col(denominator))).alias("ratio"))
-
-
 def poisson_thresholds() -> np.ndarray:
     """Steps of the Poisson(1) distribution function on a grid of 2**52."""
     total, p, out = 0.0, float(np.exp(-1)), []
@@ -84,8 +81,8 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def poisson_bootstrap_blocks(df: DataFrame, key: str, numerator: str, denominator: str, draws: int = 20_000, rows: int = 2048, block: int = 32) -> DataFrame:
-    """(draw, ratio) as :func:`poisson_bootstrap`, for many draws: weights come from a 64-bit mix
-    of key and draw, in blocks of rows by draws, and each task passes on ``draws`` sums.
+    """(draw, ratio): ratio of weighted sums in each draw. Weights come from a 64-bit mix of key
+    and draw, in blocks of rows by draws, and each task passes on ``draws`` sums.
 
     A weight is the inverse of the distribution function at 52 bits: a table over the first 16
     decides all but the cells that hold a step, and those are searched.
@@ -124,17 +121,11 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"), F.count(F.lit(1)).alias("draws"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, draws: int) -> DataFrame:
-    """Bootstrap over whole clusters: sums per cluster first, then draws over clusters."""
-    sums = df.groupBy(cluster).agg(F.sum(numerator).alias("__n"), F.sum(denominator).alias("__d"))
-    return poisson_bootstrap(sums, cluster, "__n", "__d", draws)
-
-
 def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701, chunk: int = 500) -> DataFrame:
     """Paired bootstrap of (sum a - sum b) / ln 2 / sum size with numpy's generator, per group.
 
-    Meant for groups of window results (a few thousand rows); use :func:`poisson_bootstrap`
-    where a group may be large.
+    Meant for groups of window results (a few thousand rows); use
+    :func:`poisson_bootstrap_blocks` where a group may be large.
     """
     schema = df.select(*by).schema.add("delta", "double").add("low", "double").add("high", "double").add("wins", "long").add("windows", "long")
 
@@ -158,14 +149,43 @@ def repeat_excess(arr: Column, n: int) -> Column:
     return F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(F.lit(0.0))
 
 
-def ngram_repetition(df: DataFrame, key: str, arr: Column, n: int) -> DataFrame:
-    """Per document: positions, max_count, max_ngram (first to reach it), max_frequency and
-    excess_rate."""
-    d = df.select(key, F.posexplode(joined_ngrams(arr, n)).alias("pos", "gram"))
-    c = d.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    top = F.max_by("gram", F.struct("n", -F.col("first")))
-    g = c.groupBy(key).agg(F.sum("n").alias("positions"), F.max("n").alias("max_count"), top.alias("max_ngram"), F.sum(F.col("n") - 1).alias("__over"))
-    return g.select(key, "positions", "max_count", "max_ngram", (F.col("max_count") / F.col("positions")).alias("max_frequency"), (F.col("__over") / F.col("positions")).alias("excess_rate"))
+_GRAMS = T.StructType([T.StructField("words", T.LongType()), T.StructField("positions", T.LongType()), T.StructField("distinct", T.LongType()), T.StructField("max_count", T.LongType()), T.StructField("max_ngram", T.StringType())])
+
+
+def gram_counts(text: Column, n: int) -> Column:
+    """Of the lower-case words of a text: words, n-gram positions, distinct n-grams, the top count
+    and the first n-gram to reach it. A document is counted where it lies, without a shuffle."""
+
+    def run(x: pa.Array) -> pa.Array:
+        out = []
+        for t in x.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            w = re.findall(WORD, t)
+            c = Counter(zip(*(w[i:] for i in range(n))))
+            top = max(c, key=c.get) if c else None  # the first of equals is the first inserted
+            out.append((len(w), max(0, len(w) - n + 1), len(c), c[top] if c else 0, " ".join(top) if c else None))
+        return pa.array([None if r is None else dict(zip(_GRAMS.names, r)) for r in out], to_arrow_type(_GRAMS))
+
+    return F.arrow_udf(run, _GRAMS)(F.lower(text))
+
+
+def ngram_repetition(df: DataFrame, key: str, text: Column, n: int) -> DataFrame:
+    """Per document with an n-gram: positions, max_count, max_ngram (first to reach it),
+    max_frequency and excess_rate."""
+    d = df.select(key, gram_counts(text, n).alias("g")).filter("g.positions > 0").select(key, "g.*")
+    return d.select(key, "positions", "max_count", "max_ngram", (F.col("max_count") / F.col("positions")).alias("max_frequency"), ((F.col("positions") - F.col("distinct")) / F.col("positions")).alias("excess_rate"))
+
+
+def tree_digest(df: DataFrame, group: str, key: str, digest: str, levels: int = 4, width: int = 1024) -> DataFrame:
+    """(group, digest): SHA-256 over the digests of ``width`` keys, of those over ``width`` such
+    nodes, and so on, so that no task ever holds more than ``width`` digests of a group."""
+    for _ in range(levels):
+        node = F.floor(F.col(key) / width).cast("long")
+        inside = F.transform(F.sort_array(F.collect_list(F.struct(key, digest))), lambda x: x[digest])
+        df = df.groupBy(group, node.alias("__k")).agg(F.sha2(F.array_join(inside, ""), 256).alias(digest)).withColumnRenamed("__k", key)
+    return df.select(group, digest)
 
 
 def jaccard(a: Column, b: Column) -> Column:

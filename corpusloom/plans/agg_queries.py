@@ -43,15 +43,21 @@ def a02(spark, sf):
     return w.rollup("author").agg(F.round(ST.bits_per_byte(F.col("nats_a"), F.col("bytes")), 6).alias("a"), F.round(ST.bits_per_byte(F.col("nats_b"), F.col("bytes")), 6).alias("b"), F.count("*").alias("windows"), F.sum("bytes").alias("bytes"), F.countDistinct("book").alias("books"), F.count_if(F.col("nats_b") < F.col("nats_a")).alias("wins"), F.count_if(F.col("nats_b") > F.col("nats_a")).alias("losses"), F.count_if(F.col("nats_b") == F.col("nats_a")).alias("ties"))
 
 
-@register("a04_split_summary", r"""
-SELECT lang, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')))::BIGINT AS words, sum(length(text))::BIGINT AS chars, count(*) AS chunks,
- count(DISTINCT source) AS books, list_sort(list(DISTINCT source)) AS authors, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest
-FROM documents GROUP BY lang""")
+_TREE_SQL = "SELECT lang, k // 1024 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM {} GROUP BY lang, k // 1024"
+
+
+@register("a04_split_summary", rf"""
+WITH l0 AS (SELECT lang, doc_id AS k, sha256(text) AS h FROM documents),
+l1 AS ({_TREE_SQL.format('l0')}), l2 AS ({_TREE_SQL.format('l1')}), l3 AS ({_TREE_SQL.format('l2')}), l4 AS ({_TREE_SQL.format('l3')}),
+s AS (SELECT lang, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')))::BIGINT AS words, sum(length(text))::BIGINT AS chars, count(*) AS chunks,
+ count(DISTINCT source) AS books, list_sort(list(DISTINCT source)) AS authors FROM documents GROUP BY lang)
+SELECT s.*, h AS digest FROM s JOIN l4 ON s.lang IS NOT DISTINCT FROM l4.lang""")
 def a04(spark, sf):
-    """Split summary with sorted authors and an ordered digest of content digests."""
+    """Split summary with sorted authors and a tree digest of the texts' digests in order of ids."""
     d = table(spark, sf, "documents")
-    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256)
-    return d.groupBy("lang").agg(F.sum(X.word_count(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("chunks"), F.countDistinct("source").alias("books"), F.sort_array(F.collect_set("source")).alias("authors"), digest.alias("digest"))
+    tree = ST.tree_digest(d.select("lang", F.col("doc_id").alias("k"), F.sha2("text", 256).alias("h")), "lang", "k", "h")
+    s = d.groupBy("lang").agg(F.sum(X.word_count(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("chunks"), F.countDistinct("source").alias("books"), F.sort_array(F.collect_set("source")).alias("authors"))
+    return s.join(tree.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang").withColumnRenamed("h", "digest")
 
 
 @register("a05_ngram_repetition", f"""
@@ -62,7 +68,7 @@ SELECT doc_id, sum(n)::BIGINT AS positions, max(n) AS max_count, arg_max(g, n *
  round(max(n) / sum(n), 9) AS max_frequency, round(sum(n - 1) / sum(n), 9) AS excess_rate FROM c GROUP BY doc_id""")
 def a05(spark, sf):
     """Bigram repetition with the first n-gram to reach the top count (A5, T-5, T-10)."""
-    d = ST.ngram_repetition(table(spark, sf, "documents"), "doc_id", X.lower_words(F.col("text")), 2)
+    d = ST.ngram_repetition(table(spark, sf, "documents"), "doc_id", F.col("text"), 2)
     return d.withColumn("max_frequency", F.round("max_frequency", 9)).withColumn("excess_rate", F.round("excess_rate", 9))
 
 
@@ -177,35 +183,6 @@ def a16(spark, sf):
     return t.select("arm", "pairs", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")), "direction", "equivalent")
 
 
-def _boot_sql(source: str, key: str, draws: int) -> str:
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        p /= k + 1
-        steps.append(f"(u >= {total!r})::INT")
-    return f"""
-WITH k AS (SELECT *, unnest(range(0, {draws})) AS draw FROM ({source})),
-u AS (SELECT *, CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM k),
-r AS (SELECT draw, sum(({' + '.join(steps)}) * num) / sum(({' + '.join(steps)}) * den) AS ratio FROM u GROUP BY draw)
-SELECT round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high, count(*) AS draws FROM r"""
-
-
-@register("a17_window_bootstrap", _boot_sql(f"SELECT book * 10 + w AS id, nats_b - nats_a AS num, bytes AS den FROM {WIN_SQL}", "id", 40))
-def a17(spark, sf):
-    """Paired window bootstrap with hash Poisson weights; draws are pooled map-side."""
-    w = windows(spark, sf).select((F.col("book") * 10 + F.col("w")).alias("id"), (F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
-    i = ST.interval(ST.poisson_bootstrap(w, "id", "num", "den", 40), "ratio")
-    return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
-
-
-@register("a18_cluster_bootstrap", _boot_sql(f"SELECT book AS id, sum(nats_b - nats_a) AS num, sum(bytes) AS den FROM {WIN_SQL} GROUP BY book", "id", 100))
-def a18(spark, sf):
-    """Bootstrap over whole books: sums per book first."""
-    w = windows(spark, sf).select("book", (F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
-    i = ST.interval(ST.cluster_bootstrap(w, "book", "num", "den", 100), "ratio")
-    return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
-
-
 @register("a17_numpy_bootstrap")
 def a17n(spark, sf):
     """The numpy draws of the paired bootstrap, 20,000 per set of books."""
@@ -213,16 +190,16 @@ def a17n(spark, sf):
     return ST.numpy_bootstrap(w, ["set"], "nats_a", "nats_b", "nats_a", "bytes")
 
 
-@register("a17_window_bootstrap_20k")
+@register("a17_window_bootstrap")
 def a17k(spark, sf):
-    """The paired window bootstrap at the reference's 20,000 draws."""
+    """Paired window bootstrap, 20,000 draws of hash Poisson weights."""
     w = windows(spark, sf).select((F.col("book") * 10 + F.col("w")).alias("id"), (F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
     return ST.interval(ST.poisson_bootstrap_blocks(w, "id", "num", "den"), "ratio")
 
 
-@register("a18_cluster_bootstrap_20k")
+@register("a18_cluster_bootstrap")
 def a18k(spark, sf):
-    """The bootstrap over whole books at the reference's 20,000 draws."""
+    """Bootstrap over whole books, 20,000 draws: sums per book first."""
     w = windows(spark, sf).groupBy("book").agg(F.sum(F.col("nats_b") - F.col("nats_a")).alias("num"), F.sum("bytes").alias("den"))
     return ST.interval(ST.poisson_bootstrap_blocks(w, "book", "num", "den"), "ratio")
 
@@ -477,7 +454,9 @@ def g30(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(F.pmod(b + 180, F.lit(360.0)) - 180, 6).alias("bearing"))
 
 
-@register("g31_gumbel_top_k")
+@register("g31_gumbel_top_k", """
+WITH u AS (SELECT l_orderkey, l_linenumber, ln(l_extendedprice) - ln(-ln(CAST('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 + 1e-16)) AS g FROM lineitem)
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(g, 9) DESC, l_linenumber)::INT AS draw FROM u QUALIFY draw <= 2""")
 def g31(spark, sf):
     """Two proposals per prompt without replacement, by weight."""
     d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.ln(F.col("l_extendedprice")).alias("lw"))

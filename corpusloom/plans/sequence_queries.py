@@ -154,7 +154,7 @@ def w21(spark, sf):
     return d.select("doc_id", "i", "whole")
 
 
-@register("w21_linspace")
+@register("w21_linspace", "SELECT doc_id, list_transform(range(0, 10), lambda i: floor(0 + i * (n_chars - 0) / 9.0::DOUBLE)::BIGINT) AS starts FROM documents")
 def w21f(spark, sf):
     """Evenly spaced starts by floats, truncated."""
     return table(spark, sf, "documents").select("doc_id", Q.linspace_starts(F.lit(0), F.col("n_chars"), 10).alias("starts"))
@@ -171,16 +171,10 @@ def w23(spark, sf):
 
 @register("w24_roster", """
 WITH t AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS base, sum(n_chars) OVER () AS total FROM documents),
-u AS (SELECT *, unnest(range(0, (2500000 // total + 1)::BIGINT)) AS epoch FROM t),
-v AS (SELECT doc_id, epoch, (epoch * total + base)::BIGINT AS start, n_chars FROM u)
-SELECT doc_id, epoch, start, least(n_chars, 2500000 - start)::BIGINT AS take FROM v WHERE least(n_chars, 2500000 - start) > 0""")
+u AS (SELECT *, (total * 5 // 2)::BIGINT AS budget, unnest([0, 1, 2]) AS epoch FROM t),
+v AS (SELECT doc_id, epoch, budget, (epoch * total + base)::BIGINT AS start, n_chars FROM u)
+SELECT doc_id, epoch, start, least(n_chars, budget - start)::BIGINT AS take FROM v WHERE least(n_chars, budget - start) > 0""")
 def w24(spark, sf):
-    """Records visited again and again until a fixed budget of targets is met."""
-    return Q.roster(records(spark, sf), "doc_id", "n_chars", 2_500_000).select("doc_id", "epoch", "start", "take")
-
-
-@register("w24_roster_cycles")
-def w24c(spark, sf):
     """Records visited again and again until 2.5 times the table's size is met, at any size."""
     r = records(spark, sf)
     total = r.agg(F.sum("n_chars")).first()[0] or 0
@@ -242,17 +236,9 @@ def w33(spark, sf):
 
 
 @register("x02_padded_rectangle", r"""
-WITH w AS (SELECT conv_id, turn, list_transform(string_split(left(text, 1 + turn % 5), ''), lambda x: ascii(x)) AS s FROM conversations WHERE length(text) > 5), m AS (SELECT max(len(s)) AS n FROM w)
+WITH w AS (SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN []::INT[] ELSE list_transform(string_split(text, ''), lambda x: ascii(x)) END AS s FROM conversations), m AS (SELECT max(len(s)) AS n FROM w)
 SELECT conv_id, turn, list_concat(s, list_transform(range(0, n - len(s)), lambda x: 0)) AS row FROM w, m""")
 def x02(spark, sf):
-    """Ragged arrays padded to a rectangle."""
-    ids = F.transform(F.filter(F.split(F.left("text", (1 + F.col("turn") % 5).cast("int")), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    d = table(spark, sf, "conversations").filter("length(text) > 5").select("conv_id", "turn", ids.alias("s"))
-    return d.crossJoin(F.broadcast(d.agg(F.max(F.size("s")).alias("n")))).select("conv_id", "turn", TK.pad_to(F.col("s"), F.col("n"), F.lit(0)).alias("row"))
-
-
-@register("x02_padded_rectangle_whole")
-def x02w(spark, sf):
     """The ids of every whole text, padded to the longest; a null text is all padding."""
     ids = F.coalesce(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)), F.array().cast("array<int>"))
     c = table(spark, sf, "conversations")
@@ -260,13 +246,19 @@ def x02w(spark, sf):
     return c.select("conv_id", "turn", ids.alias("s")).crossJoin(F.broadcast(widest)).select("conv_id", "turn", TK.pad_to(F.col("s"), F.col("n"), F.lit(0)).alias("row"))
 
 
-@register("x39_budgeted_messages")
+@register("x39_budgeted_messages", r"""
+WITH c AS (SELECT conv_id, turn, right(trim(regexp_replace(text, '\s+', ' ', 'g')), 110) AS t FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM c WHERE t <> ''),
+m AS (SELECT conv_id, max(t) FILTER (WHERE n = 1) AS a, max(t) FILTER (WHERE n = 2) AS b, max(t) FILTER (WHERE n = 3) AS c FROM n GROUP BY conv_id),
+k AS (SELECT *, b IS NOT NULL AND length(b) + 5 <= 295 - length(a) AS two FROM m)
+SELECT conv_id, CASE WHEN two AND c IS NOT NULL AND 290 - length(a) - length(b) > 24 AND length(c) + 5 <= 290 - length(a) - length(b) THEN [c, b, a] WHEN two THEN [b, a] ELSE [a] END AS recent FROM k""")
 def x39(spark, sf):
     """Recent messages, newest first, within a budget of characters."""
     return D.budgeted_messages(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
-@register("x31_accept_gate")
+@register("x31_accept_gate", """
+SELECT user_id, event_id, value, coalesce(value >= max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL) AS accepted FROM events""")
 def x31(spark, sf):
     """Accept or restore: a round stands if its utility does not fall below the last accepted."""
     return D.accept_gate(table(spark, sf, "events"), "user_id", "event_id", "value")
@@ -316,21 +308,11 @@ def j18(spark, sf):
 
 
 @register("j19_hybrid_retrieval", """
-WITH m AS (SELECT vec_id AS slot, embedding::DOUBLE[] AS v, [CAST(label AS VARCHAR), CAST(vec_id % 3 AS VARCHAR)] AS vw FROM embeddings WHERE vec_id < 50),
-q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q, [CAST(label AS VARCHAR), CAST(vec_id % 3 AS VARCHAR)] AS qw FROM embeddings WHERE vec_id >= 50),
-s AS (SELECT query, slot, list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))) + 0.2 * len(list_intersect(list_distinct(qw), vw)) / len(qw) AS score FROM q, m)
-SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, slot) AS rank, slot, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, slot) <= 3""")
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, [CAST(label AS VARCHAR), CAST(vec_id % 3 AS VARCHAR)] AS w FROM embeddings),
+s AS (SELECT q.vec_id AS query, m.vec_id AS slot, list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(m.v, m.v))) + 0.2 * len(list_intersect(list_distinct(q.w), m.w)) / len(q.w) AS score FROM e q, e m WHERE q.vec_id % 20 = 0)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, slot) AS rank, slot, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, slot) <= 3""")
 def j19(spark, sf):
-    """Cosine plus a fifth of the word overlap."""
-    e = table(spark, sf, "embeddings").withColumn("w", F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")))
-    m = e.filter("vec_id < 50").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("v"), F.col("w").alias("vw"))
-    q = e.filter("vec_id >= 50").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("w").alias("qw"))
-    return R.hybrid(q, m).select("query", "rank", "slot", F.round("score", 9).alias("score"))
-
-
-@register("j19_hybrid_all")
-def j19a(spark, sf):
-    """Cosine plus a fifth of the word overlap, over all rows (the query's own too), for the ids divisible by 20."""
+    """Cosine plus a fifth of the word overlap, over all rows (the query's own too), for the ids divisible by 20."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")).alias("w"))
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("w").alias("qw"))
     m = e.select(F.col("vec_id").alias("slot"), F.col("embedding").alias("v"), F.col("w").alias("vw"))
@@ -375,13 +357,24 @@ def sf20(spark, sf):
     return d.select("conv_id", F.sort_array(turns).alias("turns"), F.size("a").alias("n"), F.sort_array(F.array_distinct(roles)).alias("roles"), F.forall(turns, lambda t: t >= 0).alias("all_valid"), F.exists(roles, lambda r: r == "system").alias("any_system"))
 
 
+def _paragraphs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+
+
 @register("p08_paragraph_packing")
 def p08(spark, sf):
-    """Paragraphs packed into records of about 420 characters."""
+    """Paragraphs packed into records of about 420 characters."""
+    from ..operators.chunking import pack_paragraphs
+
+    return pack_paragraphs(_paragraphs(spark, sf), "doc_id", "text", "book", 420)
+
+
+@register("p09_release_chunks")
+def p09(spark, sf):
+    """Release chunks of about 24,000 characters, none below 512."""
     from ..operators.chunking import pack_paragraphs
 
-    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
-    return pack_paragraphs(d, "doc_id", "text", "book", 420)
+    return pack_paragraphs(_paragraphs(spark, sf), "doc_id", "text", "book", 24_000, least=512)
 
 
 @register("so09_near_duplicates")
@@ -404,11 +397,14 @@ def k01(spark, sf):
 
 @register("k04_signatures")
 def k04(spark, sf):
-    """Signed vectors and their validation."""
+    """Signed vectors, and whether a signature that came with a vector is its own: every third
+    comes with its neighbour's, as a forged one would (K4)."""
     from ..functions.kernels import sign_vector
 
-    s = sign_vector(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", s.alias("signature"), (sign_vector(F.col("embedding")) == s).alias("valid"))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", sign_vector(F.col("embedding")).alias("signature"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("signature").alias("other"))
+    came = e.join(other, "vec_id", "left").withColumn("came", F.when(F.col("vec_id") % 3 == 0, F.col("other")).otherwise(F.col("signature")))
+    return came.select("vec_id", "signature", F.coalesce(sign_vector(F.col("embedding")) == F.col("came"), F.lit(False)).alias("valid"))
 
 
 @register("sf03_fnv1a")
@@ -436,13 +432,31 @@ def k10(spark, sf):
     return d.select("doc_id", "task", "theorem", "proof", "result", c.alias("c")).select("doc_id", "task", "theorem", "proof", "result", "c.syntax_ok", "c.valid")
 
 
+MERGES = 24
+
+
+@register("p13_pair_scores", r"""
+WITH t AS (SELECT source, list_transform(string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), ''), lambda c: ascii(c)) AS s FROM documents),
+u AS (SELECT source, CASE WHEN len(s) = 1 AND s[1] = 0 THEN [] ELSE s END AS s FROM t),
+l AS (SELECT source, sum(len(s) + 1) - 1 AS pairs FROM u GROUP BY source),
+p AS (SELECT source, unnest(s[1:len(s) - 1]) AS a, unnest(s[2:]) AS b FROM u WHERE len(s) > 1),
+c AS (SELECT source, a, b, count(*) AS n FROM p WHERE a <> 10 AND b <> 10 GROUP BY ALL)
+SELECT a, b, round(sum(n / pairs::DOUBLE), 12) AS score, sum(n)::BIGINT AS total FROM c JOIN l USING (source) GROUP BY a, b HAVING sum(n) >= 2""")
+def p13s(spark, sf):
+    """Scores of all pairs before the first merge: counts by file over its pairs."""
+    from ..operators.bpe import first_scores
+
+    d = table(spark, sf, "documents").select("source", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    return first_scores(d, "source", "text")
+
+
 @register("p13_bpe_merges")
 def p13(spark, sf):
-    """Merge learning by pair scores over files, 8 merges, all documents reduced to ASCII."""
+    """Merge learning by pair scores over files, all documents reduced to ASCII."""
     from ..operators.bpe import learn_merges, merges_frame
 
     d = table(spark, sf, "documents").select("source", X.ascii_strict(F.col("text")).alias("text"))
-    return merges_frame(spark, learn_merges(d, "source", "text", 8))
+    return merges_frame(spark, learn_merges(d, "source", "text", MERGES))
 
 
 @register("p15_bpe_encode")
@@ -451,6 +465,28 @@ def p15(spark, sf):
     from ..operators.bpe import decode, encode, learn_merges
 
     d = table(spark, sf, "documents").select("doc_id", "source", X.ascii_strict(F.col("text")).alias("text"))
-    merges = learn_merges(d, "source", "text", 8)
+    merges = learn_merges(d, "source", "text", MERGES)
     out = d.select("doc_id", "text", encode(F.col("text"), merges).alias("ids"))
     return out.select("doc_id", F.size("ids").alias("tokens"), (decode(F.col("ids"), merges) == F.col("text")).alias("round_trip"))
+
+
+@register("p18_byte_alphabet", "SELECT doc_id, strlen(text) AS size, text AS back FROM documents")
+def p18(spark, sf):
+    """Texts as bytes in the byte-level alphabet, a character each, and back."""
+    from ..operators.bpe import from_alphabet, to_alphabet
+
+    shown = table(spark, sf, "documents").select("doc_id", to_alphabet(F.encode("text", "UTF-8")).alias("shown"))
+    return shown.select("doc_id", F.length("shown").cast("long").alias("size"), F.decode(from_alphabet(F.col("shown")), "UTF-8").alias("back"))
+
+
+@register("sc12_merge_vocabulary")
+def sc12(spark, sf):
+    """Merges written as a vocabulary file and read back (SC12, SK6)."""
+    from ..operators.bpe import learn_merges, merges_frame
+    from ..session import scratch_path
+    from ..sources.binary import load_vocabulary, save_vocabulary
+
+    d = table(spark, sf, "documents").select("source", X.ascii_strict(F.col("text")).alias("text"))
+    path = scratch_path(spark, "vocabulary")
+    save_vocabulary(spark, learn_merges(d, "source", "text", 8), path)
+    return merges_frame(spark, load_vocabulary(spark, path))

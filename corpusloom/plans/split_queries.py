@@ -23,10 +23,9 @@ SELECT split, lang, count(*) AS documents, sum(n)::BIGINT AS words,
 FROM g GROUP BY ALL ORDER BY split, lang""")
 def slice_query(spark, sf):
     """Flagship: bigram repetition by split and language, as a ratio of sums."""
-    d = table(spark, sf, "documents").select("lang", S.author_split(F.col("source"), SEED).alias("split"), X.lower_words(F.col("text")).alias("w"))
-    g = X.joined_ngrams(F.col("w"), 2)
-    d = d.select("split", "lang", F.size("w").alias("n"), F.size(g).alias("g"), (F.size(g) - F.size(F.array_distinct(g))).alias("r"))
-    return d.groupBy("split", "lang").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), F.round(F.sum("r") / F.greatest(F.lit(1), F.sum("g")), 9).alias("excess")).orderBy("split", "lang")
+    d = table(spark, sf, "documents").select("lang", S.author_split(F.col("source"), SEED).alias("split"), stats.gram_counts(F.col("text"), 2).alias("g"))
+    over, positions = F.sum(F.col("g.positions") - F.col("g.distinct")), F.sum("g.positions")
+    return d.groupBy("split", "lang").agg(F.count("*").alias("documents"), F.sum("g.words").alias("words"), F.round(over / F.greatest(F.lit(1), positions), 9).alias("excess")).orderBy("split", "lang")
 
 
 @register("g01_author_split", f"SELECT doc_id, {SPLIT_SQL} AS split FROM documents")
@@ -124,19 +123,13 @@ def j07(spark, sf):
     return first_per_key(kept, ["k"], ["doc_id"]).select("doc_id")
 
 
-@register("j09_benchmark_shingles", """
+@register("j09_benchmark_passages", """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 16 THEN list_transform(range(1, len(w) - 14), lambda i: array_to_string(w[i:i+15], ' ')) ELSE [] END) AS g FROM d),
-bg AS (SELECT DISTINCT unnest(CASE WHEN len(w) >= 16 THEN list_transform(range(1, len(w) - 14), lambda i: array_to_string(w[i:i+15], ' ')) ELSE [] END) AS g FROM b)
+bg AS (SELECT DISTINCT least(len(w), 16) AS k, unnest(CASE WHEN len(w) >= 16 THEN list_transform(range(1, len(w) - 14), lambda i: array_to_string(w[i:i+15], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM b WHERE len(w) > 0),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM d, (SELECT DISTINCT k FROM bg) WHERE len(w) >= k)
 SELECT doc_id, count(*) AS hits FROM dg JOIN bg USING (g) GROUP BY doc_id""".replace("\\\\", "\\"))
 def j09(spark, sf):
-    """Benchmark passages of 16 words or more inside documents, by 16-word shingles."""
-    return S.shingle_hits(table(spark, sf, "documents"), "doc_id", F.col("text"), table(spark, sf, "benchmark"), F.col("text"), 16)
-
-
-@register("j09_benchmark_passages")
-def j09p(spark, sf):
     """Benchmark passages of any length inside documents: 16-word shingles, shorter ones whole."""
     return S.passage_hits(table(spark, sf, "documents"), "doc_id", F.col("text"), table(spark, sf, "benchmark"), F.col("text"), 16)
 

@@ -56,6 +56,22 @@ def read_tokens(spark: SparkSession, path: str, width: int = 2, limit: int | Non
     return _files(spark, path).mapInArrow(run, schema)
 
 
+def save_vocabulary(spark: SparkSession, merges: list[tuple[int, int]], path: str) -> None:
+    """A merge vocabulary as a file of its own, through the session's file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(conf).create(where, True)
+    try:
+        out.write(vocabulary_bytes(merges))
+    finally:
+        out.close()
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Merges of a vocabulary file, which is small by its format."""
+    return read_vocabulary(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+
+
 def _ids_bytes(ids, width: int) -> bytes:
     if width not in (1, 2, 4, 8):
         return b"".join(int(i).to_bytes(width, "little") for i in ids)
