@@ -110,8 +110,9 @@ def _hits(text: str | None, ones: set, heads: dict, whole: set) -> int:
     return len(hit)
 
 
-def blind_sides(df: DataFrame, key: Column, salt: str) -> DataFrame:
-    """Balanced blind assignment: rows ranked by hash, the first half is A first. Ranks are
+def blind_sides(df: DataFrame, key: Column, salt: str, odd_first: bool = False) -> DataFrame:
+    """Balanced blind assignment: rows ranked by hash, the first half (with the odd row, if
+    ``odd_first``) is not swapped. Ranks are
     counts of the hashes below: by ranges of the hash first, inside a range second."""
     d = df.withColumn("__h", F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)).withColumn("__r", F.substring("__h", 1, 3))
     ranges = d.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))  # 4,096 at most
@@ -119,7 +120,7 @@ def blind_sides(df: DataFrame, key: Column, salt: str) -> DataFrame:
     ranges = ranges.select(F.col("__r").alias("__s"), (before - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     d = d.withColumn("__i", F.row_number().over(Window.partitionBy("__r").orderBy("__h"))).join(F.broadcast(ranges), F.col("__r").eqNullSafe(F.col("__s")))
     rank = (F.col("__before") + F.col("__i")).cast("int")
-    return d.withColumn("rank", rank).withColumn("swapped", F.col("rank") > F.floor(F.col("__all") / 2)).drop("__h", "__r", "__s", "__i", "__before", "__all")
+    return d.withColumn("rank", rank).withColumn("swapped", F.col("rank") > F.floor((F.col("__all") + int(odd_first)) / 2)).drop("__h", "__r", "__s", "__i", "__before", "__all")
 
 
 def packet_id(prefix: str, *cols: Column) -> Column:

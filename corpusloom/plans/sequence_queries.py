@@ -119,7 +119,7 @@ def w14(spark, sf):
 
 @register("w16_first_per_key", "SELECT source, lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1")
 def w16(spark, sf):
-    """First row of each key in order."""
+    """First row of each key in order."""
     return Q.first_per_key(table(spark, sf, "documents").select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
 
 
@@ -164,7 +164,7 @@ def w21f(spark, sf):
 WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: ascii(x)) AS s FROM conversations WHERE length(text) > 0)
 SELECT conv_id, turn, list_transform(range(0, 8), lambda i: CASE WHEN i < 6 THEN s[1 + (turn + i) % len(s)] ELSE -100 END) AS win FROM c""")
 def w23(spark, sf):
-    """Windows that wrap round a stream, with a masked tail."""
+    """Windows that wrap round a stream, with a masked tail."""
     d = table(spark, sf, "conversations").filter("length(text) > 0").select("conv_id", "turn", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("s"))
     return d.select("conv_id", "turn", Q.cyclic_window(F.col("s"), F.col("turn"), 8, total=F.lit(6)).alias("win"))
 

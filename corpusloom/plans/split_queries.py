@@ -49,7 +49,7 @@ def g04(spark, sf):
 
 @register("g05_tail_split", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) > count(*) OVER (PARTITION BY lang) - count(*) OVER (PARTITION BY lang) // 20 AS held FROM documents")
 def g05(spark, sf):
-    """Last twentieth of each stream held out."""
+    """Last twentieth of each stream held out."""
     return S.tail_split(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"]).select("doc_id", "held")
 
 
@@ -68,7 +68,7 @@ def g06(spark, sf):
 SELECT item_id, row_number() OVER (ORDER BY sha256('blind-v1:' || item_id)) AS rank,
   row_number() OVER (ORDER BY sha256('blind-v1:' || item_id)) > count(*) OVER () // 2 AS swapped FROM benchmark""")
 def g08(spark, sf):
-    """Balanced blind A/B sides (G8, T-2, X3) over the fixed benchmark table."""
+    """Balanced blind A/B sides (G8, T-2) over the fixed benchmark table."""
     return S.blind_sides(table(spark, sf, "benchmark").select("item_id"), F.col("item_id"), "blind-v1:")
 
 
@@ -190,7 +190,7 @@ def so03(spark, sf):
 @register("f11_vote_violations", """
 SELECT event_id, unnest(list_filter([CASE WHEN user_id % 10 = 0 THEN 'reviewer' END, CASE WHEN value IS NULL OR value < 1 THEN 'value' END, CASE WHEN event_type NOT IN ('click', 'view') THEN 'choice' END], lambda x: x IS NOT NULL)) AS rule FROM events""")
 def f11(spark, sf):
-    """Rule violations of an event log, one row each."""
+    """Rule violations of an event log, one row each."""
     rules = {"reviewer": F.col("user_id") % 10 != 0, "value": F.col("value") >= 1, "choice": F.col("event_type").isin("click", "view")}
     return S.violations(table(spark, sf, "events"), ["event_id"], rules)
 

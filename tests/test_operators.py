@@ -495,3 +495,134 @@ def test_stream_restart_keeps_state(spark, tmp_path):
 
     assert add([("e1", 1, "A", 1), ("e1", 1, "A", 2)]) == [("e1", 1, "stored")]
     assert add([("e1", 1, "B", 3), ("e2", 1, "A", 4)]) == [("e1", 1, "stored"), ("e1", 3, "conflict"), ("e2", 4, "stored")]
+
+
+def test_encoded_row():
+    from corpusloom.operators import encoding as E
+
+    row = {
+        "lines": ["# goal: x"],
+        "history": [{"speaker": "other", "text": "old " * 40}, {"speaker": "self", "text": "hi"}, {"speaker": "other", "text": "Ann saw Annabel"}],
+        "confidence": 30,
+        "retold": True,
+        "fields": [{"field": 2, "role": 1, "knowledge": 0, "provenance": 4, "spoken": True, "text": "Ann"}, {"field": 0, "role": 0, "knowledge": 1, "provenance": 1, "spoken": None, "text": "hid"}, {"field": 5, "role": 2, "knowledge": 3, "provenance": 1, "spoken": None, "text": "far"}],
+        "output": "So Ann left.",
+        "copies": [{"field": 2, "start": 3, "end": 6}],
+        "typed": {"kind": 7, "move": 2},
+    }
+    got = E.encode_row(row)
+    b = E.byte_ids
+    history = b("other: " + "old " * 40 + "\n") + b("self: hi\n") + b("other: ") + [3] + b(" saw Annabel\n")
+    prefix = b("# goal: x\n") + history + b("- ? ~ ") + [3, 6] + b("\n")
+    said = b("So ") + [3] + b(" left.")
+    assert got["tokens"] == prefix + said and got["prefix_length"] == len(prefix)
+    assert got["labels"] == [-100] * (len(prefix) - 1) + said + [0] and len(got["labels"]) == len(got["tokens"])
+    at = len(prefix) - 3
+    assert got["candidates"] == [[at, at]] and got["source_ids"] == [b("Ann")]
+    place = len(prefix) + 3 - 1
+    assert got["copy_targets"] == [0 if i == place else -1 for i in range(len(got["tokens"]))] and got["weights"][place] == 3.0
+    assert got["meta"][at] == [1, 0, 4, 1, 7] + [0] * 11 + [2] and got["meta"][0] == [0] * 4 + [7] + [0] * 11 + [2] and got["meta"][len(prefix)] == [0] * 17
+    long = dict(row, history=[{"speaker": "self", "text": "a" * 120}, {"speaker": "other", "text": "b" * 120}, {"speaker": "self", "text": "c" * 120}])
+    assert b("a" * 120)[0] not in E.encode_row(long)["tokens"][10:200]  # the earliest message is over the budget
+    for bad in (dict(row, history=[{"speaker": "x", "text": ""}]), dict(row, history=[{"speaker": "self", "text": "y" * 300}]), dict(row, copies=[{"field": 5, "start": 0, "end": 2}]), dict(row, output="z" * 600, copies=[])):
+        with pytest.raises(ValueError):
+            E.encode_row(bad)
+
+
+def test_encoded_column_keeps_faults(spark):
+    from corpusloom.operators import encoding as E
+
+    d = spark.createDataFrame([(1, [], [], "ok"), (2, [], [], "z" * 90)], "i int, fields array<struct<field:int,role:int,knowledge:int,provenance:int,spoken:boolean,text:string>>, copies array<struct<field:int,start:int,end:int>>, output string")
+    got = {r.i: r.e for r in d.select("i", E.encoded(F.struct("fields", "copies", "output"), 40).alias("e")).collect()}
+    assert got[1].fault is None and got[1].tokens == E.byte_ids("- \nok") and got[2].tokens is None and "context" in got[2].fault
+
+
+def test_audit_slices_finds_faults(spark):
+    from corpusloom.operators import records as RC
+
+    good = "- a\n- bb\nout\n\n"
+    content = good + "- c\nother\n\n"
+    rows = [("f", 1, 0, 9, 14, "out"), ("f", 2, 14, 18, 11, "wrong")]
+    files = spark.createDataFrame([("f", bytearray(content.encode()))], "file string, content binary")
+    d = spark.createDataFrame(rows, "file string, id int, text_start int, output_start int, text_bytes int, output string")
+    got = {r.id: r for r in RC.audit_slices(files, d, 8).collect()}
+    assert got[1].prefix == "- bb\n" and got[1].dropped == 1 and got[1].fits and got[1].contiguous and got[1].target_ok and got[1].events_ok
+    assert not got[2].target_ok and got[2].contiguous
+    gap = {r.id: r.contiguous for r in RC.audit_slices(files, d.withColumn("text_start", F.expr("text_start + if(id = 2, 1, 0)")), 8).collect()}
+    assert gap == {1: True, 2: False}
+    tight = {r.id: (r.dropped, r.fits) for r in RC.audit_slices(files, d, 1).collect()}
+    assert tight[1] == (1, False) and tight[2] == (0, False)  # the last event always stays
+
+
+def test_signatures_can_fail(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in QUERIES["k04_signatures"](spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if not r.valid} == {0, 3, 6}
+    h = 14695981039346656037
+    for byte in np.asarray(spark.read.parquet(f"{tmp_path}/embeddings.parquet").filter("vec_id = 1").first().embedding, np.float32).tobytes():
+        h = (h ^ byte) * 1099511628211 % 2**64
+    assert got[1].signature % 2**64 == h
+
+
+def test_near_chunks_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(30):
+        base = [rng.choice(words) for _ in range(40)]
+        for j in range(3):
+            texts[3 * i + j] = " ".join(w for k, w in enumerate(base) if k % 40 >= j)
+    d = spark.createDataFrame([*texts.items(), (900, None), (901, "")], "k long, t string")
+    prints = {r.k: r.f for r in d.select("k", chunking.simhash64(F.col("t")).alias("f")).collect()}
+    first = {}
+    for k in sorted(prints):
+        first.setdefault(prints[k], k)
+    keys = sorted(first.values())
+    want = {(a, b, bits) for i, b in enumerate(keys) for a in keys[:i] if (bits := ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count()) <= 3}
+    assert {tuple(r) for r in chunking.near_chunks(d, "k", "t", 3).collect()} == want and want
+
+
+def test_repeated_words_and_names(spark):
+    from corpusloom.operators import rows as RO
+
+    texts = ["go go go now", "Go GO go", "go go", "the the there the", None, ""]
+    assert [bool(x) for x in col(spark, X.is_degenerate(F.col("x")), texts)][:4] == [True, True, False, False]
+    names = F.array(F.lit("Ann Lee"), F.lit("Bo Ray"), F.lit("Bo Day"))
+    assert col(spark, RO.full_names(F.col("x"), names), ["Ann met Bo.", "Annabel and Ann", "Ann Lee came"])[:2] == ["Ann Lee met Bo.", "Annabel and Ann Lee"]
+
+
+def test_similar_strings_against_difflib(spark):
+    import difflib
+
+    from corpusloom.operators import retrieval
+
+    rng = random.Random(4)
+    rows = [(g, 10 * g + i, "".join(rng.choice("abcd ") for _ in range(12))) for g in (1, 2) for i in range(8)]
+    got = {(r.k, r["rank"]): (r.other, r.ratio) for r in retrieval.nearest_strings(spark.createDataFrame(rows, "g int, k long, t string"), "g", "k", "t", 3).collect()}
+    for g, k, t in rows:
+        best = sorted((-difflib.SequenceMatcher(None, u, t).ratio(), j) for h, j, u in rows if h == g and j != k)[:3]
+        assert [got[k, i + 1] for i in range(3)] == [(j, -r) for r, j in best]
+
+
+def test_xorshift_and_mix(spark):
+    m = 2**64 - 1
+
+    def shift(x):
+        x ^= x << 13 & m
+        x ^= x >> 7
+        return x ^ (x << 17 & m)
+
+    ids = [1, 2, 3, 12345678901234567]
+    d = spark.createDataFrame([(i,) for i in ids], "i long")
+    assert [r[0] & m for r in d.select(K.xorshift64("i")).collect()] == [shift(i) for i in ids]
+    assert [r[0] & m for r in d.select(K.mix64("i")).collect()] == [K.mix(i) for i in ids]
+
+
+def test_record_preview():
+    from corpusloom.operators import dialogue as D
+
+    shown = D.preview([D.CHANNEL, ord("U"), D.SUMMARY, ord("h"), 200, D.END_MESSAGE, D.TARGET, ord("k"), D.END_RECORD])
+    assert shown == "\n<CHANNEL:U\n<SUMMARY>h.]\n] => k<END>\n"
