@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +72,17 @@ def simhash64(x: pa.Array) -> pa.Array:
 def near_chunks(docs: DataFrame, key: str, text: str, distance: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints within ``distance`` bits, by their smallest keys: a, b, bits.
 
-    ``distance + 1`` bands: two fingerprints that near agree in one band at least (pigeonhole).
-    A pair is taken from the first band it shares, and copies of a fingerprint count once, so a
-    large group of copies costs one row.
+    A fingerprint is cut into twice as many blocks as may differ in bits, so two that near agree
+    in half of the blocks at least (pigeonhole): for each choice of half, those blocks together,
+    about 32 bits, are the key that they meet by. Copies of a fingerprint count once, so a large
+    group of copies costs one row.
     """
     f = docs.select(F.col(key), simhash64(F.col(text)).alias("fp")).groupBy("fp").agg(F.min(key).alias("k"))
-    n = distance + 1
-    width = 64 // n
-    band = lambda c, i: F.shiftright(c, i * width).bitwiseAND(F.lit((1 << width) - 1))
-    b = f.select("fp", "k", F.posexplode(F.array(*(band(F.col("fp"), i) for i in range(n)))).alias("i", "v"))
+    n = 2 * distance
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice) for choice in combinations(range(n), distance)]
+    signed = F.array(*(F.lit(m - 2**64 if m >> 63 else m).cast("long") for m in masks))
+    b = f.select("fp", "k", F.posexplode(F.transform(signed, lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v"))
     x, y = b.alias("x"), b.alias("y")
     j = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")))
     bits = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))

@@ -379,7 +379,7 @@ def p09(spark, sf):
 
 @register("so09_near_duplicates")
 def so09(spark, sf):
-    """Chunks within Hamming distance 3 of a SimHash, by four 16-bit bands."""
+    """Chunks within Hamming distance 3 of a SimHash, by halves of six blocks (SO9)."""
     from ..operators.chunking import near_chunks
 
     return near_chunks(table(spark, sf, "documents"), "doc_id", "text", 3)

@@ -626,3 +626,46 @@ def test_record_preview():
 
     shown = D.preview([D.CHANNEL, ord("U"), D.SUMMARY, ord("h"), 200, D.END_MESSAGE, D.TARGET, ord("k"), D.END_RECORD])
     assert shown == "\n<CHANNEL:U\n<SUMMARY>h.]\n] => k<END>\n"
+
+
+def by_stream(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r[:2]):
+        out.setdefault(r[0], []).append(r[1:])
+    return out
+
+
+def test_memory_streams_against_a_ring(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist(), i % 2) for i, v in enumerate(rng.normal(size=(90, 6)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    memory = {(r.stream, r.arrival): r for r in QUERIES["st03_episodic_memory"](spark, str(tmp_path)).collect()}
+    packets = {(r.stream, r.arrival): r for r in QUERIES["st04_vector_exchange"](spark, str(tmp_path)).collect()}
+    assert len(memory) == len(packets) == 90
+    for stream, seen in by_stream([(label, i, np.array(v, np.float32)) for i, v, label in rows]).items():
+        ring, lodged = [], []
+        for n, (i, v) in enumerate(seen):
+            scores = [float(u @ v) for u in ring[-32:]]
+            r = memory[stream, i]
+            assert r.slot == n % 32 and (r.recalled == -1) == (not ring)
+            if ring:
+                assert abs(r.score - max(scores)) < 2e-5
+            ring.append(v)
+            p = packets[stream, i]
+            bad = i % 10 == 3
+            assert p.accepted != bad and p.slot == (-1 if bad else len(lodged) % 32)
+            assert abs(p.score - (0 if bad else max([0.0, *(float(u @ v) for u in lodged[-32:])]))) < 2e-5
+            if not bad:
+                lodged.append(v)
+
+
+def test_rolling_summaries(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    turns = [(1, 0, "first words said here"), (1, 1, "second   answer"), (1, 2, None), (1, 3, "fourth"), (1, 4, "left over"), (2, 0, "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.stream, r.arrival): r.summary for r in QUERIES["st05_rolling_memory"](spark, str(tmp_path)).collect()}
+    one = "chat | first words ; second answe"
+    assert got == {(1, 1): one, (1, 3): f"chat | ~{one.partition(' | ')[2][:14]}; {' '[:12]}; fourth"}
