@@ -116,7 +116,7 @@ def _count(batches):
             for f in features(normal(text)):
                 total += np.bincount(f, minlength=DIMS)
             at = np.flatnonzero(total)
-            row = (lang.as_py(), h.as_py(), at.astype("<u2").tobytes(), total[at].astype("<i8").tobytes())
+            row = (lang.as_py(), h.as_py(), at.astype("<u2").tobytes(), total[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
 
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAM
     n = np.zeros((len(langs), DIMS))
     texts = []
     for r in sample:
-        at, f = np.frombuffer(r.places, "<u2").astype(np.intp), np.frombuffer(r.counts, "<i8").astype(float)
+        at, f = np.frombuffer(r.places, "<u2").astype(np.intp), np.frombuffer(r.counts, "<u4").astype(float)
         texts.append((langs.index(r.lang), at, f))
         n[langs.index(r.lang), at] += f / f.sum()
     code = codebook(len(langs))
