@@ -164,3 +164,22 @@ def marker_records(streams: DataFrame, key: str, tokens: str, mark: int, share:
     d = streams.select(key, places.alias("__at")).withColumn("__n", F.size("__at"))
     d = d.select(key, "__n", F.posexplode("__at").alias("__i", "place"))
     return d.select(key, "place", (F.col("__i") >= F.col("__n") - F.floor(F.col("__n") / share)).alias("held"))
+
+
+def seed_gate(runs: DataFrame, run: str, seed: str, passed: str, digest: str, pilot: int = 1) -> DataFrame:
+    """Adds allowed: the pilot seed is, others only if the run's pilot passed with the same digest."""
+    first = runs.filter(F.col(seed) == pilot).select(F.col(run).alias("__run"), F.col(passed).alias("__passed"), F.col(digest).alias("__digest"))
+    same = F.coalesce(F.col("__passed"), F.lit(False)) & F.coalesce(F.col("__digest") == F.col(digest), F.lit(False))
+    d = runs.join(first, F.col(run) == F.col("__run"), "left").withColumn("allowed", (F.col(seed) == pilot) | same)
+    return d.drop("__run", "__passed", "__digest")
+
+
+def approved_by_group(rows: DataFrame, approved: DataFrame, group: str, text: str, accepted: str, stopped: Column) -> DataFrame:
+    """(group, n, approved): rows of a group, and those that stopped with an accepted text."""
+    hit = F.coalesce(F.array_contains(accepted, F.col(text)), F.lit(False)) & F.coalesce(stopped, F.lit(False))
+    return rows.join(approved, group, "left").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("approved"))
+
+
+def faults(rules: dict[str, Column]) -> Column:
+    """Names of the broken rules; a rule that is null is broken."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())

@@ -28,8 +28,8 @@ def running_offset(length: Column, partition: list, order: list) -> Column:
     return F.sum(length).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - length
 
 
-#: Rows that a bucket of a global order holds on average.
-BUCKET_ROWS = 65_536
+#: Rows that a bucket of a global order holds on average, and buckets at most (larger tables have larger buckets).
+BUCKET_ROWS, BUCKETS = 65_536, 1024
 
 
 def distributed_offsets(df: DataFrame, key: str, length: str, name: str = "start", rows: int = BUCKET_ROWS) -> DataFrame:
@@ -42,13 +42,11 @@ def distributed_offsets(df: DataFrame, key: str, length: str, name: str = "start
     """
     size = F.coalesce(F.col(length), F.lit(0))
     n = df.count()
-    parts = max(1, -(-n // rows))
+    parts = max(1, min(BUCKETS, -(-n // rows)))
     bounds = [] if parts == 1 else sorted(set(df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
     at = F.lit(0)
-    if bounds:  # number of bounds below the key, by a sorted array
-        limits = F.array(*(F.lit(b) for b in bounds))
-        place = F.array_position(limits, F.col(key))
-        at = F.coalesce(F.when(place > 0, place - 1).otherwise(F.size(F.filter(limits, lambda x: x < F.col(key)))), F.lit(-1))
+    if bounds:  # number of bounds below the key
+        at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda x: x < F.col(key)))
     d = df.withColumn("__b", at.cast("long"))
     base = d.groupBy("__b").agg(F.sum(size).alias("__n")).withColumn("__base", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))
     order = Window.partitionBy("__b").orderBy(F.col(key).asc_nulls_first(), length).rowsBetween(Window.unboundedPreceding, 0)

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import agg_queries, io_queries, record_queries, row_queries, sequence_queries, split_queries, text_queries  # noqa: E402, F401
+from . import agg_queries, function_queries, io_queries, record_queries, row_queries, sequence_queries, split_queries, text_queries  # noqa: E402, F401
