@@ -407,14 +407,30 @@ def k04(spark, sf):
     return came.select("vec_id", "signature", F.coalesce(sign_vector(F.col("embedding")) == F.col("came"), F.lit(False)).alias("valid"))
 
 
-@register("sf03_fnv1a")
+_WRAP = "18446744073709551616::HUGEINT"
+_SIGNED = "(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END)::BIGINT"
+
+
+@register("sf03_fnv1a", f"""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+l AS (SELECT doc_id, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS HUGEINT)) AS bytes FROM b),
+f AS (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % {_WRAP}) AS h FROM l)
+SELECT doc_id, {_SIGNED.format('h')} AS hash FROM f""")
 def sf03(spark, sf):
     from ..functions.kernels import fnv1a
 
     return table(spark, sf, "documents").select("doc_id", fnv1a(F.col("text")).alias("hash"))
 
 
-@register("sf04_mix")
+_STEP = "((xor({0}, {0} // {1}::HUGEINT) % 4294967296::HUGEINT) * {2}::HUGEINT + ((xor({0}, {0} // {1}::HUGEINT) // 4294967296::HUGEINT) * {2}::HUGEINT % 4294967296::HUGEINT) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT"
+
+
+@register("sf04_mix", f"""
+WITH a AS (SELECT doc_id, doc_id::HUGEINT AS x, (doc_id + 1)::HUGEINT AS y FROM documents),
+b AS (SELECT *, {_STEP.format('x', 1 << 30, 0xBF58476D1CE4E5B9)} AS x1, xor(y, y * 8192::HUGEINT % {_WRAP}) AS y1 FROM a),
+c AS (SELECT *, {_STEP.format('x1', 1 << 27, 0x94D049BB133111EB)} AS x2, xor(y1, y1 // 128::HUGEINT) AS y2 FROM b),
+d AS (SELECT doc_id, xor(x2, x2 // {1 << 31}::HUGEINT) AS m, xor(y2, y2 * 131072::HUGEINT % {_WRAP}) AS s FROM c)
+SELECT doc_id, {_SIGNED.format('m')} AS mixed, {_SIGNED.format('s')} AS shifted FROM d""")
 def sf04(spark, sf):
     """The 64-bit finaliser, the xorshift step and Markov features (SF4, SF5, SF33)."""
     from ..functions.kernels import mix64, xorshift64
