@@ -31,6 +31,8 @@ from .common import materialize, small
 
 #: Sums per (task, source) up to this many (about 20 MB) are broadcast; more are joined by shuffle.
 SUM_ROWS = 500_000
+#: Rounds by queues that a task looks at together.
+CELLS = 2_000_000
 
 
 #: Line feed and the visible ASCII characters.
@@ -205,8 +207,15 @@ class Schedule:
         hi = np.minimum((k + 1) * self.packet, (start + length)[doc])
         r = self.round_of(q, np.minimum((k + 1) * self.packet, self.totals[q]))
         ru, inv = np.unique(r, return_inverse=True)
-        before, done = self.after(ru - 1), self.after(ru)
-        place = (before.sum(1)[:, None] + np.cumsum(done - before, axis=1) - (done - before))[inv, q] + lo - before[inv, q]
+        place, step = np.zeros(len(q), np.int64), max(1, CELLS // len(self.totals))
+        by_round = np.argsort(inv, kind="stable")
+        bounds = np.searchsorted(inv[by_round], np.arange(0, len(ru) + step, step))
+        for c, (a, b) in enumerate(zip(bounds, bounds[1:])):  # so many rounds at once that rounds by queues stay small
+            at = by_round[a:b]
+            rounds, i = ru[c * step : (c + 1) * step], inv[at] - c * step
+            before, done = self.after(rounds - 1), self.after(rounds)
+            ahead = before.sum(1)[:, None] + np.cumsum(done - before, axis=1) - (done - before)
+            place[at] = ahead[i, q[at]] + lo[at] - before[i, q[at]]
         # cut at window bounds, then join what is contiguous in both the text and the window
         w0, w1 = place // self.window, (place + hi - lo - 1) // self.window
         m = w1 - w0 + 1

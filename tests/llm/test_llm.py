@@ -105,6 +105,16 @@ def test_schedule_keeps_proportions_at_every_size():
                 assert got.tolist() == [-(-e * whole // (1024 * weights[q])) for e in r_ends]
 
 
+def test_many_queues_are_looked_at_in_parts(monkeypatch):
+    rng = random.Random(11)
+    totals = [rng.randint(1, 900) for _ in range(300)]
+    s = packing.Schedule(totals, totals, 256, 16)
+    q = np.arange(300)
+    whole = [x.tolist() for x in s.pieces(q, np.zeros(300, np.int64), np.array(totals))]
+    monkeypatch.setattr(packing, "CELLS", 700)
+    assert [x.tolist() for x in s.pieces(q, np.zeros(300, np.int64), np.array(totals))] == whole
+
+
 def test_fractional_weights():
     assert packing.exact_weights([0.7, 0.3]) == [7, 3] and packing.exact_weights([1, 3]) == [1, 3] and packing.exact_weights([0.5, 2]) == [1, 4]
     with pytest.raises(ValueError):
