@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths handed out inside open ``scratch`` blocks.
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under this application's own name."""
+    path = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch():
+    """Collects the paths that are handed out inside, for ``remove`` once nothing reads them."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()  # blocks nest
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application."""
+    remove(spark, [f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"])
+
+
+def path_of(df: DataFrame) -> str | None:
+    """Where :func:`materialize` wrote ``df``."""
+    return getattr(df, "_corpusloom_path", None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +77,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_corpusloom_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    if path := path_of(df):
+        remove(df.sparkSession, [path])
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -762,8 +762,13 @@ def test_pipeline(spark):
 
 def test_pipeline_run(spark):
     import corpus_pipeline as P
+    from corpusloom.llm import common
 
-    out = P.run(spark, f"{ROOT}/sf0.001").agg(F.sum("length"), F.max("sequence_id"), F.countDistinct("sequence_id")).first()
+    with common.scratch() as made:
+        result = P.run(spark, f"{ROOT}/sf0.001")
+    there = [p for p in made if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in there) == ["stage-mixing", "token-sums", "tokens"]
+    out = result.agg(F.sum("length"), F.max("sequence_id"), F.countDistinct("sequence_id")).first()
     assert out[1] + 1 == out[2] and 1024 * (out[2] - 1) < out[0] <= 1024 * out[2]
 
 
