@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import identified, materialize, small, table
+from corpusloom.llm.common import identified, materialize, path_of, remove, scratch, small, table
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.langid import fit, identify
 from corpusloom.llm.mixing import mixed_rows
@@ -74,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. When a stage is written, the tables that it read and made are removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:
+            kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove(spark, [p for p in (path_of(docs), *made) if p and p != path_of(kept)])
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
