@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -110,6 +111,62 @@ def _hits(text: str | None, ones: set, heads: dict, whole: set) -> int:
     return len(hit)
 
 
+#: Names up to this many (some 50 MB) go to every task; more meet the texts' words by shuffle first.
+NAME_ROWS = 500_000
+#: A word of any alphabet.
+WORD_RUN = r"(?U)\w+"
+
+
+def names_in(texts: DataFrame, text: Column, names: DataFrame, limit: int = NAME_ROWS) -> DataFrame:
+    """(name): those of ``names`` (name) that stand in a text between word bounds, as they are written.
+
+    A name is only compared where its first word stands. Beyond ``limit`` names, those whose first
+    word stands in no text are left out by a join of words before texts and names meet.
+    """
+    names = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
+    first = F.regexp_extract("name", WORD_RUN, 0)
+    schema = T.StructType([T.StructField("name", T.StringType())])
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)))).alias("w")).distinct()
+    if names.count() > limit:
+        names = names.withColumn("w", first).join(words, "w", "left_semi").select("name")
+        left = texts.select(F.monotonically_increasing_id().alias("i"), text.alias("t"))
+        heads = left.select("t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_RUN), F.lit(0)))).alias("w"))
+        met = heads.join(names.withColumn("w", first), "w")
+        at = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)"))
+        return met.filter(F.regexp_like("t", at)).select("name").distinct()
+    held: dict[str, list[str]] = {}
+    for r in names.select(first.alias("w"), "name").collect():
+        held.setdefault(r.w, []).append(r.name)
+    sent = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        heads, found = sent.value, set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for m in re.finditer(r"\w+", t or ""):
+                    for name in heads.get(m.group(), ()):
+                        at = m.start() - name.index(m.group())
+                        end = at + len(name)
+                        if name not in found and at >= 0 and t.startswith(name, at) and not _word_at(t, at - 1, name[0]) and not _word_at(t, end, name[-1]):
+                            found.add(name)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["name"])
+
+    return texts.select(text.cast("string").alias("t")).mapInArrow(run, schema).distinct()
+
+
+def _word_at(t: str, at: int, edge: str) -> bool:
+    """Whether a name that ends in ``edge`` runs on at ``at``."""
+    return 0 <= at < len(t) and re.match(r"\w", edge) is not None and re.match(r"\w", t[at]) is not None
+
+
+def unseen_pairs(pairs: DataFrame, names: str, texts: DataFrame, text: Column, **options) -> DataFrame:
+    """Pairs none of whose names (an array) stands in a text: a theta anti-join by words."""
+    seen = names_in(texts, text, pairs.select(F.explode(names).alias("name")), **options)
+    d = pairs.withColumn("__pair", F.struct(*pairs.columns))
+    bad = d.select("__pair", F.explode(names).alias("name")).withColumn("name", F.trim("name")).join(seen, "name", "left_semi").select("__pair").distinct()
+    return d.join(bad, "__pair", "left_anti").drop("__pair")
+
+
 def blind_sides(df: DataFrame, key: Column, salt: str, odd_first: bool = False) -> DataFrame:
     """Balanced blind assignment: rows ranked by hash, the first half (with the odd row, if
     ``odd_first``) is not swapped. Ranks are

@@ -134,6 +134,18 @@ def j09(spark, sf):
     return S.passage_hits(table(spark, sf, "documents"), "doc_id", F.col("text"), table(spark, sf, "benchmark"), F.col("text"), 16)
 
 
+@register("j08_unseen_pairs", rf"""
+WITH p AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{6,}}')) AS names FROM benchmark),
+t AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\pL\pN_]+')) AS w FROM documents WHERE {SPLIT_SQL} = 'train'),
+n AS (SELECT item_id, unnest(names) AS name FROM p)
+SELECT item_id FROM p WHERE item_id NOT IN (SELECT item_id FROM n JOIN t ON name = w)""")
+def j08(spark, sf):
+    """Passages none of whose long names stands in a text of the training split."""
+    p = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{6,}\b"), F.lit(0)).alias("names"))
+    train = table(spark, sf, "documents").filter(S.author_split(F.col("source"), SEED) == "train")
+    return S.unseen_pairs(p, "names", train, F.col("text")).select("item_id")
+
+
 @register("j10_subset_check", """
 SELECT o_orderkey FROM orders WHERE (o_orderkey, o_custkey) NOT IN (SELECT (o_orderkey, o_custkey) FROM orders WHERE o_orderkey % 7 <> 0)""")
 def j10(spark, sf):

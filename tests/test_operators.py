@@ -669,3 +669,12 @@ def test_rolling_summaries(spark, tmp_path):
     got = {(r.stream, r.arrival): r.summary for r in QUERIES["st05_rolling_memory"](spark, str(tmp_path)).collect()}
     one = "chat | first words ; second answe"
     assert got == {(1, 1): one, (1, 3): f"chat | ~{one.partition(' | ')[2][:14]}; {' '[:12]}; fourth"}
+
+
+def test_unseen_pairs(spark):
+    texts = spark.createDataFrame([(1, "Ann Lee met Bo."), (2, None), (3, "Annabel; O'Neil, and Élan")], "i int, t string")
+    rows = [(1, ["Ann Lee"]), (2, ["Ann Le"]), (3, ["Zed", "Bo"]), (4, ["O'Neil"]), (5, ["Neil and"]), (6, []), (7, ["Anna"]), (8, ["Élan "]), (9, ["Elan"]), (10, ["lan"])]
+    pairs = spark.createDataFrame(rows, "k int, names array<string>")
+    for limit in (100, 0):
+        got = sorted(r.k for r in splits.unseen_pairs(pairs, "names", texts, F.col("t"), limit=limit).collect())
+        assert got == [2, 5, 6, 7, 9, 10], limit
