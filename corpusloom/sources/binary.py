@@ -203,13 +203,13 @@ class _TokenWriter(DataSourceArrowWriter):
 
 
 class PackFiles(DataSource):
-    """``df.write.format("braidpacks").save(path)``: containers (column ``pack``, binary), one
+    """``df.write.format("tokenpacks").save(path)``: containers (column ``pack``, binary), one
     after the other in files of about 8 MB. Files appear under their final name only when the
     job commits."""
 
     @classmethod
     def name(cls):
-        return "braidpacks"
+        return "tokenpacks"
 
     def schema(self):
         return "pack binary"
@@ -231,7 +231,7 @@ class _PackWriter(DataSourceArrowWriter):
             for b in batches:
                 for x in b.column(0):
                     if f is None:
-                        name = f"part-{c.partitionId():05d}-{len(files):05d}.braidpk"
+                        name = f"part-{c.partitionId():05d}-{len(files):05d}.pack"
                         files.append(_Written(f"{self.path}/_{name}.{c.taskAttemptId()}", f"{self.path}/{name}"))
                         f = open(files[-1].temp, "wb")
                     f.write(x.as_buffer())
@@ -337,7 +337,7 @@ def write_labelled_tokens(df: DataFrame, path: str) -> None:
 def write_packs(df: DataFrame, path: str, file_bytes: int = PACK_FILE) -> None:
     """Containers (column ``pack``) as files of containers, each closed at ``file_bytes``."""
     df.sparkSession.dataSource.register(PackFiles)
-    df.select("pack").write.format("braidpacks").option("filebytes", file_bytes).mode("append").save(path)
+    df.select("pack").write.format("tokenpacks").option("filebytes", file_bytes).mode("append").save(path)
 
 
 def token_bytes(pieces: DataFrame, ident: str, piece: str) -> DataFrame:
