@@ -21,4 +21,5 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-from . import q01_packing, q02_chat, q03_langid, q04_mixing, q05_sharding, q06_exact_dedup, q07_license_scan, q08_simhash, q09_warc, q10_ann  # noqa: E402, F401
+from . import q01_packing, q02_chat, q03_langid, q04_mixing, q05_sharding, q06_exact_dedup, q07_license_scan  # noqa: E402, F401
+from . import q08_simhash, q09_warc, q10_ann, q11_hard_negatives, q12_merkle, q13_bin_completion  # noqa: E402, F401
