@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pyarrow as pa
@@ -64,8 +63,10 @@ def passage_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, pas
     """(key, hits): distinct grams of a document that stand in a passage: passages of ``n`` words
     or more give all their ``n``-word grams, shorter ones their whole word sequence.
 
-    Within ``limit`` grams the documents are searched where they lie: a gram is only built where
-    its first two words stand side by side. Beyond, grams of both sides meet in a join.
+    A document is all rows of one key, and null is a key like any other; keys without a hit are
+    left out. Within ``limit`` grams the documents are searched where they lie: a gram is only built
+    where its first two words stand side by side. Beyond, grams of both sides meet in a join. Either
+    way finds (key, gram) pairs, and the same aggregation counts them.
     """
     from ..functions.text import joined_ngrams, words
 
@@ -75,88 +76,79 @@ def passage_hits(df: DataFrame, key: str, text: Column, passages: DataFrame, pas
     if (count := right.count()) > limit:
         sizes = sorted(r[0] for r in right.select("k").distinct().collect())  # at most n of them
         grams = F.concat(*(joined_ngrams(F.col("w"), k) for k in sizes))
-        left = df.select(key, words(text).alias("w")).select(key, F.explode(F.array_distinct(grams)).alias("g"))
-        return left.join(right.select("g"), "g").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
-    kind = df.select(key).schema[key].dataType
-    found = df.sparkSession.sparkContext.broadcast(_grams_by_head([tuple(r) for r in right.collect()] if count else []))
-    schema = T.StructType([T.StructField(key, kind), T.StructField("hits", T.LongType())])
+        left = df.select(F.col(key).alias("key"), words(text).alias("w")).select("key", F.explode(F.array_distinct(grams)).alias("g"))
+        met = left.join(right.select("g"), "g")
+    else:
+        found = df.sparkSession.sparkContext.broadcast(_grams_by_head([tuple(r) for r in right.collect()] if count else []))
+        schema = T.StructType([T.StructField("key", df.select(key).schema[key].dataType), T.StructField("found", T.ArrayType(T.LongType()))])
 
-    def run(batches):
-        for b in batches:
-            n_hits = [_hits(t.as_py(), *found.value) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_hits, pa.int64())], [key, "hits"])
+        def run(batches):
+            for b in batches:
+                hits = [_hits(t.as_py(), *found.value) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.int64()))], ["key", "found"])
 
-    return df.select(F.col(key), text.cast("string")).mapInArrow(run, schema).filter("hits > 0")
+        met = df.select(F.col(key).alias("key"), text.cast("string").alias("text")).mapInArrow(run, schema).filter(F.size("found") > 0).select("key", F.explode("found").alias("g"))
+    return met.groupBy(F.col("key").alias(key)).agg(F.countDistinct("g").alias("hits"))
 
 
 def _grams_by_head(grams: list[tuple[int, str]]):
-    """(single words, {first word: {second word: lengths}}, all grams)."""
-    ones, heads, whole = set(), {}, set()
-    for k, g in grams:
+    """({single word: number}, {first word: {second word: lengths}}, {gram: number})."""
+    ones, heads, whole = {}, {}, {}
+    for at, (k, g) in enumerate(grams):
         w = g.encode().split(b" ")
         if k == 1:
-            ones.add(w[0])
+            ones[w[0]] = at
         else:
             heads.setdefault(w[0], {}).setdefault(w[1], set()).add(k)
-            whole.add(b" ".join(w))
+            whole[b" ".join(w)] = at
     return ones, heads, whole
 
 
-def _hits(text: str | None, ones: set, heads: dict, whole: set) -> int:
+def _hits(text: str | None, ones: dict, heads: dict, whole: dict) -> list[int]:
+    """Numbers of the grams that stand in a text."""
     w = (text or "").encode("utf-8", "surrogatepass").split()  # the same white space as the pattern's
-    hit = ones.intersection(w) if ones else set()
+    hit = {ones[x] for x in ones.keys() & set(w)} if ones else set()
     for i, first in enumerate(w[:-1]):
         if first in heads and (sizes := heads[first].get(w[i + 1])):
-            hit.update(g for k in sizes if i + k <= len(w) and (g := b" ".join(w[i : i + k])) in whole)
-    return len(hit)
+            hit.update(at for k in sizes if i + k <= len(w) and (at := whole.get(b" ".join(w[i : i + k]))) is not None)
+    return sorted(hit)
 
 
-#: Names up to this many (some 50 MB) go to every task; more meet the texts' words by shuffle first.
+#: Names up to this many (some 50 MB) are broadcast; more meet the texts' words by shuffle.
 NAME_ROWS = 500_000
 #: A word of any alphabet.
 WORD_RUN = r"(?U)\w+"
 
 
 def names_in(texts: DataFrame, text: Column, names: DataFrame, limit: int = NAME_ROWS) -> DataFrame:
-    """(name): those of ``names`` (name) that stand in a text between word bounds, as they are written.
+    """(name): those of ``names`` (name) that stand in a text as they are written, with no word
+    character right before or after them.
 
-    A name is only compared where its first word stands. Beyond ``limit`` names, those whose first
-    word stands in no text are left out by a join of words before texts and names meet.
+    Null names, and names without a word character, stand nowhere. A name is only compared where its
+    first word stands: up to ``limit`` names go to the texts, more meet the words of the texts by
+    shuffle, and the texts of the candidates by theirs. One expression compares in either case.
     """
-    names = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
-    first = F.regexp_extract("name", WORD_RUN, 0)
-    schema = T.StructType([T.StructField("name", T.StringType())])
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)))).alias("w")).distinct()
-    if names.count() > limit:
-        names = names.withColumn("w", first).join(words, "w", "left_semi").select("name")
-        left = texts.select(F.monotonically_increasing_id().alias("i"), text.alias("t"))
-        heads = left.select("t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_RUN), F.lit(0)))).alias("w"))
-        met = heads.join(names.withColumn("w", first), "w")
-        at = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)"))
-        return met.filter(F.regexp_like("t", at)).select("name").distinct()
-    held: dict[str, list[str]] = {}
-    for r in names.select(first.alias("w"), "name").collect():
-        held.setdefault(r.w, []).append(r.name)
-    sent = texts.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches):
-        heads, found = sent.value, set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for m in re.finditer(r"\w+", t or ""):
-                    for name in heads.get(m.group(), ()):
-                        at = m.start() - name.index(m.group())
-                        end = at + len(name)
-                        if name not in found and at >= 0 and t.startswith(name, at) and not _word_at(t, at - 1, name[0]) and not _word_at(t, end, name[-1]):
-                            found.add(name)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["name"])
-
-    return texts.select(text.cast("string").alias("t")).mapInArrow(run, schema).distinct()
-
-
-def _word_at(t: str, at: int, edge: str) -> bool:
-    """Whether a name that ends in ``edge`` runs on at ``at``."""
-    return 0 <= at < len(t) and re.match(r"\w", edge) is not None and re.match(r"\w", t[at]) is not None
+    names = names.select(F.trim("name").alias("name")).distinct()
+    names = names.withColumn("w", F.regexp_extract("name", WORD_RUN, 0)).filter("w <> ''")
+    heads = lambda d: F.explode(F.array_distinct(F.regexp_extract_all(d, F.lit(WORD_RUN), F.lit(0)))).alias("w")
+    plain = F.regexp_replace("name", r"([^\p{L}\p{N}\s])", r"\\$1")  # every sign stands for itself
+    stands = F.contains("t", F.col("name")) & F.regexp_like("t", F.concat(F.lit(r"(?U)(?<!\w)"), plain, F.lit(r"(?!\w)")))
+    if names.count() <= limit:
+        met = texts.select(text.cast("string").alias("t")).select("t", heads(F.col("t"))).join(F.broadcast(names), "w")
+    else:
+        held = texts.sparkSession.read.parquet(_numbered(texts.select(text.cast("string").alias("t"))))
+        some = held.select("i", heads(F.col("t"))).join(names, "w").select("i", "name")
+        met = some.join(held, "i")
+    return met.filter(stands).select("name").distinct()
+
+
+def _numbered(texts: DataFrame) -> str:
+    """Where a copy of ``texts`` lies whose rows are numbered (``i``)."""
+    from ..session import scratch_path
+
+    path = scratch_path(texts.sparkSession, "texts")
+    texts.withColumn("i", F.monotonically_increasing_id()).write.parquet(path)
+    return path
 
 
 def unseen_pairs(pairs: DataFrame, names: str, texts: DataFrame, text: Column, **options) -> DataFrame:

@@ -671,6 +671,24 @@ def test_rolling_summaries(spark, tmp_path):
     assert got == {(1, 1): one, (1, 3): f"chat | ~{one.partition(' | ')[2][:14]}; {' '[:12]}; fourth"}
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_passage_hits_by_key_at_every_size(spark, limit):
+    rows = [(1, "a one two b"), (1, "a one two b"), (1, "two three"), (2, "solo"), (None, "one two"), (None, "solo one two"), (3, "none"), (4, None)]
+    docs = spark.createDataFrame(rows, "key long, g string")
+    bench = spark.createDataFrame([("one two",), ("solo",), ("two three",), ("one two",)], "text string")
+    got = {r["key"]: r.hits for r in splits.passage_hits(docs, "key", F.col("g"), bench, F.col("text"), 16, limit=limit).collect()}
+    assert got == {1: 2, 2: 1, None: 2}
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_names_by_one_rule_at_every_size(spark, limit):
+    texts = ["x(Ann)y", "see (Bo) and (Bo)", "C++ and C#", "a.b*c", "back\\Eslash \\E\\Q", "tab\tname", "Élan vital", "dup Ann_", "-Cy", "Q[uote", None, ""]
+    names = {"(Ann)": False, "Ann": True, "(Bo)": True, "C++": True, "C#": True, "C": True, "a.b": True, "axb": False, "b*c": True, "back\\Eslash": True, "\\E\\Q": True, "E\\Q": True, "Élan vital": True, "lan vital": False, "Ann_": True, "-Cy": True, "Q[uote": True, "!!": False, "": False, "tab\tname": True}
+    t = spark.createDataFrame([(x,) for x in texts * 2], "t string")
+    n = spark.createDataFrame([(x,) for x in [*names, *names, None]], "name string")
+    assert {r.name for r in splits.names_in(t, F.col("t"), n, limit=limit).collect()} == {k for k, v in names.items() if v}
+
+
 def test_unseen_pairs(spark):
     texts = spark.createDataFrame([(1, "Ann Lee met Bo."), (2, None), (3, "Annabel; O'Neil, and Élan")], "i int, t string")
     rows = [(1, ["Ann Lee"]), (2, ["Ann Le"]), (3, ["Zed", "Bo"]), (4, ["O'Neil"]), (5, ["Neil and"]), (6, []), (7, ["Anna"]), (8, ["Élan "]), (9, ["Elan"]), (10, ["lan"])]
