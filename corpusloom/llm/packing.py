@@ -6,10 +6,10 @@ with its share of the window, whole packets are served while the credit lasts, a
 left of the credit is carried into the next round. The served packets, end to end, are cut
 into windows.
 
-Serving is a closed form: after ``t`` rounds of a phase a queue has served
-``floor((carried + t * window * weight / weights) / packet)`` packets. So any task computes
-the place of any packet from the per-source totals alone, deficits cross windows and
-partitions without a sequential pass, and the only shuffle is the per-(task, source) sum.
+Serving is a closed form: after ``t`` rounds with all queues at work, one has served
+``floor(t * window * weight / weights / packet)`` packets. So any task computes the place of any
+packet from the per-source totals alone, deficits cross windows and partitions without a
+sequential pass, and the only shuffle is the per-(task, source) sum.
 """
 
 from __future__ import annotations
@@ -137,6 +137,11 @@ def _muldiv(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q + (a * b - q * c) // c
 
 
+def _ceil_ratio(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """ceil(a * b / c), exact like :func:`_muldiv`."""
+    return -_muldiv(-np.asarray(a), b, c)
+
+
 def exact_weights(weights: list) -> list[int]:
     """Whole numbers in the proportions of ``weights``; a float counts as the decimal it prints."""
     parts = [Fraction(str(w)) for w in weights]
@@ -150,49 +155,65 @@ def exact_weights(weights: list) -> list[int]:
 class Schedule:
     """Deficit round-robin over queues of known totals, as closed forms.
 
-    While no queue runs dry the quantum of a queue is ``window * weight / sum of weights``;
-    when one does, a new phase shares its weight among the rest. Each phase records the
-    round it starts, what each queue has served and the credit it carries in.
+    Each round hands out one window of credit, to the queues that are not yet dry in proportion to
+    their weights; where one runs dry within the round, the rest of the round's credit goes to the
+    others. So a queue's credit is its weight times one common level ``V``, until it reaches its
+    total: queues run dry in the order of total by weight, and between two such events (a phase)
+    ``V = (rounds * window - tokens of dry queues) / weights of the others``. Sorting the events
+    and two running sums are all that is kept. A queue has served whole packets of its credit, or
+    all that it has once its credit is its total; what is left of the credit is carried on.
     """
 
     def __init__(self, totals: list[int], weights: list[int], window: int, packet: int):
         self.window, self.packet, self.totals = window, packet, np.array(totals, np.int64)
-        served, carried, first = [0] * len(totals), [0] * len(totals), 0
-        rows = []
-        while active := [s for s, t in enumerate(totals) if served[s] < t]:
-            whole = sum(weights[s] for s in active)
-            n = max(1, min(-((served[s] + carried[s] - totals[s]) * whole // (window * weights[s])) for s in active))
-            rows.append((first, served[:], carried[:], [weights[s] if s in active else 0 for s in range(len(totals))], whole))
-            for s in active:
-                credit = carried[s] + n * window * weights[s] // whole
-                if credit >= totals[s] - served[s]:
-                    served[s], carried[s] = totals[s], 0
-                else:
-                    served[s] += credit // packet * packet
-                    carried[s] = credit - credit // packet * packet
-            first += n
-        kind = object if window * max(sum(weights), 1) >= 2**60 or sum(totals) >= 2**49 else np.int64
-        at = lambda k: np.array([r[k] for r in rows], kind if k > 2 else np.int64)
-        self.first, self.served, self.carried, self.weights, self.whole, self.rounds = at(0), at(1), at(2), at(3), at(4), first
+        big = window * max(sum(weights), 1) >= 2**60 or sum(totals) >= 2**49
+        self.kind = object if big else np.int64
+        self.weights = np.array(weights, self.kind)
+        order = sorted((s for s, t in enumerate(totals) if t), key=lambda s: (Fraction(totals[s], weights[s]), s))
+        dry, left = 0, sum(weights[s] for s in order)
+        gone, active, first, total, weight = [], [], [], [], []  # by phase, and of the queue that ends it
+        for s in order:
+            t, w = totals[s], weights[s]
+            if not gone or t * weight[-1] != total[-1] * w:  # else they run dry together
+                end = (dry * w + left * t, w * window)  # this phase's end in rounds, as a fraction
+                gone.append(dry)
+                active.append(left)
+                first.append(-(-end[0] // end[1]))
+                total.append(t)
+                weight.append(w)
+            dry += t
+            left -= w
+        self.gone, self.active = np.array(gone, self.kind), np.array(active, self.kind)
+        self.over = np.array(first, np.int64)  # the first round by whose end the phase is over
+        self.total, self.weight = np.array(total, self.kind), np.array(weight, self.kind)
+        self.rounds = first[-1] if first else 0
 
     def after(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue has served when so many rounds are over: (rounds, queues)."""
-        p = np.searchsorted(self.first, rounds, "left") - 1
-        p = np.maximum(p, 0)
-        t = (rounds - self.first[p])[:, None]
-        served = self.served[p]
-        credit = self.carried[p] + _muldiv(t, self.window * self.weights[p], self.whole[p][:, None])
-        left = self.totals - served
-        return np.where(t == 0, served, served + np.where(credit >= left, left, credit // self.packet * self.packet))
+        p = np.searchsorted(self.over, rounds, "right")
+        done, p = p >= len(self.over), np.minimum(p, len(self.over) - 1)
+        level = rounds.astype(self.kind) * self.window - self.gone[p]
+        credit = _muldiv(np.maximum(level, 0)[:, None], self.weights, self.active[p][:, None])
+        return np.where(done[:, None] | (credit >= self.totals), self.totals, credit // self.packet * self.packet)
 
     def round_of(self, queue: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Round (from 1) in which the packet that ends at ``end`` of its queue is served."""
-        p = np.zeros(len(queue), np.int64)
-        for k in range(1, len(self.first)):
-            p[self.served[k][queue] < end] = k
-        need = end - self.served[p, queue] - self.carried[p, queue]
-        w = np.maximum(self.weights[p, queue], 1)
-        return self.first[p] + np.maximum(1, -_muldiv(-need, self.whole[p], self.window * w))
+        w, end = self.weights[queue], np.asarray(end)
+        p, high = np.zeros(len(queue), np.int64), np.full(len(queue), max(0, len(self.over) - 1))
+        while (p < high).any():  # the first phase whose end's level reaches end / w
+            mid = (p + high) // 2
+            short = self._below(self.total[mid], self.weight[mid], end, w)
+            p, high = np.where(short, np.minimum(mid + 1, high), p), np.where(short, high, mid)
+        need = _ceil_ratio(end, self.active[p], w)  # level * weights of the active queues, rounded up
+        return np.maximum(1, -(-(self.gone[p] + need) // self.window)).astype(np.int64)
+
+    def _below(self, t, wt, end, w) -> np.ndarray:
+        """Whether t / wt < end / w, exactly."""
+        if self.kind is object:
+            return np.asarray(t * w < end.astype(object) * wt, bool)
+        near = end.astype(float) * wt / w
+        far = near > 2.0**50
+        return np.where(far, True, _ceil_ratio(np.where(far, 0, end), wt, w) > t)
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Cut stretches of queues into pieces that lie in one window each.
@@ -230,8 +251,11 @@ class Schedule:
         return doc[at], s[at], np.add.reduceat(n, at) if len(at) else n, a[at]
 
 
-def _emit(schedule: Schedule, schema: pa.Schema, with_ids: bool):
+def _emit(held, schema: pa.Schema, with_ids: bool):
+    """Pieces by the schedule that ``held`` broadcasts."""
+
     def run(batches):
+        schedule = held.value
         window = schedule.window
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -250,8 +274,8 @@ def _emit(schedule: Schedule, schema: pa.Schema, with_ids: bool):
 def pack(docs: DataFrame, tokenizer_path: str, *, doc_id="doc_id", text="text", source="source", window=1024, packet=64, eos_id=0, weights: dict | None = None, with_ids=True) -> DataFrame:
     """Pack every document into windows of ``window`` tokens at target token proportions.
 
-    ``weights`` maps sources to target weights; None takes each source's share of all
-    tokens, so that all queues end together. Every id of every document lies in exactly one
+    ``weights`` maps sources to target weights, and raises where a source has none; None takes each
+    source's share of all tokens, so that all queues end together. Every id of every document lies in exactly one
     piece; all windows are full but the last.
 
     Returns one row per piece: doc_id, start (its document's ids before it), length,
@@ -259,7 +283,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id="doc_id", text="text",
     (place in the sequence), source_rank, and ids (little-endian unsigned 32-bit) if
     ``with_ids``.
 
-    Null or empty texts are the closing id alone; a null source is a queue of its own (the
+    Null or empty texts are the closing id alone; very long texts run over as many windows as they
+    need; a null source is a queue of its own (the
     last); repeated rows are separate documents; other columns are ignored; no rows give no
     pieces. The driver holds one row per source, nothing per document.
     """
@@ -277,9 +302,12 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id="doc_id", text="text",
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("source_rank", T.IntegerType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
     if not names:
         return spark.createDataFrame([], out)
-    schedule = Schedule(totals, totals if weights is None else exact_weights([weights.get(n, 1) for n in names]), window, packet)
+    if weights is not None and (without := [n for n in names if n not in weights]):
+        raise ValueError(f"{len(without)} sources have no weight, as {without[:5]}")
+    schedule = Schedule(totals, totals if weights is None else exact_weights([weights[n] for n in names]), window, packet)
+    held = spark.sparkContext.broadcast(schedule)  # a few numbers for each source
     ranks = spark.createDataFrame(list(zip(names, range(len(names)))), "source string, rank int")
     n_base = base.count()
     base = base.join(small(ranks, len(names), SUM_ROWS), base["source"].eqNullSafe(ranks["source"])).select(base["source"], "part", "base", "rank")
     placed = tokens.join(small(base, n_base, SUM_ROWS), tokens["source"].eqNullSafe(base["source"]) & (tokens["part"] == base["part"])).select("doc_id", "rank", (F.col("base") + F.col("local")).alias("at"), "doc_tokens", "ids")
-    return placed.mapInArrow(_emit(schedule, to_arrow_schema(out), with_ids), out)
+    return placed.mapInArrow(_emit(held, to_arrow_schema(out), with_ids), out)

@@ -2,10 +2,13 @@
 
 import hashlib
 import json
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -54,35 +57,38 @@ def test_encoder_is_the_tokenizers():
 
 
 def drr(totals, weights, window, packet):
-    """Deficit round-robin, packet by packet: (queue, start, end) in the order of service."""
-    at, credit, out = [0] * len(totals), [0] * len(totals), []
-    while live := [s for s, t in enumerate(totals) if at[s] < t]:
-        whole = sum(weights[s] for s in live)
-        for s in live:
-            credit[s] += window * weights[s]
-            while at[s] < totals[s]:
-                n = min(packet, totals[s] - at[s])
-                if credit[s] < n * whole:
-                    break
-                out.append((s, at[s], at[s] + n))
+    """Deficit round-robin, packet by packet: (queue, start, end, round) in the order of service.
+    A round's window of credit is handed out by weight; a queue that has its total gets no more."""
+    at, credit, out, r = [0] * len(totals), [Fraction(0)] * len(totals), [], 0
+    while any(a < t for a, t in zip(at, totals)):
+        r, left = r + 1, Fraction(window)
+        while left and (live := [s for s, t in enumerate(totals) if credit[s] < t]):
+            whole = sum(weights[s] for s in live)
+            step = min([left / whole, *((totals[s] - credit[s]) / weights[s] for s in live)])
+            for s in live:
+                credit[s] += step * weights[s]
+            left -= step * whole
+        for s, t in enumerate(totals):
+            while at[s] < t and (n := min(packet, t - at[s])) <= credit[s] - at[s]:
+                out.append((s, at[s], at[s] + n, r))
                 at[s] += n
-                credit[s] -= n * whole
-        if any(at[s] == totals[s] for s in live) and len(live) > 1:
-            break  # quanta change here; the closed form carries whole tokens only
     return out
 
 
 def test_schedule_is_deficit_round_robin():
     rng = random.Random(4)
-    for _ in range(40):
-        totals = [rng.randint(1, 5000) for _ in range(rng.randint(1, 6))]
-        weights = totals if rng.random() < 0.5 else [rng.randint(1, 9) for _ in totals]
+    for k in range(60):
+        totals = [rng.randint(1, 3000) for _ in range(rng.randint(1, 6))]
+        weights = totals if k % 3 == 0 else [rng.choice([1, 2, 3, 7, 1000]) for _ in totals]
+        if k % 5 == 0:
+            totals, weights = totals + totals, list(weights) * 2  # queues that run dry together
         s = packing.Schedule(totals, weights, 256, 16)
         place = 0
-        for q, a, b in drr(totals, weights, 256, 16):
+        for q, a, b, r in drr(totals, weights, 256, 16):
             doc, start, n, at = s.pieces(np.array([q]), np.array([a]), np.array([b - a]))
-            assert at[0] == place and n.sum() == b - a
+            assert at[0] == place and n.sum() == b - a and s.round_of(np.array([q]), np.array([b])) == [r]
             place += b - a
+        assert place == sum(totals) and s.rounds == r
         seen = np.zeros(sum(totals), int)
         for q, t in enumerate(totals):
             _, _, n, at = s.pieces(np.array([q]), np.array([0]), np.array([t]))
@@ -92,6 +98,27 @@ def test_schedule_is_deficit_round_robin():
         assert (seen == 1).all()
 
 
+def test_schedule_of_very_many_weighted_queues():
+    rng = random.Random(8)
+    totals, weights = [rng.randint(1, 10**9) for _ in range(10_000)], [rng.randint(1, 10**6) for _ in range(10_000)]
+    began = time.perf_counter()
+    s = packing.Schedule(totals, weights, 1024, 64)
+    assert time.perf_counter() - began < 1 and len(pickle.dumps(s)) < 10**6
+    ends = np.array([min(t, 64 * (1 + t // 200)) for t in totals])
+    r = s.round_of(np.arange(10_000), ends)
+    for i in rng.sample(range(10_000), 60):
+        before, now = s.after(np.array([r[i] - 1, r[i]]))[:, i]
+        assert before < ends[i] <= now
+    few = packing.Schedule(totals[:9], [10**17 + w for w in weights[:9]], 1024, 64)  # beyond 64 bits
+    r = few.round_of(np.arange(9), ends[:9])
+    assert all(few.after(np.array([r[i] - 1]))[0, i] < ends[i] <= few.after(np.array([r[i]]))[0, i] for i in range(9))
+
+
+def test_sources_without_a_weight_are_refused(spark):
+    with pytest.raises(ValueError, match="no weight"):
+        packing.pack(documents(spark, odd_rows()), tokenizer(), weights={"a": 0.7, "b": 0.3})
+
+
 def test_schedule_keeps_proportions_at_every_size():
     for totals, weights in (([10**10, 3 * 10**9, 1000], None), ([10**9, 10**9], [10**17 + 1, 3 * 10**17])):
         weights = weights or totals
@@ -146,7 +173,7 @@ def test_pack(spark):
     rows = odd_rows()
     check_pieces(rows, packing.pack(documents(spark, rows).repartition(5), tokenizer()).collect())
     assert packing.pack(documents(spark, []), tokenizer()).collect() == []
-    mixed = packing.pack(documents(spark, rows), tokenizer(), weights={"a": 1, "b": 3}).collect()
+    mixed = packing.pack(documents(spark, rows), tokenizer(), weights={"a": 1, "b": 3, "c": 0.5, None: 1, "unseen": 9}).collect()
     check_pieces(rows, mixed)
 
 
