@@ -108,7 +108,15 @@ def expanded(counted: DataFrame, count: str, ordinal: str) -> DataFrame:
     return cold.union(chunks.withColumn(ordinal, F.explode(inside)).drop("__chunk"))
 
 
-def identified(df: DataFrame, name: str = "__row") -> DataFrame:
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with (two at least), for names of one's own."""
+    p = "__"
+    while any(c.startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
+def identified(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column that tells its rows apart, repeated rows too: struct (file, at), the
     Parquet file and the place in it, so it stays the same however often and on however many
     cores the rows are read. Rows that do not come straight from Parquet files are written first."""
@@ -117,7 +125,8 @@ def identified(df: DataFrame, name: str = "__row") -> DataFrame:
         plan = plan.children().apply(0)
     if "parquet" not in plan.simpleString(25).lower() or plan.nodeName() != "LogicalRelation":
         df = materialize(df, "identified")
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+    place = df.metadataColumn("_metadata")  # though a column may have that name
+    return df.select("*", F.struct(place["file_path"].alias("file"), place["row_index"].alias("at")).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

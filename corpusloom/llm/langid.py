@@ -15,12 +15,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Labelled rows that fit the model, per language, in expectation (the fit's documented bound).
+from .common import materialize
+
+#: Labelled texts that fit the model, per language, in expectation (the fit's documented bound).
 SAMPLE_ROWS = 400
 DIMS = 1 << 15
 SPREAD = np.uint32(2654435761)
@@ -120,24 +122,30 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
 
-def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: about ``rows`` texts per language, chosen by a hash of the
-    key, at most twice that many. Sampled texts are read whole, where they lie; their n-gram
-    counts come to the driver. Rows without text, letters or language teach nothing."""
-    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h")).filter("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(labelled: DataFrame, *, text="text", lang="lang", rows=SAMPLE_ROWS) -> Model:
+    """Fit on a bounded sample: about ``rows`` different texts per language, at most twice that
+    many, chosen by a hash of the text. So no id has a say, a null one neither, and a text that is
+    repeated, however often, teaches as much as any other.
+
+    Sampled texts are read whole. Their n-gram counts are summed on the executors; the driver gets
+    one row of sums per language, and each sampled text's margins. Rows without text, letters or
+    language teach nothing; without any that do, no language is known.
+    """
+    spark = labelled.sparkSession
+    d = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
+    d = d.withColumn("h", F.xxhash64("text", F.lit("langid")))
+    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], codebook(0), np.zeros((DIMS, 1), np.float32), np.ones(1), np.ones(1))
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, rows / counts[k]))))
-    picked = d.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    sample = picked.mapInArrow(_count, _COUNTS).orderBy("h", "lang", "places", "counts").limit(2 * rows * len(langs)).collect()
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, rows / max(1, counts[k])))))
+    picked = d.filter(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).dropDuplicates(["lang", "h"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = picked.mapInArrow(_count, _COUNTS).withColumn("nth", first).filter(F.col("nth") <= 2 * rows).drop("nth")
+    sample = materialize(sample, "langid-sample")
     n = np.zeros((len(langs), DIMS))
-    texts = []
-    for r in sample:
-        at, f = np.frombuffer(r.places, "<u2").astype(np.intp), np.frombuffer(r.counts, "<u4").astype(float)
-        texts.append((langs.index(r.lang), at, f))
-        n[langs.index(r.lang), at] += f / f.sum()
+    for r in sample.groupBy("lang").applyInArrow(_sum, "lang string, total binary").collect():
+        n[langs.index(r.lang)] = np.frombuffer(r.total)
     code = codebook(len(langs))
     p = (n + 0.02 * n.mean() + 1e-9) / (n.sum(1, keepdims=True) + (0.02 * n.mean() + 1e-9) * DIMS)
     bits = code.shape[1]
@@ -147,15 +155,40 @@ def fit(labelled: DataFrame, *, key="doc_id", text="text", lang="lang", rows=SAM
         if on.any() and off.any():
             table[:, b] = np.log(p[on].mean(0)) - np.log(p[off].mean(0))
     scale, weight = np.ones(bits), np.ones(bits)
-    if texts:
-        y = np.array([t for t, *_ in texts])
-        m = np.array([(f @ table[at]) / f.sum() for _, at, f in texts])
-        signed = m * code[y]
+    held = spark.sparkContext.broadcast(table)
+    if texts := sample.mapInArrow(_margins(held), "lang string, margins binary").collect():
+        m = np.array([np.frombuffer(r.margins) for r in texts])
+        signed = m * code[[langs.index(r.lang) for r in texts]]
         scale = 4 / np.maximum(np.median(np.abs(m), axis=0), 1e-6)
         weight = np.maximum(0.05, 2 * (signed > 0).mean(0) - 1)  # a bit counts as it is reliable
     return Model(langs, code, table, scale, weight / weight.sum() * min(bits, 8))
 
 
+def _sparse(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places, "<u2").astype(np.intp), np.frombuffer(counts, "<u4").astype(float)
+
+
+def _sum(key, t):
+    """A language's n-gram shares, summed over its sampled texts."""
+    total = np.zeros(DIMS)
+    for r in t.sort_by("h").select(["places", "counts"]).to_pylist():
+        at, f = _sparse(r["places"], r["counts"])
+        total[at] += f / f.sum()
+    return pa.table({"lang": [key[0].as_py()], "total": pa.array([total.tobytes()], pa.binary())})
+
+
+def _margins(held):
+    def run(batches):
+        for b in batches:
+            out = []
+            for places, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                at, f = _sparse(places, counts)
+                out.append(((f @ held.value[at]) / f.sum()).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["lang", "margins"])
+
+    return run
+
+
 def _free(name: str, taken: set) -> str:
     while name.lower() in taken:
         name = "_" + name
@@ -167,8 +200,9 @@ def identify(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text", kee
     ``keep`` all columns of ``docs`` and these last (with underscores before a name that
     ``docs`` has itself).
 
-    A text that is null or has no letter gets ``und`` and score 0. Repeated rows get the
-    same answer each; no rows give no rows. The text is the prediction's only input.
+    A text that is null or has no letter gets ``und`` and score 0; of languages that cost the same,
+    the first by code point is taken. Very long texts are summed block by block. Repeated rows get
+    the same answer each; no rows give no rows. The text is the prediction's only input.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x bits floats, whatever the data
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("bits", T.StringType())])

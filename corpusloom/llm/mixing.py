@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import expanded, identified, materialize, small
+from .common import expanded, free_prefix, identified, materialize, small
 
 #: Documents that a key range holds on average.
 RANGE = 1024
@@ -87,7 +87,8 @@ def mixed_rows(docs: DataFrame, *, doc_id="doc_id", text="text", source="source"
     row per source is joined to them, and no text is shuffled. Null and repeated doc_ids are rows
     like any other.
     """
-    docs = identified(docs)
+    names, p = docs.columns, free_prefix(docs.columns)
+    docs = identified(docs, f"{p}row")
     placed = _placed(docs, doc_id, text, source, weight_cycle, most, seed)
     # copies of a stretch whose middle lies before the end of the last pass
     room = F.col("rest") - F.col("place") - F.col("size") / 2
@@ -96,32 +97,33 @@ def mixed_rows(docs: DataFrame, *, doc_id="doc_id", text="text", source="source"
     stretch = F.struct("key", "doc_id", "size")
     last = F.when(some > 0, F.struct(stretch.alias("stretch"), some.alias("some"), F.col("copies")))
     cuts = materialize(placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(last).alias("last")), "cuts")
-    cuts = materialize(cuts.join(_last_row(docs, cuts, doc_id, text, source, seed), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "cuts")
-    named = cuts.select(*(F.col(c).alias(f"__{c}") for c in cuts.columns))
-    joined = docs.join(small(named, cuts.count(), SOURCES), F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    key, cut = hash_key(F.col(doc_id), seed), F.col("__last.stretch")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"), F.col(f"{p}row").alias("row"))
+    cuts = materialize(cuts.join(_last_row(rows, cuts, seed), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "cuts")
+    named = cuts.select(*(F.col(c).alias(p + c) for c in cuts.columns))
+    joined = docs.join(small(named, cuts.count(), SOURCES), F.col(source).cast("string").eqNullSafe(F.col(f"{p}source")))
+    key, cut = hash_key(F.col(doc_id), seed), F.col(f"{p}last.stretch")
     mine = F.struct(key, F.col(doc_id), word_count(F.col(text).cast("string")))
-    whole = (F.col("__last.some") == F.col("__last.copies")) | (F.col("__row") <= F.col("__until"))
+    whole = (F.col(f"{p}last.some") == F.col(f"{p}last.copies")) | (F.col(f"{p}row") <= F.col(f"{p}until"))
     # texts are only counted where the key is the cut's own
-    inside = F.when(F.col("__last").isNull() | (key > cut["key"]), 0).when(key < cut["key"], 1)
+    inside = F.when(F.col(f"{p}last").isNull() | (key > cut["key"]), 0).when(key < cut["key"], 1)
     inside = inside.otherwise(F.when(mine < cut, 1).when((mine == cut) & whole, 1).otherwise(0))
-    copies = joined.withColumn("__copy", F.col("__epochs") + inside).filter("__copy > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copy")))).select(*(docs[c] for c in docs.columns if c != "__row"))
+    copies = joined.withColumn(f"{p}copy", F.col(f"{p}epochs") + inside).filter(F.col(f"{p}copy") > 0)
+    return copies.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copy")))).select(*(docs[c] for c in names))
 
 
-def _last_row(docs, cuts, doc_id, text, source, seed) -> DataFrame:
+def _last_row(rows, cuts, seed) -> DataFrame:
     """(of, until): for sources whose cut goes through rows alike, the last row that is taken, by
     a prefix sum of such rows over the files."""
     split = cuts.filter("last.some < last.copies").select(F.col("source").alias("of"), F.col("last.some").alias("some"), F.col("last.stretch").alias("cut"))
-    mine = F.struct(hash_key(F.col(doc_id), seed), F.col(doc_id), word_count(F.col(text).cast("string")))
-    match = F.col(source).cast("string").eqNullSafe(F.col("of")) & (hash_key(F.col(doc_id), seed) == F.col("cut.key"))
-    alike = docs.join(small(split, split.count(), SOURCES), match).filter(mine == F.col("cut")).select("of", "some", "__row.file", "__row.at", F.col("__row"))
+    mine = F.struct(hash_key(F.col("doc_id"), seed), F.col("doc_id"), word_count(F.col("text")))
+    match = F.col("source").eqNullSafe(F.col("of")) & (hash_key(F.col("doc_id"), seed) == F.col("cut.key"))
+    alike = rows.join(small(split, split.count(), SOURCES), match).filter(mine == F.col("cut")).select("of", "some", "row.file", "row.at", "row")
     per_file = alike.groupBy("of", "file").agg(F.count(F.lit(1)).alias("n"), F.first("some").alias("some"))
     before = F.sum("n").over(Window.partitionBy("of").orderBy("file")) - F.col("n")
     ends = per_file.withColumn("need", F.col("some") - before).filter("need between 1 and n").select(F.col("of").alias("o"), F.col("file").alias("f"), "need")
-    rows = alike.join(F.broadcast(ends), F.col("of").eqNullSafe(F.col("o")) & (F.col("file") == F.col("f")))  # one file a source
+    alike = alike.join(F.broadcast(ends), F.col("of").eqNullSafe(F.col("o")) & (F.col("file") == F.col("f")))  # one file a source
     nth = F.row_number().over(Window.partitionBy("of", "file").orderBy("at"))
-    return rows.withColumn("nth", nth).filter("nth = need").select("of", F.col("__row").alias("until"))
+    return alike.withColumn("nth", nth).filter("nth = need").select("of", F.col("row").alias("until"))
 
 
 def _placed(docs, doc_id, text, source, weight_cycle, most, seed) -> DataFrame:

@@ -117,12 +117,14 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", shingle=3,
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = member.join(lowest, "root").select("fp", "component_id", "n")
-    # a fingerprint of very many documents (empty texts, say) is spread over keys of its own
-    some = F.sequence(F.lit(0).cast("long"), F.least(F.lit(MOST_SALTS), F.floor(F.col("n") / HOT)).cast("long"))
-    named = materialize(named.withColumn("salt", F.explode(some)).withColumn("salts", F.size(some)), "simhash-named")
-    hot = materialize(named.filter("salts > 1").select("fp", "salts").distinct(), "simhash-hot")  # a row per HOT documents at most
-    if n_hot := hot.count():
-        prints = prints.join(small(hot, n_hot, HOT_ROWS), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    hot = nodes.filter(F.col("n") >= HOT)
+    if n_hot := hot.count():  # at most one for each HOT documents
+        # a fingerprint of very many documents (empty texts, say) is spread over keys of its own, by rows, not by ids
+        last = F.least(F.lit(MOST_SALTS), F.floor(F.col("n") / HOT)).cast("long")
+        hot = small(hot.select("fp", (last + 1).alias("salts")), n_hot, HOT_ROWS)
+        named = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        prints = prints.withColumn("place", F.monotonically_increasing_id()).join(hot, "fp", "left")
+        prints = prints.withColumn("salt", F.pmod("place", F.coalesce("salts", F.lit(1))))
         out = prints.join(named.select("fp", "salt", "component_id"), ["fp", "salt"])
     else:
         out = prints.join(named.select("fp", "component_id"), "fp")

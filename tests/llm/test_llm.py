@@ -827,3 +827,48 @@ def test_nothing_else_imports_llm():
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
     assert json is not None
+
+
+def odd_names(docs):
+    """``docs`` with columns of every name that the stages use inside, and some of the file source's."""
+    names = ["__row", "__ROW2", "__at", "__file", "__id", "___key", "key", "file", "at", "of", "cut", "some", "_metadata", "lang_pred", "salt", "place", "n"]
+    return docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = documents(spark, odd_rows()).select("doc_id", "text", "lang", "source", "n_chars")
+    odd_names(docs).repartition(3).write.parquet(f"{tmp_path}/odd")
+    odd = spark.read.parquet(f"{tmp_path}/odd")
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert rows and all(r["__row"] == (None if r.doc_id is None else f"__row{r.doc_id}") for r in rows), name
+        want = stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), "").groupBy("doc_id").count().collect()
+        assert Counter(r.doc_id for r in rows) == {r.doc_id: r["count"] for r in want}, name
+
+
+def test_no_id_rules_the_language_fit(spark):
+    """Null ids, one id for most rows and one text stored very often leave the fit as good."""
+    words = {"en": "the of and that house water people never", "de": "der und nicht haus wasser leute niemals das", "fr": "le et ne pas maison eau gens jamais", "it": "il e non casa acqua gente mai che", "pt": "o e não casa água gente nunca que", "nl": "de en niet huis water mensen nooit het"}
+    rng = random.Random(3)
+    say = lambda k: " ".join(rng.choice(words[k].split()) for _ in range(40))
+    rows = [(None if i % 2 else 7, say(k), k) for k in words for i in range(700)] + [(9, "zzz qqq", "en")] * 4000 + [(None, None, "en"), (1, "", "de"), (2, "x", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words)
+    asked = [(k, model.predict(say(k))) for k in words for _ in range(50)]
+    assert sum(k == p[0] for k, p in asked) / len(asked) > 0.98
+    by = {k: np.mean([p[1] for kk, p in asked if kk == k]) for k in words}
+    assert min(by.values()) > 0.8 * max(by.values()), by
+
+
+def test_hot_fingerprints_are_spread_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 10)
+    rows = [(5, "one and the same text", "en", "a")] * 60 + [(None, None, "en", "a")] * 25 + [(i, f"different words {i} " * 9, "en", "a") for i in range(20)]
+    got = simhash.near_duplicates(documents(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert {r.component_id for r in got if r.doc_id == 5} == {5}
+    plan = simhash.near_duplicates(documents(spark, rows))._jdf.queryExecution().analyzed().toString()
+    assert "salt" in plan and "xxhash64(doc_id" not in plan
