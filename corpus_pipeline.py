@@ -6,10 +6,12 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import identified, materialize, path_of, remove, scratch, small, table
+from corpusloom.llm.common import free_prefix, identified, materialize, path_of, remove, scratch, small, table
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.langid import fit, identify
 from corpusloom.llm.mixing import mixed_rows
@@ -22,42 +24,51 @@ DROPPED = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those that are null or hold no letter are rejected."""
+    """Documents in a language. Those that are null, empty or without a letter are rejected; null
+    ids, repeated rows and very long texts are documents like any other, texts between two languages
+    stay. No documents give none; other columns, of any name, are kept."""
     said = identify(docs, fit(docs), keep=True)
     return said.filter(F.col(said.columns[len(docs.columns)]) != "und").select(*said.columns[: len(docs.columns)])
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__id``: doc_id and, for tables that repeat it, the row's file and place."""
-    return identified(docs).withColumn("__id", F.struct(F.col("doc_id").alias("id"), F.col("__row.file").alias("file"), F.col("__row.at").alias("at")))
-
-
-def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` without those whose file and place are in ``dropped`` (its column doc_id)."""
-    dropped = materialize(dropped.select(F.col("doc_id.file").alias("__file"), F.col("doc_id.at").alias("__at")), "dropped")
-    met = (F.col("__row.file") == F.col("__file")) & (F.col("__row.at") == F.col("__at"))
-    return rows.join(small(dropped, dropped.count(), DROPPED), met, "left_anti").select(*columns)
+def _staying(docs: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` but for the rows that ``dropped(rows, key)`` names in its column doc_id. The key is
+    doc_id and, for tables that repeat it, the row's file and place; its name and those beside it
+    are none that ``docs`` has."""
+    p = free_prefix(docs.columns)
+    row, key = f"{p}row", f"{p}key"
+    rows = identified(docs, row)
+    rows = rows.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.col(row)["file"].alias("file"), F.col(row)["at"].alias("at")))
+    gone = dropped(rows, key).select(F.col("doc_id.file").alias(f"{p}file"), F.col("doc_id.at").alias(f"{p}at"))
+    gone = materialize(gone, "dropped")
+    met = (F.col(row)["file"] == F.col(f"{p}file")) & (F.col(row)["at"] == F.col(f"{p}at"))
+    return rows.join(small(gone, gone.count(), DROPPED), met, "left_anti").select(*(rows[c] for c in docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    rows = _rows(docs)
-    return _without(rows, exact_groups(rows, doc_id="__id").filter("not kept"), docs.columns)
+    """Of texts equal but for the case of A to Z the row with the largest doc_id stays, of repeated
+    ids the last by file and place, a null id only where no other is. Null and empty texts are equal.
+    No documents give none; other columns, of any name, are kept."""
+    return _staying(docs, lambda rows, key: exact_groups(rows, doc_id=key).filter("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row with the smallest doc_id stays."""
-    rows = _rows(docs)
-    return _without(rows, near_duplicates(rows, doc_id="__id").filter("doc_id <> component_id"), docs.columns)
+    """Of each SimHash component the row with the smallest doc_id stays: a null id before any other,
+    of repeated ids the first by file and place. Texts without words are one component. No documents
+    give none; other columns, of any name, are kept."""
+    return _staying(docs, lambda rows, key: near_duplicates(rows, doc_id=key).filter("doc_id <> component_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; documents of scarce sources repeat."""
+    """Sources at their target weights; documents of scarce sources repeat, at most three times. A
+    null source is a source; null texts have no words and go with their place in the order; equal ids
+    go by size, then file and place. No documents give none; other columns, of any name, are kept."""
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows at the mix's proportions."""
+    """Token windows at the mix's proportions; columns, nulls, repeated rows and very long texts as
+    in :func:`pack`."""
     return pack(docs, tokenizer())
 
 
