@@ -42,17 +42,26 @@ def sc03(spark, sf):
 
 
 @register("sc04_token_files", """
-SELECT lang, sum(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::BIGINT AS tokens FROM documents GROUP BY lang""".replace("\\\\", "\\"))
+WITH d AS (SELECT lang, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)
+SELECT lang, count(t) AS records, coalesce(sum(length(t)), 0)::BIGINT AS tokens, coalesce(sum(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)), 0)::BIGINT AS digest FROM d GROUP BY lang""".replace("\\\\", "\\"))
 def sc04(spark, sf):
-    """16-bit token files by language, whatever languages there are, written by the token sink and read in chunks (SC4, SC5, SC9, SC10, SK4, SK5, D4)."""
-    path = scratch_path(spark, "tokens")
+    """16-bit token files by language, whatever languages there are: written by the token sink, read in chunks and
+    as records; the digests of the records say that every id came back in its place (SC4, SC5, SC9, SC10, SK4, SK5, D4)."""
+    path, end = scratch_path(spark, "tokens"), 128
     ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
     ids = F.transform(F.filter(F.split(ascii_only, ""), lambda c: c != ""), lambda c: F.ascii(c))
     d = table(spark, sf, "documents")
-    B.write_labelled_tokens(d.select(F.col("lang").alias("label"), ids.alias("tokens")), path)
-    read = B.read_tokens(spark, path, limit=128).groupBy(B.folder_label(F.col("path")).alias("label")).agg(F.sum(F.size("tokens")).alias("n"))
-    seen = d.groupBy("lang").agg(F.count("text").alias("texts"))  # a language may have no token, and then no chunk
-    return seen.join(read, seen["lang"].eqNullSafe(read["label"]), "left").select("lang", F.when(F.col("texts") > 0, F.coalesce("n", F.lit(0).cast("long"))).alias("tokens"))
+    B.write_tokens(d.select("lang", ids.alias("tokens")), path, end, label="lang")
+    label = B.folder_label(F.col("path")).alias("label")
+    chunks = B.read_tokens(spark, path, limit=end + 1).groupBy(label).agg(F.sum(F.size(F.filter("tokens", lambda x: x != end))).alias("tokens"))
+    text = F.array_join(F.transform("tokens", lambda x: F.char(x)), "")
+    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    records = B.read_records(spark, path, end).groupBy(label).agg(F.count(F.lit(1)).alias("records"), F.sum(digest).alias("digest"))
+    same = chunks["label"].eqNullSafe(records["label"])
+    read = records.join(chunks, same).select(records["label"], "records", "tokens", "digest")
+    seen = d.select("lang").distinct()  # a language may have no text, and then no record
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return seen.join(read, seen["lang"].eqNullSafe(read["label"]), "left").select("lang", zero("records"), zero("tokens"), zero("digest"))
 
 
 @register("sc06_chat_rows", r"""
@@ -89,9 +98,10 @@ def sc08(spark, sf):
     return r.groupBy(F.get(F.split("channel", "#"), F.lit(0)).alias("doc")).agg(F.count("*").alias("lines"))
 
 
-@register("sc11_packed_tokens")
+@register("sc11_packed_tokens", "SELECT doc_id, strlen(coalesce(text, '')) AS tokens, md5(coalesce(text, '')) AS digest FROM documents")
 def sc11(spark, sf):
-    """Packed-token containers of whole texts, one per document, written and read back (SC11, X29)."""
+    """Packed-token containers of whole texts, one per document, written and read back, with the
+    digest of the ids that came back (SC11, X29)."""
     import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -99,10 +109,13 @@ def sc11(spark, sf):
     def packs(keys, texts):
         return pa.array([B.pack_bytes(np.frombuffer((t or "").encode(), np.uint8), document=k) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
 
+    def as_bytes(x):
+        return pa.array([v.values.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for v in x], pa.binary())
+
     path, d = scratch_path(spark, "packs"), table(spark, sf, "documents")
     B.write_packs(d.select(F.arrow_udf(packs, T.BinaryType())(F.col("doc_id").cast("string"), "text").alias("pack")), path)
     key = F.get_json_object("metadata", "$.document").cast(d.schema["doc_id"].dataType)
-    return B.read_packs(spark, path).select(key.alias("doc_id"), F.size("tokens").alias("tokens"))
+    return B.read_packs(spark, path).select(key.alias("doc_id"), F.size("tokens").alias("tokens"), F.md5(F.arrow_udf(as_bytes, T.BinaryType())("tokens")).alias("digest"))
 
 
 @register("sc14_logic_records")
@@ -149,6 +162,18 @@ def sk03(spark, sf):
     return S.with_text_offsets(d, "doc_id", "source", "text").select("doc_id", "text_start", "output_start", "text_bytes")
 
 
+@register("sk09_atomic_report", "SELECT lang, count(*) AS documents, sum(length(text))::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+def sk09(spark, sf):
+    """A JSON report (a row per language) that replaces an older one as a whole, read back (SK9, SK8)."""
+    from ..sources.commit import put, write_report
+
+    path = scratch_path(spark, "report")
+    rows = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.countDistinct("source").alias("sources"))
+    put(spark, f"{path}/report.json", b'[{"lang": "old"}]')
+    write_report(spark, f"{path}/report.json", [r.asDict() for r in rows.collect()])
+    return spark.read.schema(rows.schema).option("multiLine", True).json(path)
+
+
 @register("sk11_pending_work", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
 def sk11(spark, sf):
     """Resumable work: finished keys are skipped, another identity is an error (SK11, ST6)."""
@@ -175,6 +200,37 @@ def st01(spark, sf):
     return run_once(vote_store(s), "vote_store", out).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@register("sk10_fenced_log", f"""
+WITH v AS (SELECT 'e' || (event_id - event_id % 3) AS event_id, event_id AS arrival, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' WHEN 'purchase' THEN 'withdraw' ELSE 'skip' END AS choice FROM events)
+SELECT event_id, count(*) AS events, arg_min(choice, arrival) AS choice FROM v GROUP BY event_id""")
+def sk10(spark, sf):
+    """Votes appended to a durable log by a stream that another writer takes over half-way: the first
+    is fenced, no event is lost or doubled (SK10, ST1)."""
+    from ..sources.commit import EventLog, Fenced
+
+    v = votes(spark, sf).repartitionByRange(6, "arrival")
+    s, path = _stream(spark, v, "log")
+    log, taken = EventLog(spark, path).open(), []
+
+    def append(batch, i):
+        writer = log
+        if i >= 1:  # a second process has opened the log meanwhile
+            if not taken:
+                taken.append(EventLog(spark, path).open())
+                taken[0].append(batch, f"votes-{i}")
+                try:
+                    log.append(batch, f"late-{i}")
+                    raise AssertionError("two writers at once")
+                except Fenced:
+                    pass
+            writer = taken[0]
+        writer.append(batch, f"votes-{i}")
+
+    q = s.writeStream.queryName("fenced").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(append).start()
+    q.awaitTermination()
+    return EventLog(spark, path).replay(v.schema).groupBy("event_id").agg(F.count("*").alias("events"), F.min_by("choice", "arrival").alias("choice"))
+
+
 @register("st02_effective_stream", f"SELECT packet_id, reviewer_id, case_id, choice FROM {EFFECTIVE_SQL}")
 def st02(spark, sf):
     """Effective votes as a stream of updates; equals the batch view (ST2)."""

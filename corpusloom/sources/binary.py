@@ -1,30 +1,32 @@
 """Binary sources and sinks: token streams, packed tokens, merge vocabularies.
 
-Readers go through Spark's own binary reader, so any store will do, and unpack in Arrow
-batches. The token sink is a Python data source; its path must be one that all tasks share.
+Readers go through Spark's own binary reader and unpack in Arrow batches. Sinks go through
+Spark's own text writer, which writes a row's bytes as they are and a separator after each: for
+token streams the separator is the id that closes a record, for containers the last byte of the
+spare id that ends each of them. So any store that Spark writes to will do, files appear under
+their names only when the job commits, and what a lost task has written is never seen.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from .commit import put
 
 # Fixed values of the file formats.
 PACK_MAGIC, VOCABULARY_MAGIC = b"BRAIDPK1", b"LITBPE1\0"
 PACK_HEADER, PACK_FIELDS = 64, 16
 CHUNK = 32_768
 BASE_TOKENS = 128
-#: A file of containers is closed at this many bytes, so that a reader holds little at a time.
-PACK_FILE = 8 << 20
+#: Records that a file holds at most, so that a reader holds little at a time.
+FILE_RECORDS = 1000
 #: Ids that a batch of read containers holds before it is passed on.
 READ_IDS = 1 << 20
 
@@ -56,15 +58,31 @@ def read_tokens(spark: SparkSession, path: str, width: int = 2, limit: int | Non
     return _files(spark, path).mapInArrow(run, schema)
 
 
+def read_records(spark: SparkSession, path: str, end: int) -> DataFrame:
+    """Records of 16-bit token files as (path, tokens): the ids before each ``end``. A file whose
+    last record is not closed, or with an odd size, raises."""
+
+    def run(batches):
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = c.as_py()
+                if len(raw) % 2:
+                    raise ValueError(f"{p}: {len(raw)} bytes are no multiple of 2")
+                ids = np.frombuffer(raw, "<u2")
+                closed = ids == end
+                if len(ids) and not closed[-1]:
+                    raise ValueError(f"{p}: the last record is not closed")
+                ends = np.flatnonzero(closed)
+                sizes = np.diff(ends, prepend=-1) - 1
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids[~closed].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(ends), pa.string()), tokens], ["path", "tokens"])
+
+    return _files(spark, path).mapInArrow(run, "path string, tokens array<int>")
+
+
 def save_vocabulary(spark: SparkSession, merges: list[tuple[int, int]], path: str) -> None:
-    """A merge vocabulary as a file of its own, through the session's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(conf).create(where, True)
-    try:
-        out.write(vocabulary_bytes(merges))
-    finally:
-        out.close()
+    """A merge vocabulary as a file of its own, whole or not at all."""
+    put(spark, path, vocabulary_bytes(merges))
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> list[tuple[int, int]]:
@@ -81,18 +99,16 @@ def _ids_bytes(ids, width: int) -> bytes:
 
 
 def _ids_array(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
-    if len(raw) < at + n * width:
-        raise ValueError("a packed-token container ends early")
     if width not in (1, 2, 4, 8):
         return np.array([int.from_bytes(raw[at + i * width : at + (i + 1) * width], "little") for i in range(n)], np.int64)
     return np.frombuffer(raw, f"<u{width}", n, at)
 
 
 def pack_bytes(ids, width: int = 2, **metadata) -> bytes:
-    """A packed-token container."""
+    """A packed-token container: the active ids and one spare id, zero, behind them."""
     meta = json.dumps({**metadata, "activeTokens": len(ids)}).encode()
-    head = PACK_MAGIC.ljust(PACK_FIELDS, b"\0") + struct.pack("<III", len(meta), len(ids), width)
-    return head.ljust(PACK_HEADER, b"\0") + meta + _ids_bytes(ids, width)
+    head = PACK_MAGIC.ljust(PACK_FIELDS, b"\0") + struct.pack("<III", len(meta), len(ids) + 1, width)
+    return head.ljust(PACK_HEADER, b"\0") + meta + _ids_bytes(ids, width) + bytes(width)
 
 
 def _unpack_at(raw: bytes, at: int) -> tuple[np.ndarray, dict, int]:
@@ -101,7 +117,10 @@ def _unpack_at(raw: bytes, at: int) -> tuple[np.ndarray, dict, int]:
         raise ValueError("not a packed-token container")
     size, count, width = struct.unpack_from("<III", raw, at + PACK_FIELDS)
     meta, start = json.loads(raw[at + PACK_HEADER : at + PACK_HEADER + size]), at + PACK_HEADER + size
-    return _ids_array(raw, start, meta["activeTokens"], width), meta, start + max(count, meta["activeTokens"]) * width
+    end = start + max(count, meta["activeTokens"]) * width
+    if len(raw) < end:
+        raise ValueError("a packed-token container ends early")
+    return _ids_array(raw, start, meta["activeTokens"], width), meta, end
 
 
 def unpack_bytes(raw: bytes) -> tuple[list[int], dict]:
@@ -155,189 +174,55 @@ def read_vocabulary(raw: bytes) -> list[tuple[int, int]]:
     return pairs
 
 
-class TokenFiles(DataSource):
-    """``df.write.format("tokens16").save(path)``: a file of 16-bit ids per task, from a column
-    ``tokens`` (array of int). Files appear under their final name only when the job commits."""
-
-    @classmethod
-    def name(cls):
-        return "tokens16"
-
-    def schema(self):
-        return "tokens array<int>"
-
-    def writer(self, schema, overwrite):
-        return _TokenWriter(self.options["path"].removeprefix("file://"))
-
-
-class _TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
-
-    def write(self, batches):
-        from pyspark import TaskContext
-
-        c = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{c.partitionId():05d}.u16"
-        temp = f"{self.path}/_{name}.{c.taskAttemptId()}"
-        with open(temp, "wb") as f:
-            for b in batches:
-                ids = b.column(0).flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
-                    raise ValueError("an id does not fit 16 bits")
-                f.write(ids.astype("<u2").tobytes())
-            f.flush()
-            os.fsync(f.fileno())
-        return _Written(temp, f"{self.path}/{name}")
-
-    def commit(self, messages):
-        for m in messages:
-            if m:
-                os.replace(m.temp, m.final)
-
-    def abort(self, messages):
-        for m in messages:
-            if m and os.path.exists(m.temp):
-                os.remove(m.temp)
-
-
-class PackFiles(DataSource):
-    """``df.write.format("tokenpacks").save(path)``: containers (column ``pack``, binary), one
-    after the other in files of about 8 MB. Files appear under their final name only when the
-    job commits."""
+def _bytes_of_ids(x: pa.Array) -> pa.Array:
+    """Little-endian 16-bit ids of each list, as bytes."""
+    ids = x.flatten().to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
+        raise ValueError("an id does not fit 16 bits")
+    sizes = np.asarray(x.value_lengths().to_numpy(zero_copy_only=False))
+    offsets = (2 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
 
-    @classmethod
-    def name(cls):
-        return "tokenpacks"
 
-    def schema(self):
-        return "pack binary"
+def _write_raw(rows: DataFrame, path: str, separator: bytes, records: int, by: list[str]) -> None:
+    """A string column's bytes as files, ``separator`` after each row."""
+    w = rows.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", records)
+    (w.partitionBy(*by) if by else w).text(path)
 
-    def writer(self, schema, overwrite):
-        return _PackWriter(self.options["path"].removeprefix("file://"), int(self.options.get("filebytes", PACK_FILE)))
 
+def write_tokens(df: DataFrame, path: str, end: int, label: str | None = None, records: int = FILE_RECORDS) -> None:
+    """Token arrays (column ``tokens``) as files of 16-bit little-endian ids, each array closed by
+    the id ``end``, which no array may hold. Null arrays are no records.
 
-class _PackWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, limit: int):
-        self.path, self.limit = path, limit
-
-    def write(self, batches):
-        from pyspark import TaskContext
-
-        c, files, f = TaskContext.get(), [], None
-        os.makedirs(self.path, exist_ok=True)
-        try:
-            for b in batches:
-                for x in b.column(0):
-                    if f is None:
-                        name = f"part-{c.partitionId():05d}-{len(files):05d}.pack"
-                        files.append(_Written(f"{self.path}/_{name}.{c.taskAttemptId()}", f"{self.path}/{name}"))
-                        f = open(files[-1].temp, "wb")
-                    f.write(x.as_buffer())
-                    if f.tell() >= self.limit:
-                        f = _close(f)
-        finally:
-            f = f and _close(f)
-        return _WrittenFiles(files)
-
-    def commit(self, messages):
-        for m in messages:
-            for w in m.files if m else []:
-                os.replace(w.temp, w.final)
-
-    def abort(self, messages):
-        for m in messages:
-            for w in m.files if m else []:
-                if os.path.exists(w.temp):
-                    os.remove(w.temp)
-
-
-def _close(f) -> None:
-    f.flush()
-    os.fsync(f.fileno())
-    f.close()
-
-
-class _WrittenFiles(WriterCommitMessage):
-    def __init__(self, files: list[_Written]):
-        self.files = files
-
-
-class _Written(WriterCommitMessage):
-    def __init__(self, temp: str, final: str):
-        self.temp, self.final = temp, final
-
-
-def write_tokens(df: DataFrame, path: str) -> None:
-    """Token arrays (column ``tokens``) as 16-bit files."""
-    df.sparkSession.dataSource.register(TokenFiles)
-    df.select(F.col("tokens").cast(T.ArrayType(T.IntegerType()))).write.format("tokens16").mode("append").save(path)
-
-
-class LabelledTokenFiles(DataSource):
-    """``df.write.format("tokens16by").save(path)``: 16-bit ids (column ``tokens``) in a folder for
-    each value of a string column ``label``, a file per task and value; see :func:`label_folder`."""
-
-    @classmethod
-    def name(cls):
-        return "tokens16by"
-
-    def schema(self):
-        return "label string, tokens array<int>"
-
-    def writer(self, schema, overwrite):
-        return _LabelledTokenWriter(self.options["path"].removeprefix("file://"))
+    With ``label`` (a string column) in a folder for each of its values; see :func:`label_folder`.
+    """
+    ids = F.col("tokens").cast(T.ArrayType(T.IntegerType()))
+    d = df.filter(F.col("tokens").isNotNull() & F.assert_true(~F.array_contains(ids, end), F.lit("an array holds the closing id")).isNull())
+    raw = F.arrow_udf(_bytes_of_ids, T.BinaryType())(ids).cast("string").alias("value")
+    if label is None:
+        return _write_raw(d.select(raw), path, end.to_bytes(2, "little"), records, [])
+    name = F.coalesce(F.concat(F.lit("label-"), F.hex(F.encode(F.col(label).cast("string"), "UTF-8"))), F.lit("null"))
+    return _write_raw(d.select(name.alias("of"), raw), path, end.to_bytes(2, "little"), records, ["of"])
 
 
 def label_folder(label: str | None) -> str:
     """Folder of a label: its UTF-8 in hex, so that any value is a name; null has its own."""
-    return "null" if label is None else "label-" + label.encode().hex().upper()
+    return "of=null" if label is None else "of=label-" + label.encode().hex().upper()
 
 
 def folder_label(path: Column) -> Column:
     """Label of a file by its path, the inverse of :func:`label_folder`."""
-    code = F.regexp_extract(path, r"/label-([0-9A-F]*)/[^/]*$", 1)
-    return F.when(path.rlike("/null/[^/]*$"), F.lit(None).cast("string")).otherwise(F.decode(F.unhex(code), "UTF-8"))
-
+    code = F.regexp_extract(path, r"/of=label-([0-9A-F]*)/[^/]*$", 1)
+    return F.when(path.rlike("/of=null/[^/]*$"), F.lit(None).cast("string")).otherwise(F.decode(F.unhex(code), "UTF-8"))
 
-class _LabelledTokenWriter(_PackWriter):
-    def __init__(self, path: str):
-        super().__init__(path, 0)
 
-    def write(self, batches):
-        from pyspark import TaskContext
-
-        c, files = TaskContext.get(), {}
-        for b in batches:
-            labels = b.column(0).dictionary_encode()
-            codes = pa.compute.fill_null(labels.indices, -1).to_numpy(zero_copy_only=False)
-            for k in np.unique(codes):
-                label = None if k < 0 else labels.dictionary[int(k)].as_py()
-                ids = b.column(1).take(pa.array(np.flatnonzero(codes == k))).flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
-                    raise ValueError("an id does not fit 16 bits")
-                if label not in files:
-                    folder, name = f"{self.path}/{label_folder(label)}", f"part-{c.partitionId():05d}.u16"
-                    os.makedirs(folder, exist_ok=True)
-                    files[label] = _Written(f"{folder}/_{name}.{c.taskAttemptId()}", f"{folder}/{name}")
-                with open(files[label].temp, "ab") as f:  # closed each time: labels may be many
-                    f.write(ids.astype("<u2").tobytes())
-                    f.flush()
-                    os.fsync(f.fileno())
-        return _WrittenFiles(list(files.values()))
-
-
-def write_labelled_tokens(df: DataFrame, path: str) -> None:
-    """Token arrays (column ``tokens``) as 16-bit files by ``label``."""
-    df.sparkSession.dataSource.register(LabelledTokenFiles)
-    df.select(F.col("label").cast("string"), F.col("tokens").cast(T.ArrayType(T.IntegerType()))).write.format("tokens16by").mode("append").save(path)
-
-
-def write_packs(df: DataFrame, path: str, file_bytes: int = PACK_FILE) -> None:
-    """Containers (column ``pack``) as files of containers, each closed at ``file_bytes``."""
-    df.sparkSession.dataSource.register(PackFiles)
-    df.select("pack").write.format("tokenpacks").option("filebytes", file_bytes).mode("append").save(path)
+def write_packs(df: DataFrame, path: str, records: int = FILE_RECORDS) -> None:
+    """Containers (column ``pack``, see :func:`pack_bytes`) one after the other in files of so many.
+    A container must end in a zero byte, as one with a spare id does."""
+    n = F.octet_length("pack")
+    body = F.expr("substring(pack, 1, octet_length(pack) - 1)")
+    ok = F.assert_true((n > 0) & (F.expr("substring(pack, octet_length(pack), 1)") == F.lit(bytes(1))), F.lit("a container without a spare id")).isNull()
+    _write_raw(df.filter(ok).select(body.cast("string").alias("value")), path, bytes(1), records, [])
 
 
 def token_bytes(pieces: DataFrame, ident: str, piece: str) -> DataFrame:
