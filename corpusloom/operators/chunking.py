@@ -69,6 +69,15 @@ def simhash64(x: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+def block_masks(distance: int) -> list[int]:
+    """Masks (signed) of each half of twice as many blocks as may differ in bits: two fingerprints
+    within the distance agree under one of them at least."""
+    n = 2 * distance
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice) for choice in combinations(range(n), distance)]
+    return [m - 2**64 if m >> 63 else m for m in masks]
+
+
 def near_chunks(docs: DataFrame, key: str, text: str, distance: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints within ``distance`` bits, by their smallest keys: a, b, bits.
 
@@ -78,13 +87,84 @@ def near_chunks(docs: DataFrame, key: str, text: str, distance: int = 3) -> Data
     group of copies costs one row.
     """
     f = docs.select(F.col(key), simhash64(F.col(text)).alias("fp")).groupBy("fp").agg(F.min(key).alias("k"))
-    n = 2 * distance
-    cuts = [64 * i // n for i in range(n + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice) for choice in combinations(range(n), distance)]
-    signed = F.array(*(F.lit(m - 2**64 if m >> 63 else m).cast("long") for m in masks))
+    signed = F.array(*(F.lit(m).cast("long") for m in block_masks(distance)))
     b = f.select("fp", "k", F.posexplode(F.transform(signed, lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v"))
     x, y = b.alias("x"), b.alias("y")
     j = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")))
     bits = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
     j = j.filter(bits <= distance)
     return j.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.min(bits).alias("bits"))
+
+
+#: Undecided fingerprints up to this many (some 50 MB) are decided by one task.
+LAST_ROWS = 200_000
+
+
+def _keys(fp: int, masks: list[int]) -> list[tuple[int, int]]:
+    return [(i, fp & m) for i, m in enumerate(masks)]
+
+
+def _in_order(masks: list[int], distance: int):
+    """Decides fingerprints (fp, k) in the order of k: kept unless within ``distance`` of a kept one."""
+
+    def run(batches):
+        kept: dict[tuple, list[tuple[int, int]]] = {}
+        for b in batches:
+            out = []
+            for fp, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                near = [q for key in _keys(fp, masks) for o, q in kept.get(key, ()) if ((o ^ fp) & (2**64 - 1)).bit_count() <= distance]
+                if not near:
+                    for key in _keys(fp, masks):
+                        kept.setdefault(key, []).append((fp, k))
+                out.append((fp, k, min(near, default=None)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, ["fp", "k", "struck_by"])
+
+    return run
+
+
+def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: int = LAST_ROWS) -> DataFrame:
+    """(key, kept, near): each row is kept unless it lies within ``distance`` bits of a row kept
+    before it in the order of ``key`` (an integer); ``near`` is the first such row, null for kept ones.
+
+    Of rows with one fingerprint only the first can stay, so copies count once. Fingerprints that
+    could be near share a key (see :func:`near_chunks`). In a round, one that is the first undecided
+    of all its keys has nothing before it that could strike it: it stays, and strikes those near it
+    with which it shares a key. A key has at most one that stays in a round, so a round's work is in
+    proportion to the undecided, however alike they are; no pairs are listed. When ``last`` or fewer
+    are undecided, one task decides them in order, so long chains need no long row of rounds. Null
+    keys come before all others, as one row; no rows give no rows.
+    """
+    from ..session import scratch_path
+
+    spark = docs.sparkSession
+
+    def written(d, name):
+        path = scratch_path(spark, name)
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    least = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    rows = written(docs.select(F.col(key), least.alias("k"), simhash64(F.col(text)).alias("fp")), "chunks")
+    todo = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "undecided")
+    masks = block_masks(distance)
+    columns = F.array(*(F.lit(m).cast("long") for m in masks))
+    n, decided = todo.count(), []
+    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    while n > last:
+        keyed = todo.select("fp", "k", F.posexplode(F.transform(columns, lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v"))
+        heads = written(keyed.groupBy("i", "v").agg(F.min(F.struct("k", "fp")).alias("head")).select("i", "v", "head.k", "head.fp"), "heads")
+        free = written(heads.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(masks)).select("k", "fp"), "free")
+        first = heads.join(free, ["k", "fp"]).select("i", "v", F.col("k").alias("by"), F.col("fp").alias("by_fp"))
+        struck = keyed.join(first, ["i", "v"]).filter((F.col("k") != F.col("by")) & (bits("fp", "by_fp") <= distance))
+        struck = struck.groupBy("fp", "k").agg(F.min("by").alias("struck_by"))
+        decided.append(written(struck.unionByName(free.withColumn("struck_by", F.lit(None).cast("long"))), "decided"))
+        todo = written(todo.join(decided[-1].select("fp"), "fp", "left_anti"), "undecided")
+        n = todo.count()
+    decided.append(todo.repartition(1).sortWithinPartitions("k").mapInArrow(_in_order(masks, distance), "fp long, k long, struck_by long"))
+    all_ = decided[0]
+    for d in decided[1:]:
+        all_ = all_.unionByName(d)
+    j = rows.join(all_.select("fp", F.col("k").alias("first"), "struck_by"), "fp")
+    kept = F.col("struck_by").isNull() & (F.col("k") == F.col("first"))
+    near = F.when(~kept, F.coalesce("struck_by", "first"))
+    return j.select(key, kept.alias("kept"), F.nullif(near, F.lit(-(2**63))).alias("near"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,24 +90,101 @@ def hybrid_blocks(queries: DataFrame, memory: DataFrame, k: int = 3, lexical: fl
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_strings(df: DataFrame, group: str, key: str, text: str, k: int) -> DataFrame:
-    """``k`` most similar other strings of the same group by sequence-matcher ratio: key, rank,
-    other, ratio. Groups are the small pools that replacement values are taken from."""
-    schema = f"{key} long, rank int, other long, ratio double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, items = [], list(zip(pdf[key], pdf[text]))
-        m = difflib.SequenceMatcher()
-        for a, s in items:
-            m.set_seq2(s)
-            best = []
-            for b, t in items:
-                if a != b:
-                    m.set_seq1(t)
-                    floor = best[k - 1][0] if len(best) >= k else -1
-                    if -m.quick_ratio() <= floor or floor == -1:
-                        best = sorted([*best, (-m.ratio(), b)])[:k]
-            rows += [(a, i + 1, b, -r) for i, (r, b) in enumerate(best)]
-        return pd.DataFrame(rows, columns=[key, "rank", "other", "ratio"])
-
-    return df.select(group, F.col(key).cast("long").alias(key), text).groupBy(group).applyInPandas(run, schema)
+#: Strings of a block.
+STRING_BLOCK = 1024
+
+
+def similar_in(queries: list[tuple], others: list[tuple], k: int) -> tuple[list[tuple], int]:
+    """For each query (group, key, text, floor) the ``k`` most similar of ``others`` (group, key,
+    text, ...) of its group with another key and a ratio of ``floor`` at least: (key, other, ratio)
+    rows, and how many ratios were computed.
+
+    Characters that two strings have in common, counted, bound the ratio from above. Others are
+    looked at from the highest bound down, and no further than the ``k``-th best ratio so far.
+    """
+    place = {c: i for i, c in enumerate(sorted({c for r in others for c in r[2]}))}
+    counts = np.zeros((len(others), len(place)), np.int32)
+    for i, r in enumerate(others):
+        for c in r[2]:
+            counts[i, place[c]] += 1
+    size = np.array([len(r[2]) for r in others])
+    by_group: dict = {}
+    for i, r in enumerate(others):
+        by_group.setdefault(r[0], []).append(i)
+    by_group = {g: np.array(at) for g, at in by_group.items()}
+    m, out, done = difflib.SequenceMatcher(), [], 0
+    for group, key, text, floor in queries:
+        at = by_group.get(group, np.zeros(0, np.int64))
+        own = np.zeros(len(place), np.int32)
+        for c in text:
+            if c in place:
+                own[place[c]] += 1
+        total = len(text) + size[at]
+        bound = np.where(total > 0, 2 * np.minimum(counts[at], own).sum(1) / np.maximum(total, 1), 1.0)
+        best: list[tuple] = []
+        m.set_seq2(text)
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < floor - 1e-12 or (len(best) >= k and bound[i] < -best[k - 1][0] - 1e-12):
+                break
+            _, other, t, *_ = others[at[i]]
+            if other != key:
+                m.set_seq1(t)
+                done += 1
+                best = sorted([*best, (-m.ratio(), other)])[:k]
+        out += [(key, other, -r) for r, other in best if -r >= floor]
+    return out, done
+
+
+def nearest_strings(df: DataFrame, group: str, key: str, text: str, k: int, block: int = STRING_BLOCK) -> DataFrame:
+    """``k`` most similar other strings of the same group by sequence-matcher ratio, ties to the
+    smaller key: key, rank, other, ratio. Rows without a text are left out; null is a group.
+
+    Strings lie in blocks, by group and length. What a string's own block holds gives it a floor
+    under its ``k``-th best ratio. Then a block meets those others of its groups whose lengths do
+    not keep the ratio below all its floors, pair by pair of blocks, and only ratios that the floors
+    and the characters in common leave possible are computed. A pool of any size is cut into blocks.
+    """
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+
+    def written(d, name):
+        path = scratch_path(spark, name)
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    rows = df.filter(F.col(text).isNotNull()).select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("t"), F.length(text).alias("n"))
+    order = ["g", "n", "t", "key"]
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.monotonically_increasing_id()
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("b", F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND((1 << 33) - 1) / block)), "strings")
+    found = "key long, other long, ratio double"
+
+    def result(triples):
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*triples) if triples else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["key", "other", "ratio"])
+
+    def tuples(t, *names):
+        return list(zip(*(t.column(c).to_pylist() for c in names)))
+
+    def inside(t):
+        held = tuples(t, "g", "key", "t")
+        return result(similar_in([(*r, -1.0) for r in held], held, k)[0])
+
+    def across(left, right):
+        return result(similar_in(tuples(left, "g", "key", "t", "floor"), tuples(right, "g", "key", "t"), k)[0])
+
+    first = written(rows.groupBy("b").applyInArrow(inside, found), "strings-near")
+    floors = first.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.min("ratio")).alias("floor"))
+    asked = written(rows.join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))), "strings-floors")
+    blocks = written(asked.groupBy("g", "b").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("floor").alias("floor")), "strings-blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    low, high = F.greatest("x.least", "y.least"), F.least("x.most", "y.most")
+    close = F.when(low <= high, 1.0).otherwise(2 * high / F.greatest(F.lit(1), low + high))  # the ratio of the nearest lengths
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.b") != F.col("y.b"))).filter(close >= F.col("x.floor") - 1e-12).select(F.col("x.b").alias("b"), F.col("y.b").alias("c")).distinct()
+    pairs = written(pairs, "strings-pairs")
+    left = asked.join(pairs, "b").groupBy("b", "c")
+    right = rows.withColumnRenamed("b", "c").join(pairs, "c").groupBy("b", "c")
+    rest = left.cogroup(right).applyInArrow(across, found)
+    best = Window.partitionBy("key").orderBy(F.desc("ratio"), "other")
+    return first.union(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("key").alias(key), "rank", "other", "ratio")

@@ -58,61 +58,128 @@ def hash_poisson(key: Column, draw: Column, terms: int = 8) -> Column:
     return out
 
 
-def poisson_thresholds() -> np.ndarray:
-    """Steps of the Poisson(1) distribution function on a grid of 2**52."""
-    total, p, out = 0.0, float(np.exp(-1)), []
-    for k in range(20):
-        total += p
-        p /= k + 1
-        out.append(round(total * (1 << 52)))
-    return np.array(out, np.uint64)
+#: Rows of a leaf of the resampling tree, about, and leaves at most (their sizes are broadcast).
+LEAF_ROWS, LEAVES = 4096, 65_536
+#: Rows alike from which their count in a draw is drawn at once, and indices that are drawn at once.
+ALIKE, AT_ONCE = 8, 1 << 17
+
+
+def _generator(*seed: int) -> np.random.Generator:
+    return np.random.Generator(np.random.SFC64(np.random.SeedSequence(seed)))
 
 
-def key_state(keys: np.ndarray) -> np.ndarray:
-    """A 64-bit state per key."""
-    return _mix(np.asarray(keys, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class ResampleTree:
+    """How often each leaf's rows are drawn: a draw takes as many rows as there are, with
+    replacement, and a node's share of its parent's rows is binomial. Each node has a generator of
+    its own, so any task finds the counts of any leaf, and the counts of a draw always sum to all."""
 
+    def __init__(self, sizes: np.ndarray, draws: int, seed: int):
+        self.levels, self.draws, self.seed = [np.asarray(sizes, np.int64)], draws, seed
+        while len(self.levels[0]) > 1:
+            self.levels.insert(0, self.levels[0].reshape(-1, 2).sum(1))
+        self.path: list[tuple[int, np.ndarray]] = []
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    def counts(self, leaf: int) -> np.ndarray:
+        """Rows that each draw takes from a leaf."""
+        depth = len(self.levels) - 1
+        for level in range(depth + 1):
+            node = leaf >> (depth - level)
+            if level < len(self.path) and self.path[level][0] == node:
+                continue
+            del self.path[level:]
+            if not level:
+                taken = np.full(self.draws, self.levels[0][0])
+            else:
+                above, whole, left = self.path[-1][1], self.levels[level - 1][node >> 1], self.levels[level][node & ~1]
+                taken = _generator(self.seed, level, node >> 1).binomial(above, left / whole if whole else 0.0)
+                if node & 1:
+                    taken = above - taken
+            self.path.append((node, taken))
+        return self.path[-1][1]
+
+
+def leaf_sums(values: np.ndarray, alike: np.ndarray, taken: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sums of the drawn values (complex) of a leaf, by draw. ``alike`` says how many rows have each value."""
+    out = np.zeros(len(taken), complex)
+    many = alike >= ALIKE
+    if many.any():
+        p = np.append(alike[many], alike[~many].sum()) / alike.sum()
+        step = max(1, AT_ONCE // len(p))
+        rest = np.empty_like(taken)
+        for lo in range(0, len(taken), step):
+            counts = rng.multinomial(taken[lo : lo + step], p)
+            out[lo : lo + step] = counts[:, :-1] @ values[many]
+            rest[lo : lo + step] = counts[:, -1]
+        taken = rest
+    few = np.repeat(values[~many], alike[~many])
+    if not len(few):
+        return out
+    kind = next(k for k in (np.uint16, np.uint32, np.uint64) if len(few) <= np.iinfo(k).max)
+    ends = np.cumsum(taken)
+    lo = 0
+    while lo < len(taken):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        some = taken[lo:hi] > 0
+        if some.any():
+            drawn = few.take(rng.integers(0, len(few), int(ends[hi - 1] - base), dtype=kind))
+            starts = np.r_[0, ends[lo:hi] - base][:-1]
+            out[lo:hi][some] += np.add.reduceat(drawn, starts[some])
+        lo = hi
+    return out
 
 
-def poisson_bootstrap_blocks(df: DataFrame, key: str, numerator: str, denominator: str, draws: int = 20_000, rows: int = 2048, block: int = 32) -> DataFrame:
-    """(draw, ratio): ratio of weighted sums in each draw. Weights come from a 64-bit mix of key
-    and draw, in blocks of rows by draws, and each task passes on ``draws`` sums.
+def resampled_ratios(df: DataFrame, numerator: str, denominator: str, draws: int = 20_000, seed: int = 1701, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(draw, ratio): ratio of sums over as many rows as there are, drawn with replacement.
 
-    A weight is the inverse of the distribution function at 52 bits: a table over the first 16
-    decides all but the cells that hold a step, and those are searched.
+    Rows with equal values are counted first, so rows that are stored very often are one entry.
+    Entries are spread over leaves by a hash of their values, a draw's rows over the leaves by
+    :class:`ResampleTree`, and each task passes on ``draws`` sums. The same rows give the same
+    draws however they are partitioned; a null value counts as zero; no rows give no draws.
     """
-    steps = poisson_thresholds()
-    cells = np.searchsorted(steps, np.arange(1 << 16, dtype=np.uint64) << np.uint64(36), "right")
-    last = np.searchsorted(steps, (np.arange(1, (1 << 16) + 1, dtype=np.uint64) << np.uint64(36)) - np.uint64(1), "right")
-    cells = np.where(cells == last, cells, 255).astype(np.uint8)
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, "alike")
+    some = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x) for c, x in ((numerator, "n"), (denominator, "d"))))
+    some.groupBy("n", "d").agg(F.count(F.lit(1)).alias("alike")).write.parquet(path)
+    alike = spark.read.schema("n double, d double, alike long").parquet(path)
+    rows = alike.agg(F.sum("alike")).first()[0] or 0
+    schema = "draw int, n double, d double"
+    if not rows:
+        return spark.createDataFrame([], "draw int, ratio double")
+    leaves = 1 << min(LEAVES - 1, -(-rows // leaf_rows) - 1).bit_length()
+    alike = alike.withColumn("leaf", F.pmod(F.xxhash64("n", "d"), F.lit(leaves)).cast("int"))
+    sizes = np.zeros(leaves, np.int64)
+    for r in alike.groupBy("leaf").agg(F.sum("alike").alias("rows")).collect():
+        sizes[r.leaf] = r.rows
+    held = spark.sparkContext.broadcast(sizes)
 
     def run(batches):
-        sums, seen = np.zeros((draws, 2)), False
+        tree, sums, open_, parts = ResampleTree(held.value, draws, seed), np.zeros(draws, complex), None, []
+
+        def close():
+            if parts:
+                n, d, alike = (np.concatenate(c) for c in zip(*parts))
+                sums[:] += leaf_sums(n + 1j * d, alike, tree.counts(open_), _generator(seed, 1 << 20, open_))
+                parts.clear()
+
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            values = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]).astype(float)
-            seen |= len(keys) > 0
-            for lo in range(0, len(keys), rows):
-                state, v = key_state(keys[lo : lo + rows]), values[lo : lo + rows]
-                for at in range(0, draws, block):
-                    jump = np.arange(at + 1, min(at + block, draws) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-                    z = _mix(state[None, :] + jump[:, None])
-                    w = cells[(z >> np.uint64(48)).view(np.int64)]
-                    i = np.nonzero(w == 255)
-                    w[i] = np.searchsorted(steps, z[i] >> np.uint64(12), "right")
-                    sums[at : at + block] += w.astype(float) @ v
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["draw", "n", "d"])
-
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    d = df.select(F.col(key).cast("long"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (numerator, denominator))).repartition(tasks, key)
-    return d.mapInArrow(run, "draw int, n double, d double").groupBy("draw").agg(F.try_divide(F.sum("n"), F.sum("d")).alias("ratio"))
+            n, d, alike, leaf = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.r_[0, np.flatnonzero(np.diff(leaf)) + 1, len(leaf)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if z > a:
+                    if leaf[a] != open_:
+                        close()
+                        open_ = int(leaf[a])
+                    parts.append((n[a:z], d[a:z], alike[a:z]))
+        close()
+        if open_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), pa.array(sums.real.copy()), pa.array(sums.imag.copy())], ["draw", "n", "d"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    placed = alike.select("n", "d", "alike", "leaf").repartition(tasks, "leaf").sortWithinPartitions("leaf", "n", "d")
+    return placed.mapInArrow(run, schema).groupBy("draw").agg(F.try_divide(F.sum("n"), F.sum("d")).alias("ratio"))
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
@@ -124,8 +191,8 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
 def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701, chunk: int = 500) -> DataFrame:
     """Paired bootstrap of (sum a - sum b) / ln 2 / sum size with numpy's generator, per group.
 
-    Meant for groups of window results (a few thousand rows); use
-    :func:`poisson_bootstrap_blocks` where a group may be large.
+    Meant for groups of window results (a few thousand rows); use :func:`resampled_ratios`
+    where a group may be large.
     """
     schema = df.select(*by).schema.add("delta", "double").add("low", "double").add("high", "double").add("wins", "long").add("windows", "long")
 

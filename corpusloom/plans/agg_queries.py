@@ -192,16 +192,17 @@ def a17n(spark, sf):
 
 @register("a17_window_bootstrap")
 def a17k(spark, sf):
-    """Paired window bootstrap, 20,000 draws of hash Poisson weights."""
-    w = windows(spark, sf).select((F.col("book") * 10 + F.col("w")).alias("id"), (F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
-    return ST.interval(ST.poisson_bootstrap_blocks(w, "id", "num", "den"), "ratio")
+    """Paired window bootstrap: 20,000 draws of as many windows as there are, with replacement."""
+    w = windows(spark, sf).select((F.col("nats_b") - F.col("nats_a")).alias("num"), F.col("bytes").alias("den"))
+    return ST.interval(ST.resampled_ratios(w, "num", "den"), "ratio").select(F.round("low", 12).alias("low"), F.round("high", 12).alias("high"), "draws")
 
 
 @register("a18_cluster_bootstrap")
 def a18k(spark, sf):
-    """Bootstrap over whole books, 20,000 draws: sums per book first."""
+    """Bootstrap over whole books, 20,000 draws of as many books as there are: sums per book first."""
     w = windows(spark, sf).groupBy("book").agg(F.sum(F.col("nats_b") - F.col("nats_a")).alias("num"), F.sum("bytes").alias("den"))
-    return ST.interval(ST.poisson_bootstrap_blocks(w, "book", "num", "den"), "ratio")
+    w = w.withColumn("num", F.round("num", 9))  # a book's sum is the same in whatever order its windows come
+    return ST.interval(ST.resampled_ratios(w, "num", "den"), "ratio").select(F.round("low", 12).alias("low"), F.round("high", 12).alias("high"), "draws")
 
 
 @register("a20_pass_counts", "SELECT l_linestatus AS act, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS passed FROM lineitem GROUP BY ROLLUP (l_linestatus)")
@@ -414,7 +415,7 @@ def t07(spark, sf):
 
 @register("t06_similar_strings")
 def t06(spark, sf):
-    """Three nearest part names by sequence-matcher ratio, among parts of the same brand."""
+    """Three nearest part names by sequence-matcher ratio, among parts of the same brand (T-6, SF30)."""
     from ..operators.retrieval import nearest_strings
 
     p = table(spark, sf, "part")

@@ -385,6 +385,14 @@ def so09(spark, sf):
     return near_chunks(table(spark, sf, "documents"), "doc_id", "text", 3)
 
 
+@register("so09_kept_chunks")
+def so09_kept(spark, sf):
+    """Chunks that stay when each one near an earlier kept one is rejected, with what rejects the others (SO9)."""
+    from ..operators.chunking import kept_chunks
+
+    return kept_chunks(table(spark, sf, "documents"), "doc_id", "text", 3)
+
+
 @register("k01_hypervectors")
 def k01(spark, sf):
     """Hypervector of every document: digest of its signs and its norm."""

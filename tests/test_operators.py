@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,38 +176,46 @@ def test_numpy_bootstrap_takes_20000_draws(spark, few_windows):
 
 @pytest.mark.parametrize("name, books", [("a17_window_bootstrap", False), ("a18_cluster_bootstrap", True)])
 def test_bootstraps_take_20000_draws(spark, few_windows, name, books):
-    import math
-
     from corpusloom.plans.registry import QUERIES
 
-    def mix(z):
-        m = (1 << 64) - 1
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & m
-        return z ^ z >> 31
-
-    def weight(key, draw):
-        m = (1 << 64) - 1
-        u = mix(mix(key * 0x9E3779B97F4A7C15 & m) + (draw + 1) * 0xD1342543DE82EF95 & m) >> 12
-        total, k = math.exp(-1), 0
-        while u >= round(total * 2**52):
-            k += 1
-            total += math.exp(-1) / math.factorial(k)
-        return k
-
     path, rows = few_windows
     units = {}
     for b, w, size, x, y in rows:
         u = units.setdefault(b if books else b * 10 + w, [0.0, 0])
         u[0] += y - x
         u[1] += size
-    found = []
-    for draw in range(20_000):
-        ws = [(weight(k, draw), *v) for k, v in units.items()]
-        if any(w for w, _, _ in ws):  # a draw of no unit at all has no ratio
-            found.append(sum(w * n for w, n, _ in ws) / sum(w * d for w, _, d in ws))
+    v = np.array(list(units.values()))
+    picks = np.random.default_rng(5).integers(len(v), size=(200_000, len(v)))
+    found = v[picks].sum(1)
+    want = np.quantile(found[:, 0] / found[:, 1], [0.025, 0.975])
     r = QUERIES[name](spark, path).first()
-    assert r.draws == 20_000 and np.allclose([r.low, r.high], np.quantile(found, [0.025, 0.975]), rtol=1e-9)
+    assert r.draws == 20_000 and np.abs(np.array([r.low, r.high]) - want).max() < 0.03 * (want[1] - want[0])
+
+
+def test_resampling_takes_as_many_rows_as_there_are(spark):
+    """Counts of a draw sum to the rows; a row's count is that of drawing with replacement; the
+    draws are the same however the rows lie."""
+    sizes = np.array([5, 0, 1000, 3, 77, 77, 0, 4])
+    tree = stats.ResampleTree(sizes, 4000, 3)
+    counts = np.array([tree.counts(i) for i in (6, 0, 1, 2, 3, 4, 5, 6, 7, 0)])
+    assert (counts[1:9].sum(0) == sizes.sum()).all() and (counts[0] == counts[7]).all() and (counts[1] == counts[9]).all()
+    assert not counts[2].any() and np.allclose(counts[1:9].mean(1), sizes, rtol=0.1, atol=0.2)
+    assert np.allclose(counts[5].var(), 77 * (1 - 77 / sizes.sum()), rtol=0.15)
+    one = stats.leaf_sums(np.array([1, 1j, 100]), np.array([3, 20, 1]), np.full(5000, 24), np.random.default_rng(1))
+    assert (one.imag + one.real % 100 + one.real // 100 == 24).all() and np.allclose([one.imag.mean(), (one.real // 100).mean()], [20, 1], rtol=0.1)
+    rng = random.Random(2)
+    rows = [(rng.random(), 1.0) for _ in range(9000)] + [(0.5, 1.0)] * 4000 + [(None, 1.0)] * 5
+    d = spark.createDataFrame(rows, "a double, b double")
+    some = stats.resampled_ratios(d.repartition(3), "a", "b", draws=300, leaf_rows=500).orderBy("draw").collect()
+    again = stats.resampled_ratios(d.repartition(11, "a"), "a", "b", draws=300, leaf_rows=500).orderBy("draw").collect()
+    assert len(some) == 300 and np.allclose([r.ratio for r in some], [r.ratio for r in again], rtol=1e-12)
+    whole = stats.resampled_ratios(d.withColumn("c", F.lit(1.0)), "c", "b", draws=50, leaf_rows=500).collect()
+    assert {r.ratio for r in whole} == {1.0}
+    values = np.array([r[0] or 0 for r in rows])
+    mean, sd = values.mean(), values.std() / np.sqrt(len(values))
+    ratios = np.array([r.ratio for r in some])
+    assert abs(ratios.mean() - mean) < 0.3 * sd and 0.85 * sd < ratios.std() < 1.15 * sd
+    assert stats.resampled_ratios(d.limit(0), "a", "b").count() == 0
 
 
 def test_kernels(spark):
@@ -595,17 +604,83 @@ def test_repeated_words_and_names(spark):
     assert col(spark, RO.full_names(F.col("x"), names), ["Ann met Bo.", "Annabel and Ann", "Ann Lee came"])[:2] == ["Ann Lee met Bo.", "Annabel and Ann Lee"]
 
 
-def test_similar_strings_against_difflib(spark):
+@pytest.mark.parametrize("block", [5, 1024])
+def test_similar_strings_against_difflib(spark, block):
     import difflib
 
     from corpusloom.operators import retrieval
 
     rng = random.Random(4)
-    rows = [(g, 10 * g + i, "".join(rng.choice("abcd ") for _ in range(12))) for g in (1, 2) for i in range(8)]
-    got = {(r.k, r["rank"]): (r.other, r.ratio) for r in retrieval.nearest_strings(spark.createDataFrame(rows, "g int, k long, t string"), "g", "k", "t", 3).collect()}
+    rows = [(g, 100 * (g or 0) + i, "".join(rng.choice("abcd ") for _ in range(rng.choice([3, 12, 12, 40])))) for g in (1, 2, None) for i in range(25)]
+    rows += [(1, 190, "same same"), (1, 191, "same same"), (1, 192, "same same"), (1, 193, ""), (3, 300, "alone"), (1, 194, None)]
+    got = {(r.k, r["rank"]): (r.other, r.ratio) for r in retrieval.nearest_strings(spark.createDataFrame(rows, "g int, k long, t string").repartition(3), "g", "k", "t", 3, block).collect()}
+    n = 0
     for g, k, t in rows:
-        best = sorted((-difflib.SequenceMatcher(None, u, t).ratio(), j) for h, j, u in rows if h == g and j != k)[:3]
-        assert [got[k, i + 1] for i in range(3)] == [(j, -r) for r, j in best]
+        if t is not None:
+            best = sorted((-difflib.SequenceMatcher(None, u, t).ratio(), j) for h, j, u in rows if h == g and j != k and u is not None)[:3]
+            assert [got[k, i + 1] for i in range(len(best))] == [(j, -r) for r, j in best]
+            n += len(best)
+    assert len(got) == n
+
+
+def test_few_ratios_are_computed(spark):
+    from corpusloom.operators import retrieval
+
+    p = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_name").collect()
+    held = [("x", r.p_partkey, r.p_name) for r in p]
+    assert retrieval.similar_in([(*r, -1.0) for r in held[:100]], held, 3)[1] < 0.05 * 100 * len(held)
+    rng = random.Random(6)
+    words = [" ".join(rng.choice(["amber", "birch", "coral", "delta", "ember", "fjord", "grove", "heath"]) for _ in range(rng.choice([2, 3, 6]))) for _ in range(600)]
+    held = [("x", i, w) for i, w in enumerate(words)]
+    found, _ = retrieval.similar_in([(*r, -1.0) for r in held[:50]], held[:300], 3)
+    floors = {}
+    for key, _, ratio in found:
+        floors[key] = min(ratio, floors.get(key, 1.0))
+    far = [retrieval.similar_in([(*r, f(r[1])) for r in held[:50]], held[300:], 3)[1] for f in (lambda k: -1.0, floors.get)]
+    assert far[1] < far[0] < 50 * 300  # what a block has found spares ratios in the next one
+
+
+@pytest.mark.parametrize("last", [0, 3, 10**6])
+def test_kept_chunks_against_the_sequential_rule(spark, monkeypatch, last):
+    rng = random.Random(12)
+    prints = [rng.getrandbits(64) for _ in range(12)]
+    for _ in range(150):  # clusters and chains
+        fp = rng.choice(prints)
+        for b in rng.sample(range(64), rng.randrange(4)):
+            fp ^= 1 << b
+        prints.append(fp)
+    rng.shuffle(prints)
+    rows = [(3 * i, str(fp - 2**64 if fp >> 63 else fp)) for i, fp in enumerate(prints)]
+    monkeypatch.setattr(chunking, "simhash64", lambda c: c.cast("long"))
+    got = {r.k: (r.kept, r.near) for r in chunking.kept_chunks(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t", 3, last).collect()}
+    kept, want = [], {}
+    for k, t in rows:
+        near = [j for j, fp in kept if ((int(t) ^ fp) & (2**64 - 1)).bit_count() <= 3]
+        want[k] = (not near, min(near, default=None))
+        if not near:
+            kept.append((k, int(t)))
+    assert got == want and 12 <= sum(v[0] for v in want.values()) < len(rows) - 40
+
+
+def test_kept_chunks_along_a_chain_and_odd_rows(spark):
+    from corpusloom.operators.chunking import kept_chunks
+
+    fp, chain = 0, []
+    for i in range(1000):  # each one within three bits of the one before, six and more of those before it
+        for b in range(3):
+            fp ^= 1 << ((3 * i + b) * 7 % 64)
+        chain.append((i, fp))
+    decided = list(chunking._in_order(chunking.block_masks(3), 3)([pa.RecordBatch.from_arrays([pa.array([f - 2**64 if f >> 63 else f for _, f in chain]), pa.array([i for i, _ in chain])], ["fp", "k"])]))[0].to_pylist()
+    kept = []
+    for i, f in chain:
+        near = [j for j, g in kept if (f ^ g).bit_count() <= 3]
+        assert decided[i]["struck_by"] == min(near, default=None)
+        if not near:
+            kept.append((i, f))
+    rows = [(5, "one two"), (5, "one two"), (None, "one two"), (2, None), (7, ""), (9, "quite other words here")]
+    got = sorted(map(tuple, kept_chunks(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()), key=repr)
+    assert got == sorted([(5, False, None), (5, False, None), (None, True, None), (2, True, None), (7, False, 2), (9, True, None)], key=repr)
+    assert kept_chunks(spark.createDataFrame([], "k long, t string"), "k", "t").count() == 0
 
 
 def test_xorshift_and_mix(spark):
