@@ -144,7 +144,7 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
         return spark.read.schema(d.schema).parquet(path)
 
     least = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    rows = written(docs.select(F.col(key), least.alias("k"), simhash64(F.col(text)).alias("fp")), "chunks")
+    rows = written(docs.select(F.col(key).alias("key"), least.alias("k"), simhash64(F.col(text)).alias("fp")), "chunks")
     todo = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "undecided")
     masks = block_masks(distance)
     columns = F.array(*(F.lit(m).cast("long") for m in masks))
@@ -167,4 +167,4 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
     j = rows.join(all_.select("fp", F.col("k").alias("first"), "struck_by"), "fp")
     kept = F.col("struck_by").isNull() & (F.col("k") == F.col("first"))
     near = F.when(~kept, F.coalesce("struck_by", "first"))
-    return j.select(key, kept.alias("kept"), F.nullif(near, F.lit(-(2**63))).alias("near"))
+    return j.select(F.col("key").alias(key), kept.alias("kept"), F.nullif(near, F.lit(-(2**63))).alias("near"))
