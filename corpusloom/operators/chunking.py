@@ -108,23 +108,23 @@ def _in_order(masks: list[int], distance: int):
     """Decides fingerprints (fp, k) in the order of k: kept unless within ``distance`` of a kept one."""
 
     def run(batches):
-        kept: dict[tuple, list[tuple[int, int]]] = {}
+        kept: dict[tuple, list[int]] = {}
         for b in batches:
             out = []
-            for fp, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                near = [q for key in _keys(fp, masks) for o, q in kept.get(key, ()) if ((o ^ fp) & (2**64 - 1)).bit_count() <= distance]
-                if not near:
-                    for key in _keys(fp, masks):
-                        kept.setdefault(key, []).append((fp, k))
-                out.append((fp, k, min(near, default=None)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, ["fp", "k", "struck_by"])
+            for fp in b.column(0).to_pylist():
+                keys = _keys(fp, masks)
+                out.append(all(((o ^ fp) & (2**64 - 1)).bit_count() > distance for key in keys for o in kept.get(key, ())))
+                if out[-1]:
+                    for key in keys:
+                        kept.setdefault(key, []).append(fp)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["fp", "k", "stays"])
 
     return run
 
 
 def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: int = LAST_ROWS) -> DataFrame:
-    """(key, kept, near): each row is kept unless it lies within ``distance`` bits of a row kept
-    before it in the order of ``key`` (an integer); ``near`` is the first such row, null for kept ones.
+    """(key, kept, first): each row is kept unless it lies within ``distance`` bits of a row kept
+    before it in the order of ``key`` (an integer); ``first`` is the first row of its fingerprint.
 
     Of rows with one fingerprint only the first can stay, so copies count once. Fingerprints that
     could be near share a key (see :func:`near_chunks`). In a round, one that is the first undecided
@@ -132,7 +132,7 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
     with which it shares a key. A key has at most one that stays in a round, so a round's work is in
     proportion to the undecided, however alike they are; no pairs are listed. When ``last`` or fewer
     are undecided, one task decides them in order, so long chains need no long row of rounds. Null
-    keys come before all others, as one row; no rows give no rows.
+    keys come before all others, as one row; rows of one key are one, too; no rows give no rows.
     """
     from ..session import scratch_path
 
@@ -154,17 +154,14 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
         keyed = todo.select("fp", "k", F.posexplode(F.transform(columns, lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v"))
         heads = written(keyed.groupBy("i", "v").agg(F.min(F.struct("k", "fp")).alias("head")).select("i", "v", "head.k", "head.fp"), "heads")
         free = written(heads.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(masks)).select("k", "fp"), "free")
-        first = heads.join(free, ["k", "fp"]).select("i", "v", F.col("k").alias("by"), F.col("fp").alias("by_fp"))
-        struck = keyed.join(first, ["i", "v"]).filter((F.col("k") != F.col("by")) & (bits("fp", "by_fp") <= distance))
-        struck = struck.groupBy("fp", "k").agg(F.min("by").alias("struck_by"))
-        decided.append(written(struck.unionByName(free.withColumn("struck_by", F.lit(None).cast("long"))), "decided"))
+        first = heads.join(free, ["k", "fp"]).select("i", "v", F.col("fp").alias("by"))
+        struck = keyed.join(first, ["i", "v"]).filter((F.col("fp") != F.col("by")) & (bits("fp", "by") <= distance)).select("fp", "k").distinct()
+        decided.append(written(struck.withColumn("stays", F.lit(False)).unionByName(free.withColumn("stays", F.lit(True))), "decided"))
         todo = written(todo.join(decided[-1].select("fp"), "fp", "left_anti"), "undecided")
         n = todo.count()
-    decided.append(todo.repartition(1).sortWithinPartitions("k").mapInArrow(_in_order(masks, distance), "fp long, k long, struck_by long"))
+    decided.append(todo.repartition(1).sortWithinPartitions("k").mapInArrow(_in_order(masks, distance), "fp long, k long, stays boolean"))
     all_ = decided[0]
     for d in decided[1:]:
         all_ = all_.unionByName(d)
-    j = rows.join(all_.select("fp", F.col("k").alias("first"), "struck_by"), "fp")
-    kept = F.col("struck_by").isNull() & (F.col("k") == F.col("first"))
-    near = F.when(~kept, F.coalesce("struck_by", "first"))
-    return j.select(F.col("key").alias(key), kept.alias("kept"), F.nullif(near, F.lit(-(2**63))).alias("near"))
+    j = rows.join(all_.select("fp", F.col("k").alias("first"), "stays"), "fp")
+    return j.select(F.col("key").alias(key), (F.col("stays") & (F.col("k") == F.col("first"))).alias("kept"), F.nullif("first", F.lit(-(2**63))).alias("first"))

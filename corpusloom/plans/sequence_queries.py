@@ -387,7 +387,7 @@ def so09(spark, sf):
 
 @register("so09_kept_chunks")
 def so09_kept(spark, sf):
-    """Chunks that stay when each one near an earlier kept one is rejected, with what rejects the others (SO9)."""
+    """Chunks that stay when each one near an earlier kept one is rejected, and the first of each fingerprint (SO9)."""
     from ..operators.chunking import kept_chunks
 
     return kept_chunks(table(spark, sf, "documents"), "doc_id", "text", 3)

@@ -652,13 +652,13 @@ def test_kept_chunks_against_the_sequential_rule(spark, monkeypatch, last):
     rng.shuffle(prints)
     rows = [(3 * i, str(fp - 2**64 if fp >> 63 else fp)) for i, fp in enumerate(prints)]
     monkeypatch.setattr(chunking, "simhash64", lambda c: c.cast("long"))
-    got = {r.k: (r.kept, r.near) for r in chunking.kept_chunks(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t", 3, last).collect()}
+    got = {r.k: (r.kept, r.first) for r in chunking.kept_chunks(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t", 3, last).collect()}
     kept, want = [], {}
     for k, t in rows:
-        near = [j for j, fp in kept if ((int(t) ^ fp) & (2**64 - 1)).bit_count() <= 3]
-        want[k] = (not near, min(near, default=None))
-        if not near:
-            kept.append((k, int(t)))
+        stays = all(((int(t) ^ fp) & (2**64 - 1)).bit_count() > 3 for fp in kept)
+        want[k] = (stays, min(j for j, u in rows if u == t))
+        if stays:
+            kept.append(int(t))
     assert got == want and 12 <= sum(v[0] for v in want.values()) < len(rows) - 40
 
 
@@ -673,13 +673,13 @@ def test_kept_chunks_along_a_chain_and_odd_rows(spark):
     decided = list(chunking._in_order(chunking.block_masks(3), 3)([pa.RecordBatch.from_arrays([pa.array([f - 2**64 if f >> 63 else f for _, f in chain]), pa.array([i for i, _ in chain])], ["fp", "k"])]))[0].to_pylist()
     kept = []
     for i, f in chain:
-        near = [j for j, g in kept if (f ^ g).bit_count() <= 3]
-        assert decided[i]["struck_by"] == min(near, default=None)
-        if not near:
-            kept.append((i, f))
+        stays = all((f ^ g).bit_count() > 3 for g in kept)
+        assert decided[i]["stays"] == stays
+        if stays:
+            kept.append(f)
     rows = [(5, "one two"), (5, "one two"), (None, "one two"), (2, None), (7, ""), (9, "quite other words here")]
     got = sorted(map(tuple, kept_chunks(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()), key=repr)
-    assert got == sorted([(5, False, None), (5, False, None), (None, True, None), (2, True, None), (7, False, 2), (9, True, None)], key=repr)
+    assert got == sorted([(5, False, None), (5, False, None), (None, True, None), (2, True, 2), (7, False, 2), (9, True, 9)], key=repr)
     assert kept_chunks(spark.createDataFrame([], "k long, t string"), "k", "t").count() == 0
 
 
