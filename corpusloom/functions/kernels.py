@@ -108,3 +108,21 @@ def xorshift64(x: pa.Array) -> pa.Array:
     v = v ^ (v << np.uint64(13))
     v = v ^ (v >> np.uint64(7))
     return pa.array((v ^ (v << np.uint64(17))).view(np.int64))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def feature_signs(x: pa.Array, width: pa.Array) -> pa.Array:
+    """Places of features (see :func:`feature_places`), counted from 1 and negative where the sign is."""
+
+    def mixed(v):
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(MIX_A)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(MIX_B)
+        return v ^ (v >> np.uint64(31))
+
+    n = width[0].as_py() if len(width) else 0
+    state, out = mixed(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), np.zeros((len(x), n), np.int32)
+    for i in range(n):
+        state = mixed(state + np.uint64(i) + np.uint64(GOLDEN))
+        place = (state & np.uint64(DIMENSION - 1)).astype(np.int32) + 1
+        out[:, i] = np.where(state & np.uint64(0x100), place, -place)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(out.ravel()))

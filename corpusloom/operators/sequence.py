@@ -54,6 +54,52 @@ def distributed_offsets(df: DataFrame, key: str, length: str, name: str = "start
     return d.join(F.broadcast(base.select("__b", "__base")), "__b").withColumn(name, F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
 
 
+#: Counts by range and group up to this many (some 20 MB) are broadcast; more are joined by shuffle.
+RANGE_COUNTS = 500_000
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "n", of: str | None = None, length: str | None = None, start: str = "start") -> DataFrame:
+    """Adds ``place``, a row's number (from 1) among the rows with its ``by``; ``of``, how many these
+    are; and with ``length`` the sum of it over the rows before (``start``, a null length counts 0).
+
+    No group is gathered, however few there are: rows are sorted by range over ``by`` and ``order``
+    (nulls first), ranges cut groups, and what lies before a range is a running sum over a row for
+    each range and group in it. Rows that are alike in both follow one another in no set order.
+    """
+    from ..session import scratch_path
+
+    spark, given, p = df.sparkSession, df.columns, "__"
+    while any(c.startswith(p) for c in given):
+        p += "_"
+    name = lambda c: p + c
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)] + [F.col(name("tie"))]
+    at = F.monotonically_increasing_id()
+    d = df.withColumn(name("tie"), at).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).drop(name("tie"))
+    size = F.coalesce(F.col(length), F.lit(0)) if length else F.lit(0)
+    inside = Window.partitionBy(name("part"), *by).orderBy(name("at"))  # a range's share of a group
+    d = d.select("*", F.shiftright(at, 33).alias(name("part")), at.bitwiseAND((1 << 33) - 1).alias(name("at")), size.alias(name("size")))
+    path = scratch_path(spark, "numbered")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
+    counts = d.groupBy(name("part"), *by).agg(F.count(F.lit(1)).alias(name("here")), F.min(name("at")).alias(name("first")), F.sum(name("size")).alias(name("sum")))
+    group = Window.partitionBy(*(F.col(c) for c in by)) if by else Window.partitionBy(F.lit(0))
+    before = lambda c: F.sum(c).over(group.orderBy(name("part"))) - F.col(c)
+    counts = counts.select(F.col(name("part")).alias(name("p")), *(F.col(c).alias(name(f"by{i}")) for i, c in enumerate(by)), name("first"), before(name("here")).alias(name("rows")), before(name("sum")).alias(name("base")), F.sum(name("here")).over(group).alias(name("all")))
+    met = F.col(name("part")) == F.col(name("p"))
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(name(f"by{i}")))
+    if counts.count() <= RANGE_COUNTS:
+        counts = F.broadcast(counts)
+    d = d.join(counts, met)
+    out = [(F.col(name("rows")) + F.col(name("at")) - F.col(name("first")) + 1).alias(place)]
+    out += [F.col(name("all")).alias(of)] if of else []
+    if length:
+        run = F.sum(name("size")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(name("size"))
+        out.append((F.col(name("base")) + run).alias(start))
+    return d.select(*given, *out)
+
+
 def contiguity_violations(df: DataFrame, partition: list[str], start: str, length: str, ident: str) -> DataFrame:
     """Records of an index that do not start where the last one ended, or repeat an id."""
     w = Window.partitionBy(*partition).orderBy(start)
@@ -63,9 +109,20 @@ def contiguity_violations(df: DataFrame, partition: list[str], start: str, lengt
 
 
 def merge_adjacent(df: DataFrame, partition: list[str], start: str, end: str, value: str) -> DataFrame:
-    """Consecutive rows of one value as one range: partition columns, value, start, end."""
-    runs = run_ids(df, partition, [start], value, "__run")
-    return runs.groupBy(*partition, value, "__run").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("__run")
+    """Consecutive rows of one value as one range: partition columns, value, start, end. Rows of a
+    run keep their distance between their numbers in the partition and among its rows of the value."""
+    d = numbered(numbered(df, partition, [start], "__all"), [*partition, value], [start], "__own")
+    run = (F.col("__all") - F.col("__own")).alias("__run")
+    return d.groupBy(*partition, value, run).agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("__run")
+
+
+def even_selection(df: DataFrame, by: list[str], order: list[str], count: int) -> DataFrame:
+    """Rows ``i * rows // count`` of each group, for ``i`` (added) from 0 to ``count - 1``; a group
+    of fewer rows gives some of them more than once."""
+    d = numbered(df, by, order, "__n", "__of")
+    first = lambda k: F.ceil(k * count / F.col("__of"))  # noqa: E731  of the i that fall on row k or later
+    picks = F.when(first(F.col("__n") - 1) < first(F.col("__n")), F.sequence(first(F.col("__n") - 1), first(F.col("__n")) - 1))
+    return d.withColumn("i", F.explode(picks)).drop("__n", "__of")
 
 
 def linspace_starts(a: Column, b: Column, n: int) -> Column:

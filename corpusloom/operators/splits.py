@@ -30,13 +30,25 @@ def name_split(name: Column, known: Column | None = None) -> Column:
 
 def every_nth(df: DataFrame, partition: list, order: list, n: int = 20) -> DataFrame:
     """Adds ``valid``: every n-th row of the order, from the first."""
-    return df.withColumn("valid", (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) % n == 0)
+    from .sequence import numbered
+
+    return numbered(df, partition, order, "__n").withColumn("valid", (F.col("__n") - 1) % n == 0).drop("__n")
 
 
 def tail_split(df: DataFrame, partition: list, order: list, share: int = 20) -> DataFrame:
     """Adds ``held``: the last 1/share of the rows of each partition."""
-    w = Window.partitionBy(*partition)
-    return df.withColumn("held", F.row_number().over(w.orderBy(*order)) > F.count(F.lit(1)).over(w) - F.floor(F.count(F.lit(1)).over(w) / share))
+    from .sequence import numbered
+
+    d = numbered(df, partition, order, "__n", "__of")
+    return d.withColumn("held", F.col("__n") > F.col("__of") - F.floor(F.col("__of") / share)).drop("__n", "__of")
+
+
+def halves(df: DataFrame, partition: list, order: list) -> DataFrame:
+    """Adds ``half``: selection for the first half of the rows of each partition, then outcome."""
+    from .sequence import numbered
+
+    d = numbered(df, partition, order, "__n", "__of")
+    return d.withColumn("half", F.when(F.col("__n") <= F.floor(F.col("__of") / 2), "selection").otherwise("outcome")).drop("__n", "__of")
 
 
 def split_leaks(df: DataFrame, key: str, split: str) -> DataFrame:

@@ -357,9 +357,9 @@ p AS (SELECT source, doc_id AS point, (doc_id * 977) % 60000 AS at FROM document
 SELECT p.point, p.at, b.book, b.start::BIGINT AS start FROM p LEFT JOIN b ON p.source = b.source AND p.at >= b.start AND p.at < b."end" """)
 def j05(spark, sf):
     """As-of join of positions with the book ranges that contain them."""
-    d = table(spark, sf, "documents")
-    start = Q.running_offset(F.col("n_chars"), ["source"], ["doc_id"])
-    r = d.select("source", F.col("doc_id").alias("book"), start.alias("start"), (start + F.col("n_chars")).alias("end")).filter("end > start")
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    r = Q.numbered(d, ["source"], ["doc_id"], "nth", length="n_chars")
+    r = r.select("source", F.col("doc_id").alias("book"), "start", (F.col("start") + F.col("n_chars")).alias("end")).filter("end > start")
     p = d.select("source", F.col("doc_id").alias("point"), ((F.col("doc_id") * 977) % 60000).alias("at"))
     return J.asof_ranges(p, r, "at", "start", "end", ["source"]).select("point", "at", "book", "start")
 
@@ -374,10 +374,11 @@ def j13(spark, sf):
     return J.first_reply(m, "conv_id", "turn", "id", "reply").select("conv_id", "turn", "parent_pos")
 
 
-@register("j15_grid", "SELECT t.v AS temperature, k.v AS top_k, p.v AS penalty FROM (VALUES (0.7), (0.9)) t(v), (VALUES (20), (40), (80)) k(v), (VALUES (1.0), (1.1)) p(v)")
+@register("j15_grid", "SELECT item_id, t.v AS temperature, k.v AS top_k, p.v AS penalty FROM benchmark, (VALUES (0.7), (0.9)) t(v), (VALUES (20), (40), (80)) k(v), (VALUES (1.0), (1.1)) p(v)")
 def j15(spark, sf):
-    """Cross product of small axes."""
-    return G.grid(spark, temperature=[0.7, 0.9], top_k=[20, 40, 80], penalty=[1.0, 1.1])
+    """Every prompt under each setting of a grid of small axes."""
+    g = G.grid(spark, temperature=[0.7, 0.9], top_k=[20, 40, 80], penalty=[1.0, 1.1])
+    return table(spark, sf, "benchmark").select("item_id").join(F.broadcast(g))
 
 
 @register("j16_variants", "SELECT doc_id, v AS variant, t AS turn FROM documents, range(0, 2) a(v), range(0, 4) b(t)")
@@ -406,11 +407,18 @@ def t04(spark, sf):
 
 @register("t07_every_kth", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) % 7 = 1 OR row_number() OVER (PARTITION BY lang ORDER BY doc_id) % 7 = 0")
 def t07(spark, sf):
-    """Every k-th row of an order (T-7, T-8)."""
-    from pyspark.sql import Window
+    """Every k-th row of an order (T-7)."""
+    d = Q.numbered(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"])
+    return d.filter("n % 7 in (0, 1)").drop("n")
+
 
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", "lang").withColumn("n", n).filter("n % 7 in (0, 1)").drop("n")
+@register("t08_even_selection", """
+WITH d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents),
+i AS (SELECT DISTINCT lang, c, unnest(range(0, 90)) AS i FROM d)
+SELECT i.lang, i, doc_id FROM i JOIN d ON d.lang IS NOT DISTINCT FROM i.lang AND d.n = i.i * i.c // 90""")
+def t08(spark, sf):
+    """Ninety evenly spaced rows of each stream (T-8)."""
+    return Q.even_selection(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], 90)
 
 
 @register("t06_similar_strings")
@@ -442,10 +450,12 @@ def sf38(spark, sf):
 
 
 @register("x06_learning_rate", """
-SELECT step, round(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 10) / 90.0))) END, 12) AS rate FROM range(0, 100) r(step)""")
+WITH s AS (SELECT o_orderkey, o_orderkey % 100 AS step FROM orders)
+SELECT o_orderkey, round(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 10) / 90.0))) END, 12) AS rate FROM s""")
 def x06(spark, sf):
-    """Warm-up and cosine learning rates."""
-    return spark.range(100).select(F.col("id").alias("step"), F.round(ST.learning_rate(F.col("id"), 100, 0.001, 10), 12).alias("rate"))
+    """Warm-up and cosine learning rates of the steps of runs of a hundred."""
+    step = F.col("o_orderkey") % 100
+    return table(spark, sf, "orders").select("o_orderkey", F.round(ST.learning_rate(step, 100, 0.001, 10), 12).alias("rate"))
 
 
 @register("g30_bearings", "SELECT event_id, round((((degrees(atan2(value - 50, user_id - 50)) - event_id % 360) + 180) % 360 + 360) % 360 - 180, 6) AS bearing FROM events")

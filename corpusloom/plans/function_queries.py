@@ -151,13 +151,13 @@ p AS (SELECT DISTINCT source, j, (j * (n - 1) // 7) AS i FROM k)
 SELECT source, count(*) AS windows, round(avg(ln(1 + n_chars)), 9) AS loss FROM p JOIN s USING (source, i) GROUP BY source""")
 def x30(spark, sf):
     """Mean loss of a stream over eight evenly spaced windows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    s = docs(spark, sf).select("source", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.ln(1 + F.col("n_chars")).alias("loss"))
-    n = docs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    p = n.select("source", F.posexplode(Q.integer_starts(F.col("n"), 8)).alias("j", "i"))
-    return p.join(s, ["source", "i"]).groupBy("source").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("loss"), 9).alias("loss"))
+    d = Q.numbered(docs(spark, sf).select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "nth", "n")
+    chosen = F.array_contains(Q.integer_starts(F.col("n"), 8), F.col("nth") - 1)
+    d = d.filter(chosen)
+    # the same window may be chosen more than once: it counts as often
+    times = F.size(F.filter(Q.integer_starts(F.col("n"), 8), lambda i: i == F.col("nth") - 1))
+    d = d.select("source", F.ln(1 + F.col("n_chars")).alias("loss"), times.alias("times"))
+    return d.groupBy("source").agg(F.sum("times").alias("windows"), F.round(F.sum(F.col("loss") * F.col("times")) / F.sum("times"), 9).alias("loss"))
 
 
 @register("x36_one_format", "SELECT lang, count(DISTINCT source) AS formats, count(DISTINCT source) = 1 AS single FROM documents GROUP BY lang")

@@ -129,16 +129,22 @@ def sc14(spark, sf):
     return S.logic_records(files, "file", "text").groupBy("file").agg(F.count("*").alias("records"), F.count("fault").alias("faults"))
 
 
-@register("sc20_verified_inventory", "SELECT 'changed' AS fault, 1 AS files UNION ALL SELECT 'missing', 1")
+@register("sc20_verified_inventory", """
+WITH s AS (SELECT source, count(*) AS n, sum(n_chars) % 3 AS r FROM documents GROUP BY source)
+SELECT source, CASE r WHEN 0 THEN 'changed' WHEN 1 THEN 'extra' ELSE 'missing' END AS fault, CASE r WHEN 2 THEN n ELSE 0 END::BIGINT AS absent FROM s""")
 def sc20(spark, sf):
-    """Files against a lock of digests: planted changes are found (SC20, SK12, J21, X32)."""
-    path = scratch_path(spark, "files")
-    table(spark, sf, "nation").repartition(4).write.option("maxRecordsPerFile", 4).json(path)
-    from pyspark.sql import Window
-
-    found = S.inventory(spark, path).filter("not path like '%SUCCESS%'").withColumn("n", F.row_number().over(Window.orderBy("path")))
-    lock = found.select("path", F.when(F.col("n") == 1, "0").otherwise(F.col("sha256")).alias("sha256")).union(spark.createDataFrame([("gone", "1")], "path string, sha256 string"))
-    return S.verify_inventory(found, lock).groupBy("fault").agg(F.count("*").alias("files"))
+    """Files by source against a lock of digests: of the locked files some have changed, some are
+    gone, and some are there that no lock has, by a rule of each source's own; every fault is found (SC20, SK12, J21, X32)."""
+    path, d = scratch_path(spark, "files"), table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    d.write.partitionBy("source").option("maxRecordsPerFile", 1000).json(path)
+    found = S.inventory(spark, path).filter("path like '%.json'").withColumn("of", F.regexp_extract("path", "source=([^/]*)/", 1))
+    rule = d.groupBy("source").agg(F.count("*").alias("n"), (F.sum("n_chars") % 3).alias("r"))
+    locked = found.join(rule, F.col("of") == F.col("source"))
+    lock = locked.filter("r <> 1").select("path", F.when(F.col("r") == 0, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    gone = locked.filter("r = 2").select("path", "of")
+    faults = S.verify_inventory(found.join(gone, "path", "left_anti"), lock).withColumn("of", F.regexp_extract("path", "source=([^/]*)/", 1))
+    one = faults.groupBy("of", "fault").agg(F.count("*").alias("files"))
+    return one.join(rule, F.col("of") == F.col("source")).select("source", "fault", F.when(F.col("fault") == "missing", F.col("n")).otherwise(0).cast("long").alias("absent"))
 
 
 @register("sk02_text_corpus", "SELECT lang, count(*) AS chunks, sum(length(text) + 2)::BIGINT AS chars FROM (SELECT lang, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents) GROUP BY lang".replace("\\\\", "\\"))

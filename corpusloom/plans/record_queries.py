@@ -52,7 +52,7 @@ def _ids(c):
 
 
 @register("f12_participant_rules", rf"""
-WITH c AS (SELECT conv_id * 1000 + turn AS id, turn, conv_id, left(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 200) AS said FROM conversations),
+WITH c AS (SELECT conv_id * 1000 + turn AS id, turn, conv_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') AS said FROM conversations),
 r AS (SELECT id, CASE WHEN turn = 7 THEN 'person-v3' ELSE 'person-v1' END AS format, CASE WHEN conv_id % 11 = 3 THEN 'person-v2' ELSE 'person-v1' END || chr(10) || said AS prompt,
   CASE WHEN conv_id % 13 = 5 THEN '{{"kind":"action","action":"end_conversation"}}' WHEN conv_id % 13 = 6 THEN '["no object"]' ELSE '{{"kind":"speech","text":"' || said || '"}}' END AS target_text,
   CASE WHEN turn = 1 THEN 'draft' ELSE 'approved_compact' END AS review_status, CASE conv_id % 7 WHEN 2 THEN 'rejected late' WHEN 4 THEN 'hold' ELSE 'approved' END AS source_review_status, CASE WHEN turn = 3 THEN '' ELSE 'w' || conv_id END AS world_group FROM c),
@@ -67,7 +67,7 @@ SELECT id, unnest(list_filter([
   CASE WHEN len(p) % 2 = 0 THEN 'prompt_tokens' END, CASE WHEN len(t) % 5 = 0 THEN 'labels' END], lambda x: x IS NOT NULL)) AS rule FROM b""")
 def f12(spark, sf):
     """Participant rows against their rules, with planted faults: one row per broken rule."""
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "conv_id", F.left(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), F.lit(200)).alias("said"))
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "conv_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "").alias("said"))
     target = F.when(F.col("conv_id") % 13 == 5, '{"kind":"action","action":"end_conversation"}').when(F.col("conv_id") % 13 == 6, '["no object"]').otherwise(F.concat(F.lit('{"kind":"speech","text":"'), "said", F.lit('"}')))
     r = c.select(
         "id",
@@ -79,7 +79,7 @@ def f12(spark, sf):
         F.when(F.col("turn") == 3, "").otherwise(F.concat(F.lit("w"), "conv_id")).alias("world_group"),
     )
     p, t = _ids(F.col("prompt")), _ids(F.col("target_text"))
-    r = r.withColumn("prompt_tokens", F.when(F.size(p) % 2 == 0, F.slice(p, 2, 1000)).otherwise(p)).withColumn("tokens", F.concat(p, t))
+    r = r.withColumn("prompt_tokens", F.when(F.size(p) % 2 == 0, F.slice(p, F.lit(2), F.size(p))).otherwise(p)).withColumn("tokens", F.concat(p, t))
     labels = F.concat(F.array_repeat(F.lit(-100), F.size(p) - 1), t, F.array(F.lit(0)))
     r = r.withColumn("labels", F.when(F.size(t) % 5 == 0, F.reverse(labels)).otherwise(labels))
     return S.violations(r, ["id"], RC.participant_rules(_ids, FORMATS, prompt_most=120))
@@ -269,14 +269,15 @@ def w28(spark, sf):
 
 @register("p35_encoded_rows")
 def p35(spark, sf):
-    """Conversation rows with span markers, a history budget and typed columns, as tokens and labels."""
+    """Conversation rows with span markers, a history budget and typed columns, as tokens and labels;
+    rows whose messages or tokens exceed the budgets have that as their fault (P35)."""
     from ..operators.encoding import encoded
 
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", _line(F.col("text")).alias("t")))), lambda x: x["t"])
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t")).filter("size(t) > 1")
     name = F.get(F.split(F.element_at("t", -1), " "), F.lit(0))
     field = F.struct(F.lit(2).alias("field"), F.lit(1).alias("role"), F.lit(0).alias("knowledge"), F.lit(1).alias("provenance"), F.lit(True).alias("spoken"), name.alias("text"))
-    history = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x, i: F.struct(F.when(i % 2 == 0, "other").otherwise("self").alias("speaker"), F.left(x, F.lit(200)).alias("text")))
+    history = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x, i: F.struct(F.when(i % 2 == 0, "other").otherwise("self").alias("speaker"), x.alias("text")))
     copies = F.array(F.struct(F.lit(2).alias("field"), F.lit(0).alias("start"), F.octet_length(name).alias("end")))
     row = F.struct(F.array(F.concat(F.lit("# goal: "), F.col("conv_id").cast("string"))).alias("lines"), history.alias("history"), (F.col("conv_id") % 100).cast("int").alias("confidence"), (F.col("conv_id") % 2 == 0).alias("retold"), F.array(field).alias("fields"), copies.alias("copies"), F.element_at("t", -1).alias("output"), F.lit("say").alias("cue"), F.struct((F.col("conv_id") % 5).cast("int").alias("kind"), F.lit(3).alias("move")).alias("typed"))
     e = c.filter(F.length(name) > 0).select("conv_id", encoded(row, 1024).alias("e"))

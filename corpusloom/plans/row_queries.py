@@ -179,7 +179,14 @@ def sk13(spark, sf):
     return spark.read.schema(d.schema).parquet(path).select("vec_id", "label", F.size("embedding").alias("dims"))
 
 
-@register("sc21_demo_corpus", "SELECT * FROM (VALUES (0, 'The lamp was lit.'), (1, 'Who goes there?'), (2, 'A friend, said the voice.')) t(id, text)")
+_DEMO = ("The lamp was lit.", "Who goes there?", "A friend, said the voice.")
+
+
+@register("sc21_demo_corpus", "SELECT id, text, (SELECT count(*) FROM documents d WHERE contains(d.text, split_part(lower(t.text), ' ', 2)))::BIGINT AS documents FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_DEMO)) + ") t(id, text)")
 def sc21(spark, sf):
-    """A small embedded corpus."""
-    return spark.createDataFrame(list(enumerate(["The lamp was lit.", "Who goes there?", "A friend, said the voice."])), "id int, text string")
+    """A small embedded corpus, and the documents in which the second word of each of its texts stands (SC21)."""
+    demo = spark.createDataFrame(list(enumerate(_DEMO)), "id int, demo string")
+    d = table(spark, sf, "documents")
+    counts = d.agg(*(F.count_if(F.contains("text", F.lit(t.lower().split(" ")[1]))).alias(str(i)) for i, t in enumerate(_DEMO)))
+    counts = counts.select(F.posexplode(F.array(*(F.col(str(i)) for i in range(len(_DEMO))))).alias("at", "documents"))
+    return demo.join(counts, F.col("id") == F.col("at")).select("id", F.col("demo").alias("text"), "documents")

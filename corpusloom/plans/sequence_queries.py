@@ -440,12 +440,30 @@ c AS (SELECT *, {_STEP.format('x1', 1 << 27, 0x94D049BB133111EB)} AS x2, xor(y1,
 d AS (SELECT doc_id, xor(x2, x2 // {1 << 31}::HUGEINT) AS m, xor(y2, y2 * 131072::HUGEINT % {_WRAP}) AS s FROM c)
 SELECT doc_id, {_SIGNED.format('m')} AS mixed, {_SIGNED.format('s')} AS shifted FROM d""")
 def sf04(spark, sf):
-    """The 64-bit finaliser, the xorshift step and Markov features (SF4, SF5, SF33)."""
+    """The 64-bit finaliser and the xorshift step (SF4, SF5)."""
     from ..functions.kernels import mix64, xorshift64
 
     return table(spark, sf, "documents").select("doc_id", mix64(F.col("doc_id")).alias("mixed"), xorshift64(F.col("doc_id") + 1).alias("shifted"))
 
 
+def _mix_sql(x: str, out: str, source: str) -> str:
+    """CTEs that add ``out``, the finaliser of ``x``, to ``source``."""
+    return f"""{out}_1 AS (SELECT *, {_STEP.format(x, 1 << 30, 0xBF58476D1CE4E5B9)} AS {out}_a FROM {source}),
+{out}_2 AS (SELECT *, {_STEP.format(out + '_a', 1 << 27, 0x94D049BB133111EB)} AS {out}_b FROM {out}_1),
+{out}_3 AS (SELECT *, xor({out}_b, {out}_b // {1 << 31}::HUGEINT) AS {out} FROM {out}_2),
+{out}_4 AS (SELECT *, ({out} + {0x9E3779B97F4A7C15}::HUGEINT + {{}}) % {_WRAP} AS {out}_in FROM {out}_3)"""
+
+
+@register("sf33_feature_places", "WITH d AS (SELECT doc_id, doc_id::HUGEINT AS x FROM documents),\n" + ",\n".join(
+    [_mix_sql("x", "m0", "d").format(0), *(_mix_sql(f"m{i}_in", f"m{i + 1}", f"m{i}_4").format(i + 1) for i in range(4))])
+    + "\nSELECT doc_id, [" + ", ".join(f"CASE WHEN m{i} // 256::HUGEINT % 2 = 1 THEN 1 ELSE -1 END * (m{i} % 256 + 1)::INT" for i in range(1, 5)) + "] AS places FROM m4_4")
+def sf33(spark, sf):
+    """Signed places of a feature in a vector of 256, by a chain of mixes: the place plus one, with its sign (SF33)."""
+    from ..functions.kernels import feature_signs
+
+    return table(spark, sf, "documents").select("doc_id", feature_signs(F.col("doc_id"), F.lit(4)).alias("places"))
+
+
 @register("k10_proof_checks")
 def k10(spark, sf):
     """Generated proofs, checked."""

@@ -56,12 +56,7 @@ def g05(spark, sf):
 @register("g06_halves", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) <= count(*) OVER (PARTITION BY source) // 2 THEN 'selection' ELSE 'outcome' END AS half FROM documents")
 def g06(spark, sf):
     """Selection and outcome halves."""
-    d = S.tail_split(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 1)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    first = F.row_number().over(w.orderBy("doc_id")) <= F.floor(F.count(F.lit(1)).over(w) / 2)
-    return d.select("doc_id", F.when(first, "selection").otherwise("outcome").alias("half"))
+    return S.halves(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"]).select("doc_id", "half")
 
 
 @register("g08_blind_sides", """

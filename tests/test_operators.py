@@ -772,3 +772,32 @@ def test_unseen_pairs(spark):
     for limit in (100, 0):
         got = sorted(r.k for r in splits.unseen_pairs(pairs, "names", texts, F.col("t"), limit=limit).collect())
         assert got == [2, 5, 6, 7, 9, 10], limit
+
+
+def test_numbered_cuts_groups(spark):
+    rng = random.Random(5)
+    rows = [("hot", i % 40, rng.randint(0, 9)) for i in range(300)] + [(None, None, 3), (None, 5, None), (None, 5, 1), ("b", 1, 2)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "g string, o int, __part int").repartition(5)
+    got = sequence.numbered(d, ["g"], ["o"], "place", "rows", "__part").collect()
+    assert sequence.numbered(d, ["g"], ["o"]).columns == ["g", "o", "__part", "n"]
+    for g in ("hot", None, "b"):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert [r.o for r in mine] == [r[1] for r in want] and [r.place for r in mine] == list(range(1, len(want) + 1))
+        assert {r.rows for r in mine} == {len(want)} and [r.start for r in mine] == [sum(x["__part"] or 0 for x in mine[:i]) for i in range(len(mine))]
+    whole = sequence.numbered(d, [], ["o", "g"], "place").collect()
+    assert sorted(r.place for r in whole) == list(range(1, len(rows) + 1)) and sequence.numbered(d.limit(0), ["g"], ["o"]).count() == 0
+    plan = sequence.numbered(d, ["g"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # a group of nearly all rows is nowhere gathered
+
+
+def test_even_selection_and_runs(spark):
+    for n, count in ((1, 3), (7, 7), (10, 4), (90, 13), (5, 12)):
+        d = spark.createDataFrame([("a", i) for i in range(n)] + [("b", 0)], "g string, i2 int")
+        got = sorted((r.i, r.i2) for r in sequence.even_selection(d, ["g"], ["i2"], count).filter("g = 'a'").collect())
+        assert got == [(i, i * n // count) for i in range(count)]
+    values = [None, "x", "x", "y", "x", None, None, "y"]
+    d = spark.createDataFrame([(1, i, i + 1, v) for i, v in enumerate(values)] + [(2, 3, 4, "x")], "g int, s int, e int, v string")
+    got = sorted(((r.g, r.start, r.end, r.v) for r in sequence.merge_adjacent(d, ["g"], "s", "e", "v").collect()), key=str)
+    assert got == sorted([(1, 0, 1, None), (1, 1, 3, "x"), (1, 3, 4, "y"), (1, 4, 5, "x"), (1, 5, 7, None), (1, 7, 8, "y"), (2, 3, 4, "x")], key=str)
