@@ -17,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RING = 32
+#: Characters of a message that a rolling summary takes.
+SAID = 12
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -31,9 +33,8 @@ class _Votes(StatefulProcessor):
         self.seen = handle.getValueState("seen", "content string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("arrival")
         out, kept = [], self.seen.get()[0] if self.seen.exists() else None
-        for r in frame.to_dict("records"):
+        for r in _arrivals(rows):
             content = json.dumps([r["packet_id"], r["reviewer_id"], int(r["case_id"]), r["choice"]])
             if kept is None:
                 kept, status = content, "stored"
@@ -62,8 +63,7 @@ class _Latest(StatefulProcessor):
         self.last = handle.getValueState("last", "arrival long, choice string")
 
     def handleInputRows(self, key, rows, timers):
-        frame = pd.concat(list(rows)).sort_values("arrival")
-        top = frame.iloc[-1]
+        top = max((r for frame in rows for r in frame.to_dict("records")), key=lambda r: r["arrival"])
         old = self.last.get() if self.last.exists() else None
         if old is None or top["arrival"] > old[0]:
             self.last.update((int(top["arrival"]), str(top["choice"])))
@@ -83,50 +83,61 @@ def effective_stream(stored: DataFrame) -> DataFrame:
 class Ring:
     """Episodic memory of a fixed number of vectors: recall first, then overwrite the oldest."""
 
-    def __init__(self, slots: list | None = None, at: int = 0):
-        self.slots, self.at = slots or [], at
+    def __init__(self, slots: dict[int, np.ndarray] | None = None, at: int = 0):
+        self.slots, self.at = slots or {}, at
 
     def recall(self, v: np.ndarray, floor: float = -1.0) -> tuple[int, float]:
         best, slot = floor, -1
-        for i, u in enumerate(self.slots):
-            s = float(np.dot(np.asarray(u, np.float32), v))
+        for i in sorted(self.slots):
+            s = float(np.dot(self.slots[i], v))
             if s > best:
                 best, slot = s, i
         return slot, best
 
-    def remember(self, v) -> int:
+    def remember(self, v: np.ndarray) -> int:
         slot = self.at
-        v = [float(x) for x in v]
-        if slot < len(self.slots):
-            self.slots[slot] = v
-        else:
-            self.slots.append(v)
+        self.slots[slot] = v
         self.at = (slot + 1) % RING
         return slot
 
 
+def _arrivals(rows: Iterator[pd.DataFrame]) -> list[dict]:
+    """A key's rows of one micro-batch (which the source's trigger options bound) as they arrived."""
+    return sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: r["arrival"])
+
+
 class _Memory(StatefulProcessor):
-    """Ring of a conversation; ``signed`` rows are packets and must carry a right signature."""
+    """Ring of a conversation; ``signed`` rows are packets and must carry a right signature.
+
+    Each slot is an entry of its own in the state, so a vector that is remembered writes one slot
+    and the place of the next, and the change log of a batch holds the slots that it wrote.
+    """
 
     def __init__(self, signed: bool):
         self.signed = signed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ring", "ring string")
+        self.slots = handle.getMapState("slots", "slot int", "vector array<float>")
+        self.next = handle.getValueState("next", "at int")
 
     def handleInputRows(self, key, rows, timers):
         from ..functions.kernels import _signed, fnv
 
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"slots": [], "at": 0}
-        ring, out = Ring(held["slots"], held["at"]), []
-        for r in pd.concat(list(rows)).sort_values("arrival").to_dict("records"):
+        held = {k[0]: np.asarray(v[0], np.float32) for k, v in self.slots.iterator()}
+        ring, out, written = Ring(held, self.next.get()[0] if self.next.exists() else 0), [], set()
+        for r in _arrivals(rows):
             v = np.asarray(r["vector"], np.float32)
             ok = not self.signed or _signed(fnv(v.tobytes())) == int(r["signature"])
             recalled, score = ring.recall(v, 0.0 if self.signed else -1.0)
             score = max(score, 0.0) if self.signed or not ring.slots else score
             slot = ring.remember(v) if ok else -1
+            if ok:
+                written.add(slot)
             out.append((*key, int(r["arrival"]), slot, recalled if ok and not self.signed else -1, score if ok else 0.0, ok))
-        self.state.update((json.dumps({"slots": ring.slots, "at": ring.at}),))
+        for slot in sorted(written):
+            self.slots.updateValue((slot,), ([float(x) for x in ring.slots[slot]],))
+        if written:
+            self.next.update((ring.at,))
         yield pd.DataFrame(out, columns=["stream", "arrival", "slot", "recalled", "score", "accepted"])
 
     def close(self) -> None:
@@ -148,7 +159,8 @@ def vector_exchange(packets: DataFrame) -> DataFrame:
 
 
 class _Rolling(StatefulProcessor):
-    """Rolling summary of a conversation, replaced after each exchange of two messages."""
+    """Rolling summary of a conversation, replaced after each exchange of two messages. The state
+    is the summary and what it will take of a message that waits for its answer: 92 characters."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("memory", "summary string, pending string")
@@ -156,13 +168,13 @@ class _Rolling(StatefulProcessor):
     def handleInputRows(self, key, rows, timers):
         summary, pending = self.state.get() if self.state.exists() else ("", "")
         out = []
-        for r in pd.concat(list(rows)).sort_values("arrival").to_dict("records"):
-            text = " ".join((r["text"] or "").split())
+        for r in _arrivals(rows):
+            text = " ".join((r["text"] or "").split())[:SAID]
             if not pending:
                 pending = text or " "
                 continue
             prior = summary.partition(" | ")[2]
-            summary = f"chat | {'~' + prior[:14] + '; ' if prior else ''}{pending[:12]}; {text[:12]}"[:80]
+            summary = f"chat | {'~' + prior[:14] + '; ' if prior else ''}{pending}; {text}"[:80]
             pending = ""
             out.append((*key, int(r["arrival"]), summary))
         self.state.update((summary, pending))

@@ -802,3 +802,68 @@ def test_even_selection_and_runs(spark):
     d = spark.createDataFrame([(1, i, i + 1, v) for i, v in enumerate(values)] + [(2, 3, 4, "x")], "g int, s int, e int, v string")
     got = sorted(((r.g, r.start, r.end, r.v) for r in sequence.merge_adjacent(d, ["g"], "s", "e", "v").collect()), key=str)
     assert got == sorted([(1, 0, 1, None), (1, 1, 3, "x"), (1, 3, 4, "y"), (1, 4, 5, "x"), (1, 5, 7, None), (1, 7, 8, "y"), (2, 3, 4, "x")], key=str)
+
+
+class _FakeState(dict):
+    """A map or value state that counts its writes."""
+
+    def __init__(self):
+        self.writes = 0
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def update(self, value):
+        self.updateValue(0, value)
+
+    def exists(self):
+        return 0 in self
+
+    def get(self):
+        return self[0]
+
+
+def test_a_vector_writes_one_slot():
+    import pandas as pd
+
+    from corpusloom.streaming import state
+
+    class Handle:
+        def getMapState(self, *_):
+            return _FakeState()
+
+        getValueState = getMapState
+
+    p, rng = state._Memory(False), np.random.default_rng(3)
+    p.init(Handle())
+    for i in range(100):  # the ring is full after 32
+        before = p.slots.writes
+        frame = pd.DataFrame({"arrival": [i], "vector": [rng.normal(size=4).astype(np.float32)]})
+        out = next(p.handleInputRows((1,), iter([frame]), None))
+        assert p.slots.writes == before + 1 and out["slot"].tolist() == [i % 32]
+    assert len(p.slots) == 32
+    r = state._Rolling()
+    r.init(Handle())
+    for i in range(9):
+        list(r.handleInputRows((1,), iter([pd.DataFrame({"arrival": [i], "text": ["word " * 5000]})]), None))
+        assert sum(map(len, r.state.get())) <= 92
+
+
+def test_memory_restarts_from_its_checkpoint(spark, tmp_path):
+    from corpusloom.streaming.state import episodic_memory, rolling_memory, run_once
+
+    rng = np.random.default_rng(8)
+    schema = "stream long, arrival long, vector array<float>, text string"
+    rows = [(s, a, rng.normal(size=5).astype(np.float32).tolist(), f"message {s} {a} goes on") for s in (1, 2) for a in range(60)]
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    spark.createDataFrame(rows, schema).repartition(1).write.parquet(whole)
+    for name, f in (("memory", lambda d: episodic_memory(d.select("stream", "arrival", "vector"))), ("rolling", lambda d: rolling_memory(d.select("stream", "arrival", "text")))):
+        want = run_once(f(spark.readStream.schema(schema).parquet(whole)), name, f"{tmp_path}/{name}-1").collect()
+        for lo, hi in ((0, 7), (7, 40), (40, 60)):  # the query stops and starts again between the parts
+            spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).repartition(1).write.mode("append").parquet(f"{parts}-{name}")
+            got = run_once(f(spark.readStream.schema(schema).parquet(f"{parts}-{name}")), name, f"{tmp_path}/{name}-2", checkpoint=f"{tmp_path}/{name}-cp").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) in (120, 60)
