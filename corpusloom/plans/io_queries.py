@@ -101,7 +101,7 @@ def sc08(spark, sf):
 @register("sc11_packed_tokens", "SELECT doc_id, strlen(coalesce(text, '')) AS tokens, md5(coalesce(text, '')) AS digest FROM documents")
 def sc11(spark, sf):
     """Packed-token containers of whole texts, one per document, written and read back, with the
-    digest of the ids that came back (SC11, X29)."""
+    digest of the ids that came back (SC11)."""
     import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -180,6 +180,40 @@ def sk09(spark, sf):
     return spark.read.schema(rows.schema).option("multiLine", True).json(path)
 
 
+@register("sk18_int8_tensor", """
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings WHERE embedding IS NOT NULL)
+SELECT row, CAST(CASE WHEN top > 0 THEN top / 127 ELSE 1 END AS FLOAT) AS scale,
+  list_transform(v, lambda x: CAST(greatest(-127, least(127, round_even(x / CASE WHEN top > 0 THEN top / 127 ELSE 1 END, 0))) AS TINYINT)) AS q FROM e""")
+def sk18(spark, sf):
+    """All vectors as an int8 tensor with row scales, written in blocks of rows and read back (SK18)."""
+    from ..sources.tensors import read_int8, write_int8
+
+    path = scratch_path(spark, "tensor")
+    write_int8(table(spark, sf, "embeddings"), path, "vec_id", "embedding", block_rows=4096)
+    return read_int8(spark, path)
+
+
+@register("x29_external_texts", r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS t FROM documents)
+SELECT doc_id, least(length(t), 257) AS tokens, md5(left(t, 257)) AS digest FROM d WHERE t <> ''""")
+def x29(spark, sf):
+    """Texts of external packs: empty ones left out, the others cut to a context of 256 and one more."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def packs(keys, texts):
+        return pa.array([B.pack_bytes(np.frombuffer(t.encode(), np.uint8), document=k) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
+
+    path, d = scratch_path(spark, "external"), table(spark, sf, "documents")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "")
+    B.write_packs(d.select(F.arrow_udf(packs, T.BinaryType())(F.col("doc_id").cast("string"), text).alias("pack")), path)
+    cut = B.read_packs(spark, path).filter(F.size("tokens") > 0).withColumn("tokens", F.slice("tokens", 1, 257))
+    text = F.array_join(F.transform("tokens", lambda x: F.char(x)), "")
+    key = F.get_json_object("metadata", "$.document").cast(d.schema["doc_id"].dataType)
+    return cut.select(key.alias("doc_id"), F.size("tokens").alias("tokens"), F.md5(text).alias("digest"))
+
+
 @register("sk11_pending_work", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
 def sk11(spark, sf):
     """Resumable work: finished keys are skipped, another identity is an error (SK11, ST6)."""

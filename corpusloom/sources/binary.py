@@ -186,7 +186,7 @@ def _bytes_of_ids(x: pa.Array) -> pa.Array:
 
 def _write_raw(rows: DataFrame, path: str, separator: bytes, records: int, by: list[str]) -> None:
     """A string column's bytes as files, ``separator`` after each row."""
-    w = rows.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", records)
+    w = rows.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", records)  # 0: no limit
     (w.partitionBy(*by) if by else w).text(path)
 
 

@@ -123,3 +123,30 @@ def test_a_killed_attempt_leaves_nothing(tmp_path):
     done = subprocess.run([sys.executable, "-c", _KILLED, root, str(tmp_path)], capture_output=True, text=True, timeout=180)
     assert done.stdout.split()[-2:] == ["True", "True"], done.stderr[-2000:]
     assert not [n for n in os.listdir(tmp_path / "out") if n.startswith("_temporary")]
+
+
+def test_int8_tensors_by_row_range(spark, store):
+    import numpy as np
+
+    from corpusloom.sources.tensors import read_int8, write_int8
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 7)) * 10.0 ** rng.integers(-3, 3, (50, 1))
+    x[9] = 0
+    d = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(rng.permutation(50), x)] + [(99, None)], "k long, v array<double>").repartition(4)
+    write_int8(d, f"{store}/t", "k", "v", block_rows=8)
+    order = [v for _, v in sorted(zip([r.k for r in d.filter("v is not null").collect()], [r.v for r in d.filter("v is not null").collect()]))]
+    got = {r.row: r for r in read_int8(spark, f"{store}/t").collect()}
+    assert sorted(got) == list(range(50))
+    for i, v in enumerate(np.array(order)):
+        scale = np.abs(v).max() / 127 or 1.0
+        assert np.float32(got[i].scale) == np.float32(scale) and got[i].q == np.clip(np.rint(v / scale), -127, 127).astype(int).tolist()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in (0, 1, 4, 5, 6):  # a range of rows needs its own blocks alone
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/t/block={b}"), True)
+    assert sorted(r.row for r in read_int8(spark, f"{store}/t", 17, 30).collect()) == list(range(17, 30))
+    assert read_int8(spark, f"{store}/t", 50).count() == 0
+    with pytest.raises(ValueError):
+        read_int8(spark, f"{store}/none")
+    with pytest.raises(ValueError):
+        write_int8(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "k long, v array<double>"), f"{store}/bad", "k", "v")
