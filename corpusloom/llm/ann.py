@@ -17,6 +17,7 @@ size; each cell returns its best ``k`` and cells merge by query.
 
 from __future__ import annotations
 
+import warnings
 from itertools import combinations
 from math import comb
 
@@ -115,9 +116,10 @@ class Plan:
         self.turn, self.width, self.reach, self.radius = turn, width, reach, radius
 
 
-def learn(sample: np.ndarray, top: float, asked: np.ndarray, near: np.ndarray, block: int) -> Plan:
-    """The cheapest tables and reach that find ``FIND`` of true neighbours. ``sample`` teaches the
-    rotations; ``near`` are true neighbours, row by row, of ``asked``."""
+def learn(sample: np.ndarray, top: float, asked: np.ndarray, near: np.ndarray, block: int) -> Plan | None:
+    """The cheapest tables and reach that find ``FIND`` of true neighbours; None where none of up to
+    ``TABLES`` and ``REACH`` do. ``sample`` teaches the rotations; ``near`` are true neighbours, row
+    by row, of ``asked``."""
     width = int(np.clip(round(np.log2(max(2, block))), 8, 17))
     full = rotations(lift(sample, top), TABLES * width)
     c = Codes(lift(near, top), full, width).sub
@@ -131,7 +133,9 @@ def learn(sample: np.ndarray, top: float, asked: np.ndarray, near: np.ndarray, b
         for tables in range(1, TABLES + 1):
             ok = found[tables - 1] >= FIND
             choices.append((not ok, tables * values * (1 + block / 2**width) if ok else -found[tables - 1], tables, reach))
-    _, _, tables, reach = min(choices)
+    missed, _, tables, reach = min(choices)
+    if missed:
+        return None
     return Plan(full[:, : tables * width], width, reach, int(np.ceil(np.quantile(apart[:, :tables].sum(1), COVER))))
 
 
@@ -142,7 +146,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec
     for each id (of unlike vectors with one id, the smallest asks); candidates are all rows but
     those with the query's own id. Scores are inner products in double precision; equal scores
     go by the smaller id. A query for which probing found fewer than ``k`` rows in all blocks
-    together is answered from all rows, block by block, so no answer is short. Vectors that are
+    together is answered from all rows, block by block, so no answer is short; and so are all where
+    no tables find enough of the sample's true neighbours, with a warning. Vectors that are
     null, empty, zero, of another length than most, or hold null or non-finite components take
     no part; repeated rows are candidates each, and are counted, not gathered; other columns
     are ignored; no rows give no rows.
@@ -172,7 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, vec_id="vec
     true = rows.select("vec_id", "v").join(F.broadcast(true), "vec_id").join(F.broadcast(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))), "query_id").select("q", "v").collect()
     array = lambda a: np.array(a, float).reshape(-1, d)
     plan = learn(array([r.v for r in sample]), top, array([r.q for r in true]), array([r.v for r in true]), -(-n // blocks))
-    held = spark.sparkContext.broadcast(plan)  # dims x bits floats, whatever the data
+    if plan is None:
+        warnings.warn(f"no {TABLES} tables find {FIND:.0%} of the sampled neighbours: all rows are searched", stacklevel=2)
+    held = plan and spark.sparkContext.broadcast(plan)  # dims x bits floats, whatever the data
     found = materialize(_search(rows, asked, d, k, top, blocks, held), "ann")
     others = F.lit(n) - F.coalesce("own", F.lit(0))
     own = rows.select("vec_id", "times").join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.sum("times").alias("own"))

@@ -120,6 +120,37 @@ def to_events(conversations: DataFrame, *, conv_id="conv_id", turn="turn", role=
     return conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("delta").alias("kind"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
 
 
+#: Sequence numbers that a turn of :func:`edited_log` has to itself; a block is a multiple of it.
+NUMBERS = 8
+
+
+def edited_log(conversations: DataFrame, *, conv_id="conv_id", turn="turn", role="role", text="text") -> DataFrame:
+    """Finished turns as the log of a chat that was streamed, regenerated and edited on the way.
+
+    A turn is a message of five events: a delta with the first half of the text as a draft, which
+    names the role; a regeneration, which drops it; a delta with the first third of a new one; an
+    edit, which replaces that by the first half; and a delta with the rest. Every fourth turn of a
+    conversation also has a message that is streamed and then deleted. So the fold gives the turns
+    back. Null turns count as -1, as in :func:`to_events`; message ids only keep rows apart.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    n = F.length(t)
+    half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    at = F.coalesce(F.col(turn).cast("long"), F.lit(-1)) * NUMBERS
+    none = F.lit(None).cast("string")
+
+    def event(ghost, k, kind, said, who=none):
+        return F.struct(F.lit(ghost).alias("ghost"), (at + k).alias("seq"), F.lit(kind).alias("kind"), who.alias("role"), said.alias("text"))
+
+    who = F.col(role).cast("string")
+    told = [event(0, 0, "delta", F.substring(t, F.lit(1), half), who), event(0, 1, "regenerate", none), event(0, 2, "delta", F.substring(t, F.lit(1), third)), event(0, 3, "edit", F.substring(t, F.lit(1), half)), event(0, 4, "delta", F.substring(t, half + 1, n))]
+    gone = [event(1, 5, "delta", F.substring(t, F.lit(1), third), who), event(1, 6, "delete", none)]
+    events = F.when(F.coalesce(F.col(turn) % 4 == 0, F.lit(False)), F.array(*told, *gone)).otherwise(F.array(*told))
+    d = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.monotonically_increasing_id().alias("row"), events.alias("events"))
+    d = d.select("conv_id", "row", F.explode("events").alias("e"))
+    return d.select("conv_id", "e.seq", (F.col("row") * 2 + F.col("e.ghost")).alias("message"), "e.kind", "e.role", "e.text")
+
+
 _BLOCKS = T.StructType(
     [T.StructField("conv_id", T.LongType()), T.StructField("block", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("formatted", T.StringType()), T.StructField("mask", T.ArrayType(T.LongType()))]
 )

@@ -1,13 +1,13 @@
-from .chat import digests, format_chats, probe, to_events
+from .chat import digests, edited_log, format_chats, probe
 from .common import table
 from .queries import ORACLE, query
 
 
 @query
 def op2_chat(spark, sf_dir):
-    """All conversations rebuilt from their event log, rendered, and read back."""
+    """All conversations rebuilt from a log of deltas, regenerations, edits and deletions, rendered, and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digests(format_chats(to_events(rows.unionByName(probe(spark)))))
+    return digests(format_chats(edited_log(rows.unionByName(probe(spark)))))
 
 
 ORACLE["op2_chat"] = r"""

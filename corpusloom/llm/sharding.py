@@ -66,9 +66,11 @@ def shard(docs: DataFrame, *, doc_id="doc_id", text="text", shards=40, slots=SLO
 
     Returns doc_id, size (UTF-8 bytes of the text and 16), text_crc32, law ("bytes"), shard,
     slot (place in the shard, gapless from 0), grown_shard (null under this law), vslot (the
-    virtual slot). The map is stored, versioned, at ``map_path`` (by default in the shared
-    folder). Null texts have no bytes and CRC 0; null doc_ids and repeated rows are separate
-    records; other columns are ignored; no rows give no rows.
+    virtual slot), next_shard (where the slot goes when there is one shard more). The map is
+    stored at ``map_path`` (by default in the shared folder) in two versions: as it is used, and as
+    :func:`grow` edits it. Null texts have no bytes and CRC 0, very long ones are a record of their
+    size; null doc_ids and repeated rows are separate records; other columns are ignored; no rows
+    give no rows.
 
     A record's slot comes from its doc_id, checksum and size, so null and repeated doc_ids
     spread; rows equal in all three are counted (on the map side too) and each ``PIECE`` of them
@@ -84,11 +86,14 @@ def shard(docs: DataFrame, *, doc_id="doc_id", text="text", shards=40, slots=SLO
     pieces = pieces.select("doc_id", "size", "text_crc32", "piece", n.alias("n"), slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("piece"), slots=slots).alias("vslot"))
     path = map_path or new_path(docs.sparkSession, "slot-map")
     store(assign(pieces.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")), shards), path)
-    now = docs.sparkSession.read.schema("version int, vslot int, shard int, bytes long, rows long").parquet(path).filter("version = 1")
+    maps = docs.sparkSession.read.schema("version int, vslot int, shard int, bytes long, rows long").parquet(path)
+    now = maps.filter("version = 1")
+    store(grow(now, shards), path)
+    later = maps.sparkSession.read.schema(maps.schema).parquet(path).filter("version = 2").select("vslot", F.col("shard").alias("next_shard"))
     base = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
-    bases = F.broadcast(now.select("vslot", "shard", base.alias("base")))  # a row per slot, whatever the data
+    bases = F.broadcast(now.select("vslot", "shard", base.alias("base")).join(F.broadcast(later), "vslot"))  # a row per slot, whatever the data
     order = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "piece")
     inside = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     out = pieces.withColumn("inside", inside).join(bases, "vslot").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     slot = (F.col("base") + F.col("inside") + F.col("copy")).cast("long")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "next_shard")

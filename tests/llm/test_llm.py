@@ -872,3 +872,38 @@ def test_hot_fingerprints_are_spread_by_rows(spark, monkeypatch):
     assert {r.component_id for r in got if r.doc_id == 5} == {5}
     plan = simhash.near_duplicates(documents(spark, rows))._jdf.queryExecution().analyzed().toString()
     assert "salt" in plan and "xxhash64(doc_id" not in plan
+
+
+def test_edited_log_folds_back_to_the_turns(spark):
+    rows = [(1, 0, "user", "abcdefg"), (1, 1, "assistant", ""), (1, 2, None, None), (1, 4, "assistant", "x" * 5000), (2, 0, "user", "é😀"), (None, None, "user", "late"), (3, 7, "assistant", "one"), (3, 7, "assistant", "one"), (4, -2, "user", "before")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.edited_log(d)
+    assert {r.kind for r in log.select("kind").collect()} == {"delta", "regenerate", "edit", "delete"}
+    assert log.count() == 5 * len(rows) + 2 * sum(t is not None and t % 4 == 0 for _, t, _, _ in rows)
+    plain = chat.digests(chat.format_chats(chat.to_events(d))).collect()
+    assert sorted(map(tuple, chat.digests(chat.format_chats(log)).collect()), key=str) == sorted(map(tuple, plain), key=str)
+    folded = Counter((r.conv_id, r.role, r.text) for r in chat.fold_events(log).collect())
+    assert folded == Counter((c, r or "", t or "") for c, _, r, t in rows)
+
+
+def test_the_next_map_moves_slots_into_the_new_shard_only(spark):
+    rows = odd_rows() + [(90_000 + i, "filler " * (i % 50), "en", "a") for i in range(2000)]
+    got = sharding.shard(documents(spark, rows), shards=5).collect()
+    assert all(r.next_shard in (r.shard, 5) for r in got) and {r.next_shard for r in got} == {0, 1, 2, 3, 4, 5}
+    load = Counter()
+    for r in got:
+        load[r.next_shard] += r.size
+    assert max(load.values()) < 1.3 * sum(load.values()) / 6 + max(r.size for r in got)
+
+
+def test_no_good_tables_mean_a_search_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TABLES", 1)
+    monkeypatch.setattr(ann, "REACH", 0)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.warns(UserWarning, match="all rows are searched"):
+        got = ann.nearest(d, k=5).collect()
+    for q in range(0, 400, 20):
+        best = sorted((-float(x[q] @ x[i]), i) for i in range(400) if i != q)[:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in best]
