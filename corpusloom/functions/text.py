@@ -109,12 +109,16 @@ def chat_bytes(x: pa.Array) -> pa.Array:
     return pa.array([None if s is None else s.encode().translate(table).decode() for s in x.to_pylist()], pa.string())
 
 
-def is_layout_noise(line: Column) -> Column:
-    """Ruled lines, long table lines, empty brackets and one credit line."""
+#: Lines of a book's layout that say nothing, an empty bracket and a credit.
+LAYOUT_LINES = ("[]", "Graphics and textual content produced by Lolaness.")
+
+
+def is_layout_noise(line: Column, lines: tuple[str, ...] = LAYOUT_LINES) -> Column:
+    """Ruled lines, long table lines, and those of ``lines``."""
     visible = F.length(F.regexp_replace(line, r"[ \t\r]", ""))
     rules = F.length(F.regexp_replace(line, r"[^-+=]", ""))
     stripped = F.regexp_replace(line, r"^[ \t]+|[ \t\r]+$", "")
-    return ((visible >= 20) & (rules == visible)) | ((F.length(line) > 100) & line.contains("|")) | stripped.isin("[]", "Graphics and textual content produced by Lolaness.")
+    return ((visible >= 20) & (rules == visible)) | ((F.length(line) > 100) & line.contains("|")) | stripped.isin(*lines)
 
 
 def editorial_line(line: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .generate import hash_int, products
+from .sides import side
 
 
 def audit_slices(files: DataFrame, rows: DataFrame, context: int) -> DataFrame:
@@ -119,13 +120,13 @@ def overlap_report(train: DataFrame, test: DataFrame, key: str, slots: Column, v
 def move_rows(rows: DataFrame, frames: DataFrame, key: str, level: str, own: str, heard: str) -> DataFrame:
     """A row for every move that a frame of the row's level describes.
 
-    ``frames`` (a fixed table, broadcast) is (move, level, lead, asks, opens, closes, claim). The
+    ``frames`` is (move, level, lead, asks, opens, closes, claim). The
     history is what the lead says: nothing; ``heard``; ``ask`` (one of the asks); or ``own`` (the
     own account, then one of the asks). Accepted are all opens before all closes, with the own
     account between them if the move states a claim; the target is one of them by hash, and
     ``offset`` is where the account starts in it, in bytes.
     """
-    d = rows.join(F.broadcast(frames.withColumnRenamed("level", "__level")), F.col(level) == F.col("__level")).drop("__level")
+    d = rows.join(side(frames.withColumnRenamed("level", "__level")), F.col(level) == F.col("__level")).drop("__level")
     draw = lambda a, what: F.get(a, (hash_int(F.concat_ws(":", F.lit(what), "move", F.col(key).cast("string"))) % F.size(a)).cast("int"))
     said = lambda who, text: F.struct(F.lit(who).alias("speaker"), text.alias("text"))
     none = F.array(said("self", F.lit(""))).cast("array<struct<speaker:string,text:string>>")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sides import fixed_side
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -36,8 +38,8 @@ def lexical_overlap(a: Column, b: Column) -> Column:
 
 def recall(queries: DataFrame, memory: DataFrame, k: int = 1, least: float | None = None) -> DataFrame:
     """Best ``k`` of ``memory`` (slot, v) for each of ``queries`` (query, q) by cosine: query,
-    rank, slot, score. ``memory`` is an episodic store of a fixed size and is broadcast."""
-    j = queries.join(F.broadcast(memory)).select("query", "slot", cosine(F.col("q"), F.col("v")).alias("score"))
+    rank, slot, score. ``memory`` is an episodic store of a fixed size."""
+    j = queries.join(fixed_side(memory, "the memory")).select("query", "slot", cosine(F.col("q"), F.col("v")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "slot")
     out = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out if least is None else out.filter(F.col("score") >= least)
@@ -45,9 +47,9 @@ def recall(queries: DataFrame, memory: DataFrame, k: int = 1, least: float | Non
 
 def hybrid(queries: DataFrame, memory: DataFrame, k: int = 3, lexical: float = 0.2) -> DataFrame:
     """Cosine plus a share of the word overlap: query, rank, slot, score. Both sides carry
-    vectors (q, v) and word sets (qw, vw)."""
+    vectors (q, v) and word sets (qw, vw). ``memory`` is small; :func:`hybrid_blocks` takes any."""
     s = cosine(F.col("q"), F.col("v")) + lexical * lexical_overlap(F.col("qw"), F.col("vw"))
-    j = queries.join(F.broadcast(memory)).select("query", "slot", s.alias("score"))
+    j = queries.join(fixed_side(memory, "the memory")).select("query", "slot", s.alias("score"))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "slot"))).filter(F.col("rank") <= k)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .generate import hash_int, pick
+from .sides import side
 
 
 def mask_facts(text: Column, facts: Column) -> Column:
@@ -79,8 +80,8 @@ def marks(table: dict[tuple[str, bool, str], list[str]], move: Column, state: di
 
 
 def with_cell(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Accepted wordings of a row's cell, from a phrase table of fixed size."""
-    return rows.join(F.broadcast(cells), keys, "left")
+    """Accepted wordings of a row's cell, from a phrase table."""
+    return rows.join(side(cells), keys, "left")
 
 
 def hash_act(seed: str, key: Column, acts: int) -> Column:
