@@ -54,8 +54,8 @@ def distributed_offsets(df: DataFrame, key: str, length: str, name: str = "start
     return d.join(F.broadcast(base.select("__b", "__base")), "__b").withColumn(name, F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
 
 
-#: Counts by range and group up to this many (some 20 MB) are broadcast; more are joined by shuffle.
-RANGE_COUNTS = 500_000
+#: Counts by range and group up to this many (some 2 MB) are broadcast; more are joined by shuffle.
+RANGE_COUNTS = 20_000
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "n", of: str | None = None, length: str | None = None, start: str = "start") -> DataFrame:
@@ -89,8 +89,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "n", o
     met = F.col(name("part")) == F.col(name("p"))
     for i, c in enumerate(by):
         met = met & F.col(c).eqNullSafe(F.col(name(f"by{i}")))
-    if counts.count() <= RANGE_COUNTS:
-        counts = F.broadcast(counts)
+    few = counts.limit(RANGE_COUNTS + 1).collect()  # as many as there are ranges, and groups besides
+    if len(few) <= RANGE_COUNTS:
+        counts = F.broadcast(spark.createDataFrame(few, counts.schema))
     d = d.join(counts, met)
     out = [(F.col(name("rows")) + F.col(name("at")) - F.col(name("first")) + 1).alias(place)]
     out += [F.col(name("all")).alias(of)] if of else []
