@@ -479,7 +479,7 @@ WITH d AS (SELECT c_custkey, c_mktsegment AS own, list_filter(['AUTOMOBILE','BUI
 p AS (SELECT *, o[1 + CAST('0x' || substr(md5('swap:' || c_custkey), 1, 8) AS BIGINT) % len(o)] AS other FROM d)
 SELECT c_custkey AS pair, m AS member, CASE WHEN m = 0 THEN own ELSE other END AS c_mktsegment, own AS changed_from, other AS changed_to FROM p, range(0, 2) r(m)""")
 def g16(spark, sf):
-    """Counterfactual pairs: one field changed, all else equal."""
+    """Counterfactual pairs: one field changed, all else equal."""
     pool = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     d = G.counterfactual_pairs(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", pool)
     return d.select("pair", "member", "c_mktsegment", "changed_from", "changed_to")

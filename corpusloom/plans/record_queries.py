@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import pairs as G17
 from ..operators import records as RC
 from ..operators import splits as S
 from .registry import register, table
@@ -196,12 +197,28 @@ def x34(spark, sf):
     return e.withColumn("stem", stem).join(first, ["event_type", "stem"]).select("event_id", "event_type", "id")
 
 
+@register("x09_verified_load", r"""
+WITH d AS (SELECT source, doc_id, CAST('0x' || substr(md5(coalesce('=' || doc_id, '-') || chr(31) || coalesce('=' || text, '-')), 1, 8) AS BIGINT) AS part FROM documents),
+g AS (SELECT source, count(*) AS rows, sum(part)::BIGINT AS digest FROM d GROUP BY source)
+SELECT source, rows, digest, digest % 3 <> 0 AS verified, 0::BIGINT AS code_faults FROM g""")
+def x09(spark, sf):
+    """Documents by source against a lock, in which every third digest is an older one, and the code
+    of all executors against the driver's (X9, X20, X42)."""
+    from ..operators import identity as I
+
+    d = table(spark, sf, "documents")
+    columns = (F.col("doc_id"), F.col("text"))
+    lock = I.group_digests(d, "source", *columns).withColumn("digest", F.when(F.col("digest") % 3 == 0, F.col("digest") - 1).otherwise(F.col("digest")))
+    faults = I.attest(spark, "corpusloom", I.code_digests(I.package_root("corpusloom"))).count()
+    return I.verified_load(d, "source", lock, *columns).withColumn("code_faults", F.lit(faults).cast("long"))
+
+
 @register("x33_fingerprints", """
 SELECT n_nationkey, sha256('build ' || n_name) AS builder, sha256(n_comment) AS sources, sha256(builder_line) AS spec,
  sha256('builder ' || sha256('build ' || n_name) || chr(10) || 'sources ' || sha256(n_comment) || chr(10) || 'spec ' || sha256(builder_line)) AS "all"
 FROM (SELECT *, 'target ' || n_regionkey AS builder_line, n_name || ':' || n_nationkey AS n_comment FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation))""")
 def x33(spark, sf):
-    """Fingerprints of a preparation: of each part and of all."""
+    """Fingerprints of a preparation: of each part and of all."""
     n = table(spark, sf, "nation")
     parts = {"builder": F.concat(F.lit("build "), "n_name"), "sources": F.concat("n_name", F.lit(":"), "n_nationkey"), "spec": F.concat(F.lit("target "), "n_regionkey")}
     return n.select("n_nationkey", RC.fingerprint(parts).alias("f")).select("n_nationkey", "f.*")
@@ -257,6 +274,58 @@ def g19(spark, sf):
     return d.select("p_partkey", "move", "accepted", "target", "offset", F.transform("history", lambda h: F.concat(h["speaker"], F.lit(": "), h["text"])).alias("history"))
 
 
+_POOLS = {
+    "actor": [f"{a}{b}" for a in ("Ansel", "Brida", "Corwin", "Delphine") for b in (" of the Upper Ford", " Marrow", "")],
+    "recipient": [f"{a} {b}" for a in ("Edda", "Falk", "Greta") for b in ("Hollow", "Lindqvist", "Thorne")],
+    "place": ["Quarry Hill", "the Long Meadow by the river", "Saltmarsh", "Élan Bridge"],
+    "object": ["a brass lamp", "the old ledger", "two keys"],
+    "detail": ["at dawn", "after the rains"],
+}
+_RULES = [
+    G17.Rule("gift", ("actor", "recipient", "object"), "{0} gave {2} to {1}.", ("{0} gave {2} to {1}.", "{1} was given {2} by {0}."), partial=True),
+    G17.Rule("flock", ("place", "quantity", "quantity"), "at {0} {1} sheep came and {2} left.", ("at {0} {1} came and {2} left.", "{2} of the sheep left {0}."), less_than=(1, 2)),
+    G17.Rule("visit", ("actor", "place", "detail"), "{0} came to {1} {2}.", ("{0} came to {1} {2}.", "{2} {0} stood in {1}."), partial=True),
+    G17.Rule("count", ("quantity", "detail"), "{0} were counted {1}.", ("{0} were counted {1}.", "{1} there were {0}.")),
+]
+
+
+def _pairs_sql() -> str:
+    """The same pairs in SQL: rules as rows, draws by MD5."""
+    text = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    words = lambda xs: "[" + ", ".join(map(text, xs)) + "]"
+    h = lambda what, n: f"(CAST('0x' || substr(md5('{what}:' || k), 1, 8) AS BIGINT) % {n})"
+    value = lambda role, what: f"CAST({h(what, 198)} + 2 AS VARCHAR)" if role == "quantity" else f"({words(_POOLS[role])})[{h(what, len(_POOLS[role]))} + 1]"
+    fill = lambda t, v: f"replace(replace(replace({t}, '{{0}}', coalesce({v}[1], '')), '{{1}}', coalesce({v}[2], '')), '{{2}}', coalesce({v}[3], ''))"
+    rows = []
+    for at, r in enumerate(_RULES):
+        v = [value(role, f"value{j}") for j, role in enumerate(r.roles)]
+        if r.less_than:
+            v[r.less_than[1]] = f"CAST(CAST({v[r.less_than[0]]} AS INT) + 1 + {h('more', 29)} AS VARCHAR)"
+        e = _RULES[(at + 7) % len(_RULES)]
+        earlier = fill(text(e.outputs[0]), "[" + ", ".join(value(role, f"earlier{j}") for j, role in enumerate(e.roles)) + "]")
+        unknown = f"CASE WHEN {h('unknown', 7)} = 0 THEN {r.roles.index('actor')} END" if r.partial else "NULL::INT"
+        bare = fill(text(r.source), "[" + ", ".join("''" if j in r.named() else f"drawn[{j + 1}]" for j in range(len(r.roles))) + "]")
+        rows.append(f"SELECT *, {text(r.name)} AS rule, {words(r.roles)} AS roles, {list(r.named())}::INT[] AS named, {text(r.source)} AS source, {text(r.outputs[0])} AS o0, {text(r.outputs[1])} AS o1, least(20, (143 - strlen({bare})) // {max(1, len(r.named()))}) AS most FROM (SELECT k, [{', '.join(v)}] AS drawn, {unknown} AS unknown, {earlier} AS earlier FROM c WHERE k % {len(_RULES)} = {at})")
+    pool = "CASE roles[changed + 1] " + " ".join(f"WHEN '{role}' THEN {words(w)}" for role, w in _POOLS.items()) + " END"
+    return f"""
+WITH c AS (SELECT c_custkey AS k FROM customer), r AS ({' UNION ALL '.join(rows)}),
+v AS (SELECT *, list_transform(drawn, lambda x, i: CASE WHEN list_contains(named, i - 1) THEN rtrim(left(x, most)) ELSE x END) AS vals, list_filter(named, lambda j: j IS DISTINCT FROM unknown) AS free FROM r),
+w AS (SELECT *, CASE WHEN len(free) > 0 THEN free[{h('changed', 'greatest(1, len(free))')} + 1] END AS changed FROM v),
+x AS (SELECT *, list_filter({pool}, lambda p: rtrim(left(p, most)) <> vals[changed + 1]) AS others FROM w),
+y AS (SELECT *, rtrim(left(others[{h('other', 'greatest(1, len(others))')} + 1], most)) AS other, unnest([0, 1]) AS member, CASE WHEN {h('sure', 4)} = 0 THEN 20 ELSE 80 END AS confidence, {h('retold', 3)} = 0 AS retold, {h('form', 2)} AS form FROM x),
+z AS (SELECT *, list_transform(vals, lambda v, i: CASE WHEN i - 1 = unknown THEN 'someone' WHEN member = 1 AND i - 1 = changed THEN other ELSE v END) AS told FROM y),
+s AS (SELECT *, {fill('source', 'told')} AS account, {fill('CASE form WHEN 0 THEN o0 ELSE o1 END', 'told')} AS said FROM z)
+SELECT k AS pair, member, rule, CASE WHEN k % 3 <> 0 THEN '- ' || earlier || chr(10) ELSE '' END || '- ' || CASE WHEN confidence < 40 THEN '? ' ELSE '' END || CASE WHEN retold THEN '~ ' ELSE '' END || account || chr(10) AS prefix,
+  rtrim(upper(left(said, 1)) || substr(said, 2), '.') || CASE WHEN confidence < 40 THEN ', or so I heard.' WHEN retold THEN ', they say.' ELSE '.' END AS output,
+  changed, unknown, confidence, retold, k % 3 <> 0 AS distracted FROM s"""
+
+
+@register("g17_rule_pairs", _pairs_sql())
+def g17(spark, sf):
+    """Counterfactual pairs over rules, with unknown actors and earlier accounts beside them."""
+    return G17.rule_pairs(table(spark, sf, "customer"), "c_custkey", _RULES, _POOLS)
+
+
 @register("w28_marker_records", """
 WITH c AS (SELECT doc_id, string_split(text, '') AS s FROM documents WHERE length(text) > 0),
 r AS (SELECT doc_id, unnest(list_filter(range(1, len(s) + 1), lambda i: s[i] = '.')) AS i FROM c)

@@ -871,3 +871,65 @@ def test_memory_restarts_from_its_checkpoint(spark, tmp_path):
             spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).repartition(1).write.mode("append").parquet(f"{parts}-{name}")
             got = run_once(f(spark.readStream.schema(schema).parquet(f"{parts}-{name}")), name, f"{tmp_path}/{name}-2", checkpoint=f"{tmp_path}/{name}-cp").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) in (120, 60)
+
+
+def test_rule_pairs_differ_in_one_field(spark):
+    from corpusloom.operators.pairs import Rule, rule_pairs
+    from corpusloom.plans.record_queries import _POOLS, _RULES
+
+    d = spark.createDataFrame([(i,) for i in range(2000)] + [(7,), (None,)], "k long")
+    got = {}
+    for r in rule_pairs(d, "k", _RULES, _POOLS).collect():
+        got.setdefault(r.pair, {})[r.member] = r
+    assert sorted(got) == list(range(2000))
+    unknown = changed = 0
+    for k, m in got.items():
+        a, b, rule = m[0], m[1], _RULES[k % len(_RULES)]
+        assert a.rule == b.rule == rule.name and a.distracted == (k % 3 != 0) and a.prefix.count("\n") == 1 + a.distracted
+        same = [c for c in a.__fields__ if c not in ("member", "prefix", "output")]
+        assert all(a[c] == b[c] for c in same)
+        if a.changed is None:
+            assert not rule.named() and a.prefix == b.prefix and a.output == b.output
+        else:
+            changed += 1
+            assert a.changed in rule.named() and a.changed != a.unknown and a.prefix != b.prefix
+            assert a.prefix.split("\n")[:-2] == b.prefix.split("\n")[:-2]  # the earlier account is the same
+        assert len(a.prefix.split("\n")[-2].encode()) <= 143 + 6
+        if a.unknown is not None:
+            unknown += 1
+            assert rule.partial and "someone" in a.prefix and "someone" in (a.output + b.output).lower()
+        if rule.less_than:
+            n = [int(x) for x in a.prefix.split("\n")[-2].replace(".", " ").split() if x.isdigit()]
+            assert n[-2] < n[-1]
+    assert changed > 1400 and 80 < unknown < 220
+    with pytest.raises(Exception, match="too little space"):
+        rule_pairs(d, "k", [Rule("long", ("actor",), "x" * 140 + "{0}", ("{0}", "{0}"))], _POOLS).collect()
+
+
+def test_a_changed_file_on_one_executor_is_named(spark, tmp_path):
+    import shutil
+
+    from corpusloom.operators import identity
+
+    here = identity.package_root("corpusloom")
+    lock = identity.code_digests(here)
+    assert identity.attest(spark, "corpusloom", lock).collect() == []
+    other = tmp_path / "copy"
+    shutil.copytree(here, other, ignore=shutil.ignore_patterns("__pycache__"))
+    (other / "session.py").write_text("# not the same\n")
+    (other / "registry2.py").write_text("")
+    (other / "operators" / "votes.py").unlink()
+    moved = str(other)
+    got = identity.attest(spark, "corpusloom", lock, 3, lambda i: moved if i == 1 else here).collect()
+    assert {(r.task, r.path, r.fault) for r in got} == {(1, "session.py", "changed"), (1, "registry2.py", "extra"), (1, "operators/votes.py", "missing")}
+    assert all(r.host for r in got)
+
+
+def test_verified_load(spark):
+    from corpusloom.operators import identity
+
+    schema = "g string, t string"
+    d = spark.createDataFrame([("a", "x"), ("a", None), ("a", "x"), ("b", "y"), (None, "z"), ("new", "n")], schema)
+    lock = identity.group_digests(spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "Y"), (None, "z"), ("gone", "q")], schema), "g", F.col("t"))
+    got = {r.g: (r.rows, r.verified) for r in identity.verified_load(d, "g", lock, F.col("t")).collect()}
+    assert got == {"a": (3, True), "b": (1, False), None: (1, True), "new": (1, False), "gone": (None, False)}
