@@ -230,13 +230,39 @@ def a22(spark, sf):
 SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'depth' END AS dimension,
  coalesce(lang, source, CAST(n_chars // 1000 AS VARCHAR)) AS value, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (n_chars // 1000))""")
 def a23(spark, sf):
-    """Counts by several dimensions in one pass."""
+    """Counts by several dimensions in one pass."""
     d = table(spark, sf, "documents").withColumn("depth", F.floor(F.col("n_chars") / 1000).cast("long"))
     g = d.groupingSets([["lang"], ["source"], ["depth"]], "lang", "source", "depth").agg(F.count("*").alias("n"), F.grouping("lang").alias("gl"), F.grouping("source").alias("gs"))
     dim = F.when(F.col("gl") == 0, "lang").when(F.col("gs") == 0, "source").otherwise("depth")
     return g.select(dim.alias("dimension"), F.coalesce("lang", "source", F.col("depth").cast("string")).alias("value"), "n")
 
 
+_POOL = "CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'validation' ELSE 'test' END"
+
+
+@register("x23_split_assembly", f"""
+WITH u AS (SELECT c_custkey AS i, c_mktsegment AS kind, CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT) % 10 AS b, false AS mind FROM customer
+  UNION ALL SELECT s_suppkey, CAST(s_nationkey AS VARCHAR), CAST('0x' || substr(sha256(s_name), 1, 8) AS BIGINT) % 10, true FROM supplier),
+s AS (SELECT *, {_POOL} AS split FROM u),
+r AS (SELECT i, kind, mind, split, unnest(range(0, CASE split WHEN 'train' THEN 3 ELSE 1 END)) AS r FROM s UNION ALL SELECT i, kind, mind, 'wording', 0 FROM s WHERE split = 'test')
+SELECT split, CASE WHEN mind THEN 9 + (i // 2 + r * 4) % 4 ELSE (i // 2 + r * 4) % 9 END AS act, count(*) AS rows, count(*) FILTER (WHERE mind) AS with_mind, count(DISTINCT kind) AS kinds,
+  sum(CAST('0x' || substr(md5(i || ':' || kind || ':' || r), 1, 8) AS BIGINT))::BIGINT AS digest FROM r GROUP BY ALL""")
+def x23(spark, sf):
+    """Splits put together from accounts (nine acts) and minds (four more): training rows three times
+    over, each time under another act, the test rows once more as the wording split; reported by
+    split and act, with a digest of the rows (X23)."""
+    from ..operators.splits import name_split
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("kind"), name_split(F.col("c_name")).alias("split"), F.lit(False).alias("mind"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("string").alias("kind"), name_split(F.col("s_name")).alias("split"), F.lit(True).alias("mind"))
+    u = c.unionByName(s)
+    times = F.when(F.col("split") == "train", 3).otherwise(1)
+    rows = u.withColumn("r", F.explode(F.sequence(F.lit(0), times - 1))).unionByName(u.filter("split = 'test'").withColumn("split", F.lit("wording")).withColumn("r", F.lit(0)))
+    act = F.when(F.col("mind"), G.cyclic(F.col("i"), F.col("r"), 4, 4) + 9).otherwise(G.cyclic(F.col("i"), F.col("r"), 4, 9))
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", "i", "kind", "r")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("split", act.alias("act")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("mind").alias("with_mind"), F.countDistinct("kind").alias("kinds"), F.sum(part).alias("digest"))
+
+
 @register("a24_failure_breakdown", """
 WITH k AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_partkey % 3 = 0)
 SELECT p_brand, count(*) FILTER (WHERE own) AS own_cell, count(*) FILTER (WHERE NOT own AND other) AS another, count(*) FILTER (WHERE NOT own AND NOT other) AS unknown FROM

@@ -125,7 +125,7 @@ def sc14(spark, sf):
 
     d = generate_proofs(table(spark, sf, "documents").select("doc_id"), "doc_id")
     block = F.concat_ws("\n", F.lit("@logic hf1"), F.concat(F.lit("@task "), "task"), F.concat(F.lit("@theorem "), "theorem"), F.concat(F.lit("@proof "), "proof"), F.concat(F.lit("@result "), "result"), F.lit("@end"))
-    files = d.select((F.col("doc_id") % 50).alias("file"), block.alias("b")).groupBy("file").agg(F.array_join(F.collect_list("b"), "\n").alias("text"))
+    files = d.select(F.floor(F.col("doc_id") / 64).alias("file"), block.alias("b")).groupBy("file").agg(F.array_join(F.collect_list("b"), "\n").alias("text"))
     return S.logic_records(files, "file", "text").groupBy("file").agg(F.count("*").alias("records"), F.count("fault").alias("faults"))
 
 

@@ -267,7 +267,7 @@ t AS (SELECT *, accepted[1 + {_DRAW.format(what='target')} % len(accepted)] AS t
 SELECT p_partkey, move, accepted, target, CASE WHEN claim THEN (instr(target, own) - 1)::INT END AS "offset",
  CASE lead WHEN 'heard' THEN ['other: ' || heard] WHEN 'ask' THEN ['other: ' || ask] WHEN 'own' THEN ['self: ' || own, 'other: ' || ask] ELSE []::VARCHAR[] END AS history FROM t""")
 def g19(spark, sf):
-    """Twelve moves of every row, with all accepted wordings."""
+    """Twelve moves of every row, with all accepted wordings."""
     p = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" is gone.")).alias("own"), F.col("p_type").alias("heard"), F.when(F.col("p_size") > 25, "high").otherwise("low").alias("level"))
     frames = spark.createDataFrame(_FRAMES, "move string, level string, lead string, asks array<string>, opens array<string>, closes array<string>, claim boolean")
     d = RC.move_rows(p, frames, "p_partkey", "level", "own", "heard")

@@ -70,7 +70,7 @@ def p37(spark, sf):
 SELECT doc_id, list_sort(flatten(list_transform(CASE WHEN lang = 'en' AND n_chars > 2000 THEN ['I am hungry. ', 'Food first. '] WHEN lang = 'fr' AND n_chars <= 2000 THEN ['We have a roof. '] ELSE [''] END,
  lambda a: list_transform(CASE source WHEN 'src0' THEN ['Yes.', 'Quite so.'] WHEN 'src1' THEN ['Who says?'] ELSE ['Farewell.'] END, lambda b: a || b)))) AS accepted FROM documents""")
 def g20(spark, sf):
-    """Openings of a predicament before every wording of a cell."""
+    """Openings of a predicament before every wording of a cell."""
     from ..operators.generate import products
 
     d = table(spark, sf, "documents")
