@@ -32,8 +32,8 @@ MOST_BYTES = 1 << 30
 LARGE_PAGE = 1 << 20
 #: Repeated payloads up to this many (some 40 MB) are broadcast to the pages; more are joined by shuffle.
 REPEATED = 400_000
-#: Keys that the revisits of one page are spread over.
-SALTS = 8
+#: Revisits of one page beyond which they take a second key, and so on up to MOST_SALTS.
+HOT, MOST_SALTS = 50_000, 999
 
 
 def plan(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> tuple[DataFrame, int, int]:
@@ -172,24 +172,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = cands.join(reachable(nodes), ["file", "offset"], "left_semi")
     revisits = rows.filter("type = 'revisit'").drop("payload_bytes", "digest")
     held = materialize(_referred(rows, revisits), "referred")
-    # every revisit of one page has the same key: it is spread over SALTS keys where the pages meet by a shuffle
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
-    held = small(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), held.count() * SALTS, REPEATED)
-    met = F.col("refers_to").eqNullSafe(F.col("of")) & F.col("said").eqNullSafe(F.col("stated")) & (salt == F.col("salt"))
-    again = revisits.join(held, met, "left").select("page_id", "url", "type", "refers_to", F.col("b").alias("payload_bytes"), F.col("d").alias("digest"))
+    met = F.col("refers_to").eqNullSafe(F.col("of")) & F.col("said").eqNullSafe(F.col("stated"))
+    count, n_hot = held.agg(F.count(F.lit(1)), F.count_if(F.col("revisits") >= HOT)).first()
+    if count > REPEATED and n_hot:  # they meet by shuffle: the many revisits of one page are spread over keys, by their places in the archives
+        last = F.least(F.lit(MOST_SALTS), F.floor(F.col("revisits") / HOT)).cast("long")
+        hot = held.filter(F.col("revisits") >= HOT).select(F.col("of").alias("hot"), F.col("stated").alias("hot_stated"), (last + 1).alias("salts"))
+        known = F.col("refers_to").eqNullSafe(F.col("hot")) & F.col("said").eqNullSafe(F.col("hot_stated"))
+        revisits = revisits.join(small(hot, n_hot, REPEATED), known, "left")  # one for each HOT revisits at most
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        met = met & (F.pmod(F.xxhash64("file", "offset"), F.coalesce("salts", F.lit(1))) == F.col("salt"))
+    again = revisits.join(small(held, count, REPEATED), met, "left").select("page_id", "url", "type", "refers_to", F.col("b").alias("payload_bytes"), F.col("d").alias("digest"))
     plain = rows.filter("type <> 'revisit' or type is null").select("page_id", "url", "type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "digest")
     both = plain.union(again)
     return both.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url")
 
 
 def _referred(rows: DataFrame, revisits: DataFrame) -> DataFrame:
-    """(of, stated, b, d): bytes and digest of the payload that revisits of page ``of`` with the
-    header digest ``stated`` stand for. A page stored more than once with unlike payloads is
+    """(of, stated, revisits, b, d): bytes and digest of the payload that so many revisits of page
+    ``of`` with the header digest ``stated`` stand for. A page stored more than once with unlike payloads is
     told apart by the digest; where a revisit states none, the page's smallest digest counts."""
-    asked = revisits.select(F.col("refers_to").alias("of"), F.col("said").alias("stated")).distinct()
+    asked = revisits.select(F.col("refers_to").alias("of"), F.col("said").alias("stated"))
+    asked = asked.groupBy("of", "stated").agg(F.count(F.lit(1)).alias("revisits"))
     responses = rows.filter("type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_bytes").alias("b"), F.col("digest").alias("d")).distinct()
     found = asked.join(responses, "of").filter("stated is null or stated = d")
-    return found.groupBy("of", "stated").agg(F.min(F.struct("d", "b")).alias("x")).select("of", "stated", "x.b", "x.d")
+    found = found.groupBy("of", "stated").agg(F.first("revisits").alias("revisits"), F.min(F.struct("d", "b")).alias("x"))
+    return found.select("of", "stated", "revisits", "x.b", "x.d")
 
 
 def round_trip(pages: DataFrame, *, path: str | None = None, **names) -> DataFrame:

@@ -907,3 +907,13 @@ def test_no_good_tables_mean_a_search_of_all_rows(spark, monkeypatch):
     for q in range(0, 400, 20):
         best = sorted((-float(x[q] @ x[i]), i) for i in range(400) if i != q)[:5]
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in best]
+
+
+def test_hot_pages_are_spread_over_keys(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", "x" * 150 if i % 2 else f"{i % 7} " * 80) for i in range(400)] + [(1000, "u", "small"), (1001, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda x: sorted(map(tuple, x.collect()), key=str)
+    plain = key(warc.round_trip(d))
+    monkeypatch.setattr(warc, "REPEATED", 2)
+    monkeypatch.setattr(warc, "HOT", 20)
+    assert key(warc.round_trip(d)) == plain and sum(r[3] == "revisit" for r in plain) == 400 - 8
