@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Rows of a block and anchors of a group, at most.
-ROW_BLOCK, ANCHOR_BLOCK = 131_072, 32_768
+#: Rows of a block and anchors of a group, at most, and components of either.
+ROW_BLOCK, ANCHOR_BLOCK, COMPONENTS = 131_072, 32_768, 1 << 23
 
 
 def sliced(q: np.ndarray, bits: int) -> np.ndarray:
@@ -108,10 +108,11 @@ def clean(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", label="
     return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x)).alias("q"))
 
 
-def _grid(rows: DataFrame, anchors: DataFrame, n: int, m: int, run, schema: T.StructType) -> DataFrame:
+def _grid(rows: DataFrame, anchors: DataFrame, n: int, m: int, d: int, run, schema: T.StructType) -> DataFrame:
     """``run(rows, anchors)`` on every cell of blocks of rows by groups of anchors."""
-    blocks = max(1, -(-n // ROW_BLOCK), min(-(-n // 512), 2 * rows.sparkSession.sparkContext.defaultParallelism))
-    groups = max(1, -(-m // ANCHOR_BLOCK))
+    most = lambda k: max(1, min(k, COMPONENTS // d))
+    blocks = max(1, -(-n // most(ROW_BLOCK)), min(-(-n // 512), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    groups = max(1, -(-m // most(ANCHOR_BLOCK)))
     spread = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = rows.withColumn("b", spread("row", blocks)).withColumn("g", each(groups)).groupBy("b", "g")
@@ -176,7 +177,7 @@ def hard_negatives(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding"
 
     near = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "positive_id", "positive_row", "positive_score")])
     first = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id", "positive_row")
-    held = _grid(rows, anchors, n, m, same, near).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= positives)
+    held = _grid(rows, anchors, n, m, d, same, near).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= positives)
     held = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "positive_id", "positive_score"))).alias("held"))
     asked = materialize(anchors.join(held, "row"), "mine-anchors")  # with their few positives
 
@@ -200,7 +201,7 @@ def hard_negatives(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding"
 
     far = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "nth", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_row", "negative_score")])
     last = Window.partitionBy("row", "nth").orderBy(F.desc("negative_score"), "negative_id", "negative_row")
-    mined = _grid(rows, asked, n, m, other, far).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= negatives)
+    mined = _grid(rows, asked, n, m, d, other, far).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= negatives)
     return mined.select(*(c.split()[0] for c in out.split(", ")))
 
 
