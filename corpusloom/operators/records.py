@@ -184,3 +184,15 @@ def approved_by_group(rows: DataFrame, approved: DataFrame, group: str, text: st
 def faults(rules: dict[str, Column]) -> Column:
     """Names of the broken rules; a rule that is null is broken."""
     return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
+
+
+def question_probes(exchanges: DataFrame, key: str, question: str, answer: str, other: Column, name: str = "[A-Z][a-z]{2,}") -> DataFrame:
+    """Each exchange under the question of the one with the key ``other``: key, expected (the names
+    of the answer that stand in its own question, in order), copied (those that stand in the other)
+    and whether they are the same. Exchanges without a partner are left out."""
+    swapped = exchanges.select(F.col(key).alias("__other"), F.col(question).alias("__question"))
+    d = exchanges.withColumn("__of", other).join(swapped, F.col("__of") == F.col("__other"))
+    names = F.regexp_extract_all(answer, F.lit(name), F.lit(0))
+    stand = lambda text: F.filter(names, lambda x: F.contains(F.col(text), x))
+    d = d.select(key, stand(question).alias("expected"), stand("__question").alias("copied"))
+    return d.withColumn("same", F.col("expected") == F.col("copied"))

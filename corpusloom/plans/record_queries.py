@@ -128,11 +128,24 @@ s AS (SELECT p_partkey, w, unnest(range(0, len(w))) AS slot FROM p), n AS (SELEC
 SELECT p_partkey, slot::INT AS slot, name, array_to_string(list_transform(w, lambda x, i: CASE WHEN i - 1 = slot THEN name ELSE x END), ' ') AS text FROM n
 UNION ALL SELECT p_partkey, NULL, NULL, array_to_string(w, ' ') FROM p""")
 def x18(spark, sf):
-    """Every field replaced by every name, beside the row itself."""
+    """Every field replaced by every name, beside the row itself."""
     d = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
     return RC.field_substitutions(d, "w", NAMES).select("p_partkey", "slot", "name", "text")
 
 
+@register("x17_question_probes", r"""
+WITH e AS (SELECT conv_id, arg_min(text, turn) AS question, arg_max(text, turn) AS answer FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(*) > 1),
+p AS (SELECT a.conv_id, a.question, b.question AS other, a.answer FROM e a JOIN e b ON b.conv_id = xor(a.conv_id, 1)),
+n AS (SELECT conv_id, question, other, regexp_extract_all(answer, '[A-Z][a-z]{2,}') AS names FROM p),
+c AS (SELECT conv_id, list_filter(names, lambda x: contains(question, x)) AS expected, list_filter(names, lambda x: contains(other, x)) AS copied FROM n)
+SELECT conv_id, expected, copied, expected = copied AS same FROM c""")
+def x17(spark, sf):
+    """An exchange under another's question: the names that its answer copies from its own question,
+    and those that it could copy from the other (X17)."""
+    c = table(spark, sf, "conversations").filter("text is not null").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.max_by("text", "turn").alias("answer"), F.count("*").alias("n")).filter("n > 1")
+    return RC.question_probes(c, "conv_id", "question", "answer", F.col("conv_id").bitwiseXOR(F.lit(1)))
+
+
 @register("x22_same_targets", r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(list_transform(range(0, 4), lambda i: i * (len(w) - 64) // 3)) AS start FROM w WHERE len(w) >= 96),
