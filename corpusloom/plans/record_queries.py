@@ -339,6 +339,79 @@ def g17(spark, sf):
     return G17.rule_pairs(table(spark, sf, "customer"), "c_custkey", _RULES, _POOLS)
 
 
+_PHRASES = {
+    "questions": ["What is new?", "Any word from town?", "What have you heard?"],
+    "certainty": ["Are you certain?", "How do you know?"],
+    "connectors": [" It calls to mind ", " Much like "],
+    "shaken": ["My voice fails me. ", "I cannot keep still. "],
+    "thoughts": ["Best to wait.", "Someone ought to be told.", "I will look tomorrow."],
+    "agree": "So I was told as well. Are you certain?", "differ": "It was told otherwise to me. ", "sure": " Are you certain?",
+    "unsure": "I could not say. ", "passed": "It came to me through others. ", "held": "That is how I know it. ", "check": "Let us look for ourselves.",
+    "ask": "Who might know?", "close": "Nobody here, I fear.", "who": "Who says so?", "end": "As you wish.",
+    "say": {"resident": {"neutral": ["Well, well.", "So it goes."], "loss": ["A pity."]}, "guard": {"neutral": ["Noted.", "I shall report it."], "loss": ["Who took it?", "Search the gate."]}},
+    "memory": {"neutral": ["I have seen the like."], "loss": ["I lost one, too.", "Things go missing."]},
+}
+
+
+def _acts_sql() -> str:
+    from ..operators.acts import ACTS, DEPTHS
+
+    p = _PHRASES
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    h = lambda what, n: f"(CAST('0x' || substr(md5('{what}:' || key), 1, 8) AS BIGINT) % {n})"
+    pick = lambda xs, what: "([" + ", ".join(map(text, xs)) + f"])[{h(what, len(xs))} + 1]"
+    turn = lambda who, t: f"{{'speaker': {who}, 'text': {t}}}"
+    family = lambda lines, what: f"CASE family WHEN 'loss' THEN {pick(lines['loss'], what)} ELSE {pick(lines['neutral'], what)} END"
+    own, other = "'self'", "'other'"
+    first = "talk[1].speaker"
+    told = turn(f"CASE {first} WHEN 'other' THEN 'self' ELSE 'other' END", f"CASE {first} WHEN 'other' THEN own ELSE heard END")
+    asked = lambda i: turn(first, pick(p["questions"], f"before{i}"))
+    return f"""
+WITH r AS (SELECT p_partkey AS key, [{', '.join(map(text, ACTS))}][p_partkey % 13 + 1] AS act, p_name || ' is gone.' AS own, 'They say that ' || CASE WHEN p_size % 5 = 0 THEN 'it' ELSE p_name END || ' went missing.' AS heard,
+  split_part(p_name, ' ', 1) AS name, list_transform(['amber', 'ivory', 'plum'], lambda x: x) AS others, p_size * 2 AS confidence, p_size % 3 = 0 AS retold, CASE WHEN p_size % 2 = 0 THEN 'guard' ELSE 'resident' END AS voice,
+  CASE WHEN p_size > 25 THEN 'loss' ELSE 'other' END AS family, CASE WHEN p_size % 4 <> 0 THEN repeat(p_type || ' of ' || p_brand || ' ', 3) || 'once' END AS memory, CASE WHEN p_size % 7 < 3 THEN 'high' ELSE 'low' END AS stress FROM part),
+a AS (SELECT *, list_filter(others, lambda x: x <> name) AS o FROM r),
+b AS (SELECT * REPLACE (CASE act WHEN 'react' THEN 'high' ELSE stress END AS stress), CASE WHEN act = 'disagree' AND contains(heard, name) THEN o[{h('other', 'greatest(1, len(o))')} + 1] END AS changed FROM a),
+c AS (SELECT * REPLACE (CASE WHEN act = 'disagree' AND changed IS NULL THEN 'agree' ELSE act END AS act, CASE WHEN changed IS NOT NULL THEN replace(heard, name, changed) ELSE heard END AS heard) FROM b),
+t AS (SELECT *, CASE WHEN act IN ('start', 'question') THEN own WHEN act = 'agree' THEN {text(p['agree'])} WHEN act = 'disagree' THEN {text(p['differ'])} || own || {text(p['sure'])}
+   WHEN act = 'certainty' THEN CASE WHEN confidence < 40 THEN {text(p['unsure'])} WHEN retold THEN {text(p['passed'])} ELSE {text(p['held'])} END || {text(p['check'])} WHEN act = 'source' THEN {text(p['held'] + p['check'])}
+   WHEN act = 'check' THEN {text(p['ask'])} WHEN act = 'close' THEN {text(p['close'])} WHEN act = 'end' THEN {text(p['end'])}
+   WHEN act IN ('say', 'react') THEN CASE voice WHEN 'guard' THEN {family(p['say']['guard'], 'line')} ELSE {family(p['say']['resident'], 'line')} END
+   WHEN act = 'memory' THEN {family(p['memory'], 'recall')} || coalesce({pick(p['connectors'], 'connector')} || CASE WHEN length(memory) > 80 THEN regexp_replace(left(memory, 80), ' [^ ]*$', '') || '...' ELSE memory END, '')
+   ELSE CASE WHEN stress = 'high' AND {h('shaken', 2)} = 1 THEN {pick(p['shaken'], 'shake')} ELSE '' END || {pick(p['thoughts'], 'thought')} END AS target,
+  CASE WHEN act IN ('start', 'thought') THEN [] WHEN act = 'question' THEN [{turn(other, pick(p['questions'], 'question'))}] WHEN act IN ('agree', 'disagree', 'say', 'memory', 'react') THEN [{turn(other, 'heard')}]
+   WHEN act = 'certainty' THEN [{turn(own, 'own')}, {turn(other, f"CASE WHEN {h('doubt', 2)} = 1 THEN {text(p['differ'])} || heard || ' ' ELSE '' END || " + pick(p['certainty'], 'certainty'))}] WHEN act = 'source' THEN [{turn(own, 'own')}, {turn(other, text(p['who']))}]
+   WHEN act = 'check' THEN [{turn(own, pick(p['certainty'], 'certainty'))}, {turn(other, pick([p['unsure'], p['held'], p['passed']], 'answer') + ' || ' + text(p['check']))}]
+   WHEN act = 'close' THEN [{turn(own, text(p['check']))}, {turn(other, text(p['ask']))}] ELSE [{turn(own, text(p['ask']))}, {turn(other, text(p['close']))}] END AS talk FROM c),
+z AS (SELECT *, {list(DEPTHS)}[{h('depth', len(DEPTHS))} + 1] AS depth FROM t)
+SELECT key, act, list_transform(CASE WHEN len(talk) = 0 OR depth = 0 THEN talk WHEN depth = 1 THEN list_concat([{asked(0)}, {told}], talk) ELSE list_concat([{asked(1)}, {told}, {asked(0)}, {told}], talk) END, lambda x: x.speaker || ': ' || x.text) AS history,
+  target, CASE WHEN act IN ('start', 'question') THEN 0 WHEN act = 'disagree' THEN {len(p['differ'].encode())} END AS "offset", changed, stress, CASE act WHEN 'thought' THEN 'think' WHEN 'memory' THEN 'remember' ELSE 'say' END AS control FROM z"""
+
+
+@register("g18_act_rows", _acts_sql())
+def g18(spark, sf):
+    """Answers by act, thirteen acts, with the talk before them."""
+    from ..operators.acts import ACTS, act_rows
+
+    size = F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"),
+        F.get(F.array(*map(F.lit, ACTS)), (F.col("p_partkey") % 13).cast("int")).alias("act"),
+        F.concat("p_name", F.lit(" is gone.")).alias("own"),
+        F.concat(F.lit("They say that "), F.when(size % 5 == 0, "it").otherwise(F.col("p_name")), F.lit(" went missing.")).alias("heard"),
+        F.get(F.split("p_name", " "), F.lit(0)).alias("name"),
+        F.array(*map(F.lit, ("amber", "ivory", "plum"))).alias("others"),
+        (size * 2).alias("confidence"),
+        (size % 3 == 0).alias("retold"),
+        F.when(size % 2 == 0, "guard").otherwise("resident").alias("voice"),
+        F.when(size > 25, "loss").otherwise("other").alias("family"),
+        F.when(size % 4 != 0, F.concat(F.repeat(F.concat("p_type", F.lit(" of "), "p_brand", F.lit(" ")), 3), F.lit("once"))).alias("memory"),
+        F.when(size % 7 < 3, "high").otherwise("low").alias("stress"),
+    )
+    d = act_rows(rows, _PHRASES)
+    return d.withColumn("history", F.transform("history", lambda x: F.concat(x["speaker"], F.lit(": "), x["text"])))
+
+
 @register("w28_marker_records", """
 WITH c AS (SELECT doc_id, string_split(text, '') AS s FROM documents WHERE length(text) > 0),
 r AS (SELECT doc_id, unnest(list_filter(range(1, len(s) + 1), lambda i: s[i] = '.')) AS i FROM c)
