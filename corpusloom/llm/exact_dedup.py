@@ -7,7 +7,8 @@ use; the rest (the remainder) is stored in as many bits as it has, sorted within
 run, with a bit that ends the run; a counter is stored only where a fingerprint occurs more
 than once. Filters of all partitions merge block by block: sorted remainders meet and
 counters add up, so no count is lost. Fingerprints with a count above one route their texts
-to byte verification; all other texts never leave their task.
+to byte verification; all other texts stay in their task while those fingerprints are few enough to
+be broadcast, and meet them by shuffle beyond.
 """
 
 from __future__ import annotations

@@ -84,9 +84,9 @@ def links(fps: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame
     """(a, b) links that connect all distinct ``fp`` within ``radius`` bits; an odd radius has no
     half for all that share a variant to lie within it, so it raises.
 
-    ``rows`` (counted if None) sets how many tasks emit variants. A variant's group holds at most as many fingerprints as a ball of half the radius (65 at
-    radius 2), whatever the data. The smallest of a group comes from an aggregation with a
-    small state, and only groups with two members or more meet their members again.
+    ``rows`` (counted if None) sets how many tasks emit variants. A variant's group is collected: it
+    holds at most as many fingerprints as a ball of half the radius (65 at radius 2), whatever the
+    data. Its members are linked to the smallest of them.
     """
     if radius < 0 or radius % 2:
         raise ValueError(f"radius must be even, not {radius}")

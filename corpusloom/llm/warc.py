@@ -73,8 +73,8 @@ def record(rows: DataFrame) -> Column:
 
 
 def write(pages: DataFrame, path: str, **names) -> None:
-    """Write archives below ``path``, one record per row, where the rows are read: no page is
-    shuffled. Spark's own writer commits them, so any store will do and a lost task leaves
+    """Write archives below ``path``, one record per row, where the rows are read: pages are only
+    shuffled where repeated payloads are too many to be broadcast. Spark's own writer commits them, so any store will do and a lost task leaves
     nothing behind."""
     rows, mean, most = plan(pages, **names)
     head = 2048  # headers of a record, generously; a longer url only shortens the archive's slack
