@@ -69,12 +69,12 @@ def simhash64(x: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def block_masks(distance: int) -> list[int]:
-    """Masks (signed) of each half of twice as many blocks as may differ in bits: two fingerprints
-    within the distance agree under one of them at least."""
-    n = 2 * distance
+def block_masks(distance: int, blocks: int | None = None) -> list[int]:
+    """Masks (signed) of each choice of all but ``distance`` of some blocks (twice as many as may
+    differ in bits, if not said): two fingerprints within the distance agree under one at least."""
+    n = blocks or 2 * distance
     cuts = [64 * i // n for i in range(n + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice) for choice in combinations(range(n), distance)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in choice) for choice in combinations(range(n), n - distance)]
     return [m - 2**64 if m >> 63 else m for m in masks]
 
 
@@ -96,8 +96,8 @@ def near_chunks(docs: DataFrame, key: str, text: str, distance: int = 3) -> Data
     return j.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.min(bits).alias("bits"))
 
 
-#: Undecided fingerprints up to this many (some 50 MB) are decided by one task.
-LAST_ROWS = 200_000
+#: Undecided fingerprints up to this many (some 5 MB) are decided by one task.
+LAST_ROWS = 20_000
 
 
 def _keys(fp: int, masks: list[int]) -> list[tuple[int, int]]:
@@ -127,14 +127,14 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
     before it in the order of ``key`` (an integer); ``first`` is the first row of its fingerprint.
 
     Of rows with one fingerprint only the first can stay, so copies count once. Fingerprints that
-    could be near share a key (see :func:`near_chunks`). In a round, one that is the first undecided
+    could be near agree in two of ``distance + 2`` blocks, and each choice of two is a key. In a round, one that is the first undecided
     of all its keys has nothing before it that could strike it: it stays, and strikes those near it
     with which it shares a key. A key has at most one that stays in a round, so a round's work is in
     proportion to the undecided, however alike they are; no pairs are listed. When ``last`` or fewer
     are undecided, one task decides them in order, so long chains need no long row of rounds. Null
     keys come before all others, as one row; rows of one key are one, too; no rows give no rows.
     """
-    from ..session import scratch_path
+    from ..session import remove_path, scratch_path
 
     spark = docs.sparkSession
 
@@ -146,18 +146,20 @@ def kept_chunks(docs: DataFrame, key: str, text: str, distance: int = 3, last: i
     least = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     rows = written(docs.select(F.col(key).alias("key"), least.alias("k"), simhash64(F.col(text)).alias("fp")), "chunks")
     todo = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "undecided")
-    masks = block_masks(distance)
-    columns = F.array(*(F.lit(m).cast("long") for m in masks))
+    masks = block_masks(distance, distance + 2)
+    keys = F.posexplode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v")
     n, decided = todo.count(), []
-    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     while n > last:
-        keyed = todo.select("fp", "k", F.posexplode(F.transform(columns, lambda m: F.col("fp").bitwiseAND(m))).alias("i", "v"))
-        heads = written(keyed.groupBy("i", "v").agg(F.min(F.struct("k", "fp")).alias("head")).select("i", "v", "head.k", "head.fp"), "heads")
-        free = written(heads.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(masks)).select("k", "fp"), "free")
-        first = heads.join(free, ["k", "fp"]).select("i", "v", F.col("fp").alias("by"))
-        struck = keyed.join(first, ["i", "v"]).filter((F.col("fp") != F.col("by")) & (bits("fp", "by") <= distance)).select("fp", "k").distinct()
-        decided.append(written(struck.withColumn("stays", F.lit(False)).unionByName(free.withColumn("stays", F.lit(True))), "decided"))
-        todo = written(todo.join(decided[-1].select("fp"), "fp", "left_anti"), "undecided")
+        heads = todo.select("fp", "k", keys).groupBy("i", "v").agg(F.min(F.struct("k", "fp")).alias("head"))
+        free = heads.groupBy("head.fp", "head.k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(masks))
+        free = written(free.select("fp", "k"), "free")  # first of all its keys: so its keys are those that it is first of
+        rest = todo.join(free.select("fp"), "fp", "left_anti")
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("by"))) <= distance
+        struck = rest.select("fp", "k", keys).join(free.select(F.col("fp").alias("by"), "fp").select("by", keys), ["i", "v"]).filter(near)
+        struck = written(struck.select("fp", "k").distinct(), "struck")
+        decided += [free.withColumn("stays", F.lit(True)), struck.withColumn("stays", F.lit(False))]
+        before, todo = todo, written(rest.join(struck.select("fp"), "fp", "left_anti"), "undecided")
+        remove_path(spark, before.inputFiles()[0].rsplit("/", 1)[0])
         n = todo.count()
     decided.append(todo.repartition(1).sortWithinPartitions("k").mapInArrow(_in_order(masks, distance), "fp long, k long, stays boolean"))
     all_ = decided[0]
