@@ -102,20 +102,11 @@ def sc08(spark, sf):
 def sc11(spark, sf):
     """Packed-token containers of whole texts, one per document, written and read back, with the
     digest of the ids that came back (SC11)."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    def packs(keys, texts):
-        return pa.array([B.pack_bytes(np.frombuffer((t or "").encode(), np.uint8), document=k) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
-
-    def as_bytes(x):
-        return pa.array([v.values.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for v in x], pa.binary())
-
     path, d = scratch_path(spark, "packs"), table(spark, sf, "documents")
-    B.write_packs(d.select(F.arrow_udf(packs, T.BinaryType())(F.col("doc_id").cast("string"), "text").alias("pack")), path)
+    B.write_packs(B.pack_texts(d, "doc_id", "text", width=1), path)
     key = F.get_json_object("metadata", "$.document").cast(d.schema["doc_id"].dataType)
-    return B.read_packs(spark, path).select(key.alias("doc_id"), F.size("tokens").alias("tokens"), F.md5(F.arrow_udf(as_bytes, T.BinaryType())("tokens")).alias("digest"))
+    size = F.floor(F.octet_length("ids") / F.col("width")).cast("int")
+    return B.read_pack_bytes(spark, path).select(key.alias("doc_id"), size.alias("tokens"), F.md5("ids").alias("digest"))
 
 
 @register("sc14_logic_records")
@@ -198,16 +189,9 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '',
 SELECT doc_id, least(length(t), 257) AS tokens, md5(left(t, 257)) AS digest FROM d WHERE t <> ''""")
 def x29(spark, sf):
     """Texts of external packs: empty ones left out, the others cut to a context of 256 and one more."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    def packs(keys, texts):
-        return pa.array([B.pack_bytes(np.frombuffer(t.encode(), np.uint8), document=k) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
-
     path, d = scratch_path(spark, "external"), table(spark, sf, "documents")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "")
-    B.write_packs(d.select(F.arrow_udf(packs, T.BinaryType())(F.col("doc_id").cast("string"), text).alias("pack")), path)
+    B.write_packs(B.pack_texts(d.select("doc_id", text.alias("text")), "doc_id", "text"), path)
     cut = B.read_packs(spark, path).filter(F.size("tokens") > 0).withColumn("tokens", F.slice("tokens", 1, 257))
     text = F.array_join(F.transform("tokens", lambda x: F.char(x)), "")
     key = F.get_json_object("metadata", "$.document").cast(d.schema["doc_id"].dataType)

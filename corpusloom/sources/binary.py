@@ -111,15 +111,22 @@ def pack_bytes(ids, width: int = 2, **metadata) -> bytes:
     return head.ljust(PACK_HEADER, b"\0") + meta + _ids_bytes(ids, width) + bytes(width)
 
 
-def _unpack_at(raw: bytes, at: int) -> tuple[np.ndarray, dict, int]:
-    """Active ids and metadata of the container that starts at ``at``, and where it ends."""
+def _container_at(raw, at: int) -> tuple[int, int, dict, int]:
+    """Where the ids of the container that starts at ``at`` begin, their width, its metadata, and
+    where it ends."""
     if raw[at : at + len(PACK_MAGIC)] != PACK_MAGIC:
         raise ValueError("not a packed-token container")
     size, count, width = struct.unpack_from("<III", raw, at + PACK_FIELDS)
-    meta, start = json.loads(raw[at + PACK_HEADER : at + PACK_HEADER + size]), at + PACK_HEADER + size
+    meta, start = json.loads(bytes(raw[at + PACK_HEADER : at + PACK_HEADER + size])), at + PACK_HEADER + size
     end = start + max(count, meta["activeTokens"]) * width
     if len(raw) < end:
         raise ValueError("a packed-token container ends early")
+    return start, width, meta, end
+
+
+def _unpack_at(raw: bytes, at: int) -> tuple[np.ndarray, dict, int]:
+    """Active ids and metadata of the container that starts at ``at``, and where it ends."""
+    start, width, meta, end = _container_at(raw, at)
     return _ids_array(raw, start, meta["activeTokens"], width), meta, end
 
 
@@ -157,6 +164,41 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "path string, tokens array<int>, metadata string")
 
 
+def read_pack_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ids, width, metadata as JSON) of packed-token containers: the active ids as the bytes
+    that they are stored in. A container at a time, so a task holds a file and little else."""
+    schema = pa.schema([("path", pa.string()), ("ids", pa.binary()), ("width", pa.int32()), ("metadata", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1)):
+                raw, at, rows, held = memoryview(c.as_buffer()), 0, [], 0
+                while at < len(raw) or not len(raw):
+                    start, width, meta, at = _container_at(raw, at)
+                    rows.append((p, bytes(raw[start : start + meta["activeTokens"] * width]), width, json.dumps(meta, sort_keys=True)))
+                    held += len(rows[-1][1])
+                    if held >= READ_IDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return _files(spark, path).mapInArrow(run, "path string, ids binary, width int, metadata string")
+
+
+def pack_texts(df: DataFrame, key: str, text: str, width: int = 2, rows: int = 256) -> DataFrame:
+    """A container (``pack``) for each row: the UTF-8 bytes of a text as ids, and the key as
+    ``document`` in its metadata. Null texts are empty. So many at a time leave a task."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                some = zip(b.column(0).slice(lo, rows).to_pylist(), b.column(1).slice(lo, rows).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([pack_bytes(np.frombuffer((t or "").encode(), np.uint8), width, document=k) for k, t in some], pa.binary())], ["pack"])
+
+    return df.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, "pack binary")
+
+
 def vocabulary_bytes(merges: list[tuple[int, int]]) -> bytes:
     return VOCABULARY_MAGIC + struct.pack("<II", 2, len(merges)) + b"".join(struct.pack("<HH", a, b) for a, b in merges)
 

@@ -46,6 +46,8 @@ def test_packs_on_any_store(spark, store):
     binary.write_packs(spark.createDataFrame(packs, "pack binary").repartition(2), f"{store}/packs", 2)
     got = {json.loads(r.metadata)["document"]: r.tokens for r in binary.read_packs(spark, f"{store}/packs").collect()}
     assert got == {str(n): [*range(n)] for n in (0, 3, 200, 70_000, 5)}
+    raw = {json.loads(r.metadata)["document"]: (r.width, bytes(r.ids)) for r in binary.read_pack_bytes(spark, f"{store}/packs").collect()}
+    assert raw == {str(n): (w, b"".join(i.to_bytes(w, "little") for i in range(n))) for n, w in ((0, 2), (3, 2), (200, 1), (70_000, 4), (5, 3))}
     with pytest.raises(Exception):
         binary.write_packs(spark.createDataFrame([(b"ends in x",)], "pack binary"), f"{store}/wrong")
 
