@@ -933,3 +933,26 @@ def test_verified_load(spark):
     lock = identity.group_digests(spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "Y"), (None, "z"), ("gone", "q")], schema), "g", F.col("t"))
     got = {r.g: (r.rows, r.verified) for r in identity.verified_load(d, "g", lock, F.col("t")).collect()}
     assert got == {"a": (3, True), "b": (1, False), None: (1, True), "new": (1, False), "gone": (None, False)}
+
+
+def test_acts_of_odd_rows(spark):
+    from corpusloom.operators.acts import ACTS, act_rows
+    from corpusloom.plans.record_queries import _PHRASES
+
+    schema = "key long, act string, own string, heard string, name string, others array<string>, confidence int, retold boolean, voice string, family string, memory string, stress string"
+    long = "word " * 40
+    base = lambda k, act, **more: {"key": k, "act": act, "own": "Ann left.", "heard": "I saw Ann leave.", "name": "Ann", "others": ["Ann", "Bo"], "confidence": 30, "retold": True, "voice": "guard", "family": "loss", "memory": long, "stress": "high"} | more
+    rows = [base(i, a) for i, a in enumerate(ACTS)] + [base(50, "disagree", heard="Nobody left."), base(51, "disagree", others=["Ann"]), base(52, "memory", memory=None), base(None, "say", voice="stranger", family=None), base(54, "certainty", confidence=90, retold=False), base(3, "disagree")]
+    d = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    got = {}
+    for r in act_rows(d, _PHRASES).collect():
+        assert got.setdefault(r.key, r) == r  # a repeated row has the same answer
+    assert [got[i].act for i in range(13)] == list(ACTS) and got[50].act == got[51].act == "agree"
+    assert got[0].history == [] and got[0].target == "Ann left." and got[0].offset == 0 and got[11].history == []
+    differ = got[3]
+    assert differ.changed == "Bo" and differ.history[-1].text == "I saw Bo leave." and differ.target.encode()[differ.offset :].startswith(b"Ann left.")
+    assert got[4].target.startswith(_PHRASES["unsure"]) and got[54].target.startswith(_PHRASES["held"])
+    assert got[10].target.endswith("word...") and len(got[10].target) < 140 and got[52].target in _PHRASES["memory"]["loss"]
+    assert got[None].target in _PHRASES["say"]["resident"]["neutral"] and {r.control for r in got.values()} == {"say", "think", "remember"}
+    for r in got.values():
+        assert len(r.history) in (0, 1, 2, 3, 4, 5, 6) and all(a.speaker != b.speaker for a, b in zip(r.history, r.history[1:]))
