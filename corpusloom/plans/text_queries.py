@@ -43,7 +43,7 @@ text_query("p10_split_lines", lambda t: X.split_lines(t), "regexp_extract_all(te
 text_query("p32_trim_continuation", X.trim_continuation, "CASE WHEN regexp_extract(text, '(?s)^(.*[.!?][\"'']?)(\\s.*)?$', 1) = '' THEN text ELSE regexp_extract(text, '(?s)^(.*[.!?][\"'']?)(\\s.*)?$', 1) END")
 text_query("f04_word_count", lambda t: X.word_count(t) >= 100, f"len({WORDS_SQL}) >= 100", "long_enough")
 text_query("f15_is_ascii", X.is_ascii, "regexp_full_match(text, '[\\x00-\\x7F]*')", "ascii")
-text_query("sf12_capitalise", lambda t: X.capitalise(F.lower(t)), "upper(left(lower(text), 1)) || substr(lower(text), 2)")
+text_query("sf12_capitalise", lambda t: X.capitalise(X.simple_lower(t)), "upper(left(lower(text), 1)) || substr(lower(text), 2)")
 text_query("sf34_html_escape", lambda t: X.html_escape(F.concat(F.lit("<a&b>"), t)), "replace(replace(replace('<a&b>' || text, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')")
 text_query("sf01_sha256", lambda t: F.sha2(t, 256), "sha256(text)")
 text_query("sf13_trims", lambda t: F.concat(F.rtrim(t, F.lit(".")), F.lit("|"), F.trim(t, F.lit("T."))), "rtrim(text, '.') || '|' || trim(text, 'T.')")
