@@ -203,7 +203,7 @@ def commit(leaves: DataFrame, group: str, key: str, leaf: str, arity: int = 16)
 def prove(m: Manifest, leaf: str, changed: str, kept: list[str]) -> DataFrame:
     """A row per leaf: the columns ``kept``, leaf, subroot, root, proof_sha256 (the digest of its
     siblings, level by level up to the root, left to right), folded_root (from the digest in the
-    column ``changed``, else the leaf's own, and the siblings) and verified."""
+    column ``changed``, else the leaf's own, and the siblings, for every leaf) and verified."""
     kinds = ", ".join(f"`{c}` {m.leaves.schema[c].dataType.simpleString()}" for c in kept)
     schema = f"{kinds}{', ' * bool(kinds)}leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     if m.root is None:
@@ -254,11 +254,9 @@ def prove(m: Manifest, leaf: str, changed: str, kept: list[str]) -> DataFrame:
             proof = sha256(others(*steps[0]) if steps else b"")
             proof.update(upward(steps))
             own = [k for k, _ in steps if k[0] != TOP]
-            folded = root
-            if other is not None and other != mine:
-                folded = other
-                for k, i in steps:
-                    folded = hashed(run[k][:i] + [folded] + run[k][i + 1 :])
+            folded = mine if other is None else other
+            for k, i in steps:
+                folded = hashed(run[k][:i] + [folded] + run[k][i + 1 :])
             out.append((digest(own[-1]) if own else mine, root, proof.hexdigest(), folded, folded == root))
         made = [pa.array(c) for c in zip(*out)] if out else [pa.array([], pa.string())] * 4 + [pa.array([], pa.bool_())]
         return pa.table([left.column(c) for c in (*kept, "leaf")] + made, names=[*kept, "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
