@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ MIX_A, MIX_B, GOLDEN = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C1
 DIMENSION = 256
 STOP_WORDS = frozenset("and are but for from have not only that the then this was were what when where with you your".split())
 WORD_WIDTH, PREFIX_WIDTH, PAIR_WIDTH = (16, 1.0), (6, 0.45), (8, 0.65)
-LONGEST_WORD = 47
 
 
 def mix(x: int) -> int:
@@ -47,10 +47,7 @@ def feature_places(feature: int, width: int) -> list[tuple[int, bool]]:
 def holo_words(text: bytes) -> list[bytes]:
     """Runs of letters, digits and underscores, lower-cased, in pieces of at most 47 bytes: a
     longer run ends there and the byte that would follow is lost."""
-    out = []
-    for run in re.findall(rb"[A-Za-z0-9_]+", text):
-        out += [run[i : i + LONGEST_WORD].lower() for i in range(0, len(run), LONGEST_WORD + 1)]
-    return out
+    return re.findall(rb"([a-z0-9_]{1,47})[a-z0-9_]?", text.lower())
 
 
 def holo_vector(text: str) -> np.ndarray:
@@ -77,9 +74,110 @@ def holo_vector(text: str) -> np.ndarray:
     return v / length if length > 0 else v
 
 
+def _mixed(v: np.ndarray) -> np.ndarray:
+    """The finaliser of unsigned longs."""
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(MIX_A)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(MIX_B)
+    return v ^ (v >> np.uint64(31))
+
+
+def _signed_places(features: np.ndarray, kind: tuple[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`feature_places` of many features: places and signed weights, a row for each."""
+    state, places, weights = _mixed(features), np.empty((len(features), kind[0]), np.int32), np.empty((len(features), kind[0]), np.float32)
+    for i in range(kind[0]):
+        state = _mixed(state + np.uint64((i + GOLDEN) & MASK))
+        places[:, i] = state & np.uint64(DIMENSION - 1)
+        weights[:, i] = np.where(state & np.uint64(0x100), np.float32(kind[1]), np.float32(-kind[1]))
+    return places, weights
+
+
+#: Columns of a word's features: its own, those of three prefixes, and those with the word before it.
+_OWN, _PREFIXES = WORD_WIDTH[0], 3 * PREFIX_WIDTH[0]
+_ALL = _OWN + _PREFIXES + PAIR_WIDTH[0]
+#: Words whose features a task keeps, about, words that are summed and characters that are read at once.
+KEPT_WORDS, WORDS_AT_ONCE, TEXT_AT_ONCE = 1 << 18, 1 << 12, 1 << 20
+
+
+class HoloEncoder:
+    """:func:`holo_vector` of many texts. The features of a word are made once; those of all words
+    of some texts are added in the order of the texts, so every sum is that of a text by itself."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        """Word 0 stands for words without features."""
+        self.ids: dict[bytes, int] = {w.encode(): 0 for w in STOP_WORDS}
+        self.hashes, self.places, self.weights = np.zeros(1, np.uint64), np.zeros((1, _OWN + _PREFIXES), np.int32), np.zeros((1, _OWN + _PREFIXES), np.float32)
+        self.known = 1
+
+    def learn(self, words: list[bytes]) -> None:
+        """Features of words that are not known yet."""
+        n = self.known + len(words)
+        while len(self.hashes) < n:
+            self.hashes, self.places, self.weights = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.places, self.weights))
+        here = slice(self.known, n)
+        hashes = self.hashes[here] = np.array([fnv(w) for w in words], np.uint64)
+        places, weights = self.places[here], self.weights[here]
+        weights[:] = 0
+        places[:, :_OWN], weights[:, :_OWN] = _signed_places(hashes, WORD_WIDTH)
+        for j, size in enumerate((4, 5, 6)):
+            at = np.array([i for i, w in enumerate(words) if size < len(w)], np.int64)
+            lo = _OWN + j * PREFIX_WIDTH[0]
+            places[at, lo : lo + PREFIX_WIDTH[0]], weights[at, lo : lo + PREFIX_WIDTH[0]] = _signed_places(np.array([fnv(words[i][:size]) for i in at], np.uint64), PREFIX_WIDTH)
+        self.ids.update(zip(words, range(self.known, n)))
+        self.known = n
+
+    def add(self, sums: np.ndarray, row: np.ndarray, ids: np.ndarray, before: np.ndarray) -> None:
+        """Add the features of words to the rows of ``sums``; ``before`` is the word before, or 0."""
+        h = self.hashes[ids]
+        places, weights = np.empty((len(ids), _ALL), np.int32), np.empty((len(ids), _ALL), np.float32)
+        places[:, : -PAIR_WIDTH[0]], weights[:, : -PAIR_WIDTH[0]] = self.places[ids], self.weights[ids]
+        places[:, -PAIR_WIDTH[0] :], weights[:, -PAIR_WIDTH[0] :] = _signed_places(_mixed(self.hashes[before] ^ (h << np.uint64(1))), PAIR_WIDTH)
+        weights[before == 0, -PAIR_WIDTH[0] :] = 0
+        np.add.at(sums.reshape(-1), (row[:, None] * DIMENSION + places).ravel(), weights.ravel())
+
+    def encode(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text."""
+        sums, lo = np.zeros((len(texts), DIMENSION), np.float32), 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and size < TEXT_AT_ONCE:
+                size += len(texts[hi] or "")
+                hi += 1
+            self.encode_some(texts[lo:hi], sums[lo:hi])
+            lo = hi
+        for v in sums:
+            length = np.sqrt(np.dot(v, v), dtype=np.float32)
+            if length > 0:
+                v /= length
+        return sums
+
+    def encode_some(self, texts: list[str | None], sums: np.ndarray) -> None:
+        """Add the features of some texts to their rows."""
+        found = [[w for w in holo_words(t.encode("utf-8", "surrogatepass")) if len(w) > 2] if t else [] for t in texts]
+        words = set().union(*found)
+        if new := words - self.ids.keys():
+            if len(self.ids) + len(new) > KEPT_WORDS:
+                self.forget()
+                new = words - self.ids.keys()
+            self.learn(list(new))
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in found])
+        ids = np.fromiter((self.ids[w] for t in found for w in t), np.int64, len(row))
+        row, ids = row[ids > 0], ids[ids > 0]
+        before = np.where(np.diff(row, prepend=-1) == 0, np.r_[0, ids[:-1]][: len(ids)], 0)
+        for lo in range(0, len(ids), WORDS_AT_ONCE):
+            some = slice(lo, lo + WORDS_AT_ONCE)
+            self.add(sums, row[some], ids[some], before[some])
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
-def holo_encode(x: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else holo_vector(t) for t in x.to_pylist()], pa.list_(pa.float32()))
+def holo_encode(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    encoder = HoloEncoder()
+    for some in x:
+        texts = some.to_pylist()
+        ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * DIMENSION)
+        yield pa.ListArray.from_arrays(ends, pa.array(encoder.encode(texts).ravel()), mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
 @F.arrow_udf(T.LongType())
@@ -95,10 +193,7 @@ def fnv1a(x: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.LongType())
 def mix64(x: pa.Array) -> pa.Array:
-    v = x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    v = (v ^ (v >> np.uint64(30))) * np.uint64(MIX_A)
-    v = (v ^ (v >> np.uint64(27))) * np.uint64(MIX_B)
-    return pa.array((v ^ (v >> np.uint64(31))).view(np.int64))
+    return pa.array(_mixed(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64))
 
 
 @F.arrow_udf(T.LongType())
@@ -113,16 +208,10 @@ def xorshift64(x: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def feature_signs(x: pa.Array, width: pa.Array) -> pa.Array:
     """Places of features (see :func:`feature_places`), counted from 1 and negative where the sign is."""
-
-    def mixed(v):
-        v = (v ^ (v >> np.uint64(30))) * np.uint64(MIX_A)
-        v = (v ^ (v >> np.uint64(27))) * np.uint64(MIX_B)
-        return v ^ (v >> np.uint64(31))
-
     n = width[0].as_py() if len(width) else 0
-    state, out = mixed(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), np.zeros((len(x), n), np.int32)
+    state, out = _mixed(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), np.zeros((len(x), n), np.int32)
     for i in range(n):
-        state = mixed(state + np.uint64(i) + np.uint64(GOLDEN))
+        state = _mixed(state + np.uint64(i) + np.uint64(GOLDEN))
         place = (state & np.uint64(DIMENSION - 1)).astype(np.int32) + 1
         out[:, i] = np.where(state & np.uint64(0x100), place, -place)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(out.ravel()))
