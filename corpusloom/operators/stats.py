@@ -188,26 +188,39 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"), F.count(F.lit(1)).alias("draws"))
 
 
-def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701, chunk: int = 500) -> DataFrame:
+def drawn_sums(values: np.ndarray, draws: int, rng: np.random.Generator, at_once: int = AT_ONCE) -> np.ndarray:
+    """Sums of as many values as there are (complex), drawn with replacement, by draw. The generator
+    gives the same indices in whatever pieces they are asked for, so memory does not grow with them."""
+    n, out = len(values), np.zeros(draws, complex)
+    kind = np.uint32 if n < 1 << 32 else np.uint64
+    step = max(1, at_once // n)
+    for lo in range(0, draws, step):
+        size = min(step, draws - lo)
+        if n <= at_once:
+            out[lo : lo + size] = values.take(rng.integers(0, n, (size, n), dtype=kind)).sum(1)
+        else:
+            out[lo] = sum(values.take(rng.integers(0, n, min(at_once, n - at), dtype=kind)).sum() for at in range(0, n, at_once))
+    return out
+
+
+def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701) -> DataFrame:
     """Paired bootstrap of (sum a - sum b) / ln 2 / sum size with numpy's generator, per group.
 
-    Meant for groups of window results (a few thousand rows); use :func:`resampled_ratios`
-    where a group may be large.
+    A group's generator is one sequence, so a group is drawn in one task: it holds the group's
+    values and a bounded piece of the indices. Rows of one key go by their values, so a rerun
+    draws the same. :func:`resampled_ratios` spreads one large group over all tasks.
     """
     schema = df.select(*by).schema.add("delta", "double").add("low", "double").add("high", "double").add("wins", "long").add("windows", "long")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
+        pdf = pdf.sort_values(list(dict.fromkeys([key, a, b, size])))
         diff, n = (pdf[a] - pdf[b]).to_numpy(float), pdf[size].to_numpy(float)
-        rng, out = np.random.default_rng(seed), []
-        for lo in range(0, draws, chunk):
-            i = rng.integers(0, len(diff), (min(chunk, draws - lo), len(diff)))
-            out.append(diff[i].sum(1) / np.log(2) / n[i].sum(1))
-        low, high = np.quantile(np.concatenate(out), [0.025, 0.975])
+        sums = drawn_sums(diff + 1j * n, draws, np.random.default_rng(seed))
+        low, high = np.quantile(sums.real / np.log(2) / sums.imag, [0.025, 0.975])
         row = {c: [pdf[c].iloc[0]] for c in by} | {"delta": [diff.sum() / np.log(2) / n.sum()], "low": [low], "high": [high], "wins": [int((diff < 0).sum())], "windows": [len(diff)]}
         return pd.DataFrame(row)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.select(*dict.fromkeys([*by, key, a, b, size])).groupBy(*by).applyInPandas(run, schema)
 
 
 def repeat_excess(arr: Column, n: int) -> Column:
