@@ -18,6 +18,8 @@ from ..session import scratch_path
 BASE, FEED = 128, 10
 #: Merges after which the encoded texts are written, so that a round applies at most as many.
 SAVE_EVERY = 8
+#: Bytes of a stream that are counted at once, and characters after which a task starts another.
+AT_ONCE, STREAM = 1 << 19, 1 << 22
 
 
 def merged(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,66 +38,96 @@ def merged(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray
     return out[stay], stay
 
 
-def _ascii_ids(texts: list[str | None]) -> list[np.ndarray]:
-    """Bytes of each text and a line feed; characters beyond ASCII are question marks."""
-    return [np.frombuffer(((t or "") + "\n").encode("ascii", "replace"), np.uint8).astype(np.int32) for t in texts]
+def _width(merges: int) -> int:
+    """Bytes of an id: one as long as all ids of so many merges fit."""
+    return 1 if BASE + merges <= 256 else 4
 
 
-def _apply(rows: list[np.ndarray], merges, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, row of each id) of some streams after merges numbered from ``first``."""
-    ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    for i, (a, b) in enumerate(merges):
-        ids, stay = merged(ids, a, b, BASE + first + i)
-        row = row[stay]
-    return ids, row
+def _stream(texts, width: int) -> bytes:
+    """Ids of texts, each closed by a line feed; characters beyond ASCII are question marks."""
+    raw = "".join(f"{t or ''}\n" for t in texts).encode("ascii", "replace")
+    return raw if width == 1 else np.frombuffer(raw, np.uint8).astype(np.int32).tobytes()
 
 
-_STATE = "file string, ids array<int>"
+def _apply(stream: bytes, merges, first: int, width: int) -> bytes:
+    """A stream after merges numbered from ``first``. A search for two bytes takes hits from the
+    left and lets none overlap, which is how :func:`merged` replaces a pair."""
+    if width == 1:
+        for i, (a, b) in enumerate(merges):
+            stream = stream.replace(bytes((a, b)), bytes((BASE + first + i,)))
+        return stream
+    ids = np.frombuffer(stream, np.int32)
+    for i, (a, b) in enumerate(merges):
+        ids = merged(ids, a, b, BASE + first + i)[0]
+    return ids.tobytes()
+
+
+def _pairs(stream: bytes, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Adjacent pairs within texts (left, right, how many) and the length of a stream."""
+    if width == 1:  # two bytes are one little-endian number, from even places and from odd ones
+        n = np.zeros(1 << 16, np.int64)
+        for lo in range(0, len(stream) - 1, AT_ONCE):
+            part = stream[lo : lo + AT_ONCE + 1]
+            for at in (0, 1):
+                n += np.bincount(np.frombuffer(part, "<u2", (len(part) - at) // 2, at), minlength=1 << 16)
+        n = n.reshape(256, 256).T
+    else:
+        ids = np.frombuffer(stream, np.int32)
+        n = np.bincount(ids[:-1].astype(np.int64) * size + ids[1:], minlength=size * size).reshape(size, size)
+    n = n.copy()
+    n[FEED], n[:, FEED] = 0, 0
+    left, right = np.nonzero(n)
+    return left, right, n[left, right], len(stream) // width
+
+
+_STATE = "file string, ids binary"
 _COUNTS = T.StructType([T.StructField("file", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("length", T.LongType())])
 
 
-def _start(batches):
-    for b in batches:
-        ids = _ascii_ids(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["file", "ids"])
+def _start(width: int):
+    """Texts to streams, one for each file of a batch."""
+
+    def run(batches):
+        def made(files, streams):
+            return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array([_stream(t, width) for t in streams], pa.binary())], ["file", "ids"])
 
+        for b in batches:
+            of: dict[str | None, list] = {}
+            size: dict[str | None, int] = {}
+            for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of.setdefault(f, []).append(t)
+                size[f] = size.get(f, 0) + len(t or "")
+                if size[f] > STREAM:
+                    yield made([f], [of.pop(f)])
+                    del size[f]
+            yield made(list(of), of.values())
 
-def _streams(batch) -> list[np.ndarray]:
-    return [x.values.to_numpy(zero_copy_only=False) for x in batch.column(1)]
+    return run
 
 
-def _encoded(merges, first: int):
+def _encoded(merges, first: int, width: int):
     def run(batches):
         for b in batches:
-            ids, row = _apply(_streams(b), merges, first)
-            parts = np.split(ids, np.searchsorted(row, np.arange(1, b.num_rows)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in parts], pa.list_(pa.int32()))], ["file", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_apply(x.as_py(), merges, first, width) for x in b.column(1)], pa.binary())], ["file", "ids"])
 
     return run
 
 
-def _counted(merges, first: int):
+def _counted(merges, first: int, width: int):
     """Pair counts and lengths of a task's streams by file: a row per pair of the alphabet so far."""
     size = BASE + first + len(merges)
 
     def run(batches):
-        pairs: dict[str | None, np.ndarray] = {}
-        length: dict[str | None, int] = {}
+        found: dict[str | None, list] = {}
         for b in batches:
-            ids, row = _apply(_streams(b), merges, first)
-            files = b.column(0).to_pylist()
-            names = sorted(set(files), key=str)
-            of = np.array([names.index(f) for f in files])[row]
-            ok = (ids[:-1] != FEED) & (ids[1:] != FEED)  # so both are of one text
-            key = (of[:-1].astype(np.int64) * size + ids[:-1]) * size + ids[1:]
-            n = np.bincount(key[ok], minlength=len(names) * size * size).reshape(len(names), -1)
-            for i, f in enumerate(names):
-                pairs[f] = pairs.get(f, 0) + n[i]
-                length[f] = length.get(f, 0) + int((of == i).sum())
-        for f, n in pairs.items():
+            for f, x in zip(b.column(0).to_pylist(), b.column(1)):
+                left, right, n, length = _pairs(_apply(x.as_py(), merges, first, width), size, width)
+                held = found.setdefault(f, [np.zeros(size * size, np.int64), 0])
+                held[0][left * size + right] += n
+                held[1] += length
+        for f, (n, length) in found.items():
             at = np.flatnonzero(n)
-            rows = [[f] * (len(at) + 1), [*(at // size).tolist(), None], [*(at % size).tolist(), None], [*n[at].tolist(), 0], [*([0] * len(at)), length[f]]]
+            rows = [[f] * (len(at) + 1), [*(at // size).tolist(), None], [*(at % size).tolist(), None], [*n[at].tolist(), 0], [*([0] * len(at)), length]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["file", "a", "b", "n", "length"])
 
     return run
@@ -112,34 +144,36 @@ def pair_scores(counts: DataFrame, least: int = 2) -> DataFrame:
 
 def first_scores(docs: DataFrame, file: str, text: str) -> DataFrame:
     """Scores of all pairs of bytes, before any merge."""
-    state = docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start, _STATE)
-    return pair_scores(state.mapInArrow(_counted([], 0), _COUNTS))
+    state = docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start(1), _STATE)
+    return pair_scores(state.mapInArrow(_counted([], 0, 1), _COUNTS))
 
 
 def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tuple[int, int]]:
     """Merges in order: the best score each time, ties to the higher total, then the smaller pair.
 
     A round is one pass over the encoded texts and an aggregation of a row per pair; texts are
-    never shuffled and the driver sees the winner alone.
+    never shuffled and the driver sees the winner alone. Texts lie in streams of ids, a byte each
+    while the alphabet has at most 256, so merging and counting run over whole batches.
     """
     spark = docs.sparkSession
+    width = _width(merges)
 
     def save(state):
         path = scratch_path(spark, "streams")
         state.write.parquet(path)
         return spark.read.schema(_STATE).parquet(path)
 
-    state = save(docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start, _STATE))
+    state = save(docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start(width), _STATE))
     learnt: list[tuple[int, int]] = []
     saved = 0
     while len(learnt) < merges:
-        scores = pair_scores(state.mapInArrow(_counted(learnt[saved:], saved), _COUNTS))
+        scores = pair_scores(state.mapInArrow(_counted(learnt[saved:], saved, width), _COUNTS))
         top = scores.orderBy(F.desc("score"), F.desc("total"), "a", "b").first()
         if top is None:
             break
         learnt.append((top.a, top.b))
         if len(learnt) % SAVE_EVERY == 0 and len(learnt) < merges:
-            state, saved = save(state.mapInArrow(_encoded(learnt[saved:], saved), _STATE)), len(learnt)
+            state, saved = save(state.mapInArrow(_encoded(learnt[saved:], saved, width), _STATE)), len(learnt)
     return learnt
 
 
@@ -153,12 +187,16 @@ def expand(merges: list[tuple[int, int]]) -> list[str]:
 
 def encode(text: Column, merges: list[tuple[int, int]]) -> Column:
     """Ids of a text, merges in the order learnt; characters beyond ASCII are ``?``."""
+    width = _width(len(merges))
+    kind = np.uint8 if width == 1 else np.int32
 
     def run(x: pa.Array) -> pa.Array:
         texts = x.to_pylist()
-        ids, row = _apply(_ascii_ids(texts), merges, 0)
-        parts = np.split(ids, np.searchsorted(row, np.arange(1, len(texts)))) if texts else []
-        return pa.array([None if t is None else p[:-1].tolist() for t, p in zip(texts, parts)], pa.list_(pa.int32()))
+        # a text's own line feeds stay ids: each text is a stream of its own, without the closing one
+        parts = [np.zeros(0, kind) if t is None else np.frombuffer(_apply(_stream([t], width), merges, 0, width), kind)[:-1] for t in texts]
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        ids = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
 
