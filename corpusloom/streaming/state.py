@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,24 +27,24 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Votes(StatefulProcessor):
-    """First content of an event id stands; the same again is silent, other content a conflict."""
+    """First content of an event id stands; the same again is silent, other content a conflict.
+    Ids have few rows each, so rows come as rows: a frame for every id would outweigh them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "content string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        out, kept = [], self.seen.get()[0] if self.seen.exists() else None
-        for r in _arrivals(rows):
-            content = json.dumps([r["packet_id"], r["reviewer_id"], int(r["case_id"]), r["choice"]])
-            if kept is None:
-                kept, status = content, "stored"
-                self.seen.update((content,))
-            elif kept == content:
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        held = self.seen.get()
+        first = kept = held[0] if held else None
+        for r in sorted(rows, key=lambda r: r.arrival):
+            content = json.dumps([r.packet_id, r.reviewer_id, int(r.case_id), r.choice])
+            if content == kept:
                 continue
-            else:
-                status = "conflict"
-            out.append({**{c: r[c] for c in ("event_id", "packet_id", "reviewer_id", "case_id", "choice", "arrival")}, "status": status})
-        yield pd.DataFrame(out, columns=["event_id", "packet_id", "reviewer_id", "case_id", "choice", "arrival", "status"])
+            status = "conflict" if kept is not None else "stored"
+            kept = content if kept is None else kept
+            yield Row(event_id=r.event_id, packet_id=r.packet_id, reviewer_id=r.reviewer_id, case_id=r.case_id, choice=r.choice, arrival=r.arrival, status=status)
+        if first is None:
+            self.seen.update((kept,))
 
     def close(self) -> None:
         pass
@@ -53,7 +53,7 @@ class _Votes(StatefulProcessor):
 def vote_store(events: DataFrame) -> DataFrame:
     """Idempotent vote log: stored events once, and conflicts (an id again with other content)."""
     schema = "event_id string, packet_id string, reviewer_id string, case_id long, choice string, arrival long, status string"
-    return events.groupBy("event_id").transformWithStateInPandas(_Votes(), schema, "append", "none")
+    return events.groupBy("event_id").transformWithState(_Votes(), schema, "append", "none")
 
 
 class _Latest(StatefulProcessor):
