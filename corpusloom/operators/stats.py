@@ -61,7 +61,9 @@ def hash_poisson(key: Column, draw: Column, terms: int = 8) -> Column:
 #: Rows of a leaf of the resampling tree, about, and leaves at most (their sizes are broadcast).
 LEAF_ROWS, LEAVES = 4096, 65_536
 #: Rows alike from which their count in a draw is drawn at once, and indices that are drawn at once.
-ALIKE, AT_ONCE = 8, 1 << 17
+ALIKE, AT_ONCE = 40, 1 << 17
+#: Rows of a block: 16 random bits are two of them. Pairs that are drawn at once stay in a core's cache.
+BLOCK, PAIRS = 256, 1 << 15
 
 
 def _generator(*seed: int) -> np.random.Generator:
@@ -98,6 +100,24 @@ class ResampleTree:
         return self.path[-1][1]
 
 
+def block_sums(values: np.ndarray, taken: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sums of the drawn values (complex) of a block of :data:`BLOCK` rows, by draw. Two rows are drawn
+    at once, from a table of the sums of all pairs; of an odd number one is drawn alone."""
+    out, two = np.empty(len(taken), complex), np.add.outer(values, values).ravel()
+    half, odd = taken >> 1, np.flatnonzero(taken & 1)
+    ends = np.r_[0, np.cumsum(half)]
+    cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], PAIRS)), len(taken)]) if ends[-1] else np.zeros(1, int)
+    held = np.empty(int(np.diff(ends[cuts]).max(initial=0)) + 1, complex)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        n = int(ends[hi] - ends[lo])
+        drawn = two.take(rng.bit_generator.random_raw(n // 4 + 1).view(np.uint16)[: n + 1], out=held[: n + 1], mode="wrap")
+        drawn[n] = 0  # where draws without a pair begin that come last
+        out[lo:hi] = np.add.reduceat(drawn, ends[lo:hi] - ends[lo])
+    out[half == 0] = 0
+    out[odd] += values.take(rng.integers(0, len(values), len(odd), dtype=np.uint8))
+    return out
+
+
 def leaf_sums(values: np.ndarray, alike: np.ndarray, taken: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Sums of the drawn values (complex) of a leaf, by draw. ``alike`` says how many rows have each value."""
     out = np.zeros(len(taken), complex)
@@ -112,6 +132,13 @@ def leaf_sums(values: np.ndarray, alike: np.ndarray, taken: np.ndarray, rng: np.
             rest[lo : lo + step] = counts[:, -1]
         taken = rest
     few = np.repeat(values[~many], alike[~many])
+    blocks = len(few) // BLOCK
+    if blocks:  # rows beyond whole blocks are drawn one by one
+        sizes = np.append(np.full(blocks, BLOCK), len(few) - blocks * BLOCK)
+        parts = rng.multinomial(taken, sizes / len(few))
+        for i in range(blocks):
+            out += block_sums(few[i * BLOCK : (i + 1) * BLOCK], parts[:, i], rng)
+        few, taken = few[blocks * BLOCK :], parts[:, blocks]
     if not len(few):
         return out
     kind = next(k for k in (np.uint16, np.uint32, np.uint64) if len(few) <= np.iinfo(k).max)
@@ -178,7 +205,8 @@ def resampled_ratios(df: DataFrame, numerator: str, denominator: str, draws: int
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), pa.array(sums.real.copy()), pa.array(sums.imag.copy())], ["draw", "n", "d"])
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    placed = alike.select("n", "d", "alike", "leaf").repartition(tasks, "leaf").sortWithinPartitions("leaf", "n", "d")
+    # a task takes leaves that lie side by side, as many as any other: they share their path in the tree
+    placed = alike.select("n", "d", "alike", "leaf").repartitionById(tasks, (F.col("leaf") * tasks / leaves).cast("int")).sortWithinPartitions("leaf", "n", "d")
     return placed.mapInArrow(run, schema).groupBy("draw").agg(F.try_divide(F.sum("n"), F.sum("d")).alias("ratio"))
 
 

@@ -151,3 +151,30 @@ def test_votes_come_as_rows():
     got = [(r.arrival, r.status) for r in votes.handleInputRows(("e",), iter(rows), None)]
     assert got == [(1, "stored"), (3, "conflict")] and votes.seen.calls == 2
     assert [(r.arrival, r.status) for r in votes.handleInputRows(("e",), iter(rows[:2]), None)] == [(3, "conflict")] and votes.seen.calls == 3
+
+
+def test_window_bootstrap_draws_two_rows_at_once():
+    """Rows of a block are drawn in pairs from 16 bits: half the random words of an index a row, the
+    same law, and every draw as many rows as it should."""
+    import numpy as np
+
+    from corpusloom.operators import stats
+
+    words = lambda rng: int(rng.bit_generator.state["state"]["state"][3])  # noqa: E731  SFC64 counts its words
+    rng = np.random.default_rng(6)
+    values, taken = rng.random(2100) + 1j, rng.binomial(4200, 0.5, 3000)
+    gen = stats._generator(8)
+    began = words(gen)
+    sums = stats.leaf_sums(values, np.ones(2100, int), taken, gen)
+    assert (sums.imag == taken).all() and words(gen) - began < 0.2 * taken.sum()
+    off = sums.real - taken * values.real.mean()
+    assert abs(off.mean()) < 4 * off.std() / np.sqrt(3000) and abs(off.var() / (2100 * values.real.var()) - 1) < 0.12
+    # a row's count is binomial: of its mean and variance, and not tied to another row's beyond the total
+    taken = np.full(40_000, 257)
+    one = stats.block_sums(np.r_[1, 1j, np.zeros(stats.BLOCK - 2)], taken, stats._generator(9))
+    for x in (one.real, one.imag):
+        assert abs(x.mean() - 257 / 256) < 0.03 and abs(x.var() - 257 / 256 * 255 / 256) < 0.05
+    assert abs(np.cov(one.real, one.imag)[0, 1] + 257 / 256**2) < 0.025
+    few = np.array([0, 0, 1, 2, 0, 3, 70_001, 0, 1, 0, 0])
+    assert (stats.block_sums(np.ones(stats.BLOCK, complex), few, stats._generator(1)) == few).all()
+    assert not stats.block_sums(np.ones(stats.BLOCK, complex), np.zeros(3, int), stats._generator(1)).any()
