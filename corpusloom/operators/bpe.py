@@ -7,6 +7,8 @@ texts are encoded where they lie. Merges are applied to a batch of texts at once
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,9 @@ BASE, FEED = 128, 10
 #: Merges after which the encoded texts are written, so that a round applies at most as many.
 SAVE_EVERY = 8
 #: Bytes of a stream that are counted at once, and characters after which a task starts another.
-AT_ONCE, STREAM = 1 << 19, 1 << 22
+AT_ONCE, STREAM = 1 << 18, 1 << 22
+#: Streams, places in each and ids at a place from which merges are guessed; files counted at once.
+GUESS_FROM, FILES = (64, 16, 2048), 64
 
 
 def merged(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +53,29 @@ def _stream(texts, width: int) -> bytes:
     return raw if width == 1 else np.frombuffer(raw, np.uint8).astype(np.int32).tobytes()
 
 
+def _replaced(stream: bytes, left: int, right: int, new: int) -> bytes:
+    """A stream of bytes with the pair replaced, greedily from the left."""
+    if left == right:  # a search takes hits from the left and lets none overlap
+        return stream.replace(bytes((left, right)), bytes((new,)))
+    out, lo = [], 0
+    while lo < len(stream):  # in pieces that stay in a core's cache and end where no pair is merged
+        hi = stream.find(FEED, lo + AT_ONCE) + 1 or len(stream)
+        ids = np.frombuffer(stream, np.uint8, hi - lo, lo)
+        at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        ids = ids[stay]
+        ids[at - np.arange(len(at))] = new
+        out.append(ids.tobytes())
+        lo = hi
+    return b"".join(out)
+
+
 def _apply(stream: bytes, merges, first: int, width: int) -> bytes:
-    """A stream after merges numbered from ``first``. A search for two bytes takes hits from the
-    left and lets none overlap, which is how :func:`merged` replaces a pair."""
+    """A stream after merges numbered from ``first``, as :func:`merged` replaces each pair."""
     if width == 1:
         for i, (a, b) in enumerate(merges):
-            stream = stream.replace(bytes((a, b)), bytes((BASE + first + i,)))
+            stream = _replaced(stream, a, b, BASE + first + i)
         return stream
     ids = np.frombuffer(stream, np.int32)
     for i, (a, b) in enumerate(merges):
@@ -81,7 +102,7 @@ def _pairs(stream: bytes, size: int, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 _STATE = "file string, ids binary"
-_COUNTS = T.StructType([T.StructField("file", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("length", T.LongType())])
+_COUNTS = "file string, stage int, a int, b int, n long, length long"
 
 
 def _start(width: int):
@@ -113,47 +134,98 @@ def _encoded(merges, first: int, width: int):
     return run
 
 
-def _counted(merges, first: int, width: int):
-    """Pair counts and lengths of a task's streams by file: a row per pair of the alphabet so far."""
-    size = BASE + first + len(merges)
+def _counted(merges, first: int, width: int, guess=()):
+    """Pair counts and lengths of a task's streams by file: a row per pair of the alphabet so far.
+    Stage 0 counts after ``merges``, stage i after i guessed ones more, as differences from the
+    stage before."""
+    size = BASE + first + len(merges) + len(guess)
+
+    def rows(f, n, length):
+        for stage in range(len(n)):
+            more = n[stage] - n[stage - 1] if stage else n[0]
+            at = np.flatnonzero(more)
+            columns = [f] * (len(at) + 1), [stage] * (len(at) + 1), np.append(at // size, 0), np.append(at % size, 0), np.append(more[at], 0), np.append(np.zeros_like(at), length[stage] - (length[stage - 1] if stage else 0))
+            whole = np.arange(len(at) + 1) == len(at)  # the last row is of no pair
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t, mask=whole if i in (2, 3) else None) for i, (c, t) in enumerate(zip(columns, kinds))], ["file", "stage", "a", "b", "n", "length"])
 
     def run(batches):
-        found: dict[str | None, list] = {}
+        found: dict[str | None, tuple] = {}
         for b in batches:
             for f, x in zip(b.column(0).to_pylist(), b.column(1)):
-                left, right, n, length = _pairs(_apply(x.as_py(), merges, first, width), size, width)
-                held = found.setdefault(f, [np.zeros(size * size, np.int64), 0])
-                held[0][left * size + right] += n
-                held[1] += length
-        for f, (n, length) in found.items():
-            at = np.flatnonzero(n)
-            rows = [[f] * (len(at) + 1), [*(at // size).tolist(), None], [*(at % size).tolist(), None], [*n[at].tolist(), 0], [*([0] * len(at)), length]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["file", "a", "b", "n", "length"])
+                if f not in found and len(found) == FILES:
+                    for k in list(found):
+                        yield from rows(k, *found.pop(k))
+                n, length = found.setdefault(f, (np.zeros((len(guess) + 1, size * size), np.int64), np.zeros(len(guess) + 1, np.int64)))
+                stream = _apply(x.as_py(), merges, first, width)
+                for stage in range(len(guess) + 1):
+                    if stage:
+                        stream = _apply(stream, guess[stage - 1 : stage], first + len(merges) + stage - 1, width)
+                    left, right, some, ids = _pairs(stream, size, width)
+                    n[stage][left * size + right] += some
+                    length[stage] += ids
+        for k, held in found.items():
+            yield from rows(k, *held)
 
     return run
 
 
+def _guess(state: DataFrame, merges, first: int, width: int, more: int) -> list[tuple[int, int]]:
+    """Merges that probably follow ``merges``, learnt from places of a few streams. They only save
+    passes: each is held against the counts of all texts before it is taken."""
+    streams, places, ids = GUESS_FROM
+    feed = F.lit(_stream([""], width))
+    at = [(F.floor(F.octet_length("ids") / width * i / places) * width + 1).cast("int") for i in range(places)]
+    cut = F.concat(*(c for p in at for c in (F.substr("ids", p, F.lit(ids * width)), feed)))
+    cut = F.when(F.octet_length("ids") > places * ids * width, cut).otherwise(F.col("ids"))
+    of: dict[str | None, bytes] = {}
+    for f, x in state.select("file", cut).limit(streams).collect():
+        of[f] = of.get(f, b"") + bytes(x)
+    of = {f: _apply(x, merges, first, width) for f, x in of.items()}
+    out: list[tuple[int, int]] = []
+    while len(out) < more:
+        score, total = Counter(), Counter()
+        for x in of.values():
+            left, right, n, length = _pairs(x, BASE + first + len(merges) + len(out), width)
+            pairs = list(zip(left.tolist(), right.tolist()))
+            score.update(dict(zip(pairs, (n / max(1, length - 1)).tolist())))
+            total.update(dict(zip(pairs, n.tolist())))
+        if not score:
+            break
+        out.append(max(score, key=lambda p: (round(score[p], 12), total[p], -p[0], -p[1])))
+        of = {f: _apply(x, out[-1:], first + len(merges) + len(out) - 1, width) for f, x in of.items()}
+    return out
+
+
 def pair_scores(counts: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, score, total): a pair scores the sum over files of its count by the file's pairs."""
-    per = counts.groupBy("file", "a", "b").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-    size = per.filter("a is null").select(F.col("file").alias("__f"), F.col("length").alias("__len"))
-    per = per.filter("a is not null").join(size, F.col("file").eqNullSafe(F.col("__f")))
-    out = per.groupBy("a", "b").agg(F.round(F.sum(F.col("n") / (F.col("__len") - 1)), 12).alias("score"), F.sum("n").alias("total"))
+    """(stage, a, b, score, total): a pair scores the sum over files of its count by the file's pairs."""
+    per = counts.groupBy("file", "stage", "a", "b").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    size = per.filter("a is null").select(F.col("file").alias("__f"), F.col("stage").alias("__s"), F.col("length").alias("__len"))
+    per = per.filter("a is not null").join(size, F.col("file").eqNullSafe(F.col("__f")) & (F.col("stage") == F.col("__s")))
+    out = per.groupBy("stage", "a", "b").agg(F.round(F.sum(F.col("n") / (F.col("__len") - 1)), 12).alias("score"), F.sum("n").alias("total"))
     return out.filter(F.col("total") >= least)
 
 
+def _stages(counts: DataFrame, last: int) -> DataFrame:
+    """Counts of every stage from the differences: a row counts for its stage and all that follow."""
+    some = counts.groupBy("file", "stage", "a", "b").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    return some.withColumn("stage", F.explode(F.sequence("stage", F.lit(last))))
+
+
 def first_scores(docs: DataFrame, file: str, text: str) -> DataFrame:
     """Scores of all pairs of bytes, before any merge."""
     state = docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start(1), _STATE)
-    return pair_scores(state.mapInArrow(_counted([], 0, 1), _COUNTS))
+    return pair_scores(state.mapInArrow(_counted([], 0, 1), _COUNTS)).drop("stage")
 
 
 def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tuple[int, int]]:
     """Merges in order: the best score each time, ties to the higher total, then the smaller pair.
 
     A round is one pass over the encoded texts and an aggregation of a row per pair; texts are
-    never shuffled and the driver sees the winner alone. Texts lie in streams of ids, a byte each
-    while the alphabet has at most 256, so merging and counting run over whole batches.
+    never shuffled and the driver sees the winners alone. Texts lie in streams of ids, a byte each
+    while the alphabet has at most 256, so merging and counting run over whole batches. A round
+    counts all texts before and after each of the merges guessed to come next; those up to the
+    first wrong guess are found at once, and that guess is replaced by what the counts say.
     """
     spark = docs.sparkSession
     width = _width(merges)
@@ -167,12 +239,18 @@ def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tup
     learnt: list[tuple[int, int]] = []
     saved = 0
     while len(learnt) < merges:
-        scores = pair_scores(state.mapInArrow(_counted(learnt[saved:], saved, width), _COUNTS))
-        top = scores.orderBy(F.desc("score"), F.desc("total"), "a", "b").first()
-        if top is None:
-            break
-        learnt.append((top.a, top.b))
-        if len(learnt) % SAVE_EVERY == 0 and len(learnt) < merges:
+        done = learnt[saved:]
+        guess = _guess(state, done, saved, width, min(SAVE_EVERY - len(done), merges - len(learnt)) - 1)
+        counts = _stages(state.mapInArrow(_counted(done, saved, width, guess), _COUNTS), len(guess))
+        best = F.max_by(F.struct("a", "b"), F.struct("score", "total", -F.col("a"), -F.col("b")))
+        top = {r.stage: (r.top.a, r.top.b) for r in pair_scores(counts).groupBy("stage").agg(best.alias("top")).collect()}
+        for stage in range(len(guess) + 1):
+            if stage not in top:
+                return learnt
+            learnt.append(top[stage])
+            if guess[stage : stage + 1] != [top[stage]]:
+                break
+        if len(learnt) - saved == SAVE_EVERY and len(learnt) < merges:
             state, saved = save(state.mapInArrow(_encoded(learnt[saved:], saved, width), _STATE)), len(learnt)
     return learnt
 
