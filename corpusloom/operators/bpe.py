@@ -11,7 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,8 +105,8 @@ _STATE = "file string, ids binary"
 _COUNTS = "file string, stage int, a int, b int, n long, length long"
 
 
-def _start(width: int):
-    """Texts to streams, one for each file of a batch."""
+def _start(width: int, reduce=None):
+    """Texts to streams, one for each file of a batch, each text after ``reduce``."""
 
     def run(batches):
         def made(files, streams):
@@ -116,7 +116,7 @@ def _start(width: int):
             of: dict[str | None, list] = {}
             size: dict[str | None, int] = {}
             for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                of.setdefault(f, []).append(t)
+                of.setdefault(f, []).append(reduce(t) if reduce else t)
                 size[f] = size.get(f, 0) + len(t or "")
                 if size[f] > STREAM:
                     yield made([f], [of.pop(f)])
@@ -200,8 +200,8 @@ def _guess(state: DataFrame, merges, first: int, width: int, more: int) -> list[
 def pair_scores(counts: DataFrame, least: int = 2) -> DataFrame:
     """(stage, a, b, score, total): a pair scores the sum over files of its count by the file's pairs."""
     per = counts.groupBy("file", "stage", "a", "b").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-    size = per.filter("a is null").select(F.col("file").alias("__f"), F.col("stage").alias("__s"), F.col("length").alias("__len"))
-    per = per.filter("a is not null").join(size, F.col("file").eqNullSafe(F.col("__f")) & (F.col("stage") == F.col("__s")))
+    # over the pairs of an alphabet; a join with the rows of lengths would go through the texts twice
+    per = per.withColumn("__len", F.sum("length").over(Window.partitionBy("file", "stage"))).filter("a is not null")
     out = per.groupBy("stage", "a", "b").agg(F.round(F.sum(F.col("n") / (F.col("__len") - 1)), 12).alias("score"), F.sum("n").alias("total"))
     return out.filter(F.col("total") >= least)
 
@@ -218,7 +218,7 @@ def first_scores(docs: DataFrame, file: str, text: str) -> DataFrame:
     return pair_scores(state.mapInArrow(_counted([], 0, 1), _COUNTS)).drop("stage")
 
 
-def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tuple[int, int]]:
+def learn_merges(docs: DataFrame, file: str, text: str, merges: int, reduce=None) -> list[tuple[int, int]]:
     """Merges in order: the best score each time, ties to the higher total, then the smaller pair.
 
     A round is one pass over the encoded texts and an aggregation of a row per pair; texts are
@@ -226,6 +226,7 @@ def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tup
     while the alphabet has at most 256, so merging and counting run over whole batches. A round
     counts all texts before and after each of the merges guessed to come next; those up to the
     first wrong guess are found at once, and that guess is replaced by what the counts say.
+    ``reduce`` is applied to each text where streams are made, so no worker more is needed for it.
     """
     spark = docs.sparkSession
     width = _width(merges)
@@ -235,7 +236,7 @@ def learn_merges(docs: DataFrame, file: str, text: str, merges: int) -> list[tup
         state.write.parquet(path)
         return spark.read.schema(_STATE).parquet(path)
 
-    state = save(docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start(width), _STATE))
+    state = save(docs.select(F.col(file).cast("string").alias("file"), text).mapInArrow(_start(width, reduce), _STATE))
     learnt: list[tuple[int, int]] = []
     saved = 0
     while len(learnt) < merges:

@@ -528,7 +528,7 @@ def sc12(spark, sf):
     from ..session import scratch_path
     from ..sources.binary import load_vocabulary, save_vocabulary
 
-    d = table(spark, sf, "documents").select("source", X.ascii_bulk(F.col("text")).alias("text"))
+    d = table(spark, sf, "documents").select("source", F.make_valid_utf8("text").alias("text"))
     path = scratch_path(spark, "vocabulary")
-    save_vocabulary(spark, learn_merges(d, "source", "text", 8), path)
+    save_vocabulary(spark, learn_merges(d, "source", "text", 8, X.ascii_text), path)
     return merges_frame(spark, load_vocabulary(spark, path))
