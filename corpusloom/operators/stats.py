@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,10 @@ LEAF_ROWS, LEAVES = 4096, 65_536
 ALIKE, AT_ONCE = 40, 1 << 17
 #: Rows of a block: 16 random bits are two of them. Pairs that are drawn at once stay in a core's cache.
 BLOCK, PAIRS = 256, 1 << 15
+#: Rows of a part of a group, about, and raw numbers of a piece at most, where groups share a generator.
+PART_ROWS, PIECE = 4096, 1 << 22
+#: Rows held of groups that are drawn together, and groups up to which a running sum places them.
+HELD_ROWS, GROUPS = 1 << 23, 100_000
 
 
 def _generator(*seed: int) -> np.random.Generator:
@@ -216,39 +220,164 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"), F.count(F.lit(1)).alias("draws"))
 
 
-def drawn_sums(values: np.ndarray, draws: int, rng: np.random.Generator, at_once: int = AT_ONCE) -> np.ndarray:
-    """Sums of as many values as there are (complex), drawn with replacement, by draw. The generator
-    gives the same indices in whatever pieces they are asked for, so memory does not grow with them."""
-    n, out = len(values), np.zeros(draws, complex)
-    kind = np.uint32 if n < 1 << 32 else np.uint64
-    step = max(1, at_once // n)
-    for lo in range(0, draws, step):
-        size = min(step, draws - lo)
-        if n <= at_once:
-            out[lo : lo + size] = values.take(rng.integers(0, n, (size, n), dtype=kind)).sum(1)
-        else:
-            out[lo] = sum(values.take(rng.integers(0, n, min(at_once, n - at), dtype=kind)).sum() for at in range(0, n, at_once))
+def _parts(n: int) -> int:
+    """Parts of the generator's range for ``n`` rows: a part's rows lie in a core's cache."""
+    return 1 << min(16, ((n - 1) // PART_ROWS).bit_length())
+
+
+def _parted(raw: np.ndarray, parts: int, stretch: int, numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Puts numbers by part within each stretch, and their positions beside them; where each
+    stretch's parts begin and end, by stretch."""
+    bounds = []
+    for lo in range(0, len(raw), stretch):
+        some, at = raw[lo : lo + stretch], slice(lo, lo + stretch)
+        if parts == 1:
+            numbers[at], places[at] = some, np.arange(lo, lo + stretch)
+            bounds.append([lo, lo + stretch])
+            continue
+        part = (some >> np.uint32(33 - parts.bit_length())).astype(np.uint8 if parts <= 256 else np.uint16)
+        order = np.argsort(part, kind="stable")
+        some.take(order, out=numbers[at], mode="wrap")
+        np.add(order, lo, out=places[at], casting="unsafe")
+        bounds.append(lo + np.r_[0, np.cumsum(np.bincount(part, minlength=parts))])
+    return np.array(bounds)
+
+
+def _refused(raw: np.ndarray, sizes: list[int], step: int) -> list[np.ndarray]:
+    """Positions, for each number of rows, of the raw numbers that numpy's generator passes over so
+    that all rows are as likely. The length is a multiple of ``step``, which is one of 8."""
+    found, product, small = [([], []) for _ in sizes], np.empty(step, np.uint32), np.empty(step, bool)
+    eights = small.view(np.uint64)
+    for lo in range(0, len(raw), step):
+        for n, (where, what) in zip(sizes, found):
+            if bound := (1 << 32) % n:
+                np.less(np.multiply(raw[lo : lo + step], np.uint32(n), out=product), np.uint32(bound), out=small)
+                if len(some := eights.nonzero()[0]):
+                    where.append(some + lo // 8)
+                    what.append(eights[some])
+    out = []
+    for where, what in found:
+        eight, one = np.concatenate(what or [eights[:0]]).view(bool).reshape(-1, 8).nonzero()
+        out.append(np.concatenate(where)[eight] * 8 + one if where else one)
     return out
 
 
+def shared_sums(groups: list[np.ndarray], draws: int, rng: np.random.Generator, at_once: int = AT_ONCE) -> list[np.ndarray]:
+    """Of each group (complex values), the sums of as many values as there are, drawn with
+    replacement, by draw: those of ``rng.integers(n, size=(draws, n))`` by a new PCG64 generator,
+    the same for every group, so its raw numbers are made once for all.
+
+    A raw number u of 32 bits is index u * n >> 32, if it is not refused. Numbers are held in
+    pieces and put by their highest bits, so they meet a group's rows a part at a time.
+    """
+    if (most := max(map(len, groups))) > 1 << 32:  # numpy draws from 64 bits
+        ends = [np.r_[0 : len(v) : at_once, len(v)] for v in groups]
+        return [np.array([sum(v.take(r.integers(0, len(v), z - a)).sum() for a, z in zip(e, e[1:])) for _ in range(draws)]) for v, e in zip(groups, ends) for r in [copy.deepcopy(rng)]]
+    parts, step = _parts(most), max(8, at_once // 32 * 8)
+    block = step * min(parts, max(1, PIECE // step))
+    length, stretch = block * max(1, 16 // parts), step * next(k for k in (4, 2, 1) if block % (step * k) == 0)
+    numbers, places, product = np.empty(length, np.uint32), np.empty(length, np.int32), np.empty(0, np.uint64)
+    sums, taken, live = [np.zeros(draws + 1, complex) for _ in groups], [0] * len(groups), list(range(len(groups)))
+    while live:
+        raw = rng.bit_generator.random_raw(length // 2).view(np.uint32)
+        refused, plans = _refused(raw, [len(groups[g]) for g in live], step), []
+        for g, out in zip(live, refused):
+            n, before = len(groups[g]), taken[g]
+            taken[g] += length - len(out)
+            first = before // n
+            cuts = np.arange(first + 1, min(draws, (taken[g] - 1) // n) + 1) * n - before  # where draws begin, among those taken
+            cuts += np.searchsorted(out - np.arange(len(out)), cuts)
+            cell = out // block * parts + (raw[out].astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            out = out[np.argsort(cell, kind="stable")].astype(np.int32)
+            plans.append((groups[g], np.uint64(n), sums[g][first : first + len(cuts) + 1], cuts.astype(np.int32), np.zeros(len(cuts) + 1, np.int64), out, np.r_[0, np.cumsum(np.bincount(cell, minlength=length // block * parts))].tolist()))
+        bounds = _parted(raw, parts, stretch, numbers, places).reshape(length // block, block // stretch, parts + 1)
+        for i in range(length // block * parts):
+            stretches = [slice(a, z) for a, z in bounds[i // parts, :, i % parts : i % parts + 2].tolist()]
+            some, at = np.concatenate([numbers[x] for x in stretches]).astype(np.uint64), np.concatenate([places[x] for x in stretches])
+            if len(some) > len(product):
+                product, held = np.empty(len(some) * 17 // 16, np.uint64), np.empty(len(some) * 17 // 16 + 1, complex)
+            index, drawn = product[: len(some)], held[: len(some) + 1]
+            rows, picked = index.view(np.int64), drawn[:-1]
+            for values, n, mine, cuts, begin, out, where in plans:
+                np.right_shift(np.multiply(some, n, out=index), np.uint64(32), out=index)
+                values.take(rows, out=picked, mode="wrap")
+                drawn[-1] = 0  # where draws without a number in this part begin that come last
+                if where[i] < where[i + 1]:
+                    drawn[at.searchsorted(out[where[i] : where[i + 1]])] = 0
+                begin[1:] = at.searchsorted(cuts)
+                part = np.add.reduceat(drawn, begin)
+                part[:-1][begin[1:] == begin[:-1]] = 0
+                mine += part
+        live = [g for g in live if taken[g] < draws * len(groups[g])]
+    return [x[:draws] for x in sums]
+
+
+def drawn_sums(values: np.ndarray, draws: int, rng: np.random.Generator, at_once: int = AT_ONCE) -> np.ndarray:
+    """:func:`shared_sums` of one group. Memory does not grow with the draws."""
+    return shared_sums([values], draws, rng, at_once)[0]
+
+
 def numpy_bootstrap(df: DataFrame, by: list[str], key: str, a: str, b: str, size: str, draws: int = 20_000, seed: int = 1701) -> DataFrame:
     """Paired bootstrap of (sum a - sum b) / ln 2 / sum size with numpy's generator, per group.
 
-    A group's generator is one sequence, so a group is drawn in one task: it holds the group's
-    values and a bounded piece of the indices. Rows of one key go by their values, so a rerun
-    draws the same. :func:`resampled_ratios` spreads one large group over all tasks.
+    A group's generator is one sequence, so a group is drawn in one task, which holds its values.
+    All groups have the same sequence: tasks take groups of about as many rows in all, and draw
+    those of like size together (:func:`shared_sums`), :data:`HELD_ROWS` rows or one group at once.
+    A group's result is the same in whatever company. Rows of one key go by their values, so a
+    rerun draws the same. :func:`resampled_ratios` spreads one large group over all tasks.
     """
+    from ..session import scratch_path
+
+    spark = df.sparkSession
     schema = df.select(*by).schema.add("delta", "double").add("low", "double").add("high", "double").add("wins", "long").add("windows", "long")
+    path, tasks, names = scratch_path(spark, "groups"), spark.sparkContext.defaultParallelism, [f"__by{i}" for i in range(len(by))]
+    counted = df.groupBy(*(F.col(c).alias(x) for c, x in zip(by, names))).agg(F.count(F.lit(1)).alias("__rows"))
+    counted.write.parquet(path)
+    sizes = spark.read.schema(counted.schema).parquet(path)
+    groups, rows = sizes.agg(F.count("__rows"), F.coalesce(F.sum("__rows"), F.lit(1))).first()
+    if groups > GROUPS:
+        sizes = sizes.withColumn("__task", F.pmod(F.xxhash64(*names), F.lit(tasks)).cast("int"))
+    else:
+        through = F.sum("__rows").over(Window.orderBy("__rows", *names).rowsBetween(Window.unboundedPreceding, 0))
+        sizes = sizes.withColumn("__task", F.floor((through - F.col("__rows") / 2) * tasks / rows).cast("int"))
+    real = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}  # null goes as NaN
+    order = {f"__o{i}": F.coalesce(F.col(c), F.lit(float("nan"))) if c in real else F.col(c) for i, c in enumerate(dict.fromkeys([key, a, b, size]))}
+    given = df.select(*by, (F.col(a) - F.col(b)).cast("double").alias("__diff"), F.col(size).cast("double").alias("__size"), *(c.alias(x) for x, c in order.items()))
+    for c, x in zip(by, names):
+        on = F.col(c).eqNullSafe(F.col(x)) if x == names[0] else on & F.col(c).eqNullSafe(F.col(x))
+    placed = given.join(sizes, on).repartitionById(tasks, "__task").sortWithinPartitions("__rows", *by, *(F.col(x).asc_nulls_last() for x in order))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(dict.fromkeys([key, a, b, size])))
-        diff, n = (pdf[a] - pdf[b]).to_numpy(float), pdf[size].to_numpy(float)
-        sums = drawn_sums(diff + 1j * n, draws, np.random.default_rng(seed))
-        low, high = np.quantile(sums.real / np.log(2) / sums.imag, [0.025, 0.975])
-        row = {c: [pdf[c].iloc[0]] for c in by} | {"delta": [diff.sum() / np.log(2) / n.sum()], "low": [low], "high": [high], "wins": [int((diff < 0).sum())], "windows": [len(diff)]}
-        return pd.DataFrame(row)
+    def run(batches):
+        held, heads, values, filled = [], [], np.empty(0, complex), 0
 
-    return df.select(*dict.fromkeys([*by, key, a, b, size])).groupBy(*by).applyInPandas(run, schema)
+        def close():
+            low, high = np.array([np.quantile(s.real / np.log(2) / s.imag, [0.025, 0.975]) for s in shared_sums(held, draws, np.random.default_rng(seed))]).T
+            delta = np.array([v.real.sum() / np.log(2) / v.imag.sum() for v in held])
+            wins, windows = np.array([np.count_nonzero(v.real < 0) for v in held]), np.array([len(v) for v in held])
+            columns = [pa.concat_arrays([h.column(c) for h in heads]) for c in by] + [pa.array(x) for x in (delta, low, high, wins, windows)]
+            held.clear()
+            heads.clear()
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            diff, n, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__diff", "__size", "__rows"))
+            at = 0
+            while at < len(rows):
+                if filled == len(values):
+                    need = int(rows[at])
+                    if held and (_parts(need) != _parts(len(held[0])) or sum(map(len, held)) + need > HELD_ROWS):
+                        yield close()
+                    values, filled = np.empty(need, complex), 0
+                    heads.append(batch.slice(at, 1))
+                more = min(len(values) - filled, len(rows) - at)
+                values.real[filled : filled + more], values.imag[filled : filled + more] = diff[at : at + more], n[at : at + more]
+                at, filled = at + more, filled + more
+                if filled == len(values):
+                    held.append(values)
+        if held:
+            yield close()
+
+    return placed.select(*by, "__diff", "__size", "__rows").mapInArrow(run, schema)
 
 
 def repeat_excess(arr: Column, n: int) -> Column:
